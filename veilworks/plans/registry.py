@@ -1,0 +1,13 @@
+"""The library's queries by name, with their SQL."""
+
+from __future__ import annotations
+
+FLAGSHIP = "S9_plain_lines"
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
