@@ -88,12 +88,12 @@ class Table:
         return ((keys ^ (keys >> np.uint64(29))) * BASE >> np.uint64(24)) & self.mask
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """The row of each key, or -1."""
+        """The row of each key, or -1; 0 is no key."""
         out = np.full(len(keys), -1, np.int32)
         at, slot = np.arange(len(keys)), self._slot(keys)
         while len(at):
             held = self.keys[slot]
-            hit = held == keys[at]
+            hit = (held == keys[at]) & (held != 0)
             out[at[hit]] = self.rows[slot[hit]]
             on = ~hit & (held != 0)
             at, slot = at[on], (slot[on] + np.uint64(1)) & self.mask

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from veilworks.llm import bpe, fingerprint, langid, mixing, sharding
+from veilworks.llm import bpe, fingerprint, langid, mixing, sharding, toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (langid.op1_word_backoff_language, bpe.op3_byte_bpe, mixing.op4_temperature_mix, fingerprint.op7_bottom_k_fingerprints, sharding.op9_feistel_shards)}
+    return {f.__name__: f for f in (langid.op1_word_backoff_language, bpe.op3_byte_bpe, mixing.op4_temperature_mix, fingerprint.op7_bottom_k_fingerprints, sharding.op9_feistel_shards, toxicity.op10_crf_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
