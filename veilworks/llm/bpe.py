@@ -19,7 +19,7 @@ from veilworks.llm.common import arrow_rows, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Code points of a chunk, and by how many it reaches into the next.
-CHUNK = 16_384
+CHUNK = 65_536
 OVERLAP = 512
 
 
