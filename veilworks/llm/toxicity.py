@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilworks.llm.common import hash_share, remainder, table
-from veilworks.llm.letters import Letters, Table, blocks
+from veilworks.llm.letters import BASE, Letters, Table, blocks
 
 #: Labelled documents of each class to learn from, about (toxic, clean); the sample depends on doc_id only. Texts longer than SAMPLE_CHARS aren't drawn.
 SAMPLE_DOCS = (1000, 3000)
@@ -143,10 +143,14 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
 
     The labels are of documents. Tokens get theirs from what tells the documents apart: a token of a
     toxic document is toxic if its word or a prefix of it is MARK_ODDS times likelier in the toxic
-    documents; all others are clean. Without texts of both classes every score is one half.
+    documents; all others are clean. Of texts that look like copies of one another one is used, or
+    the chance words of a copied text would pass for toxic. Without texts of both classes every score is one half.
     """
     found = list(token_features(texts))
     text, hashes = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in found)]), np.concatenate([np.zeros((1 + len(PREFIXES), 0), np.uint64), *(h for _, h in found)], axis=1)
+    one = first_of_copies(text, hashes[0], labels)
+    if not one.all():
+        return fit([t for t, k in zip(texts, one) if k], labels[one])
     n_toxic, n_clean = int(labels.sum()), int(len(labels) - labels.sum())
     if not n_toxic or not n_clean:
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, np.ones((2, 2)), np.zeros(3))
@@ -186,11 +190,33 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
         log_moves[0, 0] = 0
     model = Model(keys, weights[:-1], float(bias), np.exp(log_moves), np.zeros(3), lookup)
     toxic, _ = marginals(model.emission(hashes), np.bincount(text, minlength=len(texts)), model.moves)
-    model.scale = logistic(aggregates(text, toxic, len(texts)), labels)
+    unseen = np.ones(len(texts), bool)
+    unseen[np.concatenate([toxic_ids, clean_ids])] = False
+    if min(labels[unseen].sum(), (1 - labels[unseen]).sum()) < 20:  # too few to weigh the aggregates by texts that the field hasn't seen
+        unseen[:] = True
+    model.scale = logistic(aggregates(text, toxic, len(texts))[unseen], labels[unseen])
     model.table = None
     return model
 
 
+def first_of_copies(text: np.ndarray, word: np.ndarray, labels: np.ndarray, draws: int = 4) -> np.ndarray:
+    """Which texts share none of their `draws` least hashes of three words with an earlier text of the same label."""
+    first = np.ones(len(labels), bool)
+    inside = np.flatnonzero(text[2:] == text[:-2])
+    if not len(inside):
+        return first
+    three, whose = word[inside] * np.uint64(31) + word[inside + 1] * np.uint64(17) + word[inside + 2], text[inside]
+    begins = np.flatnonzero(np.diff(whose, prepend=-1))
+    for draw in range(draws):
+        mixed = (three ^ (three >> np.uint64(31))) * (BASE + np.uint64(2 * draw))
+        least = np.minimum.reduceat(mixed ^ (mixed >> np.uint64(29)), begins)
+        _, at = np.unique(np.stack([least, labels[whose[begins]].astype(np.uint64)]), axis=1, return_index=True)
+        again = np.ones(len(begins), bool)
+        again[at] = False
+        first[whose[begins[again]]] = False
+    return first
+
+
 def logistic(x: np.ndarray, y: np.ndarray, decay: float = 0.1) -> np.ndarray:
     """Logistic regression by Newton's method, the weights but for the first drawn towards 0."""
     w, hold = np.zeros(x.shape[1]), decay * np.diag([0.0] + [1.0] * (x.shape[1] - 1)) + 1e-9 * np.eye(x.shape[1])
