@@ -174,8 +174,9 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode(table(spark, sf_dir, "documents")))
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    both = decode(encoded)
-    return both.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256")
-    )
+def digests(encoded: DataFrame, keep_ids: bool = False) -> DataFrame:
+    """For each row of encoded (doc_id, ids) the number of ids, and digests of the ids and of the bytes that they decode to."""
+    return decode(encoded).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"), *["ids"] * keep_ids,
+    )
