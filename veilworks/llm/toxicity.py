@@ -14,7 +14,7 @@ from veilworks.llm.common import hash_share, remainder, table
 from veilworks.llm.letters import BASE, Letters, Table, blocks
 
 #: Labelled documents of each class to learn from, about (toxic, clean); the sample depends on doc_id only. Texts longer than SAMPLE_CHARS aren't drawn.
-SAMPLE_DOCS = (1000, 3000)
+SAMPLE_DOCS = (500, 1500)
 SAMPLE_CHARS = 20_000
 #: Documents of each class on whose tokens the field itself is fitted; the rest only count.
 FIELD_DOCS = 250
@@ -150,6 +150,7 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
     text, hashes = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in found)]), np.concatenate([np.zeros((1 + len(PREFIXES), 0), np.uint64), *(h for _, h in found)], axis=1)
     one = first_of_copies(text, hashes[0], labels)
     if not one.all():
+        del found, text, hashes
         return fit([t for t, k in zip(texts, one) if k], labels[one])
     n_toxic, n_clean = int(labels.sum()), int(len(labels) - labels.sum())
     if not n_toxic or not n_clean:
