@@ -2,12 +2,349 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "S9_plain_lines"
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def queries() -> dict:
-    return {}
+from veilworks.functions import numbers
+from veilworks.operators import answers, audit, detect, encoded, measure, policy, texts
+from veilworks.plans import oracles
+from veilworks.sources.tables import table
+
+FLAGSHIP = "P1_check_policy"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, and its SQL."""
+
+    def put(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+# Texts
+
+
+@query(oracles.LINES)
+def S9_plain_lines(spark, sf_dir):
+    return texts.lines(docs_of(spark, sf_dir))
+
+
+@query(oracles.RULE_SENTENCES)
+def V6_rule_sentences(spark, sf_dir):
+    return texts.rule_sentences(docs_of(spark, sf_dir))
+
+
+@query(oracles.sentences(".?!", "[ \\n]", "'\\n([ \\n]|$)', chr(10) || chr(1) || '\\1'"))
+def V7_corpus_sentences(spark, sf_dir):
+    return texts.corpus_sentences(docs_of(spark, sf_dir))
+
+
+@query(
+    """SELECT conv_id, turn AS seg, role, text, coalesce(sum(octet_length(encode(text))) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin,
+(sum(octet_length(encode(text))) OVER (PARTITION BY conv_id))::BIGINT AS conv_bytes,
+CASE WHEN sum(octet_length(encode(text))) OVER (PARTITION BY conv_id) = 0 THEN 201 WHEN sum(octet_length(encode(text))) OVER (PARTITION BY conv_id) > 65536 THEN 202 END AS code FROM conversations"""
+)
+def S4_S22_segments(spark, sf_dir):
+    return texts.segments(table(spark, sf_dir, "conversations"))
+
+
+@query(
+    r"""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\b.*?</script>|<style\b.*?</style>', '', 'g') AS t FROM pages WHERE html IS NOT NULL),
+u AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[\n\t]', ' ', 'g'), '(?i)<t[dh]\b[^>]*>', '| ', 'g'), '(?i)</tr>', ' |' || chr(10), 'g'), '(?i)<br[^>]*>|</p[^>]*>|</div[^>]*>|</li[^>]*>|</?h[^>]*>', chr(10), 'g') AS t FROM t),
+v AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&') AS t FROM u),
+x AS (SELECT page_id, [y for y in [trim(z) for z in string_split(t, chr(10))] if y <> ''] AS x FROM v)
+SELECT page_id, CAST(generate_subscripts(x, 1) AS INTEGER) AS line, unnest(x) AS text FROM x"""
+)
+def S11_html_lines(spark, sf_dir):
+    return texts.html_lines(table(spark, sf_dir, "pages"))
+
+
+@query(
+    """WITH b AS (SELECT conv_id AS doc_id, role, text, CASE WHEN role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN chr(10) ELSE chr(10) || '|' || chr(10) END AS joint, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations)
+SELECT doc_id, string_agg(CASE WHEN i = 1 THEN text ELSE joint || text END, '' ORDER BY i) AS text, CAST(count(*) AS INTEGER) AS n_blocks FROM b GROUP BY doc_id"""
+)
+def S21_assembled_blocks(spark, sf_dir):
+    role = F.when(F.col("role") == "user", 1).when(F.col("role") == "assistant", 2).otherwise(3)
+    return texts.assembled(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("at"), role.alias("region"), "text"))
+
+
+MARKERS, SUBJECTS = "license|licensed", "public|version"
+
+
+@query(
+    f"""WITH s AS ({oracles.RULE_SENTENCES}), f AS (SELECT doc_id, "at", regexp_matches(lower(text), '{MARKERS}') AS m, regexp_matches(lower(text), '{SUBJECTS}') AS s FROM s),
+n AS (SELECT *, lag(m, 1, false) OVER w AS m0, lag(s, 1, false) OVER w AS s0, lead(m, 1, false) OVER w AS m2, lead(s, 1, false) OVER w AS s2 FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY "at"))
+SELECT doc_id, "at" FROM n WHERE (m AND (s OR s0 OR s2)) OR (s AND (m0 OR m2))"""
+)
+def D28_confidential_pairs(spark, sf_dir):
+    return texts.paired(texts.rule_sentences(docs_of(spark, sf_dir)), F.lower("text").rlike(MARKERS), F.lower("text").rlike(SUBJECTS))
+
+
+# Spans
+
+
+@query(f"SELECT doc_id, cs, ce, type, detector, value FROM ({oracles.patterns()})")
+def D6_D8_D9_D17_D22_patterns(spark, sf_dir):
+    return detect.find_patterns(docs_of(spark, sf_dir))
+
+
+@query(oracles.WINDOWS)
+def V4_V5_digit_windows(spark, sf_dir):
+    return detect.digit_windows(docs_of(spark, sf_dir))
+
+
+@query(oracles.NUMBERS)
+def D1_D4_D15_numbers(spark, sf_dir):
+    return detect.find_numbers(docs_of(spark, sf_dir))
+
+
+@query(oracles.FIND_ALL)
+def D0_all_spans(spark, sf_dir):
+    return detect.find_all(docs_of(spark, sf_dir))
+
+
+@query(
+    "WITH o AS (SELECT o_orderkey, lpad(CAST((o_orderkey * 7919 + o_custkey) % 10000000000 AS VARCHAR), 10, '0') AS ten, lpad(CAST(o_orderkey * 104729 % 1000000000 AS VARCHAR), 9, '0') AS nine, '4' || lpad(CAST(o_orderkey * 15485863 % 1000000000000000 AS VARCHAR), 15, '0') AS sixteen FROM orders)\n"
+    + "SELECT o_orderkey, " + ", ".join(f"(SELECT {oracles.RULES[rule]} FROM (SELECT {column} AS digits)) AS {rule}" for rule, column in (("business", "ten"), ("phone", "ten"), ("routing", "nine"), ("card", "sixteen"))) + " FROM o"
+)
+def D3_D14_derived_numbers(spark, sf_dir):
+    key, made = F.col("o_orderkey"), lambda x, m, n: F.lpad(F.pmod(x, F.lit(m)).cast("string"), n, "0")
+    ten, nine = made(key * 7919 + F.col("o_custkey"), 10**10, 10), made(key * 104729, 10**9, 9)
+    card = F.concat(F.lit("4"), made(key * 15485863, 10**15, 15))
+    return table(spark, sf_dir, "orders").select(key, numbers.business_number(ten).alias("business"), numbers.phone(ten).alias("phone"), numbers.routing_number(nine).alias("routing"), numbers.card(card).alias("card"))
+
+
+TERMS = ["public license", "licensed", "password"]
+TERM_PATTERN = "(?i)(" + "|".join("[ \\t]*".join(c for c in t if c != " ") for t in sorted(TERMS, key=lambda t: (-len(t), t))) + ")"
+
+
+@query(f"SELECT doc_id, cs, ce, 'INTERNAL_TERM' AS type, 'Term' AS detector, value FROM ({oracles.matches('term', TERM_PATTERN)})")
+def V9_D23_internal_terms(spark, sf_dir):
+    return detect.find_terms(docs_of(spark, sf_dir), TERMS, "INTERNAL_TERM")
+
+
+CANDIDATES = f"""SELECT doc_id, cs, ce, CASE WHEN regexp_matches(value, '^(?:[0-9a-fA-F]{{2}})+$') THEN 'hex' WHEN regexp_matches(value, '[-_]') AND NOT regexp_matches(value, '[+/]') THEN 'base64url' ELSE 'base64' END AS kind, value
+FROM ({oracles.matches('run', '([A-Za-z0-9+/_-]{16,}={0,2})')})"""
+
+
+@query(CANDIDATES)
+def E1_encoded_candidates(spark, sf_dir):
+    return encoded.candidates(docs_of(spark, sf_dir))
+
+
+@query()
+def E5_judged_blobs(spark, sf_dir):
+    return encoded.judged(encoded.candidates(docs_of(spark, sf_dir)))
+
+
+# Decisions
+
+
+@query(oracles.POLICY)
+def P1_check_policy(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    return policy.check(docs, detect.find_all(docs))
+
+
+@query(oracles.MERGE)
+def P2_merged_entities(spark, sf_dir):
+    return policy.merge(detect.find_all(docs_of(spark, sf_dir)))
+
+
+@query(oracles.TOKENS)
+def P4_tokens(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    return mapping(docs, policy.merge(detect.find_all(docs)))
+
+
+def mapping(docs: DataFrame, merged: DataFrame) -> DataFrame:
+    """(doc_id, label, value, token), each once."""
+    at = policy.targets(merged).join(docs, "doc_id").select("doc_id", "label", F.substring("text", F.col("cs") + 1, F.col("ce") - F.col("cs")).alias("value")).distinct()
+    return at.withColumn("token", policy.token(F.col("doc_id"), F.col("label"), F.col("value")))
+
+
+@query(oracles.rewritten("'⟦REDACTED⟧'"))
+def P6_redacted(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    return policy.rewrite(docs, policy.merge(detect.find_all(docs)), "redact")
+
+
+@query(oracles.rewritten("'⟦' || label || '⟧'"))
+def P6_type_masked(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    return policy.rewrite(docs, policy.merge(detect.find_all(docs)), "mask")
+
+
+@query(oracles.RESIDUAL)
+def P8_residual_spans(spark, sf_dir):
+    spans = detect.find_all(docs_of(spark, sf_dir))
+    return policy.residual(spans, policy.targets(policy.merge(spans)))
+
+
+@query(oracles.COUNTS)
+def P10_counts_by_type(spark, sf_dir):
+    return policy.counts(detect.find_all(docs_of(spark, sf_dir)))
+
+
+@query("SELECT doc_id, CASE WHEN contains(lower(text), '<script') OR contains(lower(text), 'javascript:') OR contains(lower(text), 'vbscript:') THEN 503 END AS code, sha256(text) AS text_sha256 FROM documents WHERE text IS NOT NULL")
+def R6_R7_restored_answers(spark, sf_dir):
+    """Pseudonymised documents taken for answers, and restored: each gives back its text."""
+    docs = docs_of(spark, sf_dir).where("text is not null")
+    merged = policy.merge(detect.find_all(docs))
+    back = answers.restored(policy.rewrite(docs, merged, "pseudonym"), mapping(docs, merged))
+    return back.select("doc_id", "code", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("SELECT page_id, contains(lower(html), '<script') OR contains(lower(html), 'javascript:') OR contains(lower(html), 'vbscript:') AS active FROM pages")
+def R1_active_content(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", answers.active(F.col("html")).alias("active"))
+
+
+# State over time
+
+
+def audit_lines(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return events.select(F.date_format("ts", "yyyy-MM-dd").alias("chain"), F.col("event_id").cast("long").alias("seq"), F.col("event_type").alias("kind"), F.concat_ws(";", F.col("user_id").cast("string"), "props").alias("fields"))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS chain, count(*) AS n_lines, 'ok' AS verdict FROM events GROUP BY ALL")
+def T4_T7_audit_chain(spark, sf_dir):
+    return audit.verified(audit.chained(audit_lines(spark, sf_dir)))
+
+
+@query()
+def T5_checkpoints(spark, sf_dir):
+    return audit.checkpoints(audit.chained(audit_lines(spark, sf_dir)))
+
+
+IN_FLIGHT_SECONDS = 3600
+
+
+@query(
+    f"""WITH m AS (SELECT event_type AS key, event_id AS id, ts, 1 AS move FROM events UNION ALL SELECT event_type, event_id, ts + INTERVAL {IN_FLIGHT_SECONDS} SECOND, -1 FROM events),
+r AS (SELECT *, sum(move) OVER (PARTITION BY key ORDER BY ts, move, id ROWS UNBOUNDED PRECEDING) AS running FROM m)
+SELECT key, id, ts, CAST(running AS BIGINT) AS running, running > {audit.IN_FLIGHT} AS overloaded FROM r WHERE move = 1"""
+)
+def T8_admission_sweep(spark, sf_dir):
+    return audit.in_flight(table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), F.col("event_id").alias("id"), "ts"), IN_FLIGHT_SECONDS)
+
+
+# Measurements
+
+
+def labelled(spark, sf_dir):
+    return table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+
+
+WILSON = "round(greatest(0, 100 * ((k / n + 1.96 * 1.96 / (2 * n)) - 1.96 * sqrt(k / n * (1 - k / n) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n)), 6) AS low, round(least(100, 100 * ((k / n + 1.96 * 1.96 / (2 * n)) + 1.96 * sqrt(k / n * (1 - k / n) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n)), 6) AS high"
+
+
+@query(f"WITH g AS (SELECT lang, count(*) FILTER (WHERE toxic = 1) AS k, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY lang) SELECT lang, k, n, round(100 * k / n, 6) AS rate, {WILSON} FROM g")
+def A1_A3_rates_by_language(spark, sf_dir):
+    return measure.rates(labelled(spark, sf_dir), ["lang"], F.col("toxic") == 1)
+
+
+@query("SELECT lang, source, count(*) AS n, count(*) FILTER (WHERE toxic = 1) AS toxic, CAST(grouping(source) AS INTEGER) AS level FROM labels JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((lang, source), (lang))")
+def A25_grouping_sets(spark, sf_dir):
+    both, n, toxic = labelled(spark, sf_dir), F.count(F.lit(1)).alias("n"), F.count_if(F.col("toxic") == 1).alias("toxic")
+    return both.groupingSets([["lang", "source"], ["lang"]], "lang", "source").agg(n, toxic, F.grouping("source").cast("int").alias("level"))
+
+
+def quantiles(q: float, at: str) -> str:
+    return f"SELECT lang, CAST({q} AS DOUBLE) AS q, x[CAST({at} AS BIGINT) + 1] AS quantile FROM (SELECT lang, list_sort(list(n_chars)) AS x, count(*) AS n FROM documents GROUP BY lang)"
+
+
+@query(quantiles(0.95, "least(n - 1, floor(0.95 * n))"))
+def A2_nearest_rank(spark, sf_dir):
+    return measure.nearest_rank(table(spark, sf_dir, "documents"), ["lang"], "n_chars", 0.95)
+
+
+@query(quantiles(0.95, "floor(0.95 * (n - 1))"))
+def A2_inner_rank(spark, sf_dir):
+    return measure.nearest_rank(table(spark, sf_dir, "documents"), ["lang"], "n_chars", 0.95, inner=True)
+
+
+@query("""WITH s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n, max(value) OVER (PARTITION BY event_type) AS most FROM events)
+SELECT event_type, CASE WHEN ceil(0.95 * n) >= n THEN most + 1e-6 ELSE value END AS threshold FROM s WHERE r = ceil(0.95 * n) + 1 OR (ceil(0.95 * n) >= n AND r = n)""")
+def A7_thresholds(spark, sf_dir):
+    return measure.thresholds(table(spark, sf_dir, "events"), "event_type", "value", 0.05)
+
+
+@query("""SELECT doc_id, CAST(CAST(('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 64, 1)) AS INTEGER) % 2 AS INTEGER) AS half,
+CASE WHEN list_reduce(list_prepend(CAST(0 AS BIGINT), [CAST(('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), i, 1)) AS BIGINT) for i in range(1, 65)]), lambda a, x: (a * 16 + x) % 100) < 80 THEN 'train'
+WHEN list_reduce(list_prepend(CAST(0 AS BIGINT), [CAST(('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), i, 1)) AS BIGINT) for i in range(1, 65)]), lambda a, x: (a * 16 + x) % 100) < 90 THEN 'dev' ELSE 'test' END AS share FROM documents""")
+def A10_A11_stable_splits(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", measure.half(F.col("doc_id")).alias("half"), measure.share(F.col("doc_id")).alias("share"))
+
+
+CAP = 40_000
+
+
+@query(f"""SELECT doc_id, source, n_chars FROM (SELECT *, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY sha256('7:' || source || ':' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents) WHERE before < {CAP}""")
+def A12_capped_sample(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return measure.capped(docs, ["source"], "doc_id", "n_chars", CAP, "7")
+
+
+@query("SELECT source, min(doc_id) AS doc_id FROM documents WHERE length(trim(text)) >= 4 GROUP BY source, sha256(trim(text))")
+def A13_first_copies(spark, sf_dir):
+    return measure.first_copies(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
+
+
+@query(r"""WITH l AS (SELECT doc_id, trim(regexp_replace(regexp_replace(unnest(string_split(text, chr(10))), '\r$', ''), '\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL),
+b AS (SELECT trim(regexp_replace(unnest(string_split(text, chr(10))), '\s+', ' ', 'g')) AS t FROM benchmark)
+SELECT doc_id, count(*) AS n_lines FROM l WHERE t <> '' AND t IN (SELECT t FROM b) GROUP BY doc_id""")
+def A14_benchmark_overlap(spark, sf_dir):
+    """Lines that documents share with the benchmark."""
+    of = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "\n", -1)).alias("text"))
+    return measure.overlap(texts.lines(docs_of(spark, sf_dir)), of).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+@query("""WITH j AS (SELECT quality AS a, toxic AS b, count(*) AS c FROM labels GROUP BY ALL), n AS (SELECT sum(c) AS n, coalesce(sum(c) FILTER (WHERE a = b), 0) AS same FROM j),
+e AS (SELECT sum(x.c * y.c) AS chance FROM (SELECT a, sum(c) AS c FROM j GROUP BY a) x JOIN (SELECT b, sum(c) AS c FROM j GROUP BY b) y ON x.a = y.b)
+SELECT CAST(n AS BIGINT) AS n, round(same / n, 9) AS agree, round(CASE WHEN chance / (n * n) = 1 THEN 1 ELSE (same / n - chance / (n * n)) / (1 - chance / (n * n)) END, 9) AS kappa FROM n, e""")
+def A16_kappa(spark, sf_dir):
+    return measure.kappa(table(spark, sf_dir, "labels"), "quality", "toxic")
+
+
+@query("""SELECT lang, round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS sd, round(stddev_pop(n_chars), 6) AS sd_pop, min(n_chars) AS least FROM documents GROUP BY lang""")
+def A17_A18_spread(spark, sf_dir):
+    n = "n_chars"
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.round(F.avg(n), 6).alias("mean"), F.round(F.stddev_samp(n), 6).alias("sd"), F.round(F.stddev_pop(n), 6).alias("sd_pop"), F.min(n).alias("least"))
+
+
+@query("""WITH s AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) SELECT source, lang, n, CAST(r AS INTEGER) AS r FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) AS r FROM s) WHERE r <= 2""")
+def A29_top_per_source(spark, sf_dir):
+    n = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "lang"))).where("r <= 2")
+
+
+@query("""WITH c AS (SELECT c_custkey % 700 AS k, count(*) AS a FROM customer GROUP BY 1), o AS (SELECT o_custkey % 900 AS k, count(*) AS b FROM orders GROUP BY 1)
+SELECT CASE WHEN a IS NULL THEN 'right_only' WHEN b IS NULL THEN 'left_only' ELSE 'both' END AS side, count(*) AS n FROM c FULL OUTER JOIN o ON c.k = o.k GROUP BY 1""")
+def S24_reconciliation(spark, sf_dir):
+    """Keys of two sides: in both, or in one only."""
+    left = table(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % 700).alias("k")).agg(F.count(F.lit(1)).alias("a"))
+    right = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 900).alias("k")).agg(F.count(F.lit(1)).alias("b"))
+    side = F.when(F.col("a").isNull(), "right_only").when(F.col("b").isNull(), "left_only").otherwise("both")
+    return left.join(right, "k", "full_outer").groupBy(side.alias("side")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
