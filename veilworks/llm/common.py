@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -87,3 +89,12 @@ def arrow_rows(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def by_length(texts: pa.Array, size: int = 1 << 22) -> Iterator[tuple[np.ndarray, list[str | None]]]:
+    """The rows of a column in groups of about `size` bytes, the shortest texts first: their places, and the texts."""
+    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), np.int64)
+    order = np.argsort(sizes, kind="stable")
+    group = (np.cumsum(sizes[order]) - sizes[order]) // size
+    for places in np.split(order, np.flatnonzero(np.diff(group)) + 1) if len(order) else []:
+        yield places, texts.take(pa.array(places)).to_pylist()

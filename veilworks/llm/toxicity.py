@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilworks.llm.common import hash_share, remainder, table
+from veilworks.llm.common import by_length, hash_share, remainder, table
 from veilworks.llm.letters import BASE, Letters, Table, blocks
 
 #: Labelled documents of each class to learn from, about (toxic, clean); the sample depends on doc_id only. Texts longer than SAMPLE_CHARS aren't drawn.
@@ -254,15 +254,14 @@ def score(df: DataFrame, model: Model, *, text: str = "text", out: str = "score"
 
     @F.arrow_udf("score double, spans array<struct<start int, end int, probability double>>")
     def run(column: pa.Array) -> pa.Array:
-        scores, found = [np.zeros(0)], []
-        for at in range(0, len(column), 4096):
-            texts = column.slice(at, 4096).to_pylist()
+        scores, found = np.zeros(len(column)), [[] for _ in range(len(column))]
+        for places, texts in by_length(column):
             whose, toxic = sent.value.tag(texts)
-            scores.append(sent.value.scores(whose, toxic, len(texts)))
+            scores[places] = sent.value.scores(whose, toxic, len(texts))
             ends = np.cumsum(np.bincount(whose, minlength=len(texts)))
-            at_text = {i: spans_of(texts[i], toxic[ends[i - 1] if i else 0 : ends[i]]) for i in np.unique(whose[toxic >= SPAN]).tolist()}
-            found += [at_text.get(i, []) for i in range(len(texts))]
-        return pa.StructArray.from_arrays([pa.array(np.concatenate(scores)), pa.array(found, kind)], ["score", "spans"])
+            for i in np.unique(whose[toxic >= SPAN]).tolist():
+                found[places[i]] = spans_of(texts[i], toxic[ends[i - 1] if i else 0 : ends[i]])
+        return pa.StructArray.from_arrays([pa.array(scores), pa.array(found, kind)], ["score", "spans"])
 
     return df.withColumn("__said", run(text)).withColumns({out: F.col("__said.score"), spans: F.col("__said.spans")}).drop("__said")
 
