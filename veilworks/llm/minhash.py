@@ -217,7 +217,9 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", w
     in_group = in_group.join(met.select("pivot", "id", (1 - F.col("shared") / (F.col("n") + F.col("n_p") - F.col("shared"))).alias("far")), ["pivot", "id"], "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
     open_groups = in_group.join(groups.select("pivot", "id", "n"), ["pivot", "id"]).groupBy("pivot").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles")).where("c <> d and docs > 2")
     blocks = F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    rest = cut(in_group.join(open_groups.select("pivot", blocks.alias("blocks")), "pivot").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    open_groups = cut(open_groups.select("pivot", blocks.alias("blocks")))
+    few_open = open_groups.count() <= BROADCAST_IDS
+    rest = cut(in_group.join(F.broadcast(open_groups) if few_open else open_groups, "pivot").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
     if rest.limit(1).count():
         paired = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
         more = paired.join(sets, "id").select("pivot", "i", "j", "block", "id", "component", "far", "hashes").groupBy("pivot", "i", "j").applyInPandas(_blocked(percent), "a bigint, b bigint")
