@@ -21,7 +21,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 def decoded(kind: Column, value: Column) -> Column:
     """The bytes of a candidate, or null."""
-    body = F.rtrim(F.lit("="), F.translate(value, "-_", "+/"))
+    body = F.rtrim(F.translate(value, "-_", "+/"), F.lit("="))
     left = F.pmod(F.length(body), F.lit(4))
     padded = F.concat(body, F.repeat(F.lit("="), F.pmod(F.lit(4) - left, F.lit(4))))
     return F.when(kind == "hex", F.unhex(value)).when(left != 1, F.try_to_binary(padded, F.lit("base64")))
