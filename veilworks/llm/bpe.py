@@ -15,7 +15,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilworks.llm.common import arrow_rows, table
+from veilworks.llm.common import arrow_rows, small_batches, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Code points of a chunk, and by how many it reaches into the next.
@@ -122,7 +122,7 @@ def encode(df: DataFrame, *, key: str = "doc_id", text: str = "text", ranks: str
     empty table gives an empty one. ranks is the path of a rank file on every node.
     """
     path = ranks or public_tokenizers.path(RANKS)
-    rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = small_batches(df).select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     short = rows.where(F.length("text") <= size).mapInArrow(_encoded(path), f"key {kind}, ids array<int>")
     held = rows.where(F.length("text") > size).groupBy("key", F.sha2("text", 256).alias("sha")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))

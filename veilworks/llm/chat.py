@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilworks.llm.common import arrow_rows, cut, table
+from veilworks.llm.common import arrow_rows, cut, small_batches, table
 
 ROLES = ("system", "user", "assistant")
 #: States are the roles of the last turn so far, and the start; which role may follow which.
@@ -175,7 +175,7 @@ def repair(df: DataFrame, *, key: str = "conv_id", turn: str = "turn", role: str
     partition at most) are combined on the driver, and the parts are then repaired on their own.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(key).alias("k"), F.col(turn).alias("t"), F.col(role).alias("r"), F.col(text).alias("x"))
+    rows = small_batches(df).select(F.col(key).alias("k"), F.col(turn).alias("t"), F.col(role).alias("r"), F.col(text).alias("x"))
     order = [F.col("k"), F.col("t"), F.col("r"), F.xxhash64("x"), F.rand(8)]
     dealt = cut(rows.repartitionByRange(*order).sortWithinPartitions("k", "t", "r", F.xxhash64("x")).select(F.spark_partition_id().alias("part"), "k", "t", "r", "x"))
     edges = dealt.mapInArrow(_transfers(key), "part int, conv string, costs array<bigint>").collect()

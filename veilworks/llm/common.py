@@ -84,6 +84,12 @@ def number_rows(df: DataFrame, order_by: list[Column], name: str) -> DataFrame:
     return held.join(F.broadcast(first), "__part").withColumn(name, F.col("__first") + F.col("__at")).drop("__part", "__at", "__first")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; from now on the session's Python functions get about 4 MB of rows at a time, so that long texts don't add up in a worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    return df
+
+
 def arrow_rows(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """The batches in slices of a bounded number of rows."""
     for batch in batches:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilworks.llm.common import arrow_rows, hash_share, remainder, table
+from veilworks.llm.common import arrow_rows, hash_share, remainder, small_batches, table
 from veilworks.llm.letters import BLOCK, Letters, Table, blocks
 
 #: Documents of a language to learn from, about; the sample depends on doc_id only. Texts longer than SAMPLE_CHARS aren't drawn.
@@ -111,7 +111,7 @@ def train(df: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str =
     language is null, and texts of more than SAMPLE_CHARS, are left out. A table without rows gives
     a model that knows no language.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    rows = small_batches(df).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     # One row a language.
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
@@ -158,7 +158,7 @@ def predict(df: DataFrame, model: Model, *, text: str = "text", out: str = "lang
             scores.append(found)
         return pa.StructArray.from_arrays([pa.array(np.concatenate(langs), pa.string()), pa.array(np.concatenate(scores))], ["lang", "score"])
 
-    return df.withColumn("__said", run(text)).withColumns({out: F.col("__said.lang"), score: F.col("__said.score")}).drop("__said")
+    return small_batches(df).withColumn("__said", run(text)).withColumns({out: F.col("__said.lang"), score: F.col("__said.score")}).drop("__said")
 
 
 def op1_word_backoff_language(spark: SparkSession, sf_dir: str) -> DataFrame:

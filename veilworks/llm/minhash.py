@@ -13,7 +13,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilworks.llm.common import arrow_rows, cut, table, written
+from veilworks.llm.common import arrow_rows, cut, small_batches, table, written
 from veilworks.llm.graph import components
 from veilworks.llm.letters import BASE, INVERSE
 
@@ -190,7 +190,7 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", w
     Rows that share a key and a text give equal rows. Rows of a null key link with nothing, have a null
     component and are kept. key must be a whole number.
     """
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = small_batches(df).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     signed = written(rows.mapInArrow(_signed(width), "id bigint, n bigint, digest binary, bands array<bigint>"))
     classes = written(signed.where("n > 0 and id is not null").groupBy("digest").agg(F.min(F.struct("id", "n", "bands")).alias("m")).select("digest", "m.*"))
     member = classes.select("id", "n", F.explode("bands").alias("band"))

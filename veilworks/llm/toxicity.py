@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilworks.llm.common import by_length, hash_share, remainder, table
+from veilworks.llm.common import by_length, hash_share, remainder, small_batches, table
 from veilworks.llm.letters import BASE, Letters, Table, blocks
 
 #: Labelled documents of each class to learn from, about (toxic, clean); the sample depends on doc_id only. Texts longer than SAMPLE_CHARS aren't drawn.
@@ -263,7 +263,7 @@ def score(df: DataFrame, model: Model, *, text: str = "text", out: str = "score"
                 found[places[i]] = spans_of(texts[i], toxic[ends[i - 1] if i else 0 : ends[i]])
         return pa.StructArray.from_arrays([pa.array(scores), pa.array(found, kind)], ["score", "spans"])
 
-    return df.withColumn("__said", run(text)).withColumns({out: F.col("__said.score"), spans: F.col("__said.spans")}).drop("__said")
+    return small_batches(df).withColumn("__said", run(text)).withColumns({out: F.col("__said.score"), spans: F.col("__said.spans")}).drop("__said")
 
 
 def spans_of(text: str, toxic: np.ndarray) -> list[dict]:
