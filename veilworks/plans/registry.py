@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilworks.functions import numbers
-from veilworks.operators import answers, audit, detect, encoded, measure, policy, texts
+from veilworks.operators import answers, audit, detect, encoded, ledger, measure, policy, texts
 from veilworks.plans import oracles
+from veilworks.sources import files, requests
 from veilworks.sources.tables import table
 
 FLAGSHIP = "P1_check_policy"
@@ -342,6 +343,96 @@ def S24_reconciliation(spark, sf_dir):
     return left.join(right, "k", "full_outer").groupBy(side.alias("side")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# Sources
+
+
+@query("""WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)
+SELECT conv_id AS request_id, CASE WHEN conv_id % 7 = 0 THEN 200 WHEN conv_id % 7 = 1 THEN 300 WHEN conv_id % 7 = 2 THEN 303 WHEN conv_id % 7 = 3 OR conv_id % 5 = 4 THEN 302 END AS code,
+CAST(CASE WHEN conv_id % 7 = 0 THEN n ELSE n END AS INTEGER) AS n_messages, CAST(least(4096, 100 + conv_id * 37) AS INTEGER) AS max_tokens FROM c""")
+def S1_S3_request_scan(spark, sf_dir):
+    """Conversations as request bodies: some with a key twice, a strange key, streaming, or a parameter out of range."""
+    turns = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
+    k = F.col("conv_id")
+    body = F.to_json(F.struct(F.lit("m").alias("model"), F.col("m").alias("messages"), (F.pmod(k, F.lit(5)) * 0.6).alias("temperature"), F.when(k % 7 == 3, 3).alias("n"), F.when(k % 7 == 2, True).alias("stream"), F.least(100 + k * 37, F.lit(1 << 30)).cast("int").alias("max_tokens")))
+    head = F.when(k % 7 == 0, F.lit('{"model":"again",')).when(k % 7 == 1, F.lit('{"tools":[],')).otherwise("{")
+    bodies = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("m")).select(k.alias("request_id"), F.concat(head, F.substring(body, F.lit(2), F.length(body))).alias("body"))
+    return requests.scanned(bodies)
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 102 WHEN o_orderkey % 6 = 1 THEN 100 WHEN o_orderkey % 6 = 2 THEN 101 WHEN o_orderkey % 6 IN (4, 5) THEN 102 END AS code FROM orders""")
+def S5_grades(spark, sf_dir):
+    k = F.col("o_orderkey") % 6
+    marks = F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array(F.lit("C"))).when(k == 2, F.array(F.lit("S"))).when(k == 3, F.array(F.lit("O"))).when(k == 4, F.array(F.lit("O"), F.lit("C"))).otherwise(F.array(F.lit("x")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", requests.graded(marks, declare=True).alias("code"))
+
+
+@query(f"SELECT doc_id || '.txt' AS path, 'text' AS format, line AS at, 1 AS region, 'line' || line AS place, text FROM ({oracles.LINES})")
+def S7_S8_decoded_files(spark, sf_dir):
+    """Texts as files, half of them in UTF-16, read again."""
+    content = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode("text", "UTF-16"))
+    return files.blocks(docs_of(spark, sf_dir).where("text is not null").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), content.alias("content")))
+
+
+# More state, and more measurements
+
+
+@query()
+def T2_lockouts(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return ledger.lockouts(e.select(F.col("user_id").cast("string").alias("client"), F.col("event_id").alias("id"), "ts", (F.col("value") > 50).alias("ok")))
+
+
+@query()
+def T1_confirmations(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    turn = F.pmod("event_id", F.lit(4))
+    action = F.when(turn == 0, "issue").when(turn == 1, "approve").otherwise("redeem")
+    return ledger.confirmations(e.select(F.col("user_id").cast("string").alias("token"), F.col("event_id").alias("id"), "ts", action.alias("action"), F.lit("o").alias("origin"), F.col("event_type").alias("body")))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum([CAST(x AS DOUBLE) * x for x in embedding])), 6) AS norm, round(CAST(embedding[1] AS DOUBLE) / sqrt(list_sum([CAST(x AS DOUBLE) * x for x in embedding])), 6) AS first FROM embeddings")
+def A20_normalised(spark, sf_dir):
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(norm, 6).alias("norm"), F.round(F.get(v, F.lit(0)) / norm, 6).alias("first"))
+
+
+@query("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT label, i, avg(v[i]) AS c FROM (SELECT label, v, unnest(range(1, len(v) + 1)) AS i FROM e) GROUP BY ALL),
+s AS (SELECT vec_id, e.label, p.label AS guess, sum(v[i] * c) AS dot FROM e, p GROUP BY ALL)
+SELECT label, count(*) AS n, count(*) FILTER (WHERE label = guess) AS k FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(dot, 9) DESC, guess) AS r FROM s) WHERE r = 1 GROUP BY label""")
+def A19_nearest_centroids(spark, sf_dir):
+    """How many vectors are nearest to the mean of their own label. The means, one a label, are joined to every vector as one array."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    means = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("c")).groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "c"))), lambda s: s["c"]).alias("mean"))
+    every = means.agg(F.sort_array(F.collect_list(F.struct("label", "mean"))).alias("means"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    scored = e.join(F.broadcast(every), F.lit(True)).select("label", F.array_max(F.transform("means", lambda m: F.struct(F.round(dot(F.col("v"), m["mean"]), 9).alias("dot"), (-m["label"]).alias("guess")))).alias("best"))
+    return scored.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == -F.col("best.guess")).alias("k"))
+
+
+@query("SELECT user_id, arg_max(event_type, value * 1e6 - event_id) AS best, round(max(value), 6) AS score FROM events GROUP BY user_id")
+def A6_max_score(spark, sf_dir):
+    """Each user's event of highest value, the first of equals."""
+    e = table(spark, sf_dir, "events")
+    return e.groupBy("user_id").agg(F.max_by("event_type", F.col("value") * 1e6 - F.col("event_id")).alias("best"), F.round(F.max("value"), 6).alias("score"))
+
+
+@query("WITH s AS (" + oracles.POLICY + ") SELECT count(*) AS docs, count(*) FILTER (WHERE code = 400) AS blocked, count(*) FILTER (WHERE n_spans > 0 AND code IS NULL) AS rewritten, CAST(sum(n_spans) AS BIGINT) AS spans FROM s")
+def A24_document_counts(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    c = policy.check(docs, detect.find_all(docs))
+    return c.agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("code") == 400).alias("blocked"), F.count_if((F.col("n_spans") > 0) & F.col("code").isNull()).alias("rewritten"), F.sum("n_spans").alias("spans"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS leaks")
+def A27_leak_check(spark, sf_dir):
+    """Replaced values that still stand in their document's rewritten text."""
+    docs = docs_of(spark, sf_dir)
+    merged = policy.merge(detect.find_all(docs))
+    gone = mapping(docs, merged).join(policy.rewrite(docs, merged, "mask"), "doc_id")
+    return gone.agg(F.count_if(F.col("text").contains(F.col("value"))).alias("leaks"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
