@@ -32,7 +32,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and digests of the ids and of what they decode to."""
-    return bpe.digests(bpe.encode(docs), keep_ids=True)
+    return bpe.digests(bpe.encode(docs, decoded="bytes"), keep_ids=True)
 
 
 STAGES = [("toxicity", drop_toxic), ("language ID", keep_language), ("MinHash near-dedup", drop_copies), ("mixing", mix_sources), ("byte-level BPE", tokenize)]

@@ -123,6 +123,8 @@ def test_bpe_as_tiktoken(spark, size, overlap):
         assert got[i].bytes.decode() == (text or "")
     ids = {r.doc_id: r.ids for r in bpe.encode(df, size=size, overlap=overlap).collect()}
     assert all(ids[i] == own.encode_ordinary(t or "") for i, t in enumerate(rows))
+    both = bpe.encode(df, size=size, overlap=overlap, decoded="bytes").collect()
+    assert len(both) == len(rows) + 1 and all(r.ids == ids[r.doc_id] and r.bytes == got[r.doc_id].bytes for r in both)
     assert bpe.encode(empty(spark)).count() == 0
 
 

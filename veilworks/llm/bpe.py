@@ -78,14 +78,15 @@ def _with_ends(batches: Iterator[pa.RecordBatch], size: int, overlap: int) -> It
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], ["key", "k", "own", "head", "tail"])
 
 
-def _encoded(path: str) -> Callable:
+def _encoded(path: str, decoded: str | None = None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_rows(batches, 1024):
             parts = [encode_piece(t or "", path) for t in batch.column(batch.num_columns - 1).to_pylist()]
             offsets = np.zeros(len(parts) + 1, np.int64)
             np.cumsum([len(p) for p in parts], out=offsets[1:])
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], [*batch.schema.names[:-1], "ids"])
+            more = [_joined(ids, path)] if decoded else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids, *more], [*batch.schema.names[:-1], "ids", *[decoded] * len(more)])
 
     return run
 
@@ -112,7 +113,7 @@ def stitched(long: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> Data
     return runs.groupBy("key", "run").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "part"))), lambda s: s["part"]), "").alias("piece")).select("key", F.col("run").alias("k"), "piece")
 
 
-def encode(df: DataFrame, *, key: str = "doc_id", text: str = "text", ranks: str | None = None, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(df: DataFrame, *, key: str = "doc_id", text: str = "text", ranks: str | None = None, size: int = CHUNK, overlap: int = OVERLAP, decoded: str | None = None) -> DataFrame:
     """(key, ids array<int>) of every row: the token ids of its whole text, without special tokens.
 
     Texts of one chunk are encoded where they lie. Longer ones are cut into overlapping chunks, which
@@ -120,21 +121,23 @@ def encode(df: DataFrame, *, key: str = "doc_id", text: str = "text", ranks: str
     encoded piece by piece. A null text counts as empty and has no ids. Rows of the same key and text
     give as many equal rows; rows of the same key, null keys too, with other texts are kept apart. An
     empty table gives an empty one. ranks is the path of a rank file on every node.
+    With `decoded`, a column of that name holds the bytes that the ids decode to; the worker that
+    encodes a text of one chunk decodes its ids too, so a task needs one Python worker, not two.
     """
     path = ranks or public_tokenizers.path(RANKS)
     rows = small_batches(df).select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    short = rows.where(F.length("text") <= size).mapInArrow(_encoded(path), f"key {kind}, ids array<int>")
+    short = rows.where(F.length("text") <= size).mapInArrow(_encoded(path, decoded), f"key {kind}, ids array<int>" + (f", {decoded} binary" if decoded else ""))
     held = rows.where(F.length("text") > size).groupBy("key", F.sha2("text", 256).alias("sha")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
     pieces = stitched(held.select(F.struct("key", "sha", "n").alias("key"), "text"), size, overlap)
     done = pieces.repartition("key", "k").mapInArrow(_encoded(path), f"{pieces.schema['key'].simpleString()}, k bigint, ids array<int>".replace("key:", "key ", 1))
     joined = done.groupBy("key").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda s: s["ids"])).alias("ids"))
     copies = joined.select(F.col("key.key").alias("key"), "ids", F.explode(F.sequence(F.lit(1).cast("long"), F.col("key.n"))).alias("_")).drop("_")
-    return short.unionByName(copies).withColumnRenamed("key", key)
+    return short.unionByName(decode(copies, out=decoded, ranks=path) if decoded else copies).withColumnRenamed("key", key)
 
 
 def decode(df: DataFrame, *, ids: str = "ids", out: str = "bytes", ranks: str | None = None) -> DataFrame:
-    """df with `out` in the place of `ids`: the raw bytes that the ids stand for, one after the other. Null ids give null; an unknown id is an error."""
+    """df with `out`: the raw bytes that the ids stand for, one after the other. Null ids give null; an unknown id is an error."""
     path = ranks or public_tokenizers.path(RANKS)
 
     @F.arrow_udf("binary")
@@ -171,12 +174,12 @@ def _joined(lists: pa.Array, path: str) -> pa.Array:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded; the digests are taken from the ids and from the decoded bytes."""
-    return digests(encode(table(spark, sf_dir, "documents")))
+    return digests(encode(table(spark, sf_dir, "documents"), decoded="bytes"))
 
 
 def digests(encoded: DataFrame, keep_ids: bool = False) -> DataFrame:
-    """For each row of encoded (doc_id, ids) the number of ids, and digests of the ids and of the bytes that they decode to."""
-    return decode(encoded).select(
+    """For each row of encoded (doc_id, ids, bytes) the number of ids, and digests of the ids and of the bytes that they decode to."""
+    return encoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"), *["ids"] * keep_ids,
     )
