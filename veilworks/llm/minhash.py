@@ -27,7 +27,9 @@ BROADCAST_IDS = 1_000_000
 #: Documents and shingles that a block of a group holds, about.
 BLOCK_DOCS, BLOCK_SHINGLES = 128, 400_000
 #: Code points that are hashed together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
+#: Shingles that are permuted together.
+PERMUTED = 1 << 13
 
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -51,7 +53,7 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     """For each text the ascending distinct 64-bit hashes of its runs of `width` words; of the whole sequence if it has fewer words; none without words."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     joined = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
-    up, down = _powers(1 << max(20, len(joined).bit_length()))
+    up, down = _powers(1 << max(18, len(joined).bit_length()))
     sums = np.zeros(len(joined) + 1, np.uint64)
     np.cumsum((_LOWER[joined].astype(np.uint64) + np.uint64(1)) * up[: len(joined)], out=sums[1:])
     space = _SPACE[joined]
@@ -86,8 +88,8 @@ def min_max(hashes: np.ndarray) -> np.ndarray:
     """PERMUTATIONS rows of (minimum, maximum) of a set that isn't empty, with one evaluation a permutation and shingle."""
     times, plus = _functions()
     least, most = None, None
-    for at in range(0, len(hashes), 1 << 15):
-        values = hashes[at : at + (1 << 15)] * times + plus
+    for at in range(0, len(hashes), PERMUTED):
+        values = hashes[at : at + PERMUTED] * times + plus
         low, high = values.min(axis=1), values.max(axis=1)
         least, most = (low, high) if least is None else (np.minimum(least, low), np.maximum(most, high))
     return np.stack([least, most], axis=1)
