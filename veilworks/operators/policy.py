@@ -64,10 +64,10 @@ def token(scope: Column, label: Column, value: Column) -> Column:
 
 
 def rewrite(docs: DataFrame, merged: DataFrame, strategy: str = "redact") -> DataFrame:
-    """(doc_id, text, n_replaced): texts with their targets replaced (P6): redact, mask (by type) or pseudonym (by token). Documents without targets stay as they are."""
+    """(doc_id, text, n_replaced): texts with their targets replaced (P6): redact, mask (by type), pseudonym (by token) or filler (tokens whose drawn letters are all the same, for a second scan, P7). Documents without targets stay as they are."""
     at = targets(merged).join(docs.select("doc_id", "text"), "doc_id") if strategy == "pseudonym" else targets(merged)
     label = F.col("label")
-    said = {"redact": F.lit("⟦REDACTED⟧"), "mask": F.concat(F.lit("⟦"), label, F.lit("⟧")), "pseudonym": None}[strategy]
+    said = {"redact": F.lit("⟦REDACTED⟧"), "mask": F.concat(F.lit("⟦"), label, F.lit("⟧")), "filler": F.concat(F.lit("⟦"), label, F.lit(f"_{FILLER}⟧")), "pseudonym": None}[strategy]
     if said is None:
         said = token(F.col("doc_id"), label, F.substring(F.col("text"), F.col("cs") + 1, F.col("ce") - F.col("cs")))
     spots = at.select("doc_id", F.struct("cs", "ce", said.alias("said")).alias("s")).groupBy("doc_id").agg(F.sort_array(F.collect_list("s")).alias("spots"))

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilworks.functions import numbers
-from veilworks.operators import answers, audit, detect, encoded, ledger, measure, policy, texts
+from veilworks.operators import answers, audit, context, detect, encoded, ledger, measure, policy, strata, texts, verify
 from veilworks.plans import oracles
-from veilworks.sources import files, requests
+from veilworks.sources import files, gates, requests
 from veilworks.sources.tables import table
 
 FLAGSHIP = "P1_check_policy"
@@ -424,7 +424,7 @@ def A24_document_counts(spark, sf_dir):
     return c.agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("code") == 400).alias("blocked"), F.count_if((F.col("n_spans") > 0) & F.col("code").isNull()).alias("rewritten"), F.sum("n_spans").alias("spans"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS leaks")
+@query(f"""SELECT count(*) FILTER (WHERE contains(r.text, t.value)) AS leaks FROM ({oracles.TOKENS}) t JOIN ({oracles.rewritten("'⟦' || label || '⟧'")}) r ON t.doc_id = r.doc_id""")
 def A27_leak_check(spark, sf_dir):
     """Replaced values that still stand in their document's rewritten text."""
     docs = docs_of(spark, sf_dir)
@@ -433,6 +433,137 @@ def A27_leak_check(spark, sf_dir):
     return gone.agg(F.count_if(F.col("text").contains(F.col("value"))).alias("leaks"))
 
 
+# Second looks, and what institutions add
+
+
+@query(f"""SELECT doc_id, count(*) AS n, count(DISTINCT token) = count(*) AND count(DISTINCT label || chr(0) || value) = count(*) AS one_to_one, bool_and(starts_with(token, '⟦' || label || '_')) AS shaped,
+count(*) FILTER (WHERE len([i for i in range(1, greatest(length(value) - 3, 1) + 1) if contains(substr(token, length(token) - 10, 10), upper(substr(value, i, 4)))]) > 0) AS n_leaks FROM ({oracles.TOKENS}) GROUP BY doc_id""")
+def P5_checked_tokens(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    return verify.check_tokens(mapping(docs, policy.merge(detect.find_all(docs))))
+
+
+@query(oracles.rewritten(f"'⟦' || label || '_{policy.FILLER}⟧'"))
+def P7_residual_copy(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    return policy.rewrite(docs, policy.merge(detect.find_all(docs)), "filler")
+
+
+MARKER_TERMS = ["license", "licensed"]
+MARKER_PATTERN = "(?i)(l[ \\t]*i[ \\t]*c[ \\t]*e[ \\t]*n[ \\t]*s[ \\t]*e[ \\t]*d|l[ \\t]*i[ \\t]*c[ \\t]*e[ \\t]*n[ \\t]*s[ \\t]*e)"
+
+
+@query(f"SELECT DISTINCT doc_id, 'CONFIDENTIAL_MARKER' AS types, CASE WHEN doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) THEN 409 END AS code FROM ({oracles.matches('term', MARKER_PATTERN)})")
+def P9_D27_confirm_gate(spark, sf_dir):
+    """Documents with a marker; those of good quality pass for confirmed."""
+    marked = detect.find_terms(docs_of(spark, sf_dir), MARKER_TERMS, "CONFIDENTIAL_MARKER")
+    return verify.confirm_gate(marked, table(spark, sf_dir, "labels").where("quality = 1"))
+
+
+@query(f"WITH {oracles.SPANS}, b AS (SELECT DISTINCT doc_id FROM acted WHERE action = 'block') SELECT d.doc_id, CASE WHEN b.doc_id IS NOT NULL THEN 501 END AS code FROM documents d LEFT JOIN b ON d.doc_id = b.doc_id")
+def R2_checked_answers(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    return verify.check_answers(docs, detect.find_all(docs))
+
+
+@query("SELECT event_id, event_id % 3 < 2 AND event_id % 5 < 2 AS too_long FROM events")
+def R8_context_limits(spark, sf_dir):
+    k = F.col("event_id")
+    status = F.when(k % 3 == 0, 400).when(k % 3 == 1, 413).otherwise(500)
+    body = F.when(k % 5 < 2, '{"error":{"code":"context_length_exceeded"}}').when(k % 5 == 2, '{"error":{"code":"other"}}').when(k % 5 == 3, "not json")
+    return table(spark, sf_dir, "events").select("event_id", verify.context_limit(status, body).alias("too_long"))
+
+
+@query(f"""SELECT label, CASE doc_id % 6 WHEN 0 THEN 'exact' WHEN 1 THEN 'case' WHEN 2 THEN 'bracket' WHEN 3 THEN 'spacing' WHEN 4 THEN 'label' ELSE 'missing' END AS survives, count(*) AS n FROM ({oracles.TOKENS}) GROUP BY ALL""")
+def R9_token_survival(spark, sf_dir):
+    """Tokens in answers that keep them, or change their case, brackets, spacing or label, or lose them."""
+    docs = docs_of(spark, sf_dir)
+    k, token = F.pmod("doc_id", F.lit(6)), F.col("token")
+    inner = F.substring(token, F.lit(2), F.length(token) - 2)
+    said = F.when(k == 0, token).when(k == 1, F.lower(token)).when(k == 2, F.concat(F.lit("["), inner, F.lit("]"))).when(k == 3, F.replace(token, F.lit("_"), F.lit(" _ "))).when(k == 4, F.concat(F.lit("⟦X_"), verify.drawn(token), F.lit("⟧"))).otherwise("none")
+    rows = mapping(docs, policy.merge(detect.find_all(docs))).withColumn("answer", F.concat(F.lit("see "), said, F.lit(".")))
+    return rows.groupBy("label", verify.survival(token, F.col("answer")).alias("survives")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""SELECT doc_id, CASE WHEN code IS NOT NULL THEN '{{"error":{{"code":' || code || ',"types":[' || CASE WHEN blocked_types = '' THEN '' ELSE '"' || replace(blocked_types, ',', '","') || '"' END || ']}}}}' END AS body FROM ({oracles.POLICY})""")
+def K3_error_bodies(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    types = F.filter(F.split("blocked_types", ","), lambda t: t != "")
+    return policy.check(docs, detect.find_all(docs)).select("doc_id", verify.error_body(F.col("code"), types).alias("body"))
+
+
+def escaped(of: str) -> str:
+    return f"replace(replace(replace(replace({of}, chr(92), chr(92) || chr(92)), chr(9), chr(92) || 't'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r')"
+
+
+@query(f"WITH {oracles.SPANS} SELECT s.doc_id, cs, type, {escaped('value')} AS value, {escaped('substr(text, greatest(cs - 30, 0) + 1, ce + 30 - greatest(cs - 30, 0))')} AS context FROM spans s JOIN documents d ON s.doc_id = d.doc_id")
+def K6_span_details(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    return verify.details(detect.find_all(docs), docs)
+
+
+@query(f"WITH {oracles.SPANS} SELECT s.doc_id, cs, ce, type, detector, value, CAST(octet_length(encode(substr(text, 1, cs))) AS INTEGER) AS begin, CAST(octet_length(encode(substr(text, 1, ce))) AS INTEGER) AS \"end\" FROM spans s JOIN documents d ON s.doc_id = d.doc_id")
+def V15_byte_offsets(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    return verify.byte_offsets(detect.find_all(docs), docs)
+
+
+MASKS = ["555-####"]
+
+
+@query(f"SELECT doc_id, cs, ce, 'INSTITUTION_ID' AS type, 'Mask' AS detector, value FROM ({oracles.matches('mask', '(?:^|[^A-Za-z0-9_])(' + context.mask_pattern(MASKS[0]) + ')')}) WHERE NOT regexp_matches(next, '^[A-Za-z0-9_]')")
+def D26_masked_ids(spark, sf_dir):
+    return context.find_masks(docs_of(spark, sf_dir), MASKS)
+
+
+CONTEXT_WORDS = ["account", "server", "call", "token"]
+CONTEXT_PATTERN = "(?i)(" + "|".join("[ \\t]*".join(w) for w in sorted(CONTEXT_WORDS, key=lambda t: (-len(t), t))) + ")"
+
+
+@query(f"WITH w AS ({oracles.WINDOWS}), t AS ({oracles.matches('term', CONTEXT_PATTERN)}) SELECT DISTINCT doc_id, cs, ce, digits FROM w WHERE length(digits) >= 6 AND EXISTS (SELECT 1 FROM t WHERE t.doc_id = w.doc_id AND t.cs - {context.NEAR} <= w.ce AND w.cs <= t.ce + {context.NEAR})")
+def D12_D13_numbers_in_context(spark, sf_dir):
+    """Digit windows of six digits or more near a word that explains them."""
+    docs = docs_of(spark, sf_dir)
+    return context.near(detect.digit_windows(docs).where(F.length("digits") >= 6), detect.find_terms(docs, CONTEXT_WORDS, "CONTEXT"))
+
+
+@query("""SELECT source, doc_id, flagged FROM (SELECT source, doc_id, coalesce(lang = 'en', false) AS flagged, row_number() OVER (PARTITION BY source, coalesce(lang = 'en', false) ORDER BY sha256('3:' || doc_id), doc_id) AS r FROM documents WHERE n_chars <= 400) WHERE r <= CASE WHEN flagged THEN 15 ELSE 3 END""")
+def A15_stratified(spark, sf_dir):
+    return strata.stratified(table(spark, sf_dir, "documents").where("n_chars <= 400"), "source", F.col("lang") == "en", "doc_id", 15, 3, "3")
+
+
+@query("SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS verdicts, count(DISTINCT event_type) > 1 AS flips FROM events GROUP BY user_id")
+def A28_unstable_verdicts(spark, sf_dir):
+    return strata.unstable(table(spark, sf_dir, "events"), "user_id", "event_type")
+
+
+@query(f"WITH n AS (SELECT o_orderkey, lpad(CAST(o_orderkey * 104729 % 1000000000 AS VARCHAR), 9, '0') AS digits FROM orders) SELECT o_orderkey, digits || CAST((10 - ({oracles.weighted([1, 3, 7, 1, 3, 7, 1, 3, 5])} + ({oracles.at(9)} * 5) // 10) % 10) % 10 AS VARCHAR) AS number, true AS valid FROM n")
+def A39_made_numbers(spark, sf_dir):
+    made = strata.made_business_number(F.lpad(F.pmod(F.col("o_orderkey") * 104729, F.lit(10**9)).cast("string"), 9, "0"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", made.alias("number")).withColumn("valid", numbers.business_number(F.col("number")))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 3 THEN o_custkey END AS origin, CASE WHEN o_orderkey % 4 = 3 THEN 401 WHEN o_orderkey % 5 = 0 THEN 404 WHEN o_orderkey % 7 = 0 THEN 405 WHEN o_orderkey % 11 = 0 THEN 415 END AS status
+FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)""")
+def T10_T11_request_gate(spark, sf_dir):
+    """Orders as requests by their customers, some with a strange token, path, method or type."""
+    k, customers = F.col("o_orderkey"), table(spark, sf_dir, "customer").select("c_custkey")
+    header = F.when(k % 4 == 0, F.concat(F.lit("Bearer key"), F.col("o_custkey").cast("string"))).when(k % 4 == 3, "Bearer strange").otherwise(F.concat(F.lit("bearer key"), F.col("o_custkey").cast("string")))
+    requests_ = table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey", header.alias("header"))
+    known = gates.authenticated(requests_, customers.select(F.col("c_custkey").alias("origin"), F.sha2(F.concat(F.lit("key"), F.col("c_custkey").cast("string")), 256).alias("token_sha256")))
+    path, method, kind = F.when(k % 5 == 0, "/x").otherwise("/v1/chat"), F.when(k % 7 == 0, "GET").otherwise("POST"), F.when(k % 11 == 0, "text/plain").otherwise("application/json")
+    return known.select("o_orderkey", "origin", gates.gate(F.col("origin").isNotNull(), path, method, kind, ["/v1/chat"]).alias("status"))
+
+
+@query("SELECT event_id, ts FROM events WHERE strftime(ts, '%Y-%m-%d') = (SELECT max(strftime(ts, '%Y-%m-%d')) FROM events) ORDER BY event_id DESC LIMIT 20")
+def K9_last_audit_lines(spark, sf_dir):
+    """The last twenty lines of the newest day."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    # One row.
+    newest = e.agg(F.max("day").alias("day"))
+    return e.join(F.broadcast(newest), "day").orderBy(F.desc("event_id")).limit(20).select("event_id", "ts")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
