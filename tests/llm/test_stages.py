@@ -215,6 +215,21 @@ def test_extraction(spark):
     assert html.main_text(df.limit(0)).count() == 0
 
 
+def test_extraction_counts_copies_once(spark):
+    """Pages crawled again, and print views of one article, don't make its texts the template's; a text beside different articles is."""
+    again = "<body><nav><ul><li>a<li>b</ul></nav><article><h1>Title</h1><p>The only paragraph.</p></article></body>"
+    rows = [(i, "http://copies.example/a", again) for i in range(6)]
+    rows += [(10 + i, f"http://print.example/{i}", f"<body><div class=x><span>{i} of 6</span></div><article><h1>Title</h1><h3>By me</h3></article></body>") for i in range(6)]
+    both = "<body><article><h1>{}</h1>{}<p>{}</p><h4>Read it all</h4></article></body>"
+    rows += [(20 + i, f"http://both.example/{i}", both.format("Title", "<h3>Lone heading</h3>", "said " * 60)) for i in range(6)]
+    rows += [(30 + i, f"http://both.example/o{i}", both.format(f"Other {i}", "", f"told {i} " * 60)) for i in range(5)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "Title\n\nThe only paragraph." for i in range(6))
+    assert all(got[10 + i] == "Title\n\nBy me" for i in range(6))
+    assert all(got[20 + i] == "Title\n\nLone heading\n\n" + " ".join(["said"] * 60) for i in range(6))
+    assert all(got[30 + i] == f"Other {i}\n\n" + " ".join([f"told {i}"] * 60) for i in range(5))
+
+
 def test_wrapper_alignment():
     def tree(x):
         return html.page_tree(x)
