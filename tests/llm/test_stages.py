@@ -94,6 +94,21 @@ def test_neighbours_brute_force(spark):
     assert ann.nearest(df.where("vec_id < 3"), df.where("vec_id = 0")).count() == 2
 
 
+def test_neighbours_in_a_group_of_near_copies(spark):
+    """Codes can't order the vectors of a large group of near copies; the nearest are found all the same, ties included."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 32))
+    x[:2000] = x[0] + rng.normal(size=(2000, 32)) * 1e-3
+    x[2500:2800] = x[2500]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1)
+    got: dict = {}
+    for r in ann.nearest(df, df.where("vec_id % 100 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q in range(0, 3000, 100):
+        d = np.sqrt(np.cumsum((x - x[q]) ** 2, axis=1)[:, -1])
+        assert got[q] == [i for i in np.lexsort((np.arange(len(d)), d)).tolist() if i != q][:10]
+
+
 def test_anisotropic_error_is_lower():
     x = np.random.default_rng(1).normal(size=(3000, 64))
     books = ann.fit(x)

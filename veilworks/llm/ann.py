@@ -19,7 +19,7 @@ SAMPLE = 20_000
 PART, BOOK = 2, 16
 #: Inner products below this share of the norms aren't sought, which sets the price of parallel error.
 THRESHOLD = 0.2
-#: Vectors scanned together, and those of them that are reranked for each query, best approximate ones first.
+#: Vectors scanned together, and those of them that are reranked first for each query, best approximate ones first; then come all that may be nearer than the k-th found.
 ROWS, RERANK = 8192, 200
 #: Queries that are broadcast together; more go in several jobs.
 QUERY_BLOCK = 4096
@@ -52,11 +52,13 @@ class Books:
                 parallel = rest + along[rows, m, codes[:, m]]
         return codes.astype(np.uint8)
 
-    def packed(self, x: np.ndarray) -> np.ndarray:
-        """Two codes a byte."""
+    def packed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two codes a byte; and how far each vector lies from what its codes stand for."""
         codes = self.encode(x)
+        own = np.pad(x, ((0, 0), (0, self.words.shape[0] * PART - self.dims))).reshape(len(x), -1, PART)
+        off = np.sqrt(((own - self.words[np.arange(self.words.shape[0]), codes]) ** 2).sum(axis=(1, 2)))
         codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
-        return codes[:, ::2] | codes[:, 1::2] << 4
+        return codes[:, ::2] | codes[:, 1::2] << 4, off
 
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """For each query and byte of a code, the inner products of its two codewords with the query: (bytes, 256, queries)."""
@@ -114,23 +116,27 @@ def _indexed(books: Books):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_rows(batches):
             x = matrix(batch.column(1), books.dims)
-            packed = books.packed(x)
+            packed, off = books.packed(x)
             codes = pa.FixedSizeBinaryArray.from_buffers(pa.binary(packed.shape[1]), len(x), [None, pa.py_buffer(np.ascontiguousarray(packed))]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, codes, pa.array((x**2).sum(axis=1) / 2)], ["id", "v", "codes", "half"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, codes, pa.array((x**2).sum(axis=1) / 2), pa.array(off)], ["id", "v", "codes", "half", "off"])
 
     return run
 
 
 def build_index(rows: DataFrame, dims: int) -> tuple[DataFrame, Books]:
-    """(id, v, codes, half): every vector with its packed codes and half its squared norm, kept in the shared folder; and the codebooks."""
+    """(id, v, codes, half, off): every vector with its packed codes, half its squared norm and its quantisation error, kept in the shared folder; and the codebooks."""
     n = rows.count()
     drawn = rows.where(hash_share(F.col("id"), 2) < min(1.0, SAMPLE / max(1, n))).orderBy("id", "v").select("v").toArrow()  # about SAMPLE rows
     books = fit(matrix(drawn.column("v").combine_chunks(), dims) if len(drawn) else np.zeros((0, dims)))
-    return written(rows.mapInArrow(_indexed(books), "id bigint, v array<double>, codes binary, half double")), books
+    return written(rows.mapInArrow(_indexed(books), "id bigint, v array<double>, codes binary, half double, off double")), books
 
 
 def _scan(sent, k: int):
-    """The k nearest of a partition's vectors to each query, found by codes and reranked by exact distance."""
+    """The k nearest of a partition's vectors to each query, found by codes and reranked by exact distance.
+
+    The best RERANK by codes give a distance that the k-th nearest can't exceed. Then every vector is reranked that may
+    be as near, by Cauchy and Schwarz: its approximate score is wrong by at most its quantisation error times the query's norm.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries, books = sent.value
@@ -140,19 +146,38 @@ def _scan(sent, k: int):
             order = np.argsort(np.asarray(batch.column("id")), kind="stable")
             at, x = np.asarray(batch.column("id"))[order], matrix(batch.column("v"), books.dims)[order]
             codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(len(at), -1)[order]
-            half = np.asarray(batch.column("half"))[order].astype(np.float32)
+            exact_half, off = np.asarray(batch.column("half"))[order], np.asarray(batch.column("off"))[order]
+            half, size = exact_half.astype(np.float32), np.sqrt(2 * exact_half)
+
+            def rerank(q: int, some: np.ndarray) -> None:
+                some = some[at[some] != ids[q]]
+                far = np.sqrt(np.cumsum((x[some] - queries[q]) ** 2, axis=1)[:, -1])  # added in order, as a plain loop would
+                d, i = np.concatenate([best[q][0], far]), np.concatenate([best[q][1], at[some]])
+                first = np.lexsort((i, d))[:k]
+                best[q] = d[first], i[first]
+
             for a in range(0, len(ids), 256):
-                near = np.zeros((len(at), len(ids[a : a + 256])), np.float32)
+                own = queries[a : a + 256]
+                near = np.zeros((len(at), len(own)), np.float32)
                 for j in range(codes.shape[1]):
                     near += tables[j, :, a : a + 256][codes[:, j]]
                 near = (near - half[:, None]).T
-                for q, scores in enumerate(near, a):
-                    some = chosen(scores, RERANK)
-                    some = some[at[some] != ids[q]]
-                    far = np.sqrt(np.cumsum((x[some] - queries[q]) ** 2, axis=1)[:, -1])  # added in order, as a plain loop would
-                    d, i = np.concatenate([best[q][0], far]), np.concatenate([best[q][1], at[some]])
-                    first = np.lexsort((i, d))[:k]
-                    best[q] = d[first], i[first]
+                tried = [chosen(scores, RERANK) for scores in near]
+                for q, some in enumerate(tried, a):
+                    rerank(q, some)
+                if len(at) <= RERANK:
+                    continue
+                norm = np.linalg.norm(own, axis=1)
+                least = (norm**2 - np.array([best[q][0][-1] ** 2 if len(best[q][0]) == k else np.inf for q in range(a, a + len(own))])) / 2
+                rounding = (codes.shape[1] + 8) * 2.0**-22  # of 32-bit sums
+                may = ~(near + (norm[:, None] * (off + rounding * (size + off)) + rounding * exact_half) < least[:, None])  # so that what isn't a number may
+                for row, some in zip(may, tried):
+                    row[some] = False
+                some = np.flatnonzero(may.any(axis=0))
+                exact = own @ x[some].T - exact_half[some]
+                may = may[:, some] & ~(exact + 1e-9 * (norm[:, None] * size[some] + exact_half[some] + norm[:, None] ** 2) < least[:, None])
+                for q in np.flatnonzero(may.any(axis=1)).tolist():
+                    rerank(a + q, some[may[q]])
         counts = [len(d) for d, _ in best]
         if sum(counts):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, counts)), pa.array(np.concatenate([i for _, i in best])), pa.array(np.concatenate([d for d, _ in best]))], ["query_id", "vec_id", "score"])
@@ -161,7 +186,7 @@ def _scan(sent, k: int):
 
 
 def chosen(scores: np.ndarray, n: int) -> np.ndarray:
-    """The places of the n best scores; of those that tie for the last places the first ones."""
+    """The places of the n best scores; of those that tie for the last places the first ones. No bound on what is found: see _scan."""
     if len(scores) <= n:
         return np.arange(len(scores))
     least = np.partition(scores, len(scores) - n)[len(scores) - n]
@@ -175,7 +200,7 @@ def nearest(df: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector: s
     A query's own id isn't found. Vectors that are null, zero, or hold a null or non-finite component
     take no part, nor do those of another length than most vectors have. Rows that repeat an id are
     all candidates; of queries that repeat one, the least vector is searched. Every vector is
-    scanned; distances are exact. Queries travel in blocks of QUERY_BLOCK, a job for each.
+    scanned, and all that may be among the k nearest are compared, so result and distances are exact. Queries travel in blocks of QUERY_BLOCK, a job for each.
     """
     spark = df.sparkSession
     rows = usable(df, key, vector)
