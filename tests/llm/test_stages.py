@@ -382,6 +382,25 @@ def test_toxicity_held_out(spark):
         assert all(r.text[s.start : s.end].strip() == r.text[s.start : s.end] != "" for s in r.spans)
 
 
+def test_toxicity_of_later_rows(spark):
+    """Toxic words of the upper half of the ids, and those that few of the sampled documents hold, count as well."""
+    draw = random.Random(3)
+    plain = ["".join(draw.choices("bcdfghklmnprst", k=7)) for _ in range(400)]
+    rows, labels = [], []
+    for i in range(3000):
+        words, toxic = draw.choices(plain, k=30), int(i % 3 == 0)
+        if toxic:
+            words[draw.randrange(30)] = "zquvex" if i % 60 == 0 else "wyxoja" if i < 1500 else "vaeqiu"
+        rows.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    flagged = {r.doc_id for r in toxicity.score(docs, model).collect() if r.score >= toxicity.REJECT}
+    for kind in ([i for i in range(0, 3000, 60)], [i for i in range(0, 1500, 3) if i % 60], [i for i in range(1500, 3000, 3) if i % 60]):
+        assert len(flagged & set(kind)) >= 0.9 * len(kind)
+    assert len(flagged - set(range(0, 3000, 3))) <= 20
+
+
 def test_toxicity_edges(spark):
     model = toxicity.train(empty(spark), spark.createDataFrame([], "doc_id long, toxic int"))
     assert [r.score for r in toxicity.score(texts(spark, ODD), model).collect()] == [0.5] * len(ODD)

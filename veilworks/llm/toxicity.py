@@ -10,15 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilworks.llm.common import by_length, hash_share, remainder, small_batches, table
+from veilworks.llm.common import arrow_rows, by_length, cut, hash_share, remainder, small_batches, table
 from veilworks.llm.letters import BASE, Letters, Table, blocks
 
 #: Labelled documents of each class to learn from, about (toxic, clean); the sample depends on doc_id only. Texts longer than SAMPLE_CHARS aren't drawn.
 SAMPLE_DOCS = (500, 1500)
 SAMPLE_CHARS = 20_000
-#: Documents of each class on whose tokens the field itself is fitted; the rest only count.
+#: Documents of each class, the first ones of the sample by the hash, on whose tokens the field itself is fitted; the rest of it weigh the aggregates.
 FIELD_DOCS = 250
-#: A word or prefix marks a token of a toxic document as toxic if it is so many times likelier in the sampled toxic documents, and if chance would share it out so with a log probability of -MARK_NATS at most.
+#: Labelled documents up to so many are broadcast as keys.
+BROADCAST_KEYS = 200_000
+#: A word or prefix marks a token of a toxic document as toxic if it is so many times likelier in all labelled toxic documents, and if chance would share it out so with a log probability of -MARK_NATS at most.
 MARK_ODDS, MARK_NATS = 20.0, 16.0
 #: Features of a token: the whole word, and its first n letters.
 PREFIXES = (3, 4, 5, 6)
@@ -138,58 +140,64 @@ def aggregates(text: np.ndarray, toxic: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.ones(n), most, np.log1p(np.bincount(text[hot], toxic[hot], n))], axis=1)
 
 
-def fit(texts: list[str], labels: np.ndarray) -> Model:
-    """A model of labelled texts.
+def gathered(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """token_features of all texts in one."""
+    found = list(token_features(texts))
+    return np.concatenate([np.zeros(0, np.int64), *(t for t, _ in found)]), np.concatenate([np.zeros((1 + len(PREFIXES), 0), np.uint64), *(h for _, h in found)], axis=1)
+
+
+def fit(texts: list[str], labels: np.ndarray, marks: np.ndarray, field_docs: int = FIELD_DOCS) -> Model:
+    """A model of labelled texts, in an order that says nothing, and of the features that mark (marking_features).
 
     The labels are of documents. Tokens get theirs from what tells the documents apart: a token of a
-    toxic document is toxic if its word or a prefix of it is MARK_ODDS times likelier in the toxic
-    documents; all others are clean. Of texts that look like copies of one another one is used, or
+    toxic document is toxic if its word or a prefix of it marks; all others are clean. What marks has a
+    weight in common, so that it counts where these texts lack it, besides those of the features of
+    the first field_docs texts of each class. Of texts that look like copies of one another one is used, or
     the chance words of a copied text would pass for toxic. Without texts of both classes every score is one half.
     """
-    found = list(token_features(texts))
-    text, hashes = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in found)]), np.concatenate([np.zeros((1 + len(PREFIXES), 0), np.uint64), *(h for _, h in found)], axis=1)
+    text, hashes = gathered(texts)
     one = first_of_copies(text, hashes[0], labels)
     if not one.all():
-        del found, text, hashes
-        return fit([t for t, k in zip(texts, one) if k], labels[one])
+        del text, hashes
+        return fit([t for t, k in zip(texts, one) if k], labels[one], marks, field_docs)
     n_toxic, n_clean = int(labels.sum()), int(len(labels) - labels.sum())
     if not n_toxic or not n_clean:
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, np.ones((2, 2)), np.zeros(3))
-    names, at = np.unique(hashes.ravel(), return_inverse=True)
-    pairs = np.unique(at.ravel() * len(texts) + np.tile(text, len(hashes)))
-    at, of_toxic = pairs // len(texts), labels[pairs % len(texts)] == 1
-    toxic_docs, clean_docs = np.bincount(at, of_toxic, len(names)), np.bincount(at, ~of_toxic, len(names))
-    odds = (toxic_docs + 0.5) / (n_toxic + 1) / ((clean_docs + 0.5) / (n_clean + 1))
-    common, prior = toxic_docs + clean_docs, n_toxic / len(labels)
-    nats = toxic_docs * np.log(toxic_docs / common / prior + 1e-300) + clean_docs * np.log(clean_docs / common / (1 - prior) + 1e-300)
-    marking = Table(names[(odds >= MARK_ODDS) & (nats >= MARK_NATS)])
-    kept = np.sort(np.lexsort((names, -common))[:FEATURES])
-    kept = kept[(common[kept] >= 5) & (names[kept] != 0)]
-    keys = names[kept]
-    toxic_ids, clean_ids = (np.flatnonzero(labels == k)[:FIELD_DOCS] for k in (1, 0))
+    toxic_ids, clean_ids = (np.flatnonzero(labels == k)[:field_docs] for k in (1, 0))
     chosen = np.isin(text, np.concatenate([toxic_ids, clean_ids]))
     own, lengths = hashes[:, chosen], np.bincount(text[chosen], minlength=len(texts))
     lengths, doc = lengths[lengths > 0], text[chosen]
-    truth = (labels[doc] == 1) & np.any([marking.find(c) >= 0 for c in own], axis=0)
-    lookup = Table(keys)
+    names = np.unique(own[own != 0])  # others would keep the weight 0
+    lookup, pairs = Table(names), np.zeros(0, np.int64)
+    for column in hashes:
+        at = lookup.find(column)
+        pairs = np.union1d(pairs, at[at >= 0].astype(np.int64) * len(texts) + text[at >= 0])
+    common = np.bincount(pairs // len(texts), minlength=len(names))
+    kept = np.lexsort((names, -common))[:FEATURES]
+    kept = kept[(common[kept] >= 5) & (names[kept] != 0)]
+    keys = np.union1d(names[kept], marks)
+    free = np.isin(keys, names[kept])
+    marking, lookup = Table(marks), Table(keys)
+    marked = sum((marking.find(c) >= 0).astype(np.float64) for c in own)
+    truth = (labels[doc] == 1) & (marked > 0)
     rows = np.stack([lookup.find(c) for c in own])
     follows = np.flatnonzero(doc[1:] == doc[:-1])
     seen = np.zeros((2, 2))
     np.add.at(seen, (truth[follows].astype(int), truth[follows + 1].astype(int)), 1)
-    weights, bias, log_moves = np.zeros(len(keys) + 1), -2.0, np.zeros((2, 2))
-    size, moment, square = len(truth), np.zeros(len(keys) + 6), np.zeros(len(keys) + 6)
+    weights, shared, bias, log_moves = np.zeros(len(keys) + 1), 0.0, -2.0, np.zeros((2, 2))
+    size, moment, square = max(1, len(truth)), np.zeros(len(keys) + 7), np.zeros(len(keys) + 7)
     for step in range(1, STEPS + 1):
-        emission = weights[rows].sum(axis=0) + bias  # row -1 is the last weight, which stays 0
+        emission = weights[rows].sum(axis=0) + shared * marked + bias  # row -1 is the last weight, which stays 0
         toxic, pairs = marginals(emission, lengths, np.exp(log_moves), count=True)
         miss = truth - toxic
-        slope = np.append(sum(np.bincount(r[r >= 0], miss[r >= 0], len(keys)) for r in rows), 0.0)
-        gradient = np.concatenate([slope - DECAY * weights, [miss.sum()], (seen - pairs).ravel()]) / size
+        slope = np.append(sum(np.bincount(r[r >= 0], miss[r >= 0], len(keys)) for r in rows) * free, 0.0)
+        gradient = np.concatenate([slope - DECAY * weights, [miss.sum()], (seen - pairs).ravel(), [miss @ marked - DECAY * shared]]) / size
         moment, square = 0.9 * moment + 0.1 * gradient, 0.99 * square + 0.01 * gradient**2
         change = RATE * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
-        weights, bias, log_moves = weights + change[: len(keys) + 1], bias + change[len(keys) + 1], log_moves + change[len(keys) + 2 :].reshape(2, 2)
+        weights, bias, log_moves, shared = weights + change[: len(keys) + 1], bias + change[len(keys) + 1], log_moves + change[len(keys) + 2 : -1].reshape(2, 2), shared + change[-1]
         weights[-1] = 0
         log_moves[0, 0] = 0
-    model = Model(keys, weights[:-1], float(bias), np.exp(log_moves), np.zeros(3), lookup)
+    model = Model(keys, weights[:-1] + shared * np.isin(keys, marks), float(bias), np.exp(log_moves), np.zeros(3), lookup)
     toxic, _ = marginals(model.emission(hashes), np.bincount(text, minlength=len(texts)), model.moves)
     unseen = np.ones(len(texts), bool)
     unseen[np.concatenate([toxic_ids, clean_ids])] = False
@@ -203,19 +211,25 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
 def first_of_copies(text: np.ndarray, word: np.ndarray, labels: np.ndarray, draws: int = 4) -> np.ndarray:
     """Which texts share none of their `draws` least hashes of three words with an earlier text of the same label."""
     first = np.ones(len(labels), bool)
+    whose, least = least_threes(text, word, draws)
+    for values in least if len(whose) else ():
+        _, at = np.unique(np.stack([values, labels[whose].astype(np.uint64)]), axis=1, return_index=True)
+        again = np.ones(len(whose), bool)
+        again[at] = False
+        first[whose[again]] = False
+    return first
+
+
+def least_threes(text: np.ndarray, word: np.ndarray, draws: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts that have three words, and `draws` least hashes of three words of each."""
     inside = np.flatnonzero(text[2:] == text[:-2])
-    if not len(inside):
-        return first
     three, whose = word[inside] * np.uint64(31) + word[inside + 1] * np.uint64(17) + word[inside + 2], text[inside]
     begins = np.flatnonzero(np.diff(whose, prepend=-1))
-    for draw in range(draws):
+    least = np.zeros((draws, len(begins)), np.uint64)
+    for draw in range(draws if len(begins) else 0):
         mixed = (three ^ (three >> np.uint64(31))) * (BASE + np.uint64(2 * draw))
-        least = np.minimum.reduceat(mixed ^ (mixed >> np.uint64(29)), begins)
-        _, at = np.unique(np.stack([least, labels[whose[begins]].astype(np.uint64)]), axis=1, return_index=True)
-        again = np.ones(len(begins), bool)
-        again[at] = False
-        first[whose[begins[again]]] = False
-    return first
+        least[draw] = np.minimum.reduceat(mixed ^ (mixed >> np.uint64(29)), begins)
+    return whose[begins], least
 
 
 def logistic(x: np.ndarray, y: np.ndarray, decay: float = 0.1) -> np.ndarray:
@@ -227,21 +241,84 @@ def logistic(x: np.ndarray, y: np.ndarray, decay: float = 0.1) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", sample_docs: tuple[int, int] = SAMPLE_DOCS) -> Model:
+def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in arrow_rows(batches, 512):
+        text, hashes = gathered(batch.column("__text").to_pylist())
+        whose, least = least_threes(text, hashes[0], DRAWS)
+        found: list = [[]] * batch.num_rows
+        for i, values in zip(whose.tolist(), least.view(np.int64).T.tolist()):
+            found[i] = values
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("__key", "__code", "__label")), pa.array(found, pa.list_(pa.int64()))], ["__key", "__code", "__label", "least"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in arrow_rows(batches):
+        n = batch.num_rows
+        text, hashes = gathered(batch.column("__text").to_pylist())
+        names, at = np.unique(hashes.ravel(), return_inverse=True)
+        pairs = np.unique(at.ravel() * n + np.tile(text, len(hashes)))
+        at, doc = pairs // max(n, 1), pairs % max(n, 1)
+        share, toxic = batch.column("share").to_numpy()[doc], batch.column("__label").to_numpy()[doc] == 1
+        yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(np.bincount(at, share * toxic, len(names))), pa.array(np.bincount(at, share * ~toxic, len(names)))], ["feature", "toxic", "clean"])
+
+
+#: Least hashes by which copies are told.
+DRAWS = 4
+
+
+def marking_features(rows: DataFrame) -> np.ndarray:
+    """The features that mark, of all rows (__key, __text, __label).
+
+    Of texts of one label that share one of DRAWS least hashes of three words the one of the least key
+    counts; a row that is there n times counts for one nth each time. Counts are summed in Spark; only
+    the features that mark, eight bytes each, come to the driver.
+    """
+    rows = rows.withColumn("__code", F.xxhash64("__text"))
+    kind = rows.schema["__key"].dataType.simpleString()
+    seen = rows.select("__key", "__code", "__label", "__text").mapInArrow(_least, f"__key {kind}, __code bigint, __label int, least array<bigint>")
+    seen = cut(seen.groupBy("__key", "__code").agg(F.max("__label").alias("__label"), F.max("least").alias("least"), (1 / F.count(F.lit(1))).alias("share")))
+    leads = seen.select("__key", "__code", "__label", F.posexplode("least").alias("draw", "hash")).groupBy("draw", "hash", "__label").agg(F.min(F.struct("__key", "__code")).alias("first"))
+    leads = leads.groupBy("first").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == DRAWS).select("first.*")  # first in each of its groups
+    own = seen.select("__key", "__code", "__label", "share")
+    kept = cut(own.join(leads, ["__key", "__code"], "left_semi").unionByName(seen.where(F.size("least") == 0).select(*own.columns)))
+    docs = {r["__label"]: r["n"] for r in kept.groupBy("__label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_toxic, n_clean = docs.get(1, 0), docs.get(0, 0)
+    if not n_toxic or not n_clean:
+        return np.zeros(0, np.uint64)
+    drawn = kept.select("__key", "__code", "share")
+    counted = rows.join(F.broadcast(drawn) if n_toxic + n_clean <= BROADCAST_KEYS else drawn, ["__key", "__code"]).select("__text", "__label", "share").mapInArrow(_counted, "feature bigint, toxic double, clean double")
+    counted = counted.where("feature <> 0").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    toxic, clean, prior = F.col("toxic"), F.col("clean"), n_toxic / (n_toxic + n_clean)
+    odds = (toxic + 0.5) / (n_toxic + 1) / ((clean + 0.5) / (n_clean + 1))
+    nats = toxic * F.log(toxic / (toxic + clean) / prior + 1e-300) + clean * F.log(clean / (toxic + clean) / (1 - prior) + 1e-300)
+    found = counted.where((odds >= MARK_ODDS) & (nats >= MARK_NATS)).select("feature").toArrow().column("feature")
+    return np.sort(np.asarray(found.to_numpy(), np.int64).view(np.uint64))
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", sample_docs: tuple[int, int] = SAMPLE_DOCS, field_docs: int = FIELD_DOCS
+) -> Model:
     """A model of the rows of docs that labels (key, label) marks 1 or 0.
 
-    About sample_docs rows of each class are drawn by a hash of the key, so what reaches the driver is
-    bounded. A key that is labelled more than once counts as toxic if any label says so. Null keys,
-    labels and texts, and texts of more than SAMPLE_CHARS, are left out.
+    What marks a token as toxic is counted over all of them. About sample_docs rows of each class are
+    drawn by a hash of the key to fit the model, so the texts that reach the driver are bounded; on the
+    first field_docs of each class by that hash the field is fitted. A key that is labelled more than
+    once counts as toxic if any label says so. Null keys, labels and texts are left out, and texts of
+    more than SAMPLE_CHARS aren't drawn.
     """
     marked = labels.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label")).where(F.col("__key").isNotNull() & F.col("__label").isin(0, 1)).groupBy("__key").agg(F.max("__label").alias("__label"))
+    marked = cut(marked)
     counts = {r["__label"]: r["n"] for r in marked.groupBy("__label").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = {k: min(1.0, sample_docs[1 - k] / max(1, counts.get(k, 0))) for k in (0, 1)}
-    drawn = marked.where(hash_share(F.col("__key").cast("string"), 10) < F.when(F.col("__label") == 1, share[1]).otherwise(share[0]))
+    at = hash_share(F.col("__key").cast("string"), 10)
+    drawn = marked.where(at < F.when(F.col("__label") == 1, share[1]).otherwise(share[0])).withColumn("__at", at)
+    texts = small_batches(docs).select(F.col(key).alias("__key"), F.col(text).alias("__text")).where(F.col("__text").isNotNull())
+    few = sum(counts.values()) <= BROADCAST_KEYS
+    marks = marking_features(texts.join(F.broadcast(marked) if few else marked, "__key")) if len(counts) == 2 else np.zeros(0, np.uint64)
     # About sum(sample_docs) rows, whatever the tables' sizes.
-    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).where(F.length("__text") <= SAMPLE_CHARS).join(F.broadcast(drawn), "__key")
-    found = rows.select("__key", "__label", "__text").toArrow().sort_by([("__key", "ascending"), ("__text", "ascending")])
-    return fit(found.column("__text").to_pylist(), found.column("__label").to_numpy().astype(np.int64))
+    rows = texts.where(F.length("__text") <= SAMPLE_CHARS).join(F.broadcast(drawn), "__key")
+    found = rows.select("__at", "__key", "__label", "__text").toArrow().sort_by([("__at", "ascending"), ("__key", "ascending"), ("__text", "ascending")])
+    return fit(found.column("__text").to_pylist(), found.column("__label").to_numpy().astype(np.int64), marks, field_docs)
 
 
 def score(df: DataFrame, model: Model, *, text: str = "text", out: str = "score", spans: str = "spans") -> DataFrame:
