@@ -206,6 +206,14 @@ def test_near_duplicates_brute_force(spark):
     assert kept.count() == sum(root[i] == i for i in range(len(rows))) + 1 and kept.columns == df.columns
 
 
+def test_keep_one_judges_rows_of_one_key_apart(spark):
+    said = [" ".join(f"{w}{i}" for w in "abcdefghijklmnop") for i in range(4)]
+    rows = [(7, said[0]), (7, said[1]), (7, said[1]), (3, said[2]), (7, said[2]), (None, said[3]), (None, said[3])]
+    got = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.columns == ["doc_id", "text"]
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(7, said[0]), (7, said[1]), (3, said[2]), (0, said[3]), (0, said[3])])
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, 300), (300, 5)]
     got = {r.id: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -13,7 +13,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilworks.llm.common import arrow_rows, cut, small_batches, table, written
+from veilworks.llm.common import arrow_rows, cut, number_rows, small_batches, table, written
 from veilworks.llm.graph import components
 from veilworks.llm.letters import BASE, INVERSE
 
@@ -235,13 +235,18 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", w
 
 
 def keep_one(df: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """df with one row of each group of near copies: that of the smallest key. Of rows that repeat a key one stays, but for null keys, which all do; columns stay."""
-    judged = cut(near_duplicates(df, key=key, text=text, width=width, percent=percent).select(F.col(key).alias("id"), "kept"))
-    gone = judged.groupBy("id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    gone = cut(gone.where("id is not null and (not kept or n > 1)"))
-    few = gone.count() <= BROADCAST_IDS
-    drop, again = (F.broadcast(x) if few else x for x in (gone.select(F.col("id").alias(key)), gone.where("kept").select(F.col("id").alias(key))))
-    return df.join(drop, key, "left_anti").select(*df.columns).unionByName(df.join(again, key, "left_semi").dropDuplicates([key]).select(*df.columns))
+    """df with one row of each group of near copies: that of the smallest key. Each row is judged by its own text, so rows that share a key but aren't copies all stay, and so do null keys; columns stay.
+
+    Where a key repeats, rows are told apart by a number in the order of keys, kept with them in the shared folder.
+    """
+    own = df.columns
+    if df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        # Null keys keep a null number. Rows of one key are dealt by a hash of the text, so a hot key doesn't meet in one task.
+        named = number_rows(df, [F.col(key), F.xxhash64(text), F.rand(5)], "__row").withColumn("__row", F.when(F.col(key).isNotNull(), F.col("__row")))
+        df, key = named, "__row"
+    judged = near_duplicates(df, key=key, text=text, width=width, percent=percent).select(F.col(key).alias("id"), "kept")
+    gone = cut(judged.where("id is not null and not kept").select(F.col("id").alias(key)))
+    return df.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, key, "left_anti").select(*own)
 
 
 def op5_min_max_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
