@@ -21,25 +21,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the session's own; where neither is set, one of our own, in local mode (tests) only."""
     held = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if held:
         return held.rstrip("/")
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='veilworks-')}")
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
     return own.get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A narrow table, computed once and kept in the shared folder; Spark removes the files when nothing refers to them."""
+    """A narrow table, computed once and kept in the shared folder. Spark removes the files only if spark.cleaner.referenceTracking.cleanCheckpoints is set; else whoever owns the folder does."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
-    """A wide table, written as Parquet into the shared folder and read again."""
+    """A wide table, written as Parquet into the shared folder and read again. The files stay until whoever owns the folder removes them."""
     path = f"{shared_dir(df.sparkSession)}/veilworks-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,15 +14,16 @@ from pyspark.sql import functions as F
 from veilworks.llm.common import arrow_rows, by_length, cut, hash_share, remainder, small_batches, table
 from veilworks.llm.letters import BASE, Letters, Table, blocks
 
-#: Labelled documents of each class to learn from, about (toxic, clean); the sample depends on doc_id only. Texts longer than SAMPLE_CHARS aren't drawn.
+#: Labelled documents of each class to fit on, about (toxic, clean); the sample depends on doc_id only. Texts longer than SAMPLE_CHARS aren't drawn, but counted.
 SAMPLE_DOCS = (500, 1500)
 SAMPLE_CHARS = 20_000
 #: Documents of each class, the first ones of the sample by the hash, on whose tokens the field itself is fitted; the rest of it weigh the aggregates.
 FIELD_DOCS = 250
 #: Labelled documents up to so many are broadcast as keys.
 BROADCAST_KEYS = 200_000
-#: A word or prefix marks a token of a toxic document as toxic if it is so many times likelier in all labelled toxic documents, and if chance would share it out so with a log probability of -MARK_NATS at most.
-MARK_ODDS, MARK_NATS = 20.0, 16.0
+#: A word or prefix marks a token of a toxic document as toxic if it occurs so many times as often in a labelled toxic document as in a clean one,
+#: and if chance would share out the documents that hold it so with a log probability of -MARK_NATS at most.
+MARK_ODDS, MARK_NATS = 20.0, 12.0
 #: Features of a token: the whole word, and its first n letters.
 PREFIXES = (3, 4, 5, 6)
 #: Features that the field knows at most.
@@ -29,6 +31,9 @@ FEATURES = 50_000
 STEPS, RATE, DECAY = 40, 0.2, 1.0
 REJECT = 0.7
 SPAN = 0.5
+#: Tokens of which one that is toxic counts as many.
+SHARE = 20.0
+AGGREGATES = 4
 
 
 @dataclass
@@ -134,10 +139,11 @@ class Model:
 
 
 def aggregates(text: np.ndarray, toxic: np.ndarray, n: int) -> np.ndarray:
-    """For each of n texts 1, the highest marginal, and the log of the expected number of toxic tokens among those that are likelier toxic than clean."""
-    hot, most = toxic >= SPAN, np.zeros(n)
-    np.maximum.at(most, text, toxic)
-    return np.stack([np.ones(n), most, np.log1p(np.bincount(text[hot], toxic[hot], n))], axis=1)
+    """For each of n texts 1; and in logs the evidence that any token is toxic (noisy or), the expected number of toxic tokens among those that are likelier toxic than clean, and that number's share of the text."""
+    hot = toxic >= SPAN
+    evidence = np.bincount(text[hot], -np.log1p(-np.minimum(toxic[hot], 1 - 1e-9)), n)
+    count = np.bincount(text[hot], toxic[hot], n)
+    return np.stack([np.ones(n), np.log1p(evidence), np.log1p(count), np.log1p(count / (SHARE + np.bincount(text, minlength=n) / SHARE))], axis=1)
 
 
 def gathered(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +168,7 @@ def fit(texts: list[str], labels: np.ndarray, marks: np.ndarray, field_docs: int
         return fit([t for t, k in zip(texts, one) if k], labels[one], marks, field_docs)
     n_toxic, n_clean = int(labels.sum()), int(len(labels) - labels.sum())
     if not n_toxic or not n_clean:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, np.ones((2, 2)), np.zeros(3))
+        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, np.ones((2, 2)), np.zeros(AGGREGATES))
     toxic_ids, clean_ids = (np.flatnonzero(labels == k)[:field_docs] for k in (1, 0))
     chosen = np.isin(text, np.concatenate([toxic_ids, clean_ids]))
     own, lengths = hashes[:, chosen], np.bincount(text[chosen], minlength=len(texts))
@@ -197,7 +203,7 @@ def fit(texts: list[str], labels: np.ndarray, marks: np.ndarray, field_docs: int
         weights, bias, log_moves, shared = weights + change[: len(keys) + 1], bias + change[len(keys) + 1], log_moves + change[len(keys) + 2 : -1].reshape(2, 2), shared + change[-1]
         weights[-1] = 0
         log_moves[0, 0] = 0
-    model = Model(keys, weights[:-1] + shared * np.isin(keys, marks), float(bias), np.exp(log_moves), np.zeros(3), lookup)
+    model = Model(keys, weights[:-1] + shared * np.isin(keys, marks), float(bias), np.exp(log_moves), np.zeros(AGGREGATES), lookup)
     toxic, _ = marginals(model.emission(hashes), np.bincount(text, minlength=len(texts)), model.moves)
     unseen = np.ones(len(texts), bool)
     unseen[np.concatenate([toxic_ids, clean_ids])] = False
@@ -233,11 +239,12 @@ def least_threes(text: np.ndarray, word: np.ndarray, draws: int) -> tuple[np.nda
 
 
 def logistic(x: np.ndarray, y: np.ndarray, decay: float = 0.1) -> np.ndarray:
-    """Logistic regression by Newton's method, the weights but for the first drawn towards 0."""
+    """Logistic regression by Newton's method, both classes weighing alike, the weights but for the first drawn towards 0."""
     w, hold = np.zeros(x.shape[1]), decay * np.diag([0.0] + [1.0] * (x.shape[1] - 1)) + 1e-9 * np.eye(x.shape[1])
+    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w = w + np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + hold, x.T @ (y - p) - hold @ w)
+        w = w + np.linalg.solve(x.T @ (x * (weight * (p * (1 - p) + 1e-9))[:, None]) + hold, x.T @ (weight * (y - p)) - hold @ w)
     return w
 
 
@@ -256,10 +263,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = batch.num_rows
         text, hashes = gathered(batch.column("__text").to_pylist())
         names, at = np.unique(hashes.ravel(), return_inverse=True)
-        pairs = np.unique(at.ravel() * n + np.tile(text, len(hashes)))
+        pairs, times = np.unique(at.ravel() * n + np.tile(text, len(hashes)), return_counts=True)
         at, doc = pairs // max(n, 1), pairs % max(n, 1)
         share, toxic = batch.column("share").to_numpy()[doc], batch.column("__label").to_numpy()[doc] == 1
-        yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(np.bincount(at, share * toxic, len(names))), pa.array(np.bincount(at, share * ~toxic, len(names)))], ["feature", "toxic", "clean"])
+        sums = [pa.array(np.bincount(at, share * own * by, len(names))) for by in (1, times) for own in (toxic, ~toxic)]
+        yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), *sums], ["feature", "toxic", "clean", "toxic_times", "clean_times"])
 
 
 #: Least hashes by which copies are told.
@@ -286,25 +294,26 @@ def marking_features(rows: DataFrame) -> np.ndarray:
     if not n_toxic or not n_clean:
         return np.zeros(0, np.uint64)
     drawn = kept.select("__key", "__code", "share")
-    counted = rows.join(F.broadcast(drawn) if n_toxic + n_clean <= BROADCAST_KEYS else drawn, ["__key", "__code"]).select("__text", "__label", "share").mapInArrow(_counted, "feature bigint, toxic double, clean double")
-    counted = counted.where("feature <> 0").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = rows.join(F.broadcast(drawn) if n_toxic + n_clean <= BROADCAST_KEYS else drawn, ["__key", "__code"]).select("__text", "__label", "share").mapInArrow(_counted, "feature bigint, toxic double, clean double, toxic_times double, clean_times double")
+    counted = counted.where("feature <> 0").groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("toxic", "clean", "toxic_times", "clean_times")))
     toxic, clean, prior = F.col("toxic"), F.col("clean"), n_toxic / (n_toxic + n_clean)
-    odds = (toxic + 0.5) / (n_toxic + 1) / ((clean + 0.5) / (n_clean + 1))
+    odds = (F.col("toxic_times") + 0.5) / (n_toxic + 1) / ((F.col("clean_times") + 0.5) / (n_clean + 1))
     nats = toxic * F.log(toxic / (toxic + clean) / prior + 1e-300) + clean * F.log(clean / (toxic + clean) / (1 - prior) + 1e-300)
     found = counted.where((odds >= MARK_ODDS) & (nats >= MARK_NATS)).select("feature").toArrow().column("feature")
     return np.sort(np.asarray(found.to_numpy(), np.int64).view(np.uint64))
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", sample_docs: tuple[int, int] = SAMPLE_DOCS, field_docs: int = FIELD_DOCS
-) -> Model:
+    docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", sample_docs: tuple[int, int] = SAMPLE_DOCS,
+    sample_chars: int = SAMPLE_CHARS, field_docs: int = FIELD_DOCS,
+) -> Model:
     """A model of the rows of docs that labels (key, label) marks 1 or 0.
 
     What marks a token as toxic is counted over all of them. About sample_docs rows of each class are
-    drawn by a hash of the key to fit the model, so the texts that reach the driver are bounded; on the
-    first field_docs of each class by that hash the field is fitted. A key that is labelled more than
+    drawn by a hash of the key to fit the model, in a task that so holds a bounded number of texts; on
+    the first field_docs of each class by that hash the field is fitted. A key that is labelled more than
     once counts as toxic if any label says so. Null keys, labels and texts are left out, and texts of
-    more than SAMPLE_CHARS aren't drawn.
+    more than sample_chars aren't drawn. The driver receives the model only.
     """
     marked = labels.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label")).where(F.col("__key").isNotNull() & F.col("__label").isin(0, 1)).groupBy("__key").agg(F.max("__label").alias("__label"))
     marked = cut(marked)
@@ -316,9 +325,22 @@ def train(
     few = sum(counts.values()) <= BROADCAST_KEYS
     marks = marking_features(texts.join(F.broadcast(marked) if few else marked, "__key")) if len(counts) == 2 else np.zeros(0, np.uint64)
     # About sum(sample_docs) rows, whatever the tables' sizes.
-    rows = texts.where(F.length("__text") <= SAMPLE_CHARS).join(F.broadcast(drawn), "__key")
-    found = rows.select("__at", "__key", "__label", "__text").toArrow().sort_by([("__at", "ascending"), ("__key", "ascending"), ("__text", "ascending")])
-    return fit(found.column("__text").to_pylist(), found.column("__label").to_numpy().astype(np.int64), marks, field_docs)
+    rows = texts.where(F.length("__text") <= sample_chars).join(F.broadcast(drawn), "__key")
+    found = rows.select("__at", "__key", "__label", "__text").repartition(1).mapInArrow(_fitted(marks, field_docs), "model binary").first()
+    return pickle.loads(found["model"]) if found else fit([], np.zeros(0, np.int64), marks)
+
+
+def _fitted(marks: np.ndarray, field_docs: int):
+    """The model of a task's rows, all of the sample, as bytes: fitted by an executor, so that the driver holds no texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            rows = pa.Table.from_batches(held).sort_by([("__at", "ascending"), ("__key", "ascending"), ("__text", "ascending")])
+            model = fit(rows.column("__text").to_pylist(), rows.column("__label").to_numpy().astype(np.int64), marks, field_docs)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    return run
 
 
 def score(df: DataFrame, model: Model, *, text: str = "text", out: str = "score", spans: str = "spans") -> DataFrame:
