@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from veilworks.llm.common import arrow_rows, cut, number_rows, small_batches, table, written
 from veilworks.llm.graph import components
-from veilworks.llm.letters import BASE, INVERSE
 
 #: Hash functions; each gives a minimum and a maximum.
 PERMUTATIONS = 64
@@ -26,7 +25,9 @@ BANDS = PERMUTATIONS // IN_BAND
 BROADCAST_IDS = 1_000_000
 #: Documents and shingles that a block of a group holds, about.
 BLOCK_DOCS, BLOCK_SHINGLES = 128, 400_000
-#: Code points that are hashed together.
+#: Members of a pivot's group that are compared with it together; of a larger group, parts are dealt over tasks.
+PIVOT_ROWS = 256
+#: Bytes of text that are hashed together.
 TOGETHER = 1 << 18
 #: Shingles that are permuted together.
 PERMUTED = 1 << 13
@@ -42,40 +43,53 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, BASE), np.full(n, INVERSE)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+#: Two independent hashes, by their first states: signatures are of the one, links are confirmed by the other.
+SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
+#: Bytes up to which a word is hashed along with the others.
+SHORT_WORD = 64
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def word_hashes(said: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: np.uint64) -> np.ndarray:
+    """A hash of the bytes of each word, eight at a time; of those that are longer than SHORT_WORD, BLAKE2."""
+    eights = np.ndarray((len(said) + 1,), "<u8", np.append(said, np.zeros(8, np.uint8)).tobytes(), strides=(1,))
+    size = ends - starts
+    out = _mixed(size.astype(np.uint64) + seed)
+    left = np.flatnonzero(size <= SHORT_WORD)
+    at = 0
+    while len(left):
+        rest = size[left] - at
+        lane = eights[starts[left] + at] & _FIRST_BYTES[np.minimum(rest, 8)]
+        out[left] = _mixed((out[left] ^ lane) * np.uint64(0xFF51AFD7ED558CCD) + seed)
+        left, at = left[rest > 8], at + 8
+    for i in np.flatnonzero(size > SHORT_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(said[starts[i] : ends[i]].tobytes(), digest_size=8, key=int(seed).to_bytes(8, "big")).digest(), "big")
+    return out
 
 
-def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
-    """For each text the ascending distinct 64-bit hashes of its runs of `width` words; of the whole sequence if it has fewer words; none without words."""
+def shingle_sets(texts: list[str | None], width: int, seed: np.uint64 = SEEDS[0]) -> tuple[list[np.ndarray], list[int]]:
+    """For each text the ascending distinct 64-bit hashes of its runs of `width` words; of the whole sequence if it has fewer words; none without words. And the sum of the hashes of its runs, repeated ones too."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    joined = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
-    up, down = _powers(1 << max(18, len(joined).bit_length()))
-    sums = np.zeros(len(joined) + 1, np.uint64)
-    np.cumsum((_LOWER[joined].astype(np.uint64) + np.uint64(1)) * up[: len(joined)], out=sums[1:])
-    space = _SPACE[joined]
+    said = _LOWER[np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)]
+    space = _SPACE[said]
     edges = np.flatnonzero(space[1:] != space[:-1]) + 1
     starts, ends = edges[::2], edges[1::2]
-    words = _mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    words = word_hashes(said, starts, ends, seed)
     firsts = np.searchsorted(starts, np.cumsum([1] + [len(r) + 1 for r in raw]))
-    run = np.zeros(max(0, len(words) - width + 1), np.uint64)
+    run = np.full(max(0, len(words) - width + 1), np.uint64(width) ^ seed)
     for k in range(width):
         run = _mixed(run * np.uint64(0x9E3779B97F4A7C15) + words[k : k + len(run)])
-    out = []
+    out, sums = [], []
     for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist()):
         if b - a >= width:
-            out.append(np.unique(run[a : b - width + 1]))
-        elif b > a:
-            few = np.uint64([b - a])
-            for w in words[a:b]:
-                few = _mixed(few * np.uint64(0x9E3779B97F4A7C15) + w)
-            out.append(few)
+            own = run[a : b - width + 1]
         else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+            own = np.full(min(1, b - a), np.uint64(b - a) ^ seed)
+            for w in words[a:b]:
+                own = _mixed(own * np.uint64(0x9E3779B97F4A7C15) + w)
+        out.append(np.unique(own))
+        sums.append(int(own.sum(dtype=np.uint64)))
+    return out, sums
 
 
 @lru_cache(maxsize=1)
@@ -122,8 +136,9 @@ def _signed(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_rows(batches):
             for a, b, texts in _together(batch):
-                sets = shingle_sets(texts, width)
-                digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                sets, _ = shingle_sets(texts, width)
+                _, sums = shingle_sets(texts, width, SEEDS[1])
+                digest = [hashlib.blake2b(s.tobytes() + n.to_bytes(8, "big"), digest_size=16).digest() if len(s) else None for s, n in zip(sets, sums)]
                 banded = [bands(min_max(s)).view(np.int64) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(banded, pa.list_(pa.int64()))], ["id", "n", "digest", "bands"])
 
@@ -134,7 +149,7 @@ def _full(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_rows(batches):
             for a, b, texts in _together(batch):
-                sets = shingle_sets(texts, width)
+                sets, _ = shingle_sets(texts, width, SEEDS[1])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "hashes"])
 
     return run
@@ -182,8 +197,9 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", w
     nothing. Documents are linked if their sets' Jaccard similarity is percent/100 or more. component_id
     is the smallest key reachable over links, itself included, and kept says whether it is the row's own.
 
-    Equal sets form classes, found by a digest; one member of each goes on. Candidates are members
-    that share a band of their min-max signature. The bucket of each band has a pivot, its most widely
+    Equal sets form classes, found by a digest of two independent hashes of 64 bits; one member of each
+    goes on. Candidates are members that share a band of their min-max signature, and are compared on
+    full sets of the second hash, of which the signature knows nothing. The bucket of each band has a pivot, its most widely
     shared member, with which all others are compared on full sets; so a large group of near copies
     costs about as many comparisons as members. What a pivot's group leaves unjoined is compared in
     blocks of bounded size, all with all, but for pairs that are joined already or that their
@@ -207,8 +223,14 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", w
     chosen = rows.join(F.broadcast(involved) if few else involved, "id", "left_semi")
     sets = written(chosen.mapInArrow(_full(width), "id bigint, hashes array<bigint>"))
 
-    # Every member with its group's pivot.
-    possible = groups.where("id <> pivot").join(sets.select("id", "hashes"), "id").join(sets.select(F.col("id").alias("pivot"), F.col("hashes").alias("p")), "pivot")
+    # Every member with its group's pivot, whose set is sent to each part of a large group.
+    large = cut(groups.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / PIVOT_ROWS).cast("int").alias("parts")).where("parts > 1"))
+    large = F.broadcast(large) if large.count() <= BROADCAST_IDS else large
+    parts = F.coalesce("parts", F.lit(1))
+    part = groups.where("id <> pivot").join(large, "pivot", "left").withColumn("part", F.pmod(F.xxhash64("id"), parts)).drop("parts")
+    p = sets.join(groups.select(F.col("pivot").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("pivot"), F.col("hashes").alias("p"))
+    p = p.join(large, "pivot", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).drop("parts")
+    possible = part.join(sets.select("id", "hashes"), "id").join(p, ["pivot", "part"])
     common = F.size(F.array_intersect("hashes", "p")).cast("long")
     met = cut(possible.select("pivot", "id", common.alias("shared"), F.size("hashes").cast("long").alias("n"), F.size("p").cast("long").alias("n_p")))
     links = met.where(alike(F.col("shared"), F.col("n"), F.col("n_p"), percent)).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
