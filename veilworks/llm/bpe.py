@@ -19,8 +19,10 @@ from veilworks.llm.common import arrow_rows, small_batches, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Code points of a chunk, and by how many it reaches into the next.
-CHUNK = 65_536
-OVERLAP = 512
+CHUNK = 1024
+OVERLAP = 128
+#: Code points up to which the chunks of a text are stitched by the worker that holds it; those of longer texts are dealt over tasks.
+NEAR = 65_536
 
 
 @lru_cache(maxsize=1)
@@ -60,6 +62,20 @@ def chunks(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tup
         yield k, text[k * size : (k + 1) * size], text[(k + 1) * size : (k + 1) * size + overlap]
 
 
+def pieces(text: str, size: int, overlap: int) -> list[str]:
+    """The text cut where the pre-tokens of neighbouring chunks fall into step, as stitched() does it for chunks that lie apart."""
+    if len(text) <= size:
+        return [text]
+    cuts, tail = [0], frozenset()
+    for k, own, more in chunks(text, size, overlap):
+        at = boundaries(own + more, 1, len(own) + len(more))
+        meet = next((e for e in at if e in tail), 0) if k else 0
+        if meet:
+            cuts.append(k * size + meet)
+        tail = frozenset(e - len(own) for e in at if e > len(own)) if more else frozenset()
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)])]
+
+
 def _long_rows(batches: Iterator[pa.RecordBatch], size: int, overlap: int) -> Iterator[pa.RecordBatch]:
     """Chunks of each text, with the pre-token ends in its first and in its overlapping characters."""
     for batch in arrow_rows(batches, 16):
@@ -78,13 +94,18 @@ def _with_ends(batches: Iterator[pa.RecordBatch], size: int, overlap: int) -> It
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], ["key", "k", "own", "head", "tail"])
 
 
-def _encoded(path: str, decoded: str | None = None) -> Callable:
+def _encoded(path: str, size: int, overlap: int, decoded: str | None = None) -> Callable:
+    """Ids of the texts in the last column, encoded piece by piece."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_rows(batches, 1024):
-            parts = [encode_piece(t or "", path) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            offsets = np.zeros(len(parts) + 1, np.int64)
-            np.cumsum([len(p) for p in parts], out=offsets[1:])
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts)))
+            counts = np.zeros(batch.num_rows + 1, np.int64)
+            parts = [np.zeros(0, np.int32)]
+            for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist(), 1):
+                own = [encode_piece(piece, path) for piece in pieces(text or "", size, overlap)]
+                counts[i] = sum(map(len, own))
+                parts += own
+            ids = pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.array(np.concatenate(parts)))
             more = [_joined(ids, path)] if decoded else []
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids, *more], [*batch.schema.names[:-1], "ids", *[decoded] * len(more)])
 
@@ -113,24 +134,27 @@ def stitched(long: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> Data
     return runs.groupBy("key", "run").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "part"))), lambda s: s["part"]), "").alias("piece")).select("key", F.col("run").alias("k"), "piece")
 
 
-def encode(df: DataFrame, *, key: str = "doc_id", text: str = "text", ranks: str | None = None, size: int = CHUNK, overlap: int = OVERLAP, decoded: str | None = None) -> DataFrame:
+def encode(
+    df: DataFrame, *, key: str = "doc_id", text: str = "text", ranks: str | None = None, size: int = CHUNK, overlap: int = OVERLAP, near: int = NEAR, decoded: str | None = None
+) -> DataFrame:
     """(key, ids array<int>) of every row: the token ids of its whole text, without special tokens.
 
-    Texts of one chunk are encoded where they lie. Longer ones are cut into overlapping chunks, which
-    are split into pre-tokens in parallel, stitched where pre-token boundaries resynchronise, and
-    encoded piece by piece. A null text counts as empty and has no ids. Rows of the same key and text
+    Texts are cut into overlapping chunks of `size`, which are split into pre-tokens on their own,
+    stitched where pre-token boundaries resynchronise, and encoded piece by piece. A text of up to
+    `near` code points stays with its worker, so nothing of it is shuffled; the chunks of a longer one
+    are dealt over tasks. A null text counts as empty and has no ids. Rows of the same key and text
     give as many equal rows; rows of the same key, null keys too, with other texts are kept apart. An
     empty table gives an empty one. ranks is the path of a rank file on every node.
     With `decoded`, a column of that name holds the bytes that the ids decode to; the worker that
-    encodes a text of one chunk decodes its ids too, so a task needs one Python worker, not two.
+    encodes a text decodes its ids too, so a task needs one Python worker, not two.
     """
     path = ranks or public_tokenizers.path(RANKS)
     rows = small_batches(df).select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    short = rows.where(F.length("text") <= size).mapInArrow(_encoded(path, decoded), f"key {kind}, ids array<int>" + (f", {decoded} binary" if decoded else ""))
-    held = rows.where(F.length("text") > size).groupBy("key", F.sha2("text", 256).alias("sha")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
-    pieces = stitched(held.select(F.struct("key", "sha", "n").alias("key"), "text"), size, overlap)
-    done = pieces.repartition("key", "k").mapInArrow(_encoded(path), f"{pieces.schema['key'].simpleString()}, k bigint, ids array<int>".replace("key:", "key ", 1))
+    short = rows.where(F.length("text") <= near).mapInArrow(_encoded(path, size, overlap, decoded), f"key {kind}, ids array<int>" + (f", {decoded} binary" if decoded else ""))
+    held = rows.where(F.length("text") > near).groupBy("key", F.sha2("text", 256).alias("sha")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
+    stitches = stitched(held.select(F.struct("key", "sha", "n").alias("key"), "text"), size, overlap)
+    done = stitches.repartition("key", "k").mapInArrow(_encoded(path, size, overlap), f"{stitches.schema['key'].simpleString()}, k bigint, ids array<int>".replace("key:", "key ", 1))
     joined = done.groupBy("key").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda s: s["ids"])).alias("ids"))
     copies = joined.select(F.col("key.key").alias("key"), "ids", F.explode(F.sequence(F.lit(1).cast("long"), F.col("key.n"))).alias("_")).drop("_")
     return short.unionByName(decode(copies, out=decoded, ranks=path) if decoded else copies).withColumnRenamed("key", key)
