@@ -1,8 +1,10 @@
 """The operators of the llm package against brute force, exact round trips and held-out labels."""
 
 import hashlib
+import html as html_lib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -295,6 +297,66 @@ def test_wrapper_alignment():
     assert p.children[0].text == "same" and p.children[0].pages == 2
 
 
+def bare(page):
+    """A page whose elements all have one name and no attributes."""
+    page = re.sub(r"<b>|<br>", "", page)
+    page = re.sub(r"<p>(.*?)(?=<p>|</p>|</article>)(?:</p>)?", r"<p>\1</p>", page, flags=re.S)
+    page = re.sub(r"<(\w+) (?:class|href)=\"[^\"]*\"", r"<\1", page)
+    return re.sub(r"<(/?)(?:article|nav|footer|ul|li|a|h1|p)>", r"<\1div>", page)
+
+
+def by_markup(page):
+    """The article of one of the tables' pages by its own markup."""
+    inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    parts = (re.sub(r"<[^>]*>", "", x.replace("<br>", " ")) for x in re.split(r"</?(?:h1|p)>", inner))
+    return "\n\n".join(x for x in (" ".join(html_lib.unescape(p).split()) for p in parts) if x)
+
+
+def test_extraction_of_all_pages_by_markup(spark):
+    sf = DATA.replace("0.001", "0.01")
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = html.op6_wrapper_extraction(spark, sf).collect()
+    assert len(got) == len(pages) and all(r.text == by_markup(pages[r.page_id]) and r.n_chars == len(r.text) for r in got)
+
+
+def test_alignment_alone_finds_the_article(spark):
+    """Without names and classes only the host's wrapper tells menus, adverts and footers from the article; a page on its own doesn't say enough."""
+    pages = spark.read.parquet(f"{DATA.replace('0.001', '0.1')}/pages.parquet")
+    rows = [(r.page_id, r.url, bare(r.html)) for r in pages.collect()]
+    want = {r.page_id: by_markup(r.html) for r in pages.collect()}
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, pages.schema)).collect()}
+    joined = lambda t: "".join(t.split())
+    assert all(joined(got[i]) == joined(want[i]) for i in want)
+    assert sum(joined(html.extract(p, None)) != joined(want[i]) for i, _, p in rows) > 100
+
+
+def test_wrappers_decide_between_a_long_notice_and_a_short_article(spark):
+    """A notice that is longer than some articles but the same on all pages isn't the article; by itself a page would say so."""
+    said = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    page = "<body><div>Terms of use {0}</div><div><div>Title {1}</div><div>{2}</div><div>{3}</div></div></body>"
+    rows = [(i, f"http://notice.example/{i}", page.format("same words " * 30, i, said(i, 5 if i < 4 else 200), said(-i - 1, 5 if i < 4 else 150))) for i in range(20)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, _, text in rows:
+        assert got[i] == "\n\n".join((f"Title {i}", said(i, 5 if i < 4 else 200), said(-i - 1, 5 if i < 4 else 150)))
+        assert (html.extract(text, None) != got[i]) or i >= 4
+
+
+def test_classes_within_the_article_hide_nothing(spark):
+    inner = "<h1>T {0}</h1><div class=legal>Law {0} says</div><p class=notice>Notice {0} given</p><section id=search-results><p>Search {0} found</p></section><p class='a b c d e f g'>End {0}</p>"
+    page = "<body><nav><a href=/>x</a></nav><article>" + inner + "<div class='x ad'>Buy {0}</div><section class='comments'><p>Me {0} too</p></section></article><div class=sidebar>Side {0}</div></body>"
+    rows = [(i, f"http://legal.example/{i}", page.format(i)) for i in range(8)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"T {i}\n\nLaw {i} says\n\nNotice {i} given\n\nSearch {i} found\n\nEnd {i}" for i in range(8)}
+
+
+def test_extraction_edges(spark):
+    """Repeated rows give equal rows; a long page stays whole; a column named like an own one, and a key of another type, do no harm."""
+    long = "<body><nav>n</nav><article><p>" + "</p><p>".join(f"part {k}" for k in range(20_000)) + "</p></article></body>"
+    df = spark.createDataFrame([("k", "http://a.example/", long)] * 2 + [("l", "http://a.example/", "")], "id string, url string, html string").withColumn("rule", F.lit("x"))
+    got = html.main_text(df, key="id").collect()
+    assert sorted((r.id, r.n_chars) for r in got) == [("k", len("\n\n".join(f"part {k}" for k in range(20_000))))] * 2 + [("l", 0)]
+
+
 # 7
 
 
