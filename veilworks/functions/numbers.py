@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def digit(digits: Column, i: int) -> Column:
     """Digit i (from 1) of a digit string."""
-    return F.substring(digits, i, 1).cast("int")
+    return F.substring(digits, i, 1).try_cast("int")
 
 
 def weighted(digits: Column, weights: list[int]) -> Column:
@@ -62,3 +62,22 @@ def ascii_lower(text: Column) -> Column:
 def octets(value: Column) -> Column:
     """Whether a dotted quad has four numbers up to 255 without leading zeros."""
     return F.forall(F.split(value, r"\."), lambda o: (o.cast("int") <= 255) & (o.cast("int").cast("string") == o))
+
+
+def mailbox(value: Column) -> Column:
+    """Whether the local part doesn't end in a dot, and the domain has at most 255 characters and no label that begins or ends with a hyphen."""
+    domain = F.substring_index(value, "@", -1)
+    return ~value.contains(".@") & (F.length(domain) <= 255) & ~domain.rlike(r"^-|-$|-\.|\.-")
+
+
+def ipv6(value: Column) -> Column:
+    """Whether a text is an address of eight groups of hexadecimal digits, one run of zero groups left out at most, the last two written as a dotted quad or not."""
+    sides = F.split(value, "::", -1)
+    groups = F.filter(F.flatten(F.transform(sides, lambda s: F.split(s, ":", -1))), lambda g: g != "")
+    plain = F.forall(sides, lambda s: (s == "") | ~s.rlike("^:|:$|::"))
+    last = F.try_element_at(groups, F.lit(-1))
+    quad = F.when(F.size(groups) > 0, last.contains(".")).otherwise(False)
+    heads = F.slice(groups, 1, F.size(groups) - quad.cast("int"))
+    fine = F.forall(heads, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$")) & (~quad | (last.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$") & octets(last) & ~value.endswith("::")))
+    n = F.size(groups) + quad.cast("int")
+    return plain & fine & F.when(F.size(sides) == 1, n == 8).when(F.size(sides) == 2, n <= 7).otherwise(False)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -9,104 +10,246 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilworks.functions import numbers
+from veilworks.functions.structures import IBAN_STRUCTURES
+from veilworks.operators import view
+from veilworks.sources.shared import cut
 
 SPAN = ["doc_id", "cs", "ce", "type", "detector", "value"]
 
 
 @dataclass(frozen=True)
 class Pattern:
-    """What a detector looks for: `body`, after `lead` (which isn't part of the span) and not before a character of `stop`."""
+    """What a detector looks for: `body`, after `lead` (which isn't part of the span) and not where the next two characters match `stop`. Only texts that match the cheap `hint` are searched."""
 
     type: str
     name: str
     body: str
     lead: str = ""
     stop: str = ""
+    hint: str = ""
     valid: Callable[[Column], Column] | None = None
 
 
 #: Our own specification of identifiers, keys and credentials; lookaround-free, so that any linear-time engine reads them alike.
 PATTERNS = (
-    Pattern("EMAIL", "email", r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~-][A-Za-z0-9!#$%&'*+/=?^_`{|}~.-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", r"(?:^|[^A-Za-z0-9!#$%&'*+/=?^_`{|}~-])"),
-    Pattern("IP_ADDRESS", "ipv4", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", r"(?:^|[^A-Za-z0-9.])", r"[A-Za-z0-9]", numbers.octets),
-    Pattern("API_KEY", "prefix", r"(?:sk-[A-Za-z0-9_-]{20,}|AKIA[A-Z0-9]{16})", r"(?:^|[^A-Za-z0-9])", r"[A-Za-z0-9]"),
-    Pattern("API_KEY", "bearer", r"[A-Za-z0-9._~+/=-]{20,}", r"[Bb]earer +"),
-    Pattern("API_KEY", "jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", r"(?:^|[^A-Za-z0-9])"),
-    Pattern("PRIVATE_KEY", "pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*(?:-----END [A-Z ]*PRIVATE KEY-----)?"),
-    Pattern("CREDENTIAL", "marker", r"[^ \t\r\n\"';,]{4,}", r"(?:[Pp]assword|[Pp]asswd|[Tt]oken|[Ss]ecret|[Oo]tp|[Pp]in) *[=:] *\"?"),
-    Pattern("CREDENTIAL", "userinfo", r"[^ \t\r\n/@:]+:[^ \t\r\n/@]+@", r"[A-Za-z][A-Za-z0-9+.-]*://"),
-    Pattern("KOREAN_PASSPORT_NO", "passport", r"[MSRODmsrod](?:[0-9]{8}|[0-9]{3}[A-Za-z][0-9]{4})", r"(?:^|[^A-Za-z0-9])", r"[A-Za-z0-9]"),
+    Pattern(
+        "EMAIL", "email", r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~-][A-Za-z0-9!#$%&'*+/=?^_`{|}~.-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+        r"(?:^|[^A-Za-z0-9!#$%&'*+/=?^_`{|}~-])", r"[A-Za-z0-9_]|-[A-Za-z0-9]", "@", numbers.mailbox,
+    ),
+    Pattern("IP_ADDRESS", "ipv4", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", r"(?:^|[^A-Za-z0-9.])", r"[A-Za-z0-9]|\.[0-9]", r"#[0-9]\.[0-9]", numbers.octets),
+    Pattern("IP_ADDRESS", "ipv6", r"[0-9A-Fa-f:.]{1,44}[0-9A-Fa-f:]", r"(?:^|[^A-Za-z0-9:.])", r"[A-Za-z0-9:]|\.[0-9]", r":[0-9A-Fa-f]*:", numbers.ipv6),
+    Pattern("API_KEY", "prefix", r"(?:sk-[A-Za-z0-9_-]{20,}|AKIA[A-Z0-9]{16})", r"(?:^|[^A-Za-z0-9])", r"[A-Za-z0-9]", "sk-|AKIA"),
+    Pattern("API_KEY", "bearer", r"[A-Za-z0-9._~+/=-]{20,}", r"[Bb]earer +", hint="earer "),
+    Pattern("API_KEY", "jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", r"(?:^|[^A-Za-z0-9])", hint="eyJ"),
+    Pattern("PRIVATE_KEY", "pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*(?:-----END [A-Z ]*PRIVATE KEY-----)?", hint="-----BEGIN "),
+    Pattern("CREDENTIAL", "marker", r"[^ \t\r\n\"';,]{4,}", r"(?:[Pp]assword|[Pp]asswd|[Tt]oken|[Ss]ecret|[Oo]tp|[Pp]in) *[=:] *\"?", hint="[=:]"),
+    Pattern("CREDENTIAL", "userinfo", r"[^ \t\r\n/@:]+:[^ \t\r\n/@]+@", r"[A-Za-z][A-Za-z0-9+.-]{0,30}://", hint="://"),
+    Pattern("CREDENTIAL", "basic", r"[A-Za-z0-9+/]{8,}={0,2}", r"[Bb]asic +", hint="asic "),
+    Pattern("KOREAN_PASSPORT_NO", "passport", r"[MSRODmsrod](?:[0-9]{8}|[0-9]{3}[A-Za-z][0-9]{4})", r"(?:^|[^A-Za-z0-9])", r"[A-Za-z0-9]", "#[0-9]{3}"),
 )
-RUN = r"[0-9]+(?:[-. \t]{1,3}[0-9]+)*"
+#: Dashes that may join groups of digits: the hyphen, those of General Punctuation, the minus and the small and wide hyphens.
+DASHES = "-\u2010\u2011\u2012\u2013\u2014\u2015\u2212\uFE58\uFE63\uFF0D"
+_JOINT = f"[{DASHES}. \\t]"
+_GROUPS = f"[0-9]+(?:{_JOINT}{{1,3}}[0-9]+)*"
+#: Groups of digits joined by up to three separators, and once by a line end beside a dash (V4).
+RUN = f"{_GROUPS}(?:(?:{_JOINT}?[{DASHES}]\\n{_JOINT}?|{_JOINT}?\\n[{DASHES}]{_JOINT}?){_GROUPS})?"
+#: Digits that letters follow are consumed first, so that no run begins within them.
+RUNS = f"[0-9]+[A-Za-z][0-9A-Za-z]*|({RUN})"
+IFSC = r"(?:^|[^A-Za-z0-9])([A-Za-z]{4}0[A-Za-z0-9]{6})"
+IBAN = r"(?:^|[^A-Za-z0-9])([A-Z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){11,32})"
 MOST_DIGITS = 34
-#: Number rules, tried on every window of a digit run.
-RULES: tuple[tuple[str, str, Callable[[Column], Column]], ...] = (
-    ("KOREAN_PHONE", "Pattern", numbers.phone),
-    ("KOREAN_RRN", "Pattern", lambda d: numbers.resident_number(d, "1-4")),
-    ("KOREAN_ALIEN_REGISTRATION_NO", "Pattern", lambda d: numbers.resident_number(d, "5-8")),
-    ("KOREAN_BUSINESS_NO", "Checksum", numbers.business_number),
-    ("CARD_NUMBER", "Checksum", numbers.card),
-    ("BANK_ACCOUNT", "Checksum", numbers.clabe),
+#: Characters between an anchor and its account.
+NEAR = 40
+#: Number rules, tried on every window of a digit run: by its digits and, where the grouping matters, its shape (group sizes joined by their separators).
+RULES: tuple[tuple[str, str, Callable[[Column, Column], Column]], ...] = (
+    ("KOREAN_PHONE", "Pattern", lambda d, s: numbers.phone(d)),
+    ("KOREAN_RRN", "Pattern", lambda d, s: numbers.resident_number(d, "1-4")),
+    ("KOREAN_ALIEN_REGISTRATION_NO", "Pattern", lambda d, s: numbers.resident_number(d, "5-8")),
+    ("KOREAN_BUSINESS_NO", "Checksum", lambda d, s: numbers.business_number(d)),
+    ("CARD_NUMBER", "Checksum", lambda d, s: numbers.card(d)),
+    ("BANK_ACCOUNT", "Checksum", lambda d, s: numbers.clabe(d)),
+    ("BANK_ACCOUNT", "Pattern", lambda d, s: d.rlike("^62[0-9]{14,17}$") | s.isin("3-7", "5-8")),
+    ("KOREAN_DRIVER_LICENSE_NO", "Pattern", lambda d, s: (s == "2-2-6-2") & F.substring(d, 1, 2).between("11", "28")),
 )
+#: What marks a foreign account beside it, and how many digits the account has (shape or rule, least, most).
+ANCHORS = (("2-2-2", 8, 8), ("5-3", 7, 12), ("3-3", 6, 10), ("routing", 4, 17))
+IFSC_DIGITS = (9, 18)
 
 
-def matches(docs: DataFrame, patterns: dict[str, str], id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, name, cs, ce, value, next): where group 1 of each named pattern lies, which must end the match, and the character after it, if no match follows at once.
+def matches(docs: DataFrame, patterns: dict[str, str | tuple[str, str]], id_: str = "doc_id", text: str = "text", around: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, name, cs, ce, value, before, next): where group 1 of each named pattern lies, which must end the match, and up to `around` characters on both sides of the match.
 
-    One scan for all patterns: the matches and the gaps between them are taken natively, and only
-    their lengths are summed over a document, so no text is shuffled.
+    A pattern may come with a hint, a cheaper pattern that every text with a match matches too; # before
+    it says that such a text holds a digit, which is looked for once. One scan
+    for all patterns: the matches and the gaps between them are taken natively, and only their lengths
+    are summed over a document, so no text is shuffled. Null texts give nothing. Columns of docs named
+    like `text` and `id_` are all that is read, and those of `carry`, which go with each match.
     """
+    both = {n: (p, "") if isinstance(p, str) else p for n, p in patterns.items()}
     of = lambda p: F.struct(F.split(text, p, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("whole"), F.regexp_extract_all(text, F.lit(p), F.lit(1)).alias("value"))
-    found = [F.when(F.col(text).rlike(p), F.struct(F.lit(n).alias("name"), of(p).alias("m"))) for n, p in patterns.items()]  # one look is enough where nothing is found
-    each = docs.where(F.col(text).isNotNull()).select(F.col(id_).alias("doc_id"), F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("s"))
+    digits = lambda hint: F.col("__digits") if hint.startswith("#") else F.lit(True)
+    looks = {n: digits(hint) & hinted(F.col(text), hint.lstrip("#")) & F.col(text).rlike(p) for n, (p, hint) in both.items()}
+    found = [F.when(looks[n], F.struct(F.lit(n).alias("name"), of(p).alias("m"))) for n, (p, _) in both.items()]  # one look is enough where nothing is found
+    each = docs.where(F.col(text).isNotNull()).select(id_, text, *carry, F.col(text).rlike("[0-9]").alias("__digits")).select(*carry, F.col(id_).alias("doc_id"), F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("s"))
     n = F.size("s.m.whole")
-    zipped = F.arrays_zip("s.m.whole", "s.m.value", F.slice("s.m.gaps", 1, n).alias("gap"), F.slice("s.m.gaps", 2, n).alias("rest"))
-    rows = each.select("doc_id", "s.name", F.posexplode(zipped).alias("at", "z"))
-    rows = rows.select("doc_id", "name", "at", "z.value", F.length("z.gap").alias("gap"), F.length("z.whole").alias("whole"), F.substring("z.rest", 1, 1).alias("next"))
+    prev = F.concat(F.array(F.lit("")), F.slice("s.m.whole", 1, n - 1)).alias("prev")
+    follow = F.concat(F.slice("s.m.whole", 2, n - 1), F.array(F.lit(""))).alias("follow")
+    zipped = F.arrays_zip("s.m.whole", "s.m.value", F.slice("s.m.gaps", 1, n).alias("gap"), F.slice("s.m.gaps", 2, n).alias("rest"), prev, follow)
+    rows = each.select(*carry, "doc_id", "s.name", F.posexplode(zipped).alias("at", "z"))
+    sides = {"before": F.right(F.concat("z.prev", "z.gap"), F.lit(around)), "next": F.left(F.concat("z.rest", "z.follow"), F.lit(around))}
+    rows = rows.select(*carry, "doc_id", "name", "at", "z.value", F.length("z.gap").alias("gap"), F.length("z.whole").alias("whole"), *(c.alias(k) for k, c in sides.items()))
     so_far = Window.partitionBy("doc_id", "name").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("whole")).over(so_far).cast("int")
-    return rows.withColumn("ce", end).select("doc_id", "name", (F.col("ce") - F.length("value")).alias("cs"), "ce", "value", "next")
+    placed = rows.withColumn("ce", end).where(F.col("value") != "")
+    return placed.select(*carry, "doc_id", "name", (F.col("ce") - F.length("value")).alias("cs"), "ce", "value", "before", "next")
 
 
-def find_patterns(docs: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS) -> DataFrame:
-    """Spans of the patterns (D6, D8, D9, D17-D20, and forms of D21 and D22)."""
+def hinted(text: Column, hint: str) -> Column:
+    """Whether a text may match: a hint of plain letters is sought as such, its alternatives one by one."""
+    if not hint:
+        return F.lit(True)
+    plain = hint.split("|")
+    if all(not set(h) & set("[]().*+?{}^$\\") for h in plain):
+        found = text.contains(plain[0])
+        for h in plain[1:]:
+            found = found | text.contains(h)
+        return found
+    return text.rlike(hint)
+
+
+def searched(docs: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """matches() of the patterns and of runs of digits, bank codes and international account numbers, in one scan."""
+    wanted: dict[str, str | tuple[str, str]] = {f"{p.type}/{p.name}": (f"{p.lead}({p.body})", p.hint) for p in patterns}
+    return matches(docs, wanted | {"run": (RUNS, "#"), "ifsc": (IFSC, "#[A-Za-z]0[A-Za-z0-9]"), "iban": (IBAN, "#[A-Z][0-9]{2}")}, carry=carry)
+
+
+def find_patterns(docs: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS, found: DataFrame | None = None) -> DataFrame:
+    """Spans of the patterns (D6, D8-D10, D17-D20, and forms of D21 and D22)."""
     named = {f"{p.type}/{p.name}": p for p in patterns}
-    found = matches(docs, {n: f"{p.lead}({p.body})" for n, p in named.items()})
+    found = (matches(docs, {n: (f"{p.lead}({p.body})", p.hint) for n, p in named.items()}) if found is None else found).where(F.col("name").isin(*named))
     for n, p in named.items():
-        wrong = F.col("next").rlike(f"^{p.stop}") if p.stop else F.lit(False)
+        wrong = F.col("next").rlike(f"^(?:{p.stop})") if p.stop else F.lit(False)
         found = found.where((F.col("name") != n) | (~wrong & (p.valid(F.col("value")) if p.valid else F.lit(True))))
     return found.select("doc_id", "cs", "ce", F.split("name", "/")[0].alias("type"), F.split("name", "/")[1].alias("detector"), "value")
 
 
-def digit_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, cs, ce, digits): every range of neighbouring groups of each digit run, up to MOST_DIGITS digits (V4, V5)."""
-    runs = matches(docs, {"run": f"({RUN})"})
+def digit_windows(docs: DataFrame | None, found: DataFrame | None = None) -> DataFrame:
+    """(doc_id, cs, ce, digits, shape): every range of neighbouring groups of each digit run, up to MOST_DIGITS digits (V4, V5).
+
+    A group that a letter touches is no part of a run. shape: the sizes of the groups, joined by - for
+    one dash and by ~ for any other separator.
+    """
+    runs = (matches(docs, {"run": (RUNS, "#")}) if found is None else found).where("name = 'run'")
     runs = runs.withColumns({"groups": F.regexp_extract_all("value", F.lit("[0-9]+"), F.lit(0)), "gaps": F.split("value", "[0-9]+", -1)})
+    runs = runs.withColumns({"least": F.col("before").rlike("[A-Za-z0-9]$").cast("int"), "most": F.size("groups") - F.col("next").rlike("^[A-Za-z0-9]").cast("int")})
     total = lambda xs, n: F.aggregate(F.slice(xs, 1, n), F.lit(0), lambda a, x: a + F.length(x))
-    first = runs.withColumn("a", F.explode(F.sequence(F.lit(0), F.size("groups") - 1)))
-    pair = first.withColumn("b", F.explode(F.sequence(F.col("a"), F.least(F.size("groups"), F.col("a") + MOST_DIGITS) - 1)))
-    pair = pair.withColumn("digits", F.array_join(F.slice("groups", F.col("a") + 1, F.col("b") - F.col("a") + 1), "")).where(F.length("digits") <= MOST_DIGITS)
+    first = runs.where("least < most").withColumn("a", F.explode(F.sequence(F.col("least"), F.col("most") - 1)))
+    pair = first.withColumn("b", F.explode(F.sequence(F.col("a"), F.least(F.col("most"), F.col("a") + MOST_DIGITS) - 1)))
+    own = F.slice("groups", F.col("a") + 1, F.col("b") - F.col("a") + 1)
+    pair = pair.withColumn("digits", F.array_join(own, "")).where(F.length("digits") <= MOST_DIGITS)
+    joint = F.when(F.get("gaps", F.col("a") + 1).rlike(f"^[{DASHES}]$"), "-").otherwise("~")
+    shape = F.aggregate(F.sequence(F.col("a"), F.col("b")), F.lit(""), lambda s, k: F.concat(s, F.when(k == F.col("a"), "").when(F.get("gaps", k).rlike(f"^[{DASHES}]$"), "-").otherwise("~"), F.length(F.get("groups", k)).cast("string")))
     cs = F.col("cs") + total("gaps", F.col("a") + 1) + total("groups", F.col("a"))
     ce = F.col("cs") + total("gaps", F.col("b") + 1) + total("groups", F.col("b") + 1)
-    return pair.select("doc_id", cs.alias("cs"), ce.alias("ce"), "digits")
+    return pair.select("doc_id", cs.alias("cs"), ce.alias("ce"), "digits", shape.alias("shape"))
 
 
-def find_numbers(docs: DataFrame) -> DataFrame:
-    """Spans of the number rules (D1-D4, D15) on every window."""
-    windows = digit_windows(docs)
-    hits = F.filter(F.array(*[F.when(rule(F.col("digits")), F.struct(F.lit(t).alias("type"), F.lit(d).alias("detector"))) for t, d, rule in RULES]), lambda x: x.isNotNull())
+def find_numbers(docs: DataFrame | None, windows: DataFrame | None = None) -> DataFrame:
+    """Spans of the number rules (D1-D5, D15, and the pairs of D16) on every window."""
+    windows = digit_windows(docs) if windows is None else windows
+    hits = F.filter(F.array(*[F.when(rule(F.col("digits"), F.col("shape")), F.struct(F.lit(t).alias("type"), F.lit(d).alias("detector"))) for t, d, rule in RULES]), lambda x: x.isNotNull())
     return windows.select("doc_id", "cs", "ce", F.explode(hits).alias("hit"), F.col("digits").alias("value")).select("doc_id", "cs", "ce", "hit.type", "hit.detector", "value")
 
 
+def find_anchored(docs: DataFrame | None, found: DataFrame | None = None) -> DataFrame:
+    """Spans of accounts beside what marks them (D14, D16, D16c): sort codes and the like by their shape, routing numbers by their checksum, bank codes of letters and digits.
+
+    An anchor goes with the first number of the right length that begins and ends within NEAR
+    characters of it and doesn't touch it; both are spans.
+    """
+    found = matches(docs, {"run": (RUNS, "#"), "ifsc": (IFSC, "#[A-Za-z]0[A-Za-z0-9]")}) if found is None else found
+    windows = digit_windows(None, found)
+    kind = F.when(numbers.routing_number(F.col("digits")) & (F.col("shape") == "9"), "routing").otherwise(F.col("shape"))
+    limits = lambda k: F.element_at(F.create_map(*[F.lit(x) for name, lo, hi in ANCHORS for x in (name, (lo, hi)[k])]), F.col("kind"))
+    anchors = windows.withColumn("kind", kind).where(F.col("kind").isin(*(a for a, _, _ in ANCHORS)))
+    anchors = anchors.select("doc_id", "cs", "ce", F.col("digits").alias("value"), limits(0).alias("lo"), limits(1).alias("hi"), F.when(F.col("kind") == "routing", "Checksum").otherwise("Pattern").alias("detector"))
+    codes = found.where("name = 'ifsc'").where(~F.col("next").rlike("^[A-Za-z0-9]"))
+    anchors = anchors.unionByName(codes.select("doc_id", "cs", "ce", "value", F.lit(IFSC_DIGITS[0]).alias("lo"), F.lit(IFSC_DIGITS[1]).alias("hi"), F.lit("Pattern").alias("detector")))
+    w = windows.select(F.col("doc_id").alias("w_doc"), F.col("cs").alias("w_cs"), F.col("ce").alias("w_ce"), "digits")
+    apart = ((F.col("w_ce") <= F.col("cs")) | (F.col("w_cs") >= F.col("ce"))) & (F.col("w_cs") >= F.col("cs") - NEAR) & (F.col("w_ce") <= F.col("ce") + NEAR)
+    beside = anchors.join(w, (F.col("doc_id") == F.col("w_doc")) & apart & F.length("digits").between(F.col("lo"), F.col("hi")))
+    own = beside.groupBy("doc_id", "cs", "ce", "value", "detector", "lo").agg(F.min(F.struct("w_cs", "w_ce", "digits")).alias("account"))
+    span = lambda cs, ce, detector, value: F.struct(cs.alias("cs"), ce.alias("ce"), detector.alias("detector"), value.alias("value"))
+    two = F.array(span(F.col("cs"), F.col("ce"), F.col("detector"), F.col("value")), span(F.col("account.w_cs"), F.col("account.w_ce"), F.lit("Pattern"), F.col("account.digits")))
+    out = own.select("doc_id", F.explode(two).alias("s")).select("doc_id", "s.cs", "s.ce", F.lit("BANK_ACCOUNT").alias("type"), "s.detector", "s.value")
+    return out.distinct()
+
+
+def find_ibans(docs: DataFrame | None, found: DataFrame | None = None) -> DataFrame:
+    """Spans of international account numbers (D16b): a country's code, two digits, and as many characters as its structure asks for, with single blanks or none."""
+    found = (matches(docs, {"iban": (IBAN, "#[A-Z][0-9]{2}")}) if found is None else found).where("name = 'iban'")
+    known = F.broadcast(found.sparkSession.createDataFrame([(c, iban_pattern(c, b)) for c, _, b in IBAN_STRUCTURES], "country string, pattern string"))  # 89 rows
+    hit = found.join(known, F.substring("value", 1, 2) == F.col("country")).withColumn("own", F.expr("regexp_extract(value, pattern, 0)")).where("own <> ''")
+    after = F.substring(F.concat("value", "next"), F.length("own") + 1, F.lit(1))
+    return hit.where(~after.rlike("^[A-Za-z0-9]")).select("doc_id", "cs", (F.col("cs") + F.length("own")).alias("ce"), F.lit("BANK_ACCOUNT").alias("type"), F.lit("Pattern").alias("detector"), F.translate("own", " ", "").alias("value"))
+
+
+def iban_pattern(country: str, structure: str) -> str:
+    """A pattern of a country's numbers from its registry structure: n digits, a capitals, c either, each count fixed."""
+    kinds = {"n": "[0-9]", "a": "[A-Z]", "c": "[A-Za-z0-9]"}
+    return f"^{country}(?: ?[0-9]){{2}}" + "".join(f"(?: ?{kinds[k]}){{{n}}}" for n, k in re.findall(r"(\d+)!([nac])", structure))
+
+
+def find_accounts(windows: DataFrame, formats: DataFrame) -> DataFrame:
+    """Spans of domestic accounts (D11, J5): windows whose number of digits, grouping and subject code fit a row of formats (bank, digits, shape, subject_at, subjects).
+
+    formats is the caller's table; it is joined by the number of digits. A number that is also a phone or business number isn't one.
+    """
+    other = numbers.phone(F.col("digits")) | numbers.business_number(F.col("digits"))
+    f = formats.select("bank", F.col("digits").alias("n_digits"), F.col("shape").alias("f_shape"), "subject_at", "subjects")
+    fits = (F.length("digits") == F.col("n_digits")) & (F.col("shape") == F.col("f_shape"))
+    subject = F.expr("array_contains(subjects, substring(digits, subject_at, length(subjects[0])))")
+    hit = windows.where(~other).join(f, fits).where(subject)
+    return hit.groupBy("doc_id", "cs", "ce", "digits").agg(F.array_join(F.sort_array(F.collect_set("bank")), ",").alias("banks")).select("doc_id", "cs", "ce", F.lit("BANK_ACCOUNT").alias("type"), F.lit("Pattern").alias("detector"), F.col("digits").alias("value"), "banks")
+
+
 def find_terms(docs: DataFrame, terms: list[str], type_: str, detector: str = "Term") -> DataFrame:
-    """Spans of dictionary terms, ASCII case ignored, blanks within a term optional."""
-    import re
+    """Spans of dictionary terms, ASCII case ignored, blanks within a term optional.
+
+    Each term is sought on its own, so hits of different terms may overlap. Where a term begins or ends
+    with an ASCII letter or digit, the character beside it must be none. An empty term is an error (D0c).
+    """
+    bodies = {t: "(?i)(" + "[ \\t]*".join(re.escape(c) for c in t if c not in " \t") + ")" for t in terms}
+    if not all(t.strip() for t in terms):
+        raise ValueError("an empty term")
+    found = matches(docs, dict(bodies))
+    edge = lambda c: c.rlike("[A-Za-z0-9]")
+    inside = (edge(F.substring("value", 1, 1)) & edge(F.right("before", F.lit(1)))) | (edge(F.right("value", F.lit(1))) & edge(F.left("next", F.lit(1))))
+    return found.where(~inside).select("doc_id", "cs", "ce", F.lit(type_).alias("type"), F.lit(detector).alias("detector"), "value").distinct()
+
 
-    body = "|".join("[ \\t]*".join(re.escape(c) for c in t if c not in " \t") for t in sorted(terms, key=lambda t: (-len(t), t)))
-    found = matches(docs, {"term": f"(?i)({body})"})
-    return found.select("doc_id", "cs", "ce", F.lit(type_).alias("type"), F.lit(detector).alias("detector"), "value")
+def find_labelled(docs: DataFrame, labels: list[str]) -> DataFrame:
+    """Spans of numbers after one of the labels (D25): 4 to 30 letters, digits, slashes and hyphens, three digits at least."""
+    body = "|".join(re.escape(t) for t in sorted(labels, key=lambda t: (-len(t), t)))
+    found = matches(docs, {"id": f"(?i)(?:^|[^A-Za-z0-9])(?:{body})(?: *[:=#(] *| +)([A-Za-z0-9][A-Za-z0-9/-]{{3,29}})"})
+    fine = ~F.col("next").rlike("^[A-Za-z0-9_/-]") & (F.length(F.regexp_replace("value", "[^0-9]", "")) >= 3)
+    return found.where(fine).select("doc_id", "cs", "ce", F.lit("INSTITUTION_ID").alias("type"), F.lit("Pattern").alias("detector"), "value")
 
 
 def find_all(docs: DataFrame) -> DataFrame:
-    """All spans of a document, each once."""
-    return find_patterns(docs).unionByName(find_numbers(docs)).distinct()
+    """All spans of a document, each once (D0): places in the text, values as the view has them.
+
+    Texts are read through their views, so invisible and wide characters hide nothing. They are scanned
+    once; what is found in them is small and kept in the shared folder.
+    """
+    found = cut(searched(view.viewed(docs), carry=("moved",)))
+    windows = digit_windows(None, found)
+    spans = find_patterns(docs, found=found).unionByName(find_numbers(None, windows)).unionByName(find_anchored(None, found)).unionByName(find_ibans(None, found))
+    moved = found.where("moved is not null").groupBy("doc_id").agg(F.first("moved").alias("moved"))
+    return view.back(spans.select(*SPAN), moved).distinct()
+
+
+def capped(spans: DataFrame, most: int = 513) -> DataFrame:
+    """The first spans of each document by place, one more than a document may have."""
+    order = Window.partitionBy("doc_id").orderBy("cs", "ce", "type", "detector", "value")
+    return spans.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("rank")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,21 +57,46 @@ def targets(merged: DataFrame) -> DataFrame:
     return merged.where("action = 'tokenize'")
 
 
-def token(scope: Column, label: Column, value: Column) -> Column:
-    """The pseudonym of a value within a scope (P4): ten characters of base 32, from a keyed digest, so that equal values get equal tokens without a shared counter."""
-    digest = F.sha2(F.concat_ws("\u0000", scope.cast("string"), label, value), 256)
-    marks = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
-    places = [F.conv(F.substring(digest, 2 * i + 1, 2), 16, 10).cast("int") for i in range(10)]
-    return F.concat(F.lit("⟦"), label, F.lit("_"), *[F.substring(F.lit(marks), F.pmod(p, F.lit(32)) + 1, F.lit(1)) for p in places], F.lit("⟧"))
+#: Draws of a token until one tells nothing of its value.
+DRAWS = 64
+MARKS = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+
+
+def keyed_digest(secret: bytes, message: Column) -> Column:
+    """HMAC-SHA-256 of a text under a secret, in hexadecimal digits."""
+    if not secret:
+        raise ValueError("a secret is needed")
+    key = (secret if len(secret) <= 64 else hashlib.sha256(secret).digest()).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(k ^ pad for k in key)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256))), 256)
+
+
+def token(secret: bytes, scope: Column, label: Column, value: Column) -> Column:
+    """The pseudonym of a value within a scope (P4): ten characters of base 32 from a keyed digest.
+
+    Equal values get equal tokens without a shared counter, and nobody without the secret can tell a
+    token's value by trying all. A draw that holds four characters of the value in a row (or all of a
+    shorter one), in any case, is drawn again, DRAWS times at most; then the token is null.
+    """
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(value) - 3, F.lit(1))), lambda i: F.upper(F.substring(value, i, F.lit(4))))
+
+    def drawn(k: Column) -> Column:
+        digest = keyed_digest(secret, F.concat_ws("\u0000", scope.cast("string"), label, value, k.cast("string")))
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.substring(F.lit(MARKS), F.pmod(F.conv(F.substring(digest, 2 * i + 1, F.lit(2)), 16, 10).cast("int"), F.lit(32)) + 1, F.lit(1))), "")
+
+    fine = lambda t: ~F.exists(pieces, lambda p: F.contains(t, p))
+    first = drawn(F.lit(0))
+    again = F.get(F.filter(F.transform(F.sequence(F.lit(1), F.lit(DRAWS - 1)), drawn), fine), F.lit(0))
+    return F.concat(F.lit("⟦"), label, F.lit("_"), F.when(fine(first), first).otherwise(again), F.lit("⟧"))
 
 
-def rewrite(docs: DataFrame, merged: DataFrame, strategy: str = "redact") -> DataFrame:
+def rewrite(docs: DataFrame, merged: DataFrame, strategy: str = "redact", secret: bytes = b"") -> DataFrame:
     """(doc_id, text, n_replaced): texts with their targets replaced (P6): redact, mask (by type), pseudonym (by token) or filler (tokens whose drawn letters are all the same, for a second scan, P7). Documents without targets stay as they are."""
     at = targets(merged).join(docs.select("doc_id", "text"), "doc_id") if strategy == "pseudonym" else targets(merged)
     label = F.col("label")
     said = {"redact": F.lit("⟦REDACTED⟧"), "mask": F.concat(F.lit("⟦"), label, F.lit("⟧")), "filler": F.concat(F.lit("⟦"), label, F.lit(f"_{FILLER}⟧")), "pseudonym": None}[strategy]
     if said is None:
-        said = token(F.col("doc_id"), label, F.substring(F.col("text"), F.col("cs") + 1, F.col("ce") - F.col("cs")))
+        said = token(secret, F.col("doc_id"), label, F.substring(F.col("text"), F.col("cs") + 1, F.col("ce") - F.col("cs")))
     spots = at.select("doc_id", F.struct("cs", "ce", said.alias("said")).alias("s")).groupBy("doc_id").agg(F.sort_array(F.collect_list("s")).alias("spots"))
     cursor = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     done = docs.join(spots, "doc_id", "left").withColumn("spots", F.coalesce("spots", F.array().cast("array<struct<cs:int,ce:int,said:string>>")))
