@@ -20,9 +20,17 @@ def tokens(answers: DataFrame) -> DataFrame:
     return answers.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"({TOKEN})"), F.lit(1))).alias("at", "token"))
 
 
+#: What may stand before a token that is part of a link, up to the end of a line or further where the construct isn't closed: destinations and references, angle brackets and
+#: attributes (their brackets written out or as references), schemes, www and host/path runs, and addresses in style sheets.
+CONTEXTS = (
+    r"\]\([^)\n]*", r"\]:[ \t]*\S*", r"<[^>]*", r"&(?:lt|#60|#x3[cC]);[^>]*", r"(?:href|src|action|data)\s*=\s*[\"']?[^\"'>]*", r"[a-zA-Z][a-zA-Z0-9+.-]*:(?://)?[^\s⟦]*[^\s⟦:][^\s⟦]*", r"[a-zA-Z][a-zA-Z0-9+.-]*://[^\s]*",
+    r"(?:^|[^a-zA-Z0-9])www\.[^\s]*", r"[a-zA-Z0-9-]+(?:\.[a-zA-Z0-9-]+)+/[^\s]*", r"(?i:url)\([^)]*", r"@(?i:import)[^;]*",
+)
+
+
 def linked(text: Column) -> Column:
-    """Whether a token stands in a link's destination, an attribute or a web address."""
-    return F.coalesce(text.rlike(rf"\]\([^)\n]*{TOKEN}|(?:href|src)\s*=\s*[\"'][^\"']*{TOKEN}|[a-zA-Z][a-zA-Z0-9+.-]*://[^\s]*{TOKEN}"), F.lit(False))
+    """Whether a token stands in a link's destination, an attribute, a web address or a style sheet's address (R4, R5). A link's own text doesn't count."""
+    return F.coalesce(text.rlike("|".join(c + TOKEN for c in CONTEXTS)), F.lit(False))
 
 
 def restored(answers: DataFrame, mapping: DataFrame) -> DataFrame:

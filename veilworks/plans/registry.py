@@ -677,3 +677,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
+
+
+from veilworks.plans import reports  # noqa: E402, F401  it registers its queries by the names above

@@ -22,12 +22,6 @@ class Unreadable(ValueError):
     """Why a file gives no text."""
 
 
-def sniffed(content: Column) -> Column:
-    """A file's kind by its first bytes."""
-    head = F.hex(F.substring(content, 1, 8))
-    return F.when(head.startswith("504B0304"), "zip").when(head == "D0CF11E0A1B11AE1", "compound").when(head.startswith("255044462D"), "pdf").otherwise("text")
-
-
 def decoded(data: bytes) -> str:
     """A text file's text (S8): by its byte order mark, else as UTF-8, else as CP949; with a NUL it isn't text."""
     for mark, name in ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be")):
@@ -101,15 +95,16 @@ def paragraphs(data: bytes, block: str, text: str, region: str, skip: tuple[str,
 
 
 def sheet_cells(data: bytes, strings: list[str]) -> Iterator[tuple[int, str]]:
-    row, kind, value, said = 0, "", [], False
+    row, kind, value, said, hidden = 0, "", [], False, False
     for what, name, attrs in xml_events(data):
         if what == "start":
             row += name == "row"
+            hidden = attrs.get("hidden") in ("1", "true") if name == "row" else hidden
             kind, value = (attrs.get("t", ""), []) if name == "c" else (kind, value)
             said = name in ("v", "t")
         elif what == "end":
             said = said and name not in ("v", "t")
-            if name == "c" and value:
+            if name == "c" and value and not hidden:
                 yield row, strings[int("".join(value))] if kind == "s" else "".join(value)
         elif said:
             value.append(name)
@@ -162,8 +157,10 @@ def blocks_of(path: str, data: bytes, depth: int = 0) -> Iterator[tuple[str, int
                     yield "xlsx", n, f"{a['name']}!row{row}", cell
     elif "ppt/presentation.xml" in names:
         for s, name in enumerate(sorted((x for x in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", x)), key=natural), 1):
+            if next((a.get("show") for k, n, a in xml_events(z.read(name)) if k == "start" and n == "sld"), "1") in ("0", "false"):
+                continue
             for region, said in paragraphs(z.read(name), "p", "t", "sp"):
-                yield "pptx", s * 1000 + region, f"slide{s}", said
+                yield "pptx", s * 100_000 + region, f"slide{s}", said
     elif depth >= MOST_DEPTH:
         raise Unreadable("too_deep")
     else:
