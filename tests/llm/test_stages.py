@@ -73,6 +73,15 @@ def test_language_edges(spark):
     assert langid.predict(empty(spark), model).count() == 0
 
 
+def test_language_query(spark):
+    """The query on its own folds: languages of the held-out documents."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = langid.op1_word_backoff_language(spark, DATA).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    held = [r.lang_pred == docs[r.doc_id].lang for r in got if r.held_out and docs[r.doc_id].lang and r.lang_pred != langid.UNDETERMINED]
+    assert sum(held) >= 0.95 * len(held)
+
+
 # 2
 
 
@@ -395,6 +404,23 @@ def test_fingerprint_query(spark, tmp_path):
         assert got[key].n_chars == len(own) and got[key].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
 
 
+def test_fingerprint_likeness_of_all_documents(spark):
+    """near_edited and near_next of the whole query against exact resemblance of the sets: a sketch of 128 hashes errs by 0.045 on average at most."""
+    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{DATA}/documents.parquet").collect())
+    got = {r.doc_id: r for r in fingerprint.op7_bottom_k_fingerprints(spark, DATA).collect()}
+    likeness = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    sets = [shingles(t, 5) for _, t in docs]
+    off = []
+    for i, (key, text) in enumerate(docs):
+        n, after = len(text), docs[(i + 1) % len(docs)][1]
+        edited = text[: n - n // 2] + after[: n // 2]
+        r = got[key]
+        assert r.n_chars == n and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        off += [abs(r.near_edited - likeness(sets[i], shingles(edited, 5))), abs(r.near_next - likeness(sets[i], sets[(i + 1) % len(docs)]))]
+        assert (r.fingerprint == r.edited_fingerprint) == (r.near_edited == 1.0)
+    assert np.mean(off) <= 0.03 and np.quantile(off, 0.99) <= 0.15
+
+
 # 8
 
 
@@ -450,6 +476,17 @@ def test_shards(spark):
         assert own == list(range(len(own))) and len(own) in (25, 26)
 
 
+def test_shard_query(spark):
+    """The query's own rows against Python: sizes, checksums, gapless slots, counts at most one apart."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = sharding.op9_feistel_shards(spark, DATA).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    assert all((r.size, r.text_crc32) == (len(docs[r.doc_id].encode()) + 1, zlib.crc32(docs[r.doc_id].encode())) for r in got)
+    slots = [sorted(r.slot for r in got if r.shard == s) for s in range(8)]
+    assert all(x == list(range(len(x))) for x in slots) and max(map(len, slots)) - min(map(len, slots)) <= 1
+    assert sharding.shard(empty(spark), [F.col("doc_id")], 8).count() == 0
+
+
 # 10
 
 
