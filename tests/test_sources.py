@@ -64,7 +64,7 @@ def test_files(spark, path, data, want):
     "body, code",
     [
         ({"model": "m", "messages": [{"role": "user", "content": "x"}]}, None),
-        ('{"model":"m","model":"n","messages":[]}', 200), ("[1]", 200), ("{", 200), ({"tool": 1}, 300), ({"stream": True}, 303), ({"n": 2}, 302), ({"temperature": 2.5}, 302),
+        ('{"model":"m","model":"n","messages":[]}', 300), ("[1]", 200), ("{", 200), ({"tool": 1}, 300), ({"stream": True}, 303), ({"n": 2}, 302), ({"temperature": 2.5}, 302),
         ({"max_tokens": 5, "max_completion_tokens": 6}, 302), ({"max_tokens": 0}, 302), ({"model": "m"}, 201),
     ],
 )

@@ -456,8 +456,8 @@ def S24_reconciliation(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)
-SELECT conv_id AS request_id, CASE WHEN conv_id % 7 = 0 THEN 200 WHEN conv_id % 7 = 1 THEN 300 WHEN conv_id % 7 = 2 THEN 303 WHEN conv_id % 7 = 3 OR conv_id % 5 = 4 THEN 302 END AS code,
-CAST(CASE WHEN conv_id % 7 = 0 THEN n ELSE n END AS INTEGER) AS n_messages, CAST(least(4096, 100 + conv_id * 37) AS INTEGER) AS max_tokens FROM c""")
+SELECT conv_id AS request_id, CASE WHEN conv_id % 7 IN (0, 1) THEN 300 WHEN conv_id % 7 = 2 THEN 303 WHEN conv_id % 7 = 3 OR conv_id % 5 = 4 THEN 302 END AS code,
+CAST(n AS INTEGER) AS n_messages, CAST(least(4096, 100 + conv_id * 37) AS INTEGER) AS max_tokens FROM c""")
 def S1_S3_request_scan(spark, sf_dir):
     """Conversations as request bodies: some with a key twice, a strange key, streaming, or a parameter out of range."""
     turns = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))

@@ -14,16 +14,16 @@ CAP = 4096
 def scanned(requests: DataFrame) -> DataFrame:
     """(request_id, code, n_messages, max_tokens) of requests (request_id, body) (S1, S3): the first failure in the order of the checks, or null.
 
-    200 for what isn't one JSON object with unlike keys, 300 for a key that isn't allowed, 303 for
+    200 for what isn't one JSON object, 300 for a key that isn't allowed or comes twice, 303 for
     streaming, 302 for a parameter out of range, 201 for no message.
     """
     strict = F.call_function("try_parse_json", F.col("body"))
     keys, r = F.coalesce(F.json_object_keys("body"), F.array().cast("array<string>")), F.from_json("body", SHAPE)
-    rows = requests.select("request_id", strict.isNull().alias("bad"), F.json_object_keys("body").isNull().alias("flat"), F.size(F.array_except(keys, F.array(*map(F.lit, KEYS)))).alias("strange"), r.alias("r"))
+    rows = requests.select("request_id", strict.isNull().alias("bad"), (F.size(keys) > F.size(F.array_distinct(keys))).alias("twice"), F.json_object_keys("body").isNull().alias("flat"), F.size(F.array_except(keys, F.array(*map(F.lit, KEYS)))).alias("strange"), r.alias("r"))
     within = lambda c, top: c.isNull() | (~F.isnan(c) & c.between(0, top))
     length = F.coalesce("r.max_completion_tokens", "r.max_tokens")
     fine = (F.coalesce(F.col("r.n"), F.lit(1)) == 1) & within(F.col("r.temperature"), 2) & within(F.col("r.top_p"), 1) & F.coalesce(length > 0, F.lit(True)) & F.coalesce(F.col("r.max_tokens") == F.col("r.max_completion_tokens"), F.lit(True))
-    code = F.when(F.col("bad") | F.col("flat"), 200).when(F.col("strange") > 0, 300).when(F.col("r.stream"), 303).when(~fine, 302).when(F.coalesce(F.size("r.messages"), F.lit(0)) <= 0, 201)
+    code = F.when(F.col("flat") | (F.col("bad") & ~F.col("twice")), 200).when(F.col("twice") | (F.col("strange") > 0), 300).when(F.col("r.stream"), 303).when(~fine, 302).when(F.coalesce(F.size("r.messages"), F.lit(0)) <= 0, 201)
     return rows.select("request_id", code.alias("code"), F.coalesce(F.size("r.messages"), F.lit(0)).alias("n_messages"), F.least(F.coalesce(length, F.lit(CAP)), F.lit(CAP)).alias("max_tokens"))
 
 
