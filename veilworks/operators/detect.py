@@ -240,13 +240,14 @@ def find_all(docs: DataFrame) -> DataFrame:
     """All spans of a document, each once (D0): places in the text, values as the view has them.
 
     Texts are read through their views, so invisible and wide characters hide nothing. They are scanned
-    once; what is found in them is small and kept in the shared folder.
+    once; what is found in them is small and kept in the shared folder, and so are the spans, since most
+    of what follows reads them more than once.
     """
     found = cut(searched(view.viewed(docs), carry=("moved",)))
     windows = digit_windows(None, found)
     spans = find_patterns(docs, found=found).unionByName(find_numbers(None, windows)).unionByName(find_anchored(None, found)).unionByName(find_ibans(None, found))
     moved = found.where("moved is not null").groupBy("doc_id").agg(F.first("moved").alias("moved"))
-    return view.back(spans.select(*SPAN), moved).distinct()
+    return cut(view.back(spans.select(*SPAN), moved).distinct())
 
 
 def capped(spans: DataFrame, most: int = 513) -> DataFrame:

@@ -80,11 +80,15 @@ def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def thresholds(rows: DataFrame, by: str, score: str, alpha: float) -> DataFrame:
-    """(by, threshold): the benign score at place ceil((1 - alpha) n), or just above the highest."""
-    w, all_ = Window.partitionBy(by).orderBy(score), Window.partitionBy(by)
-    placed = rows.select(by, score, F.row_number().over(w).alias("r"), F.count(F.lit(1)).over(all_).alias("n"), F.max(score).over(all_).alias("most"))
+    """(by, threshold): the benign score at place ceil((1 - alpha) n), or just above the highest.
+
+    Scores are counted first, so a group's window holds its distinct scores.
+    """
+    counted = rows.where(F.col(score).isNotNull()).groupBy(by, score).agg(F.count(F.lit(1)).alias("c"))
+    up, all_ = Window.partitionBy(by).orderBy(score).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(by)
+    placed = counted.withColumns({"upto": F.sum("c").over(up), "n": F.sum("c").over(all_), "most": F.max(score).over(all_)})
     k = F.ceil((1 - alpha) * F.col("n"))
-    found = placed.where((F.col("r") == k + 1) | ((k >= F.col("n")) & (F.col("r") == F.col("n"))))
+    found = placed.where(F.when(k >= F.col("n"), F.col("upto") == F.col("n")).otherwise((k < F.col("upto")) & (k >= F.col("upto") - F.col("c"))))
     return found.select(by, F.when(k >= F.col("n"), F.col("most") + 1e-6).otherwise(F.col(score)).alias("threshold"))
 
 

@@ -99,7 +99,7 @@ def rewrite(docs: DataFrame, merged: DataFrame, strategy: str = "redact", secret
         said = token(secret, F.col("doc_id"), label, F.substring(F.col("text"), F.col("cs") + 1, F.col("ce") - F.col("cs")))
     spots = at.select("doc_id", F.struct("cs", "ce", said.alias("said")).alias("s")).groupBy("doc_id").agg(F.sort_array(F.collect_list("s")).alias("spots"))
     cursor = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    done = docs.join(spots, "doc_id", "left").withColumn("spots", F.coalesce("spots", F.array().cast("array<struct<cs:int,ce:int,said:string>>")))
+    done = docs.select("doc_id", "text").join(spots, "doc_id", "left").withColumn("spots", F.coalesce("spots", F.array().cast("array<struct<cs:int,ce:int,said:string>>")))
     folded = F.aggregate("spots", cursor, lambda a, s: F.struct(F.concat(a.out, F.substring(F.col("text"), a.at + 1, s.cs - a.at), s.said).alias("out"), s.ce.alias("at")))
     return done.withColumn("f", folded).select("doc_id", F.concat("f.out", F.substring(F.col("text"), F.col("f.at") + 1, F.length("text"))).alias("text"), F.size("spots").alias("n_replaced"))
 

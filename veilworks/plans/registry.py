@@ -11,7 +11,7 @@ from veilworks.functions import numbers
 from veilworks.operators import answers, audit, context, detect, encoded, ledger, measure, policy, strata, texts, verify
 from veilworks.plans import oracles
 from veilworks.sources import files, gates, requests
-from veilworks.sources.tables import table
+from veilworks.sources.tables import spread, table
 
 FLAGSHIP = "P1_check_policy"
 TOKENS_SQL = oracles.tokens(b"a secret for the tables of this repository only")
@@ -32,7 +32,7 @@ def query(sql: str | None = None):
 
 
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 # Texts

@@ -7,3 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than the cluster has slots, dealt over all of them; any larger one as it is.
+
+    A file of one row group is one task's work however many splits it has, so a small table would leave
+    all other slots idle. Only tables of under a split a slot are shuffled.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
