@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,15 +35,15 @@ def find_masks(docs: DataFrame, masks: list[str]) -> DataFrame:
     return found.where(~F.col("next").rlike("^[A-Za-z0-9_]")).select("doc_id", "cs", "ce", F.lit("INSTITUTION_ID").alias("type"), F.lit("Mask").alias("detector"), "value")
 
 
-def near(spans: DataFrame, words: DataFrame, reach: int = NEAR) -> DataFrame:
-    """spans (doc_id, cs, ce, ...) that stand within `reach` code points of one of words (doc_id, cs, ce), each once.
+def near(spans: DataFrame, words: DataFrame, reach: int = NEAR, same: tuple[str, ...] = ()) -> DataFrame:
+    """spans (doc_id, cs, ce, ...) that stand within `reach` code points of one of words (doc_id, cs, ce), each once (J3), and share the columns `same` with it.
 
     Both are dealt to bins of BIN code points, so a long text full of numbers and words isn't paired
     all with all.
     """
     bins = lambda a, b: F.explode(F.sequence(F.floor(a / BIN), F.floor(b / BIN)))
-    w = words.select("doc_id", (F.col("cs") - reach).alias("__from"), (F.col("ce") + reach).alias("__to"))
+    w = words.select("doc_id", *same, (F.col("cs") - reach).alias("__from"), (F.col("ce") + reach).alias("__to"))
     w = w.withColumn("__bin", bins(F.col("__from"), F.col("__to")))
     s = spans.withColumn("__bin", bins(F.col("cs"), F.col("ce")))
-    met = s.join(w, (s["doc_id"] == w["doc_id"]) & (s["__bin"] == w["__bin"]) & (F.col("__from") <= F.col("ce")) & (F.col("cs") <= F.col("__to")), "left_semi")
+    met = s.join(w, (s["doc_id"] == w["doc_id"]) & (s["__bin"] == w["__bin"]) & reduce(and_, [s[c] == w[c] for c in same], F.lit(True)) & (F.col("__from") <= F.col("ce")) & (F.col("cs") <= F.col("__to")), "left_semi")
     return met.drop("__bin").distinct()

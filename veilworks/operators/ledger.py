@@ -69,3 +69,38 @@ def confirm(state: dict, row: dict) -> str:
 def confirmations(events: DataFrame) -> DataFrame:
     """events (token, id, ts, action: issue, approve or redeem, origin, body) with verdict."""
     return folded(events, "token", ["ts", "id"], dict, confirm, "verdict")
+
+
+#: Values that a scope may hold.
+MOST_VALUES = 512
+
+
+def vault(state: dict, row: dict) -> str:
+    """A scope lives for `seconds` after it was created and holds up to MOST_VALUES values. The first touch of one that is too old finds it expired and removes it; then it is as if it had never been."""
+    now = row["ts"].timestamp()
+    if state.get("live") and now >= state["until"]:
+        state.update(live=False, values=[])
+        if row["action"] != "create":
+            return "expired"
+    if row["action"] == "create":
+        if state.get("live"):
+            return "exists"
+        state.update(live=True, until=now + row["seconds"], values=[])
+        return "created"
+    if not state.get("live"):
+        return "not_found"
+    if row["action"] == "drop":
+        state.update(live=False, values=[])
+        return "dropped"
+    if row["action"] == "resolve":
+        return "resolved" if row["value"] in state["values"] else "unknown"
+    if row["value"] not in state["values"]:
+        if len(state["values"]) >= MOST_VALUES:
+            return "full"
+        state["values"].append(row["value"])
+    return "issued"
+
+
+def scopes(events: DataFrame) -> DataFrame:
+    """events (scope, id, ts, action: create, issue, resolve or drop, value, seconds) with verdict."""
+    return folded(events, "scope", ["ts", "id"], dict, vault, "verdict")

@@ -113,3 +113,12 @@ def residual(spans: DataFrame, replaced: DataFrame) -> DataFrame:
 def counts(spans: DataFrame) -> DataFrame:
     """Spans by document and type (P10)."""
     return spans.groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def touching(spans: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(doc_id, cs, ce, type, detector, touches): spans of a rewritten text that lie in none of its tokens (doc_id, cs, ce), and whether they touch one."""
+    t = tokens.select(F.col("doc_id").alias("__doc"), F.col("cs").alias("__cs"), F.col("ce").alias("__ce"))
+    met = spans.join(t, (F.col("doc_id") == F.col("__doc")) & (F.col("cs") <= F.col("__ce")) & (F.col("__cs") <= F.col("ce")), "left")
+    inside = F.coalesce((F.col("__cs") <= F.col("cs")) & (F.col("ce") <= F.col("__ce")), F.lit(False))
+    of = met.groupBy("doc_id", "cs", "ce", "type", "detector").agg(F.bool_or(inside).alias("inside"), F.bool_or(F.col("__cs").isNotNull()).alias("touches"))
+    return of.where("NOT inside").drop("inside")

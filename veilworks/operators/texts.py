@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,3 +75,18 @@ def paired(sentences: DataFrame, marker: Column, subject: Column) -> DataFrame:
     near = lambda c, n: F.coalesce(F.lag(c, n).over(w), F.lit(False))
     flagged = flagged.withColumns({"m0": near("m", 1), "s0": near("s", 1), "m2": near("m", -1), "s2": near("s", -1)})
     return flagged.where((F.col("m") & (F.col("s") | F.col("s0") | F.col("s2"))) | (F.col("s") & (F.col("m0") | F.col("m2")))).select("doc_id", "at")
+
+
+def valid(content: Column) -> Column:
+    """Whether bytes are strict UTF-8 (V1): nothing overlong, no surrogate, nothing past the last code point."""
+    return F.is_valid_utf8(content)
+
+
+def _composed(column: pa.Array) -> pa.Array:
+    return pa.array([t if t is None else unicodedata.normalize("NFC", t) for t in column.to_pylist()], pa.string())
+
+
+def comparable(text: Column) -> Column:
+    """A text without zero-width marks and in composed form (V16). Only texts with other than ASCII characters reach Python; null stays null."""
+    plain = F.regexp_replace(text, "[\u200b-\u200d\ufeff]", "")
+    return F.coalesce(F.arrow_udf(_composed, "string")(F.when(plain.rlike(r"[^\x00-\x7F]"), plain)), plain)
