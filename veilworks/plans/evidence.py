@@ -12,8 +12,23 @@ from veilworks.plans import oracles
 from veilworks.plans.registry import CONTEXT_WORDS, PLANTED, docs_of, planted, query, terms_sql
 from veilworks.sources.tables import table
 
-WORDS_SQL = f"({terms_sql(CONTEXT_WORDS, 'CONTEXT')})"
-CLAUSES_SQL = f"(SELECT doc_id, ce FROM ({oracles.matches('mark', evidence.CLAUSE_MARKS)}) WHERE regexp_matches(next, '^[ \\t\\n]') AND NOT (value = '.' AND regexp_matches(before, '[A-Za-z]$')))"
+
+
+def said(docs: DataFrame, ends: tuple[str, ...]) -> DataFrame:
+    """Documents with one of `ends` after them."""
+    own = F.get(F.array(*map(F.lit, ends)), (F.col("doc_id") % len(ends)).cast("int"))
+    return docs.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" | "), own).alias("text"))
+
+
+def said_sql(ends: tuple[str, ...]) -> str:
+    return f"(SELECT doc_id, coalesce(text, '') || ' | ' || list_value({', '.join(map(oracles.quoted, ends))})[doc_id % {len(ends)} + 1] AS text FROM documents)"
+
+
+#: Numbers and words that explain them, in one clause and in two.
+EXPLAINED = ("account 12345678 now", "account no. 12345678 now", "account 9! 12345678 now", "token 77? 12345678 x", "server 5. 12345678", "nothing 12345678")
+EXPLAINED_SQL = said_sql(EXPLAINED)
+WORDS_SQL = f"({terms_sql(CONTEXT_WORDS, 'CONTEXT').replace('FROM documents', 'FROM ' + EXPLAINED_SQL)})"
+CLAUSES_SQL = f"(SELECT doc_id, ce FROM ({oracles.matches('mark', evidence.CLAUSE_MARKS, EXPLAINED_SQL)}) WHERE regexp_matches(next, '^[ \\t\\n]') AND NOT (value = '.' AND regexp_matches(before, '[A-Za-z]$')))"
 
 
 def ends_sql(source: str = "documents") -> str:
@@ -25,18 +40,18 @@ def number_sql(spans: str, ends: str, name: str) -> str:
     return f"(SELECT s.*, CAST(count(e.ce) AS INTEGER) AS {name} FROM (SELECT *, row_number() OVER () AS row_ FROM {spans}) s LEFT JOIN {ends} e ON e.doc_id = s.doc_id AND e.ce <= s.cs GROUP BY ALL)"
 
 
-@query(f"SELECT doc_id, cs, ce, digits, clause FROM {number_sql(f'({oracles.WINDOWS})', CLAUSES_SQL, 'clause')}")
+@query(f"SELECT doc_id, cs, ce, digits, clause FROM {number_sql(f'({oracles.windows(EXPLAINED_SQL)})', CLAUSES_SQL, 'clause')}")
 def V8_clause_numbers(spark, sf_dir):
     """The clause of each digit window."""
-    docs = docs_of(spark, sf_dir)
+    docs = said(docs_of(spark, sf_dir), EXPLAINED)
     return evidence.numbered(detect.digit_windows(docs).drop("shape"), evidence.clause_ends(docs), "clause")
 
 
-@query(f"""WITH w AS (SELECT * FROM {number_sql(f'(SELECT * FROM ({oracles.WINDOWS}) WHERE length(digits) >= 6)', CLAUSES_SQL, 'clause')}), t AS (SELECT * FROM {number_sql(WORDS_SQL, CLAUSES_SQL, 'clause')})
+@query(f"""WITH w AS (SELECT * FROM {number_sql(f'(SELECT * FROM ({oracles.windows(EXPLAINED_SQL)}) WHERE length(digits) >= 6)', CLAUSES_SQL, 'clause')}), t AS (SELECT * FROM {number_sql(WORDS_SQL, CLAUSES_SQL, 'clause')})
 SELECT DISTINCT doc_id, cs, ce, digits FROM w WHERE EXISTS (SELECT 1 FROM t WHERE t.doc_id = w.doc_id AND t.clause = w.clause AND t.cs - {context.NEAR} <= w.ce AND w.cs <= t.ce + {context.NEAR})""")
 def D12_V8_numbers_in_clause(spark, sf_dir):
     """Numbers near a word that explains them in the same clause."""
-    docs = docs_of(spark, sf_dir)
+    docs = said(docs_of(spark, sf_dir), EXPLAINED)
     ends = evidence.clause_ends(docs)
     numbers = evidence.numbered(detect.digit_windows(docs).where(F.length("digits") >= 6).drop("shape"), ends, "clause")
     words = evidence.numbered(detect.find_terms(docs, CONTEXT_WORDS, "CONTEXT"), ends, "clause")
@@ -47,7 +62,7 @@ def D12_V8_numbers_in_clause(spark, sf_dir):
 TAILS, GENERIC = ["Institute", "Bank", "은행", "연구소"], ["the", "our", "우리", "a"]
 PARTICLES = [("은", "final"), ("는", "open"), ("에서", ""), ("의", ""), ("을", "final"), ("에서는", "")]
 NAMED = ("met at NorthBank today", "한빛은행에서는 안내", "우리은행의 공지", "새봄연구소는 오늘", "theBank closed", "lowerbank and Bank", "Q7Institute, then X9Bank", "강은행을 가", "한빛은행은 또", "no name here")
-NAMED_SQL = f"(SELECT doc_id, coalesce(text, '') || ' | ' || list_value({', '.join(map(oracles.quoted, NAMED))})[doc_id % {len(NAMED)} + 1] AS text FROM documents)"
+NAMED_SQL = said_sql(NAMED)
 
 
 def trim_sql(word: str, rounds: int = 2) -> str:
@@ -68,9 +83,7 @@ h AS (SELECT *, regexp_extract(own, '^(.*?)(?:{'|'.join(TAILS)})$', 1) AS head F
 SELECT doc_id, cs, CAST(cs + length(own) AS INTEGER) AS ce, 'ORGANIZATION' AS type, 'Pattern' AS detector, own AS value FROM h
 WHERE head <> '' AND lower(head) NOT IN ({', '.join(map(oracles.quoted, GENERIC))}) AND CASE WHEN regexp_matches(head, '^[A-Za-z0-9&]+$') THEN regexp_matches(head, '[A-Z0-9]') ELSE length(head) >= 2 END""")
 def D24_V13_organizations(spark, sf_dir):
-    said = F.get(F.array(*map(F.lit, NAMED)), (F.col("doc_id") % len(NAMED)).cast("int"))
-    docs = docs_of(spark, sf_dir).select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" | "), said).alias("text"))
-    return evidence.find_organizations(docs, TAILS, GENERIC, PARTICLES)
+    return evidence.find_organizations(said(docs_of(spark, sf_dir), NAMED), TAILS, GENERIC, PARTICLES)
 
 
 #: Our own words of categories, and the types that tell of a person.
@@ -120,14 +133,15 @@ def D33_scored_documents(spark, sf_dir):
 
 MARKERS = ["customer", "Mr."]
 REFERENCES = [(a, b) for a in ("my", "his", "this") for b in ("brother", "person", "file")]
+SPOKEN = ("see my brother's car", "of (his person)", "of mymy brother", "dear customer,", "this file.", "Mr. X", "of his files", "nobody")
 LEFT, RIGHT, AFTER = " \n(", " .,)\n", ["'s"]
 
 
 @query(f"""WITH r AS (SELECT a.w || ' ' || b.w AS ref FROM (VALUES ('my'), ('his'), ('this')) a(w), (VALUES ('brother'), ('person'), ('file')) b(w))
-SELECT doc_id, contains(text, 'customer') OR contains(text, 'Mr.') OR EXISTS (SELECT 1 FROM r WHERE regexp_matches(text, '(^|[ \\n(])' || ref || '([ .,)\\n]|''s|$)')) AS personal FROM documents WHERE text IS NOT NULL""")
+SELECT doc_id, contains(text, 'customer') OR contains(text, 'Mr.') OR EXISTS (SELECT 1 FROM r WHERE regexp_matches(text, '(^|[ \\n(])' || ref || '([ .,)\\n]|''s|$)')) AS personal FROM {said_sql(SPOKEN)}""")
 def D34_person_references(spark, sf_dir):
-    said = evidence.refers_to_person(F.col("text"), MARKERS, REFERENCES, LEFT, RIGHT, AFTER)
-    return docs_of(spark, sf_dir).where("text is not null").select("doc_id", said.alias("personal"))
+    personal = evidence.refers_to_person(F.col("text"), MARKERS, REFERENCES, LEFT, RIGHT, AFTER)
+    return said(docs_of(spark, sf_dir), SPOKEN).select("doc_id", personal.alias("personal"))
 
 
 # Bytes and forms
@@ -164,7 +178,9 @@ def A32_block_baseline(spark, sf_dir):
     return count(docs, "whole").join(count(lines, "blocks"), "type", "full_outer").select("type", F.coalesce("whole", F.lit(0)).alias("whole"), F.coalesce("blocks", F.lit(0)).alias("blocks"))
 
 
-_COPY = f"({oracles.rewritten(f"'⟦' || label || '_{policy.FILLER}⟧'")})"
+#: A span right after one that is replaced, and one apart from it.
+ADJOINED = ("mail ann@mail.example.org-----BEGIN PRIVATE KEY-----abc", "card 4111 1111 1111 1111 of ann@mail.example.org", "mail ann@mail.example.org")
+_COPY = f"({oracles.rewritten(f"'⟦' || label || '_{policy.FILLER}⟧'", said_sql(ADJOINED))})"
 
 
 @query(f"""WITH {oracles.spans_of(_COPY)}, k AS (SELECT doc_id, cs AS k_cs, ce AS k_ce FROM ({oracles.matches('token', f'({answers.TOKEN})', _COPY)}))
@@ -172,7 +188,7 @@ SELECT s.doc_id, s.cs, s.ce, s.type, s.detector, bool_or(k_cs IS NOT NULL) AS to
 GROUP BY ALL HAVING NOT coalesce(bool_or(k_cs <= s.cs AND s.ce <= k_ce), false)""")
 def A33_residual_touches(spark, sf_dir):
     """Spans of the second scan that lie in no token, and whether they touch one."""
-    docs = docs_of(spark, sf_dir)
+    docs = said(docs_of(spark, sf_dir), ADJOINED)
     copy = policy.rewrite(docs, policy.merge(detect.find_all(docs)), "filler")
     return policy.touching(detect.find_all(copy), detect.matches(copy, {"token": (f"({answers.TOKEN})", "⟦")}))
 

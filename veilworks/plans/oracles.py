@@ -155,12 +155,13 @@ drawn AS (SELECT doc_id, label, value, k, {marks} AS marks FROM digested)
 SELECT doc_id, label, value, '⟦' || label || '_' || arg_min(marks, k) || '⟧' AS token FROM drawn WHERE NOT ({leaks}) GROUP BY doc_id, label, value"""
 
 
-def rewritten(said: str) -> str:
-    return f"""WITH {SPANS}, spots AS (
+def rewritten(said: str, source: str = "documents") -> str:
+    return f"""WITH {spans_of(source)},
+{ACTED}, spots AS (
   SELECT m.doc_id, m.cs, m.ce, {said} AS said, lag(m.ce, 1, 0) OVER w AS since, row_number() OVER w AS i FROM merged m WHERE m.action = 'tokenize' WINDOW w AS (PARTITION BY m.doc_id ORDER BY m.cs)),
-heads AS (SELECT s.doc_id, string_agg(substr(text, since + 1, cs - since) || said, '' ORDER BY i) AS head, max(ce) AS upto, count(*) AS n FROM spots s JOIN documents d ON s.doc_id = d.doc_id GROUP BY s.doc_id)
+heads AS (SELECT s.doc_id, string_agg(substr(text, since + 1, cs - since) || said, '' ORDER BY i) AS head, max(ce) AS upto, count(*) AS n FROM spots s JOIN {source} d ON s.doc_id = d.doc_id GROUP BY s.doc_id)
 SELECT d.doc_id, CASE WHEN text IS NOT NULL THEN coalesce(head, '') || substr(text, coalesce(upto, 0) + 1) END AS text, CAST(coalesce(n, 0) AS INTEGER) AS n_replaced
-FROM documents d LEFT JOIN heads h ON d.doc_id = h.doc_id"""
+FROM {source} d LEFT JOIN heads h ON d.doc_id = h.doc_id"""
 
 
 def sentences(marks: str, gap: str, newline: str, source: str = "documents") -> str:
