@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilworks.functions import numbers
-from veilworks.operators import answers, audit, detect, encoded, measure, policy, texts
+from veilworks.operators import answers, audit, detect, encoded, measure, policy, running, texts
 
 
 SECRET = b"a secret for the tables of this repository only"
@@ -152,3 +152,29 @@ def test_encoded_parts_are_rescanned(spark):
     d = docs(spark, twice, "&#52;&#x31;" + "11 ", pair, "100%zz " + "".join(f"%{c:02x}" for c in card), "plain")
     got = {r.doc_id: (r.types, r.code) for r in encoded.judged(d).collect()}
     assert got[0] == got[2] == got[3] == ("CARD_NUMBER", 401) and got[1] == ("", None) and 4 not in got
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<table><tr><td>a</td><td>b</td></tr></table>", ["| a\t| b\t |"]), ("a&#44;&#xAC00;&copy;&amp;lt;&#0;", ["a,가&copy;&lt;&#0;"]), ("x<!-- <p> -->y<script>var a='<p>';</script>z", ["xyz"]),
+        ("a\r\nb<pre>c</PRE>d", ["a", "b", "c", "d"]), ("a<b c", ["a"]), ("a<!-- b", ["a"]), ("<title>t</title>\t &nbsp; ", ["t"]), ("<p title='<!--'>a", ["a"]), ("a<style>b", ["a"]), ("&#65279;a&#xD800;", ["﻿a&#xD800;"]), ("", []), (None, []),
+    ],
+)
+def test_html_lines(spark, html, want):
+    got = texts.html_lines(spark.createDataFrame([(1, html)], "page_id long, html string")).orderBy("line").collect()
+    assert [r.text for r in got] == want and [r.line for r in got] == list(range(1, len(want) + 1))
+
+
+def test_running_sums(spark):
+    """As a plain loop: a hot group, null groups and values, other columns of near names."""
+    rows = [(None if i % 7 == 0 else "hot" if i % 3 else f"k{i % 50}", i * 7919 % 1000, None if i % 11 == 0 else i % 5, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k string, o long, v long, before long").repartition(7)
+    want, so_far = {}, {}
+    for k, o, v, i in sorted(rows, key=lambda r: r[1]):
+        so_far[k] = so_far.get(k, 0) + (v or 0)
+        want[i] = so_far[k]
+    got = running.running(df, ["k"], ["o"], "v")
+    assert got.columns == ["k", "o", "v", "before", "running"]
+    assert {r.before: r.running for r in got.collect()} == want
+    assert running.running(df.where("false"), ["k"], ["o"], "v").count() == 0

@@ -66,6 +66,10 @@ def test_files(spark, path, data, want):
         ({"model": "m", "messages": [{"role": "user", "content": "x"}]}, None),
         ('{"model":"m","model":"n","messages":[]}', 300), ("[1]", 200), ("{", 200), ({"tool": 1}, 300), ({"stream": True}, 303), ({"n": 2}, 302), ({"temperature": 2.5}, 302),
         ({"max_tokens": 5, "max_completion_tokens": 6}, 302), ({"max_tokens": 0}, 302), ({"model": "m"}, 201),
+        ({"n": "1"}, 302), ({"n": 1.0}, 302), ({"n": None, "messages": [{"role": "user", "content": "x"}]}, None), ({"stop": {"a": 1}}, 302), ({"stop": ["a"], "stream": 1}, 302), ({"model": 3}, 300), ({"messages": None}, 300),
+        ({"messages": [{"role": "user", "content": [{"type": "text", "text": "x"}]}]}, None), ({"messages": [{"role": "user", "content": [{"type": "image", "text": "x"}]}]}, 301), ({"messages": [{"role": "user", "content": ["x"]}]}, 301),
+        ({"messages": [{"role": "user", "content": [{"type": "text", "text": "x", "more": 1}]}]}, 301), ({"messages": [{"role": "judge", "content": "x"}]}, 300), ({"messages": [{"role": "user"}]}, 300), ({"messages": [{"role": "user", "content": "x", "name": "y"}]}, 300),
+        ('{"stop":' + "[" * 16 + "]" * 16 + "}", 200), ('{"stop":["\\"[[[[[[[[[[[[[[[[[[["]}', 201),
     ],
 )
 def test_requests(spark, body, code):

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilworks.operators.running import running
+
 GENESIS = "0" * 64
 IN_FLIGHT = 16
 
@@ -54,10 +56,9 @@ def checkpoints(lines: DataFrame) -> DataFrame:
 
 
 def in_flight(starts: DataFrame, seconds: int, limit: int = IN_FLIGHT) -> DataFrame:
-    """(key, id, ts, running, overloaded): how many requests of a key run when each begins, if each takes `seconds` (T8, T12). Ends come before starts of the same instant."""
+    """(key, id, ts, running, overloaded): how many requests of a key run when each begins, if each takes `seconds` (T8, T12). Ends come before starts of the same instant. A key of any size is swept by many tasks."""
     moves = starts.select("key", "id", "ts", F.lit(1).alias("move")).unionByName(starts.select("key", "id", (F.col("ts") + F.make_dt_interval(secs=F.lit(seconds))).alias("ts"), F.lit(-1).alias("move")))
-    so_far = Window.partitionBy("key").orderBy("ts", "move", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return moves.withColumn("running", F.sum("move").over(so_far)).where("move = 1").select("key", "id", "ts", "running", (F.col("running") > limit).alias("overloaded"))
+    return running(moves, ["key"], ["ts", "move", "id"], "move").where("move = 1").select("key", "id", "ts", "running", (F.col("running") > limit).alias("overloaded"))
 
 
 def expired(checkpoint: DataFrame, today: str, days: int = 365) -> DataFrame:

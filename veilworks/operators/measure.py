@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilworks.operators.running import running
+
 Z = 1.96
 
 
@@ -47,10 +49,10 @@ def share(key: Column) -> Column:
 
 
 def capped(rows: DataFrame, by: list[str], key: str, size: str, cap: int, seed: str) -> DataFrame:
-    """The rows of each group that come, in an order drawn by seed, before their sizes reach the cap."""
+    """The rows of each group that come, in an order drawn by seed, before their sizes reach the cap (A12). A group of any size is summed by many tasks."""
     order = F.sha2(F.concat_ws(":", F.lit(seed), *[F.col(b).cast("string") for b in by], F.col(key).cast("string")), 256)
-    before = Window.partitionBy(*by).orderBy(order, key).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("before", F.coalesce(F.sum(size).over(before), F.lit(0))).where(F.col("before") < cap).drop("before")
+    summed = running(rows.withColumn("__order", order), by, ["__order", key], size)
+    return summed.where(F.col("running") - F.coalesce(F.col(size), F.lit(0)) < cap).drop("running", "__order")
 
 
 def first_copies(rows: DataFrame, by: str, key: str, text: str, least: int = 4) -> DataFrame:

@@ -33,18 +33,42 @@ def corpus_sentences(docs: DataFrame) -> DataFrame:
     return pieces(docs, r"([.?!\n](?=[ \n]|$))")
 
 
+#: What isn't text in a page: comments, scripts and styles to their ends, tags (one without an end takes all that follows), and references that are decoded.
+MARKUP = (
+    r"(?is)<!--.*?(?:-->|\z)|<script[^>]*(?:>.*?(?:</script[^>]*(?:>|\z)|\z)|\z)|<style[^>]*(?:>.*?(?:</style[^>]*(?:>|\z)|\z)|\z)|<[^>]*(?:>|\z)"
+    r"|&(?-i:amp|lt|gt|quot|apos|nbsp|middot|hellip);|&#x[0-9a-f]{1,7};|&#[0-9]{1,8};"
+)
+#: Named references that are decoded; all others stay.
+REFERENCES = (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("middot", "·"), ("hellip", "…"))
+
+
+def _character(digits: Column, base: int, given: Column) -> Column:
+    """The character of a number, or what was given where it is none."""
+    n = F.conv(digits, base, 10).cast("long")
+    made = F.when(n == 0xFEFF, "﻿").otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))  # a leading mark of byte order isn't read as a character
+    return F.when((n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF), made).otherwise(given)
+
+
+def _in_place(mark: Column) -> Column:
+    """What stands in a line for one piece of markup."""
+    tag, low = F.startswith(mark, F.lit("<")), F.lower(mark)
+    cell = F.when(low.rlike(r"^<t[dh][> /\t\n\r]"), "| ").when(low.rlike(r"^</tr[> /\t\n\r]"), " |").otherwise("")
+    broken = F.when(low.rlike("^<(?:br|/p|p|/div|/tr|/li|/h|h)"), "\n").otherwise("")
+    named = F.element_at(F.create_map(*[F.lit(x) for name, c in REFERENCES for x in (f"&{name};", c)]), mark)
+    digits = F.substring(low, F.lit(3), F.length(low) - 3)
+    number = F.when(F.startswith(low, F.lit("&#x")), _character(F.substring(digits, F.lit(2), F.length(digits)), 16, mark)).otherwise(_character(digits, 10, mark))
+    return F.when(tag, F.concat(cell, broken, F.when(low.rlike("^</t[dh]"), "\t").otherwise(""))).otherwise(F.when(F.startswith(mark, F.lit("&#")), number).otherwise(named))
+
+
 def html_lines(pages: DataFrame) -> DataFrame:
-    """(page_id, line, text): a page's lines (S11): comments, scripts and styles dropped, block tags broken, cells marked, references decoded."""
-    t = F.regexp_replace("html", r"(?s)<!--.*?-->", "")
-    t = F.regexp_replace(t, r"(?is)<script\b.*?</script>|<style\b.*?</style>", "")
-    t = F.regexp_replace(t, r"[\n\t]", " ")
-    t = F.regexp_replace(t, r"(?i)<t[dh]\b[^>]*>", "| ")
-    t = F.regexp_replace(t, r"(?i)</tr>", " |\n")
-    t = F.regexp_replace(t, r"(?i)<br[^>]*>|</p[^>]*>|</div[^>]*>|</li[^>]*>|</?h[^>]*>", "\n")
-    t = F.regexp_replace(t, r"<[^>]*>", "")
-    for name, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        t = F.replace(t, F.lit(name), F.lit(mark))
-    kept = F.filter(F.transform(F.split(t, "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
+    """(page_id, line, text): a page's lines (S11), blank ones dropped, numbered from 1.
+
+    Comments, scripts and styles go; tags that begin like a block's break a line; cells begin with a bar
+    and end with a tab; references are decoded once. Null gives nothing.
+    """
+    gaps, marks = F.split("html", MARKUP, -1), F.transform(F.regexp_extract_all("html", F.lit(MARKUP), F.lit(0)), _in_place)
+    said = F.zip_with(gaps, marks, lambda gap, mark: F.concat(F.translate(gap, "\r", "\n"), F.coalesce(mark, F.lit(""))))
+    kept = F.filter(F.transform(F.split(F.array_join(said, ""), "\n", -1), lambda x: F.regexp_replace(x, r"^[ \t]+|[ \t]+$", "")), lambda x: x != "")
     return pages.where(F.col("html").isNotNull()).select("page_id", F.posexplode(kept).alias("at", "text")).select("page_id", (F.col("at") + 1).alias("line"), "text")
 
 

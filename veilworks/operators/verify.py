@@ -68,12 +68,20 @@ def error_body(code: Column, types: Column) -> Column:
     return F.when(code.isNotNull(), F.to_json(F.struct(F.struct(code.alias("code"), types.alias("types")).alias("error"))))
 
 
+def _whole(content: Column, at: Column) -> Column:
+    """The place `at` in UTF-8 bytes, or where the character that it would split begins."""
+    inside = lambda k: F.coalesce(F.hex(F.substring(content, at - k + 1, F.lit(1))).between("80", "BF"), F.lit(False))
+    return F.when(~inside(0), at).when(~inside(1), at - 1).when(~inside(2), at - 2).otherwise(at - 3)
+
+
 def details(spans: DataFrame, docs: DataFrame, reach: int = 30) -> DataFrame:
-    """(doc_id, cs, type, value, context) of each span (K6): the value with `reach` code points around it, tabs, line ends and backslashes escaped for a tab-separated file."""
-    start = F.greatest(F.col("cs") - reach, F.lit(0))
-    near = F.substring("text", start + 1, F.col("ce") + reach - start)
+    """(doc_id, cs, type, value, context) of each span (K6): the value with `reach` bytes around it, cut between characters, tabs, line ends and backslashes escaped for a tab-separated file."""
     escaped = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("\t"), F.lit("\\t")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
-    return spans.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "cs", "type", escaped(F.col("value")).alias("value"), escaped(near).alias("context"))
+    upto = lambda c: F.octet_length(F.substring("text", F.lit(1), F.col(c)))
+    found = spans.join(docs.select("doc_id", "text"), "doc_id").withColumns({"content": F.encode("text", "UTF-8"), "begin": upto("cs"), "end": upto("ce")})
+    found = found.withColumns({"begin": _whole(F.col("content"), F.greatest(F.col("begin") - reach, F.lit(0))), "end": _whole(F.col("content"), F.least(F.col("end") + reach, F.length("content")))})
+    near = F.decode(F.substring("content", F.col("begin") + 1, F.col("end") - F.col("begin")), "UTF-8")
+    return found.select("doc_id", "cs", "type", escaped(F.col("value")).alias("value"), escaped(near).alias("context"))
 
 
 def byte_offsets(spans: DataFrame, docs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from veilworks.functions.structures import IBAN_STRUCTURES
 from veilworks.operators.detect import ANCHORS, DASHES, IBAN, IFSC, IFSC_DIGITS, MOST_DIGITS, NEAR, PATTERNS, RUNS, iban_pattern
+from veilworks.operators.texts import MARKUP, REFERENCES
 from veilworks.operators.policy import ACTIONS, FILLER, MOST_SPANS, TYPES
 
 
@@ -24,6 +25,16 @@ SELECT doc_id, {quoted(name)} AS name, CAST(ce - length(value) AS INTEGER) AS cs
 WHERE coalesce(value, '') <> ''"""
 
 
+_MARK = quoted(MARKUP)
+_NAMED = "CASE m " + " ".join(f"WHEN '&{n};' THEN {quoted(c)}" for n, c in REFERENCES) + " END"
+_NUMBER = "CASE WHEN lower(m)[3] = 'x' THEN CAST('0x' || m[4:-2] AS BIGINT) ELSE CAST(m[3:-2] AS BIGINT) END"
+_IN_PLACE = rf"""CASE WHEN m[1] = '<' THEN CASE WHEN regexp_matches(m, '(?i)^<t[dh][> /\t\n\r]') THEN '| ' WHEN regexp_matches(m, '(?i)^</tr[> /\t\n\r]') THEN ' |' ELSE '' END
+  || CASE WHEN regexp_matches(m, '(?i)^<(?:br|/p|p|/div|/tr|/li|/h|h)') THEN chr(10) ELSE '' END || CASE WHEN regexp_matches(m, '(?i)^</t[dh]') THEN chr(9) ELSE '' END
+  WHEN m[2] = '#' THEN CASE WHEN {_NUMBER} BETWEEN 1 AND 1114111 AND {_NUMBER} NOT BETWEEN 55296 AND 57343 THEN chr(CAST({_NUMBER} AS INTEGER)) ELSE m END ELSE {_NAMED} END"""
+HTML_LINES = f"""WITH t AS (SELECT page_id, regexp_split_to_array(html, {_MARK}) AS gaps, [{_IN_PLACE} for m in regexp_extract_all(html, {_MARK}, 0)] AS marks FROM pages WHERE html IS NOT NULL),
+x AS (SELECT page_id, [y for y in [trim(z, ' ' || chr(9)) for z in string_split(array_to_string([replace(gaps[i], chr(13), chr(10)) || coalesce(marks[i], '') for i in range(1, len(gaps) + 1)], ''), chr(10))] if y <> ''] AS x FROM t)
+SELECT page_id, CAST(generate_subscripts(x, 1) AS INTEGER) AS line, unnest(x) AS text FROM x"""
+
 OCTETS = "len([o for o in string_split(value, '.') if CAST(o AS INTEGER) > 255 OR CAST(CAST(o AS INTEGER) AS VARCHAR) <> o]) = 0"
 MAILBOX = r"NOT contains(value, '.@') AND length(split_part(value, '@', -1)) <= 255 AND NOT regexp_matches(split_part(value, '@', -1), '^-|-$|-\.|\.-')"
 _QUAD = r"regexp_matches(value, '(?:^|:)[0-9]{1,3}(?:\.[0-9]{1,3}){3}$') AND len([o for o in string_split(regexp_extract(value, '[0-9.]+$'), '.') if TRY_CAST(o AS INTEGER) > 255 OR CAST(TRY_CAST(o AS INTEGER) AS VARCHAR) <> o]) = 0"

@@ -62,13 +62,7 @@ def S4_S22_segments(spark, sf_dir):
     return texts.segments(table(spark, sf_dir, "conversations"))
 
 
-@query(
-    r"""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\b.*?</script>|<style\b.*?</style>', '', 'g') AS t FROM pages WHERE html IS NOT NULL),
-u AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[\n\t]', ' ', 'g'), '(?i)<t[dh]\b[^>]*>', '| ', 'g'), '(?i)</tr>', ' |' || chr(10), 'g'), '(?i)<br[^>]*>|</p[^>]*>|</div[^>]*>|</li[^>]*>|</?h[^>]*>', chr(10), 'g') AS t FROM t),
-v AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&') AS t FROM u),
-x AS (SELECT page_id, [y for y in [trim(z) for z in string_split(t, chr(10))] if y <> ''] AS x FROM v)
-SELECT page_id, CAST(generate_subscripts(x, 1) AS INTEGER) AS line, unnest(x) AS text FROM x"""
-)
+@query(oracles.HTML_LINES)
 def S11_html_lines(spark, sf_dir):
     return texts.html_lines(table(spark, sf_dir, "pages"))
 
@@ -456,14 +450,15 @@ def S24_reconciliation(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)
-SELECT conv_id AS request_id, CASE WHEN conv_id % 7 IN (0, 1) THEN 300 WHEN conv_id % 7 = 2 THEN 303 WHEN conv_id % 7 = 3 OR conv_id % 5 = 4 THEN 302 END AS code,
+SELECT conv_id AS request_id, CASE WHEN conv_id % 14 = 6 THEN 200 WHEN conv_id % 7 IN (0, 1) THEN 300 WHEN conv_id % 7 IN (4, 5) THEN 302 WHEN conv_id % 7 = 2 THEN 303 WHEN conv_id % 7 = 3 OR conv_id % 5 = 4 THEN 302 END AS code,
 CAST(n AS INTEGER) AS n_messages, CAST(least(4096, 100 + conv_id * 37) AS INTEGER) AS max_tokens FROM c""")
 def S1_S3_request_scan(spark, sf_dir):
-    """Conversations as request bodies: some with a key twice, a strange key, streaming, or a parameter out of range."""
+    """Conversations as request bodies: some with a key twice, a strange key, streaming, deep arrays, or a parameter of another type or out of range."""
     turns = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
     k = F.col("conv_id")
     body = F.to_json(F.struct(F.lit("m").alias("model"), F.col("m").alias("messages"), (F.pmod(k, F.lit(5)) * 0.6).alias("temperature"), F.when(k % 7 == 3, 3).alias("n"), F.when(k % 7 == 2, True).alias("stream"), F.least(100 + k * 37, F.lit(1 << 30)).cast("int").alias("max_tokens")))
-    head = F.when(k % 7 == 0, F.lit('{"model":"again",')).when(k % 7 == 1, F.lit('{"tools":[],')).otherwise("{")
+    head = F.when(k % 7 == 0, F.lit('{"model":"again",')).when(k % 7 == 1, F.lit('{"tools":[],'))
+    head = head.when(k % 7 == 4, F.lit('{"top_p":"1",')).when(k % 7 == 5, F.lit('{"stop":{},')).when(k % 14 == 6, F.lit('{"stop":' + "[" * 16 + "]" * 16 + ",")).otherwise("{")
     bodies = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("m")).select(k.alias("request_id"), F.concat(head, F.substring(body, F.lit(2), F.length(body))).alias("body"))
     return requests.scanned(bodies)
 
@@ -604,7 +599,9 @@ def escaped(of: str) -> str:
     return f"replace(replace(replace(replace({of}, chr(92), chr(92) || chr(92)), chr(9), chr(92) || 't'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r')"
 
 
-@query(f"WITH {oracles.SPANS} SELECT s.doc_id, cs, type, {escaped('value')} AS value, {escaped('substr(text, greatest(cs - 30, 0) + 1, ce + 30 - greatest(cs - 30, 0))')} AS context FROM spans s JOIN documents d ON s.doc_id = d.doc_id")
+@query(f"""WITH {oracles.SPANS}, d AS (SELECT s.doc_id, cs, type, value, hex(encode(text)) AS h, octet_length(encode(substr(text, 1, cs))) - 30 AS a, octet_length(encode(substr(text, 1, ce))) + 30 AS b FROM spans s JOIN documents d ON s.doc_id = d.doc_id),
+e AS (SELECT *, list_filter(range(greatest(a, 0), greatest(a, 0) - 4, -1), lambda i: substr(h, 2 * i + 1, 1) NOT IN ('8', '9', 'A', 'B'))[1] AS x, list_filter(range(least(b, length(h) // 2), least(b, length(h) // 2) - 4, -1), lambda i: substr(h, 2 * i + 1, 1) NOT IN ('8', '9', 'A', 'B'))[1] AS y FROM d)
+SELECT doc_id, cs, type, {escaped('value')} AS value, {escaped('decode(unhex(substr(h, 2 * x + 1, 2 * (y - x))))')} AS context FROM e""")
 def K6_span_details(spark, sf_dir):
     docs = docs_of(spark, sf_dir)
     return verify.details(detect.find_all(docs), docs)
@@ -650,16 +647,22 @@ def A39_made_numbers(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", made.alias("number")).withColumn("valid", numbers.business_number(F.col("number")))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 3 THEN o_custkey END AS origin, CASE WHEN o_orderkey % 4 = 3 THEN 401 WHEN o_orderkey % 5 = 0 THEN 404 WHEN o_orderkey % 7 = 0 THEN 405 WHEN o_orderkey % 11 = 0 THEN 415 END AS status
-FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 3 THEN o_custkey END AS origin, CASE WHEN o_orderkey % 17 = 0 THEN 400 WHEN o_orderkey % 19 = 0 THEN 429 WHEN o_orderkey % 4 = 3 THEN 401 WHEN o_orderkey % 5 = 0 THEN 404
+WHEN o_orderkey % 7 = 0 THEN 405 WHEN o_orderkey % 11 = 0 THEN 415 WHEN o_orderkey % 5 = 1 AND o_orderkey % 3 = 0 THEN 403 WHEN o_orderkey % 5 = 1 AND o_orderkey % 3 = 1 THEN 400 WHEN o_orderkey % 5 <> 1 AND o_orderkey % 13 IN (1, 2, 3) THEN 400
+WHEN o_orderkey % 23 = 0 THEN 102 WHEN o_orderkey % 23 = 1 THEN 100 END AS status FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)""")
 def T10_T11_request_gate(spark, sf_dir):
-    """Orders as requests by their customers, some with a strange token, path, method or type."""
+    """Orders as requests by their customers, with every reason for a refusal."""
     k, customers = F.col("o_orderkey"), table(spark, sf_dir, "customer").select("c_custkey")
-    header = F.when(k % 4 == 0, F.concat(F.lit("Bearer key"), F.col("o_custkey").cast("string"))).when(k % 4 == 3, "Bearer strange").otherwise(F.concat(F.lit("bearer key"), F.col("o_custkey").cast("string")))
+    key = F.concat(F.lit("key"), F.col("o_custkey").cast("string"))
+    header = F.when(k % 4 == 0, F.concat(F.lit("Bearer "), key)).when(k % 4 == 3, "Bearer strange").otherwise(F.concat(F.lit("bearer "), key))
     requests_ = table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey", header.alias("header"))
     known = gates.authenticated(requests_, customers.select(F.col("c_custkey").alias("origin"), F.sha2(F.concat(F.lit("key"), F.col("c_custkey").cast("string")), 256).alias("token_sha256")))
-    path, method, kind = F.when(k % 5 == 0, "/x").otherwise("/v1/chat"), F.when(k % 7 == 0, "GET").otherwise("POST"), F.when(k % 11 == 0, "text/plain").otherwise("application/json")
-    return known.select("o_orderkey", "origin", gates.gate(F.col("origin").isNotNull(), path, method, kind, ["/v1/chat"]).alias("status"))
+    path = F.when(k % 5 == 0, "/x").when(k % 5 == 1, "/approve").otherwise("/v1/chat")
+    method, kind = F.when(k % 7 == 0, "GET").otherwise("POST"), F.when(k % 11 == 0, "text/plain").otherwise("application/json")
+    mark = F.when((k % 5 == 1) & (k % 3 == 2) | ~(k % 13).isin(1, 2, 3) & (k % 5 != 1), F.array().cast("array<string>")).when(k % 13 == 1, F.array(F.lit("a"), F.lit("b"))).when(k % 13 == 2, F.array(F.lit(""))).otherwise(F.array(F.repeat(F.lit("m"), 33)))
+    grade = requests.graded(F.when(k % 23 == 0, F.array(F.lit("C"), F.lit("S"))).when(k % 23 == 1, F.array(F.lit("C"))).otherwise(F.array(F.lit("O"))), True)
+    status = gates.gate(F.col("origin").isNotNull(), path, method, kind, ["/v1/chat"], headers=F.when(k % 17 == 0, 2).otherwise(1), locked=k % 19 == 0, approval="/approve", local=k % 3 != 0, marks=mark, grade=grade)
+    return known.select("o_orderkey", "origin", status.alias("status"))
 
 
 @query("SELECT event_id, ts FROM events WHERE strftime(ts, '%Y-%m-%d') = (SELECT max(strftime(ts, '%Y-%m-%d')) FROM events) ORDER BY event_id DESC LIMIT 20")

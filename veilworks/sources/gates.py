@@ -15,6 +15,25 @@ def authenticated(requests: DataFrame, origins: DataFrame) -> DataFrame:
     return requests.withColumn("token_sha256", F.sha2(token, 256)).join(known, "token_sha256", "left").drop("token_sha256")
 
 
-def gate(authorised: Column, path: Column, method: Column, content_type: Column, paths: list[str]) -> Column:
-    """The status that a request is refused with, or null (T10): 401, 404, 405 or 415; the first that applies."""
-    return F.when(~F.coalesce(authorised, F.lit(False)), 401).when(~F.coalesce(path.isin(*paths), F.lit(False)), 404).when(~F.coalesce(method == "POST", F.lit(False)), 405).when(~F.coalesce(content_type == "application/json", F.lit(False)), 415)
+#: Characters of a confirmation's mark.
+MARK = 32
+
+
+def gate(authorised: Column, path: Column, method: Column, content_type: Column, paths: list[str], *, headers: Column | None = None, locked: Column | None = None, approval: str = "", local: Column | None = None, marks: Column | None = None, grade: Column | None = None) -> Column:
+    """The status that a request is refused with, or null (T10): the first that applies.
+
+    400 for several Authorization headers, 429 for a locked sender, 401 for a strange one, 404, 405 and 415 for
+    the path, the method and the type; on the approval path 403 for one that isn't local, and 400 for any
+    confirmation mark; elsewhere 400 for several marks, an empty or a long one; then the code of its grade.
+    marks: the values of the confirmation header. What isn't given isn't asked; null is no.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False)) if c is not None else F.lit(False)
+    own = F.coalesce(marks, F.array().cast("array<string>")) if marks is not None else F.array().cast("array<string>")
+    approving = F.coalesce(path == approval, F.lit(False)) if approval else F.lit(False)
+    asked = F.when(F.coalesce(headers, F.lit(1)) > 1, 400) if headers is not None else F.when(F.lit(False), 400)
+    asked = asked.when(yes(locked), 429).when(~yes(authorised), 401).when(~(yes(path.isin(*paths)) | approving), 404).when(~yes(method == "POST"), 405).when(~yes(content_type == "application/json"), 415)
+    if local is not None:
+        asked = asked.when(approving & ~yes(local), 403)
+    misshapen = (F.size(own) > 1) | F.exists(own, lambda m: (F.length(m) == 0) | (F.length(m) > MARK))
+    asked = asked.when((approving & (F.size(own) > 0)) | misshapen, 400)
+    return asked.otherwise(grade) if grade is not None else asked
