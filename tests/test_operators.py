@@ -2,11 +2,12 @@
 
 import hmac
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from veilworks.functions import numbers
-from veilworks.operators import answers, audit, detect, encoded, measure, policy, running, texts
+from veilworks.operators import answers, audit, detect, encoded, head, measure, parts, policy, running, texts
 
 
 SECRET = b"a secret for the tables of this repository only"
@@ -178,3 +179,46 @@ def test_running_sums(spark):
     assert got.columns == ["k", "o", "v", "before", "running"]
     assert {r.before: r.running for r in got.collect()} == want
     assert running.running(df.where("false"), ["k"], ["o"], "v").count() == 0
+
+
+def test_wrapped_and_marked(spark):
+    d = docs(spark, "card 4111 1111\n1111 1111", "pay 4111 1111\n1111 1111", "Tel 010-2345\n6789", "card 4111\n1111\n1111 1111", None, "")
+    assert found(detect.find_wrapped(d)) == {(0, "CARD_NUMBER", "4111111111111111"), (2, "KOREAN_PHONE", "01023456789")}
+    texts_ = ["a\u200b id 900101\\text{-}1234567 b", "$4111{-}1111$ 1111\\,1111", "\\% 010#[-]2345#sym.dash 6789", "900101-123% note\n  4567 {", "plain 4111-1111-1111-1111", None]
+    got = {r.doc_id: texts_[r.doc_id][r.cs : r.ce] for r in detect.find_marked(docs(spark, *texts_)).collect()}
+    assert got == {0: "900101\\text{-}1234567", 1: "4111{-}1111$ 1111\\,1111", 2: "010#[-]2345#sym.dash 6789", 3: "900101-123% note\n  4567"}
+
+
+def test_countable(spark):
+    d = docs(spark, "$ 12345678", "12345678 USD", "2024-02-30", "2024-02-29", "12345678", "2024-01-02 2024-01-03")
+    assert {(r.doc_id, r.digits) for r in detect.countable(d).collect() if len(r.digits) >= 8} == {(2, "20240230"), (4, "12345678"), (5, "010220240103"), (5, "0220240103")} | {(5, x) for x in ("2024010220", "202401022024", "20240102202401", "0102202401", "01022024", "02202401")} - {(5, "2024010220")}
+
+
+def test_parts(spark):
+    for size, content in ((8, "abc\ndefghijk\n\nxyz"), (4, "\nabcdé日本語"), (5, "日本語日本語"), (4096, "")):
+        ends = parts.ends_of_blocks(content.encode(), size)
+        cut = [content.encode()[a:b] for a, b in zip([0, *ends], ends)]
+        assert b"".join(cut) == content.encode() and all(0 < len(b) <= size and b.decode() for b in cut)
+        assert all(b.endswith(b"\n") or b"\n" not in b[1:] for b in cut[:-1])
+    long = "x" * 5000 + "\n" + "é" * 5000
+    rows = parts.blocks(docs(spark, long, None, "")).orderBy("at").collect()
+    assert "".join(r.text for r in rows) == long and [r.begin for r in rows][1] == 4096
+    assert parts.windows_of(10, [2, 7], 4, 1) == [(0, 3), (3, 7), (6, 10)] and parts.windows_of(0, []) == [] and parts.windows_of(254, []) == [(0, 254)]
+    assert parts.windows_of(300, []) == [(0, 254), (222, 300)]
+
+
+def test_softmax_head(spark):
+    """As close to the least weighted loss as plain gradient descent, on standardised components."""
+    rng = np.random.default_rng(1)
+    y = np.array([0] * 60 + [1] * 30 + [2] * 10)
+    x = rng.normal(size=(100, 3)) + y[:, None] * [1.0, -0.5, 0.2]
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], int(y[i])) for i in range(100)] + [(100, [1.0, float("nan"), 0.0], 1), (101, None, None)], "id long, v array<double>, label int")
+    got = {r.id: r for r in head.scored(head.fitted(df, "v", "label", l2=0.01), df, "v").collect()}
+    z = np.hstack([(x - x.mean(0)) / x.std(0, ddof=1), np.ones((100, 1))])
+    weight, w, keep = 100 / (3 * np.bincount(y)[y]), np.zeros((3, 4)), np.array([1, 1, 1, 0.0])
+    for _ in range(4000):
+        p = np.exp(z @ w.T)
+        p /= p.sum(1, keepdims=True)
+        w -= 0.5 * (((p - np.eye(3)[y]) * weight[:, None]).T @ z / weight.sum() + 0.01 * w * keep)
+    assert all(got[i].predicted == p[i].argmax() and abs(got[i].score - p[i].max()) < 1e-3 for i in range(100))
+    assert got[100].predicted is None and got[101].score is None

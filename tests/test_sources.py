@@ -6,9 +6,10 @@ import zipfile
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
-from veilworks.operators import ledger
-from veilworks.sources import files, requests
+from veilworks.operators import audit, ledger
+from veilworks.sources import corpora, files, requests
 
 
 def packed(**parts):
@@ -107,3 +108,14 @@ def test_confirmation_ledger(spark):
     assert play((0, "issue", "o", "b"), (1, "approve", "x", "b"), (2, "approve", "o", "b"), (3, "redeem", "o", "b")) == ["issued", "refused", "approved", "accepted"]
     assert play((0, "issue", "o", "b"), (1, "approve", "o", "other"), (2, "approve", "o", "b")) == ["issued", "refused", "refused"]
     assert play((0, "issue", "o", "b"), (400, "approve", "o", "b")) == ["issued", "refused"]
+
+
+def test_corpora(spark, tmp_path):
+    rows = [("a", '{"data":[{"t":"x"},{"t":"y"}]}'), ("a", '{"data":[{"t":'), ("b", '{"data":[]}'), ("b", "{}"), ("b", None)]
+    found = corpora.entries(spark.createDataFrame(rows, "path string, content string"), "data array<struct<t: string>>", "data")
+    assert sorted((r.path, r.at, r.item and r.item.t) for r in found.collect() if r.item) == [("a", 1, "x"), ("a", 2, "y")]
+    assert {(r.group, r.n_items, r.n_damaged) for r in corpora.damaged(found, F.col("path")).collect()} == {("a", 2, 1), ("b", 0, 2)}
+    lines = audit.chained(spark.createDataFrame([("2024-01-01", i, "k", str(i)) for i in range(5)], "chain string, seq long, kind string, fields string"))
+    corpora.append_lines(lines.where("seq < 3"), str(tmp_path / "a"))
+    corpora.append_lines(lines.where("seq >= 3"), str(tmp_path / "a"))
+    assert [tuple(r) for r in audit.verified(corpora.read_lines(spark, str(tmp_path / "a"))).collect()] == [("2024-01-01", 5, "ok")]

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,6 +57,28 @@ _GROUPS = f"[0-9]+(?:{_JOINT}{{1,3}}[0-9]+)*"
 RUN = f"{_GROUPS}(?:(?:{_JOINT}?[{DASHES}]\\n{_JOINT}?|{_JOINT}?\\n[{DASHES}]{_JOINT}?){_GROUPS})?"
 #: Digits that letters follow are consumed first, so that no run begins within them.
 RUNS = f"[0-9]+[A-Za-z][0-9A-Za-z]*|({RUN})"
+#: As RUNS, but once by a line end without a dash.
+WRAPPED_RUNS = f"[0-9]+[A-Za-z][0-9A-Za-z]*|({_GROUPS}(?:{_JOINT}{{0,3}}\\n{_JOINT}{{0,3}}{_GROUPS})?)"
+#: Words that explain a number broken by a line end, within CUE_REACH characters before it.
+CUES = {
+    "KOREAN_RRN": ("주민", "생년월일", "등록번호", "외국인"),
+    "KOREAN_ALIEN_REGISTRATION_NO": ("주민", "생년월일", "등록번호", "외국인"),
+    "KOREAN_PHONE": ("전화", "연락", "휴대", "핸드폰", "팩스", "tel", "phone", "mobile", "fax"),
+    "CARD_NUMBER": ("카드", "card"),
+    "KOREAN_BUSINESS_NO": ("사업자",),
+    "KOREAN_DRIVER_LICENSE_NO": ("면허",),
+}
+CUE_REACH = 30
+#: What makes the number beside it an amount, one blank between them or none; and dates.
+CURRENCY_AFTER = ("원", "만원", "억원", "천원", "달러", "엔", "위안", "유로", "krw", "usd", "jpy", "cny", "eur", "円", "元")
+CURRENCY_BEFORE = ("$", "₩", "¥", "€", "krw", "usd", "eur")
+AMOUNT_AFTER = "(?i)^ ?(?:" + "|".join(CURRENCY_AFTER) + ")"
+AMOUNT_BEFORE = "(?i)(?:" + "|".join(map(re.escape, CURRENCY_BEFORE)) + ") ?$"
+_MONTH_DAY = "(?:(?:0[13578]|1[02]){0}(?:0[1-9]|[12][0-9]|3[01])|(?:0[469]|11){0}(?:0[1-9]|[12][0-9]|30)|02{0}(?:0[1-9]|[12][0-9]))"
+_DATE = "(?:" + "|".join("(?:19|20)[0-9][0-9]{0}".format(c) + _MONTH_DAY.format(c) for c in ("-", "[.]")) + ")"
+DATES = f"^{_DATE}(?:[^0-9]+{_DATE})*$"
+#: What marks up a text: commands, braces, brackets, calls, comments to the end of their line; an escaped character stays.
+MARKED, MARKS = r"[\\${}#\[]", r"\\[A-Za-z]+|\\[,!;:-]|\\([^A-Za-z,!;:-])|\\\z|[{}$\[\]]|#[A-Za-z][A-Za-z.]*|#\[|%[^\n]*\n?[ \t]*"
 IFSC = r"(?:^|[^A-Za-z0-9])([A-Za-z]{4}0[A-Za-z0-9]{6})"
 IBAN = r"(?:^|[^A-Za-z0-9])([A-Z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){11,32})"
 MOST_DIGITS = 34
@@ -133,11 +157,12 @@ def find_patterns(docs: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS, fou
     return found.select("doc_id", "cs", "ce", F.split("name", "/")[0].alias("type"), F.split("name", "/")[1].alias("detector"), "value")
 
 
-def digit_windows(docs: DataFrame | None, found: DataFrame | None = None) -> DataFrame:
-    """(doc_id, cs, ce, digits, shape): every range of neighbouring groups of each digit run, up to MOST_DIGITS digits (V4, V5).
+def digit_windows(docs: DataFrame | None, found: DataFrame | None = None, beside: bool = False) -> DataFrame:
+    """(doc_id, cs, ce, digits, shape), with beside also (run, run_at, before, next): every range of neighbouring groups of each digit run, up to MOST_DIGITS digits (V4, V5).
 
     A group that a letter touches is no part of a run. shape: the sizes of the groups, joined by - for
-    one dash and by ~ for any other separator.
+    one dash and by ~ for any other separator. beside: the run's own text, where it begins, and what is
+    around it, as far as found tells.
     """
     runs = (matches(docs, {"run": (RUNS, "#")}) if found is None else found).where("name = 'run'")
     runs = runs.withColumns({"groups": F.regexp_extract_all("value", F.lit("[0-9]+"), F.lit(0)), "gaps": F.split("value", "[0-9]+", -1)})
@@ -151,14 +176,15 @@ def digit_windows(docs: DataFrame | None, found: DataFrame | None = None) -> Dat
     shape = F.aggregate(F.sequence(F.col("a"), F.col("b")), F.lit(""), lambda s, k: F.concat(s, F.when(k == F.col("a"), "").when(F.get("gaps", k).rlike(f"^[{DASHES}]$"), "-").otherwise("~"), F.length(F.get("groups", k)).cast("string")))
     cs = F.col("cs") + total("gaps", F.col("a") + 1) + total("groups", F.col("a"))
     ce = F.col("cs") + total("gaps", F.col("b") + 1) + total("groups", F.col("b") + 1)
-    return pair.select("doc_id", cs.alias("cs"), ce.alias("ce"), "digits", shape.alias("shape"))
+    more = [F.col("value").alias("run"), F.col("cs").alias("run_at"), "before", "next"] if beside else []
+    return pair.select("doc_id", cs.alias("cs"), ce.alias("ce"), "digits", shape.alias("shape"), *more)
 
 
-def find_numbers(docs: DataFrame | None, windows: DataFrame | None = None) -> DataFrame:
-    """Spans of the number rules (D1-D5, D15, and the pairs of D16) on every window."""
+def find_numbers(docs: DataFrame | None, windows: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Spans of the number rules (D1-D5, D15, and the pairs of D16) on every window, with its columns `keep`."""
     windows = digit_windows(docs) if windows is None else windows
     hits = F.filter(F.array(*[F.when(rule(F.col("digits"), F.col("shape")), F.struct(F.lit(t).alias("type"), F.lit(d).alias("detector"))) for t, d, rule in RULES]), lambda x: x.isNotNull())
-    return windows.select("doc_id", "cs", "ce", F.explode(hits).alias("hit"), F.col("digits").alias("value")).select("doc_id", "cs", "ce", "hit.type", "hit.detector", "value")
+    return windows.select("doc_id", "cs", "ce", F.explode(hits).alias("hit"), F.col("digits").alias("value"), *keep).select("doc_id", "cs", "ce", "hit.type", "hit.detector", "value", *keep)
 
 
 def find_anchored(docs: DataFrame | None, found: DataFrame | None = None) -> DataFrame:
@@ -236,6 +262,47 @@ def find_labelled(docs: DataFrame, labels: list[str]) -> DataFrame:
     return found.where(fine).select("doc_id", "cs", "ce", F.lit("INSTITUTION_ID").alias("type"), F.lit("Pattern").alias("detector"), "value")
 
 
+def _sides(windows: DataFrame, reach: int) -> tuple[Column, Column]:
+    """Up to `reach` characters before and after each window."""
+    before = F.right(F.concat("before", F.substring("run", F.lit(1), F.col("cs") - F.col("run_at"))), F.lit(reach))
+    after = F.left(F.concat(F.substring("run", F.col("ce") - F.col("run_at") + 1, F.length("run")), "next"), F.lit(reach))
+    return before, after
+
+
+def find_wrapped(docs: DataFrame) -> DataFrame:
+    """Spans of numbers that a line end breaks (D7), after a word that explains them."""
+    windows = digit_windows(None, matches(docs, {"run": (WRAPPED_RUNS, "#\n")}, around=CUE_REACH), beside=True)
+    windows = windows.where(F.contains(F.substring("run", F.col("cs") - F.col("run_at") + 1, F.col("ce") - F.col("cs")), F.lit("\n")))
+    windows = windows.withColumn("ahead", F.lower(_sides(windows, CUE_REACH)[0]))
+    explained = reduce(or_, [(F.col("type") == t) & F.col("ahead").rlike("|".join(words)) for t, words in CUES.items()])
+    return find_numbers(None, windows, keep=("ahead",)).where(explained).select(*SPAN).distinct()
+
+
+def countable(docs: DataFrame) -> DataFrame:
+    """digit_windows() without amounts (a currency beside them) and without those that are all dates."""
+    windows = digit_windows(None, matches(docs, {"run": (RUNS, "#")}, around=8), beside=True)
+    before, after = _sides(windows, 8)
+    dates = F.substring("run", F.col("cs") - F.col("run_at") + 1, F.col("ce") - F.col("cs")).rlike(DATES)
+    return windows.where(~(before.rlike(AMOUNT_BEFORE) | after.rlike(AMOUNT_AFTER) | dates)).select("doc_id", "cs", "ce", "digits", "shape")
+
+
+def find_marked(docs: DataFrame) -> DataFrame:
+    """Spans of numbers, addresses and hosts that markup breaks (V3): found in the texts without it, in the places of the texts."""
+    seen = view.viewed(docs).where(F.col("text").rlike(MARKED))
+    plain = seen.select("doc_id", F.regexp_replace("text", MARKS, "$1").alias("text"))
+    found = cut(searched(plain, tuple(p for p in PATTERNS if p.type in ("EMAIL", "IP_ADDRESS"))))
+    spans = find_patterns(plain, tuple(p for p in PATTERNS if p.type in ("EMAIL", "IP_ADDRESS")), found).unionByName(find_numbers(None, digit_windows(None, found)))
+    # Each mark moves what follows it; an escaped character is what follows.
+    marks = matches(seen, {"mark": f"({MARKS.replace('([^', '(?:[^')})"})
+    kept = F.col("value").rlike(r"(?s)^\\[^A-Za-z,!;:-]$").cast("int")
+    so_far = Window.partitionBy("doc_id").orderBy("cs").rowsBetween(Window.unboundedPreceding, 0)
+    steps = marks.withColumns({"at": F.sum(F.col("ce") - F.col("cs") - kept).over(so_far).cast("int"), "from": F.col("ce") - kept})
+    step = F.struct((F.col("from") - F.col("at")).alias("at"), F.col("from").alias("cs"), (F.col("from") + 1).alias("ce"))
+    moved = steps.groupBy("doc_id").agg(F.sort_array(F.collect_list(step)).alias("moved"))
+    viewed = seen.where("moved is not null").select("doc_id", "moved")
+    return view.back(view.back(spans.select(*SPAN), moved), viewed).distinct()
+
+
 def find_all(docs: DataFrame) -> DataFrame:
     """All spans of a document, each once (D0): places in the text, values as the view has them.
 

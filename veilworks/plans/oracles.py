@@ -54,15 +54,15 @@ def patterns(source: str = "documents") -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-def windows(source: str = "documents") -> str:
-    """(doc_id, cs, ce, digits, shape) of all windows."""
+def windows(source: str = "documents", run: str = RUNS, around: int = 2) -> str:
+    """(doc_id, cs, ce, digits, shape, run, run_at, before, next) of all windows."""
     return f"""
 SELECT doc_id, CAST(cs + list_sum([length(x) for x in gaps[1:a + 1]]) + coalesce(list_sum([length(x) for x in groups[1:a]]), 0) AS INTEGER) AS cs,
   CAST(cs + list_sum([length(x) for x in gaps[1:b + 1]]) + list_sum([length(x) for x in groups[1:b + 1]]) AS INTEGER) AS ce, array_to_string(groups[a + 1:b + 1], '') AS digits,
-  array_to_string([CASE WHEN k = a THEN '' WHEN regexp_matches(gaps[k + 1], '^[{DASHES}]$') THEN '-' ELSE '~' END || length(groups[k + 1]) for k in range(a, b + 1)], '') AS shape
+  array_to_string([CASE WHEN k = a THEN '' WHEN regexp_matches(gaps[k + 1], '^[{DASHES}]$') THEN '-' ELSE '~' END || length(groups[k + 1]) for k in range(a, b + 1)], '') AS shape, run, cs AS run_at, before, next
 FROM (SELECT *, unnest(range(a, least(most, a + {MOST_DIGITS}))) AS b FROM (
   SELECT *, unnest(range(least_, most)) AS a FROM (SELECT *, CAST(regexp_matches(before, '[A-Za-z0-9]$') AS INTEGER) AS least_, len(groups) - CAST(regexp_matches(next, '^[A-Za-z0-9]') AS INTEGER) AS most FROM (
-    SELECT doc_id, cs, before, next, regexp_extract_all(value, '[0-9]+') AS groups, regexp_split_to_array(value, '[0-9]+') AS gaps FROM ({matches('run', RUNS, source)})))))
+    SELECT doc_id, cs, before, next, value AS run, regexp_extract_all(value, '[0-9]+') AS groups, regexp_split_to_array(value, '[0-9]+') AS gaps FROM ({matches('run', run, source, around)})))))
 WHERE length(array_to_string(groups[a + 1:b + 1], '')) <= {MOST_DIGITS}"""
 
 
@@ -86,16 +86,16 @@ RULES = {
 }
 
 
-def numbers(source: str = "documents") -> str:
+def numbers(source: str = "documents", found: str = "", keep: str = "") -> str:
     return f"""
-SELECT doc_id, cs, ce, h[1] AS type, h[2] AS detector, value FROM (
-  SELECT doc_id, cs, ce, digits AS value, unnest([x for x in [
+SELECT doc_id, cs, ce, h[1] AS type, h[2] AS detector, value{keep} FROM (
+  SELECT doc_id, cs, ce{keep}, digits AS value, unnest([x for x in [
     CASE WHEN {RULES['phone']} THEN ['KOREAN_PHONE', 'Pattern'] END, CASE WHEN {RULES['resident']} THEN ['KOREAN_RRN', 'Pattern'] END,
     CASE WHEN {RULES['alien']} THEN ['KOREAN_ALIEN_REGISTRATION_NO', 'Pattern'] END, CASE WHEN {RULES['business']} THEN ['KOREAN_BUSINESS_NO', 'Checksum'] END,
     CASE WHEN {RULES['card']} THEN ['CARD_NUMBER', 'Checksum'] END, CASE WHEN {RULES['clabe']} THEN ['BANK_ACCOUNT', 'Checksum'] END,
     CASE WHEN regexp_matches(digits, '^62[0-9]{{14,17}}$') OR shape IN ('3-7', '5-8') THEN ['BANK_ACCOUNT', 'Pattern'] END,
     CASE WHEN shape = '2-2-6-2' AND substr(digits, 1, 2) BETWEEN '11' AND '28' THEN ['KOREAN_DRIVER_LICENSE_NO', 'Pattern'] END] if x IS NOT NULL]) AS h
-  FROM ({windows(source)}))"""
+  FROM ({found or windows(source)}))"""
 
 
 def anchored(source: str = "documents") -> str:

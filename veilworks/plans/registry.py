@@ -682,4 +682,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-from veilworks.plans import evidence, reports  # noqa: E402, F401  they register their queries by the names above
+from veilworks.plans import evidence, pieces, reports  # noqa: E402, F401  they register their queries by the names above

@@ -22,3 +22,10 @@ def cut(df: DataFrame) -> DataFrame:
     """A narrow table that is used more than once, computed once and kept in the shared folder: a lost executor costs no second scan of the texts."""
     ensure_shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The path of the shared folder."""
+    ensure_shared_dir(spark)
+    held = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return (held or spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")
