@@ -222,3 +222,20 @@ def test_softmax_head(spark):
         w -= 0.5 * (((p - np.eye(3)[y]) * weight[:, None]).T @ z / weight.sum() + 0.01 * w * keep)
     assert all(got[i].predicted == p[i].argmax() and abs(got[i].score - p[i].max()) < 1e-3 for i in range(100))
     assert got[100].predicted is None and got[101].score is None
+
+
+def test_residual_codes(spark):
+    spans = spark.createDataFrame([(0, 0, 3, "EMAIL", "x", "a"), (1, 0, 3, "EMAIL", "x", "a"), (2, 2, 9, "EMAIL", "x", "a"), (3, 0, 2, "CONFIDENTIAL_MARKER", "x", "a")] + [(4, 0, 1, "EMAIL", str(i), "a") for i in range(513)], "doc_id long, cs int, ce int, type string, detector string, value string")
+    d, replaced = docs(spark, "abc", "abc", "abc", "abc", "abc", None), spark.createDataFrame([(1, 0, 3)], "doc_id long, cs int, ce int")
+    blobs = spark.createDataFrame([(0, 401), (1, 402), (5, None)], "doc_id long, code int")
+    got = policy.residual_codes(d, spans, replaced, blobs).orderBy("doc_id").collect()
+    assert [(r.code, r.types) for r in got] == [(403, "EMAIL"), (402, ""), (900, ""), (None, ""), (203, ""), (None, "")]
+
+
+def test_choice(spark):
+    runs = [("a", 1.0, 5), ("a", 1.2, 5), ("b", 1.1, 3), ("b", 1.1, 3), ("c", 9.0, 1), ("c", -1.0, 1)]
+    df = spark.createDataFrame(runs, "config string, score double, size int")
+    assert [tuple(r) for r in measure.chosen(df, "config", "score", "size", F.col("score") > 0).collect()] == [("b", 1.1, 0.0, 3, False)]
+    assert measure.chosen(df, "config", "score", "size", F.col("score") > 10).count() == 0
+    pairs = spark.createDataFrame([(1, "x", "x"), (2, "x", "y"), (3, None, "y")], "id long, a string, b string")
+    assert {tuple(r) for r in measure.disagreements(pairs, "id", "a", "b").collect()} == {(2, "differs"), (3, "missing")}

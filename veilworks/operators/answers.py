@@ -44,5 +44,12 @@ def restored(answers: DataFrame, mapping: DataFrame) -> DataFrame:
     found, gaps = F.regexp_extract_all("text", F.lit(f"({TOKEN})"), F.lit(1)), F.split("text", TOKEN, -1)
     unknown = F.exists(found, lambda t: F.element_at("values", t).isNull())
     code = F.when(active(F.col("text")), 503).when(linked(F.col("text")), 500).when(unknown, 502)
-    said = F.array_join(F.transform(gaps, lambda g, i: F.concat(F.when(i == 0, "").otherwise(F.element_at("values", F.get(found, i - 1))), g)), "")
+    said = F.array_join(F.zip_with(gaps, F.transform(found, lambda t: F.element_at("values", t)), lambda gap, v: F.concat(gap, F.coalesce(v, F.lit("")))), "")
     return joined.select("doc_id", F.when(code.isNull(), said).otherwise(F.col("text")).alias("text"), code.alias("code"))
+
+
+def alive(mapping: DataFrame, answers: DataFrame, seconds: int) -> DataFrame:
+    """mapping (doc_id, ..., issued) without what is `seconds` old or older when its document's answer (doc_id, asked) comes (R6), so that restored() gives 502 for it. Of several answers the last one's time counts; without a time nothing is alive."""
+    asked = answers.groupBy("doc_id").agg(F.max("asked").alias("__asked"))
+    fresh = F.col("__asked") < F.col("issued") + F.make_dt_interval(secs=F.lit(seconds))
+    return mapping.join(asked, "doc_id").where(fresh & (F.col("__asked") >= F.col("issued"))).drop("__asked")

@@ -52,7 +52,7 @@ def decoded(kind: Column, value: Column) -> Column:
     # Between escapes, the text's own bytes; each escape, its byte or the bytes of its character.
     gaps = lambda p: F.transform(F.split(value, p, -1), lambda g: F.hex(F.encode(g, "UTF-8")))
     codes = lambda p, group: F.regexp_extract_all(value, F.lit(p), F.lit(group))
-    woven = lambda g, c: F.unhex(F.array_join(F.transform(g, lambda x, i: F.concat(x, F.coalesce(F.get(c, i), F.lit("")))), ""))
+    woven = lambda g, c: F.unhex(F.array_join(F.zip_with(g, c, lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))), ""))
     percent = woven(gaps(ESCAPES["percent"][0]), codes("%([0-9A-Fa-f]{2})", 1))
     point = lambda n: F.when((n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF), F.hex(F.encode(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"), "UTF-8")))
     number = lambda r: F.when(F.lower(F.substring(r, 1, 1)) == "x", F.conv(F.substring(r, 2, 6), 16, 10)).otherwise(r).try_cast("bigint")

@@ -61,6 +61,29 @@ def first_copies(rows: DataFrame, by: str, key: str, text: str, least: int = 4)
     return rows.where(F.length(said) >= least).groupBy(by, F.sha2(said, 256).alias("sha")).agg(F.min(key).alias(key)).select(by, key)
 
 
+def numbered(rows: DataFrame, by: str, key: str) -> DataFrame:
+    """(by, key, uid): rows numbered from 1 within each group by key (A13), which names a row; a group of any size is numbered by many tasks."""
+    return running(rows.select(by, key, F.lit(1).alias("__one")), [by], [key], "__one").select(by, key, F.col("running").alias("uid"))
+
+
+def disagreements(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """(key, verdict): rows that two judges label differently, and those that one of them or both left out, `missing`."""
+    missing = F.col(a).isNull() | F.col(b).isNull()
+    return pairs.where(missing | (F.col(a) != F.col(b))).select(key, F.when(missing, "missing").otherwise("differs").alias("verdict"))
+
+
+def chosen(runs: DataFrame, config: str, score: str, size: str, floor: Column) -> DataFrame:
+    """(config, mean, sd, size, differs) of the best configuration (A17): of those whose runs all meet `floor`, that of the highest mean, of equal ones the smaller and then the first by name; and whether it differs from the next, by more than twice the larger deviation.
+
+    A row for each configuration is ranked. Without a second one, differs is null.
+    """
+    of = runs.groupBy(config).agg(F.round(F.avg(score), 9).alias("mean"), F.round(F.stddev_samp(score), 9).alias("sd"), F.max(size).alias("size"), F.bool_and(F.coalesce(floor, F.lit(False))).alias("__fit")).where("__fit")
+    order = Window.orderBy(F.desc("mean"), "size", config)
+    second = lambda c: F.lead(c).over(order)
+    apart = F.abs(F.col("mean") - second("mean")) > 2 * F.greatest(F.col("sd"), second("sd"))
+    return of.withColumns({"differs": apart, "__r": F.row_number().over(order)}).where("__r = 1").select(config, "mean", "sd", "size", "differs")
+
+
 def overlap(rows: DataFrame, other: DataFrame, text: str = "text") -> DataFrame:
     """rows whose text, white space collapsed, is one of other's (A14, J7): found by a hash, confirmed by the text."""
     flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))

@@ -110,6 +110,19 @@ def residual(spans: DataFrame, replaced: DataFrame) -> DataFrame:
     return spans.join(r, (spans.doc_id == r.doc_id) & (F.col("r_cs") <= F.col("cs")) & (F.col("ce") <= F.col("r_ce")), "left_anti")
 
 
+def residual_codes(docs: DataFrame, spans: DataFrame, replaced: DataFrame, blobs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, code, types) of every document after its second scan (P8): 203 for too many spans, 900 for one that doesn't lie in its text, 403 for one outside all replacements that asks for more than a confirmation, with the types of those; then the code of blobs (doc_id, code); else null."""
+    size = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("size"))
+    wrong = (F.col("cs") < 0) | (F.col("ce") <= F.col("cs")) | (F.col("ce") > F.col("size"))
+    all_ = spans.join(size, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(wrong).alias("wrong"))
+    left = with_actions(residual(spans, replaced)).where(F.col("strength") > ACTIONS.index("confirm")).groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("type")), ",").alias("left"))
+    known = size.join(all_, "doc_id", "left").join(left, "doc_id", "left")
+    code = F.when(F.col("n") > MOST_SPANS, 203).when(F.col("wrong"), 900).when(F.col("left").isNotNull(), 403)
+    if blobs is not None:
+        known, code = known.join(blobs.select("doc_id", F.col("code").alias("__blob")), "doc_id", "left"), code.otherwise(F.col("__blob"))
+    return known.select("doc_id", code.alias("code"), F.when(code == 403, F.col("left")).otherwise("").alias("types"))
+
+
 def counts(spans: DataFrame) -> DataFrame:
     """Spans by document and type (P10)."""
     return spans.groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n"))

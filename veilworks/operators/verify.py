@@ -36,9 +36,12 @@ def check_tokens(mapping: DataFrame) -> DataFrame:
     )
 
 
-def confirm_gate(spans: DataFrame, confirmed: DataFrame) -> DataFrame:
-    """(doc_id, types, code) of documents with spans that ask for a confirmation (P9): 409 unless confirmed (doc_id) names the document."""
-    asked = with_actions(spans).where("action = 'confirm'").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("type")), ",").alias("types"))
+def confirm_gate(spans: DataFrame, confirmed: DataFrame, categories: DataFrame | None = None) -> DataFrame:
+    """(doc_id, types, code) of documents with spans that ask for a confirmation, or with categories (doc_id, category) of a sentence classifier (P9): 409 unless confirmed (doc_id) names the document."""
+    asked = with_actions(spans).where("action = 'confirm'").select("doc_id", "type")
+    if categories is not None:
+        asked = asked.unionByName(categories.where("category is not null").select("doc_id", F.col("category").alias("type")))
+    asked = asked.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("type")), ",").alias("types"))
     given = confirmed.select("doc_id").distinct().withColumn("given", F.lit(True))
     return asked.join(given, "doc_id", "left").select("doc_id", "types", F.when(F.col("given").isNull(), 409).alias("code"))
 

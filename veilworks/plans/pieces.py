@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from veilworks.operators import audit, context, detect, head, parts
+from veilworks.operators import answers, audit, context, detect, head, measure, parts, policy
 from veilworks.plans import oracles
 from veilworks.plans.evidence import said, said_sql
 from veilworks.plans.registry import CONTEXT_WORDS, audit_lines, docs_of, query, terms_sql
@@ -92,3 +92,56 @@ def K4_audit_files(spark, sf_dir):
     folder = f"{shared_folder(spark)}/audit-{uuid.uuid4().hex}"
     corpora.append_lines(audit.chained(audit_lines(spark, sf_dir)), folder)
     return audit.verified(corpora.read_lines(spark, folder))
+
+
+@query(f"""WITH {oracles.SPANS}, l AS (SELECT s.doc_id, array_to_string(list_sort(list_distinct(list(type))), ',') AS types FROM acted s WHERE strength > 1 AND NOT EXISTS (SELECT 1 FROM merged m WHERE m.action = 'tokenize' AND m.doc_id = s.doc_id AND m.cs <= s.cs AND s.ce <= m.ce) GROUP BY s.doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM spans GROUP BY doc_id), c AS (SELECT d.doc_id, CASE WHEN n > {policy.MOST_SPANS} THEN 203 WHEN l.types IS NOT NULL THEN 403 END AS code, l.types FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN l ON d.doc_id = l.doc_id)
+SELECT doc_id, code, CASE WHEN code = 403 THEN types ELSE '' END AS types FROM c""")
+def P8_residual_codes(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    spans = detect.find_all(docs)
+    return policy.residual_codes(docs, spans, policy.targets(policy.merge(spans)))
+
+
+#: How long a token can be restored.
+SECONDS = 3600
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 502 END AS code, CASE WHEN doc_id % 3 = 0 THEN '⟦EMAIL_0123456789⟧ ' || doc_id ELSE 'mail ' || doc_id END AS text FROM documents")
+def R6_expired_tokens(spark, sf_dir):
+    """Answers with a token each, a third of which come when it is too late."""
+    k, token = F.col("doc_id"), F.lit("⟦EMAIL_0123456789⟧")
+    start = F.lit("2024-01-01").cast("timestamp")
+    given = table(spark, sf_dir, "documents").select(k, F.concat(token, F.lit(" "), k.cast("string")).alias("text"), (start + F.make_dt_interval(secs=F.when(k % 3 == 0, SECONDS).otherwise(SECONDS - 1))).alias("asked"))
+    issued = given.select("doc_id", token.alias("token"), F.lit("mail").alias("value"), start.alias("issued"))
+    return answers.restored(given.select("doc_id", "text"), answers.alive(issued, given, SECONDS)).select("doc_id", "code", "text")
+
+
+@query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS uid FROM (SELECT source, min(doc_id) AS doc_id FROM documents WHERE length(trim(text)) >= 4 GROUP BY source, sha256(trim(text)))")
+def A13_numbered_copies(spark, sf_dir):
+    return measure.numbered(measure.first_copies(table(spark, sf_dir, "documents"), "source", "doc_id", "text"), "source", "doc_id")
+
+
+@query("SELECT doc_id, CASE WHEN quality IS NULL OR toxic IS NULL THEN 'missing' ELSE 'differs' END AS verdict FROM labels WHERE quality IS NULL OR toxic IS NULL OR quality <> toxic")
+def A16_disagreements(spark, sf_dir):
+    return measure.disagreements(table(spark, sf_dir, "labels"), "doc_id", "quality", "toxic")
+
+
+_RUNS = "SELECT event_type AS config, user_id % 5 AS seed, avg(value) AS score, length(event_type) AS size FROM events GROUP BY ALL"
+
+
+@query(f"""WITH r AS ({_RUNS}), c AS (SELECT config, round(avg(score), 9) AS mean, round(stddev_samp(score), 9) AS sd, max(size) AS size FROM r GROUP BY config HAVING bool_and(score > 0)),
+o AS (SELECT *, lead(mean) OVER w AS mean2, lead(sd) OVER w AS sd2, row_number() OVER w AS r FROM c WINDOW w AS (ORDER BY mean DESC, size, config))
+SELECT config, mean, sd, CAST(size AS INTEGER) AS size, abs(mean - mean2) > 2 * greatest(sd, sd2) AS differs FROM o WHERE r = 1""")
+def A17_chosen_configuration(spark, sf_dir):
+    """Event types as configurations, users in five groups as seeds."""
+    runs = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("config"), (F.col("user_id") % 5).alias("seed")).agg(F.avg("value").alias("score")).withColumn("size", F.length("config"))
+    return measure.chosen(runs, "config", "score", "size", F.col("score") > 0)
+
+
+@query(f"""WITH r AS ({_RUNS}) SELECT seed, round(avg(score) FILTER (WHERE config = 'click'), 6) AS click, round(avg(score) FILTER (WHERE config = 'purchase'), 6) AS purchase, round(min(score), 6) AS least, count(*) FILTER (WHERE score > 100) AS passed FROM r GROUP BY seed""")
+def A18_pivot(spark, sf_dir):
+    """A row for each seed, two configurations as columns, the least of all, and how many pass."""
+    runs = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("config"), (F.col("user_id") % 5).alias("seed")).agg(F.avg("value").alias("score"))
+    wide = runs.groupBy("seed").pivot("config", ["click", "purchase"]).agg(F.round(F.avg("score"), 6))
+    return wide.join(runs.groupBy("seed").agg(F.round(F.min("score"), 6).alias("least"), F.count_if(F.col("score") > 100).alias("passed")), "seed")
