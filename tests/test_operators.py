@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilworks.functions import numbers
-from veilworks.operators import answers, audit, detect, encoded, head, measure, parts, policy, running, texts
+from veilworks.operators import answers, audit, detect, encoded, evidence, head, measure, parts, policy, running, texts
 
 
 SECRET = b"a secret for the tables of this repository only"
@@ -239,3 +239,11 @@ def test_choice(spark):
     assert measure.chosen(df, "config", "score", "size", F.col("score") > 10).count() == 0
     pairs = spark.createDataFrame([(1, "x", "x"), (2, "x", "y"), (3, None, "y")], "id long, a string, b string")
     assert {tuple(r) for r in measure.disagreements(pairs, "id", "a", "b").collect()} == {(2, "differs"), (3, "missing")}
+
+
+def test_licences_and_legal_forms(spark):
+    said = ["면허 112233333344 x", "112233333344", "서울 95-255933-61", "부산9525593361", "서울 1-95-255933-61", "면허 992233333344", None]
+    got = {r.doc_id: said[r.doc_id][r.cs : r.ce] for r in detect.find_licences(docs(spark, *said)).collect()}
+    assert got == {0: "112233333344", 2: "서울 95-255933-61", 3: "부산9525593361"}
+    d = docs(spark, "the (Ltd)Northern", "Company  Quill, Company X", "Companyman Quill", "(Ltd) Northern", None)
+    assert found(evidence.find_named_by_form(d, ["(Ltd)"], ["Company"], [])) == {(0, "ORGANIZATION", "Northern"), (1, "ORGANIZATION", "Quill")}

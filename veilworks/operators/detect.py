@@ -69,6 +69,9 @@ CUES = {
     "KOREAN_DRIVER_LICENSE_NO": ("면허",),
 }
 CUE_REACH = 30
+#: What stands before twelve digits that are a licence's, how far, and the regions of older licences.
+LICENCE_WORD, LICENCE_REACH = "면허", 20
+REGIONS = ("서울", "부산", "경기", "강원", "충북", "충남", "전북", "전남", "경북", "경남", "제주", "대구", "인천", "대전", "울산", "광주")
 #: What makes the number beside it an amount, one blank between them or none; and dates.
 CURRENCY_AFTER = ("원", "만원", "억원", "천원", "달러", "엔", "위안", "유로", "krw", "usd", "jpy", "cny", "eur", "円", "元")
 CURRENCY_BEFORE = ("$", "₩", "¥", "€", "krw", "usd", "eur")
@@ -278,6 +281,17 @@ def find_wrapped(docs: DataFrame) -> DataFrame:
     return find_numbers(None, windows, keep=("ahead",)).where(explained).select(*SPAN).distinct()
 
 
+def find_licences(docs: DataFrame) -> DataFrame:
+    """Spans of driver's licences that find_numbers() leaves out (D5): twelve digits in one group after LICENCE_WORD, and the older form of a region's name and ten digits from a run's first group on."""
+    windows = digit_windows(None, matches(docs, {"run": (RUNS, "#")}, around=LICENCE_REACH), beside=True)
+    before = _sides(windows, LICENCE_REACH)[0]
+    new = (F.col("shape") == "12") & F.substring("digits", 1, 2).between("11", "28") & before.contains(LICENCE_WORD)
+    named = F.regexp_extract(before, "((?:" + "|".join(REGIONS) + ") ?)$", 1)
+    old = (F.length("digits") == 10) & (F.col("cs") == F.col("run_at")) & (named != "")
+    cs = F.when(old, F.col("cs") - F.length(named)).otherwise(F.col("cs"))
+    return windows.where(new | old).select("doc_id", cs.alias("cs"), "ce", F.lit("KOREAN_DRIVER_LICENSE_NO").alias("type"), F.lit("Pattern").alias("detector"), F.col("digits").alias("value"))
+
+
 def countable(docs: DataFrame) -> DataFrame:
     """digit_windows() without amounts (a currency beside them) and without those that are all dates."""
     windows = digit_windows(None, matches(docs, {"run": (RUNS, "#")}, around=8), beside=True)

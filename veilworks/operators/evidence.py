@@ -43,7 +43,8 @@ def trimmed(word: Column, particles: list[tuple[str, str]], least: int = 2, roun
     A particle comes with the kind of syllable that it follows: final (one with a final consonant), open
     (one without), or an empty text for any.
     """
-    for _ in range(rounds):
+
+    def once(word: Column) -> Column:
         cut = F.lit(None).cast("string")
         for text, kind in sorted(particles, key=lambda p: (len(p[0]), p[0])):
             rest = F.left(word, F.length(word) - len(text))
@@ -51,7 +52,10 @@ def trimmed(word: Column, particles: list[tuple[str, str]], least: int = 2, roun
             syllable = code.between(0, 11_171)
             follows = {"final": syllable & (code % 28 != 0), "open": syllable & (code % 28 == 0), "": F.lit(True)}[kind]
             cut = F.when(word.endswith(text) & (F.length(rest) >= least) & follows, rest).otherwise(cut)
-        word = F.coalesce(cut, word)
+        return F.coalesce(cut, word)
+
+    for _ in range(rounds):
+        word = F.element_at(F.transform(F.array(word), once), 1)  # so that a round's word is worked out once, however often it is named
     return word
 
 
@@ -70,6 +74,14 @@ def find_organizations(docs: DataFrame, tails: list[str], generic: list[str], pa
     return fine.select("doc_id", "cs", (F.col("cs") + F.length("own")).alias("ce"), F.lit("ORGANIZATION").alias("type"), F.lit("Pattern").alias("detector"), F.col("own").alias("value"))
 
 
+def find_named_by_form(docs: DataFrame, short: list[str], forms: list[str], particles: list[tuple[str, str]]) -> DataFrame:
+    """Spans of organizations by a legal form before them (D24): a word of two characters or more, particles aside, right after one of `short`, or the next word after one of `forms`."""
+    sides = [re.escape(s) for s in short] + [f"(?:^|[^{WORD}]){re.escape(f)}[^{WORD}]+" for f in forms]
+    found = matches(docs, {side: (f"{side}([{WORD}]+)", hint) for side, hint in zip(sides, [*short, *forms])})
+    own = found.withColumn("own", trimmed(F.col("value"), particles)).where(F.length("own") >= 2)
+    return own.select("doc_id", "cs", (F.col("cs") + F.length("own")).alias("ce"), F.lit("ORGANIZATION").alias("type"), F.lit("Pattern").alias("detector"), F.col("own").alias("value")).distinct()
+
+
 def sensitive(categories: DataFrame, evidence: DataFrame) -> DataFrame:
     """(doc_id, first, last): sentences to be blocked (D29): one that names a category and a person, or two neighbours of which one does the one and the other the other.
 

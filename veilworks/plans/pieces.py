@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
 
-from veilworks.operators import answers, audit, context, detect, head, measure, parts, policy
+from veilworks.operators import answers, audit, context, detect, evidence, head, measure, parts, policy
 from veilworks.plans import oracles
-from veilworks.plans.evidence import said, said_sql
+from veilworks.plans.evidence import PARTICLES, said, said_sql, trim_sql
 from veilworks.plans.registry import CONTEXT_WORDS, audit_lines, docs_of, query, terms_sql
 from veilworks.sources import corpora
 from veilworks.sources.shared import shared_folder
@@ -145,3 +146,30 @@ def A18_pivot(spark, sf_dir):
     runs = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("config"), (F.col("user_id") % 5).alias("seed")).agg(F.avg("value").alias("score"))
     wide = runs.groupBy("seed").pivot("config", ["click", "purchase"]).agg(F.round(F.avg("score"), 6))
     return wide.join(runs.groupBy("seed").agg(F.round(F.min("score"), 6).alias("least"), F.count_if(F.col("score") > 100).alias("passed")), "seed")
+
+
+#: Licences of both forms, and near misses. Our own values.
+LICENCES = ("면허 112233333344 x", "number 112233333344", "서울 95-255933-61", "부산9525593361", "면허 992233333344", "서울 1-95-255933-61", "면허 11-22-333333-44")
+LICENCES_SQL = said_sql(LICENCES)
+_AHEAD = _BEFORE.format(detect.LICENCE_REACH)
+
+
+@query(f"""WITH w AS (SELECT *, {_AHEAD} AS ahead FROM ({oracles.windows(LICENCES_SQL, around=detect.LICENCE_REACH)})), n AS (SELECT *, regexp_extract(ahead, '((?:{'|'.join(detect.REGIONS)}) ?)$', 1) AS named FROM w),
+o AS (SELECT *, length(digits) = 10 AND cs = run_at AND named <> '' AS old FROM n)
+SELECT doc_id, CAST(CASE WHEN old THEN cs - length(named) ELSE cs END AS INTEGER) AS cs, ce, 'KOREAN_DRIVER_LICENSE_NO' AS type, 'Pattern' AS detector, digits AS value FROM o
+WHERE old OR (shape = '12' AND left(digits, 2) BETWEEN '11' AND '28' AND contains(ahead, '{detect.LICENCE_WORD}'))""")
+def D5_licences(spark, sf_dir):
+    return detect.find_licences(said(docs_of(spark, sf_dir), LICENCES))
+
+
+#: Legal forms, our own, and texts with them.
+SHORT, FORMS = ["(Ltd)", "㈜"], ["Company", "회사"]
+FORMED = ("the (Ltd)Northern here", "㈜한빛은 또", "Company  Quill, and", "회사 새봄에서는", "Companyman Quill", "Company X", "(Ltd) Northern", "nothing")
+FORMED_SQL = said_sql(FORMED)
+_SIDES = [re.escape(s) for s in SHORT] + [f"(?:^|[^{evidence.WORD}]){f}[^{evidence.WORD}]+" for f in FORMS]
+_WORDS = " UNION ".join(f"SELECT doc_id, cs, {trim_sql('value')} AS own FROM ({oracles.matches('form', f'{side}([{evidence.WORD}]+)', FORMED_SQL)})" for side in _SIDES)
+
+
+@query(f"SELECT DISTINCT doc_id, cs, CAST(cs + length(own) AS INTEGER) AS ce, 'ORGANIZATION' AS type, 'Pattern' AS detector, own AS value FROM ({_WORDS}) WHERE length(own) >= 2")
+def D24_named_by_form(spark, sf_dir):
+    return evidence.find_named_by_form(said(docs_of(spark, sf_dir), FORMED), SHORT, FORMS, PARTICLES)
