@@ -12,4 +12,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     own = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return own | {"op2_anisotropic_neighbours": ann.OP2_SQL, "op4_temperature_mix": mixing.OP4_SQL, "op5_min_max_near_duplicates": minhash.OP5_SQL, "op11_source_divergence": divergence.OP11_SQL, "op13_threshold_search": search.OP13_SQL}
+    return own | {"op2_anisotropic_neighbours": ann.OP2_SQL, "op4_temperature_mix": mixing.OP4_SQL, "op5_min_max_near_duplicates": minhash.OP5_SQL, "op11_source_divergence": divergence.OP11_SQL, "op12_prefix_free_parsing": suffixes.OP12_SQL, "op13_threshold_search": search.OP13_SQL}

@@ -389,3 +389,20 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
 def op12_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document."""
     return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("spans", "kept")
+
+
+OP12_SQL = r"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS d, encode(coalesce(text, '')) AS b FROM documents),
+starts AS (SELECT d, doc_id, b, unnest(range(1, octet_length(b) - 48)) AS i FROM docs WHERE octet_length(b) >= 50),
+passages AS (SELECT d, doc_id, i, md5(array_slice(b, i, i + 49)) AS p FROM starts),
+gone AS (SELECT d, i FROM (SELECT d, i, doc_id, min(doc_id) OVER (PARTITION BY p) AS first FROM passages) WHERE doc_id > first),
+runs AS (SELECT d, i, CASE WHEN i > 50 + lag(i) OVER w OR lag(i) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM gone WINDOW w AS (PARTITION BY d ORDER BY i)),
+numbered AS (SELECT d, i, sum(fresh) OVER (PARTITION BY d ORDER BY i) AS run FROM runs),
+spans AS (SELECT d, run, min(i) AS a, max(i) + 50 AS e FROM numbered GROUP BY d, run),
+removed AS (SELECT d, sum(e - a) AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS begins, list(e ORDER BY a) AS ends FROM spans GROUP BY d),
+kept AS (
+  SELECT doc_id, b, n_removed, n_spans, CASE WHEN n_spans IS NULL THEN hex(b) ELSE
+    list_aggregate(list_transform(range(0, n_spans + 1), lambda k: hex(array_slice(b, CASE WHEN k = 0 THEN 1 ELSE ends[k] END, CASE WHEN k = n_spans THEN octet_length(b) ELSE begins[k + 1] - 1 END))), 'string_agg', '') END AS h
+  FROM docs LEFT JOIN removed USING (d))
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(h)) AS kept_sha256 FROM kept
+"""
