@@ -8,6 +8,9 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,14 +106,25 @@ ANCHORS = (("2-2-2", 8, 8), ("5-3", 7, 12), ("3-3", 6, 10), ("routing", 4, 17))
 IFSC_DIGITS = (9, 18)
 
 
+def _ends(gaps: pa.Array, wholes: pa.Array) -> pa.Array:
+    """Where each match of a text ends: running sums of the lengths of gaps and matches within each row."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(wholes), 0), np.int64)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    sums = np.cumsum(np.asarray(gaps.flatten(), np.int64) + np.asarray(wholes.flatten(), np.int64))
+    first = np.concatenate([[0], sums])[at[:-1]]
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(sums - np.repeat(first, sizes), pa.int32()))
+
+
 def matches(docs: DataFrame, patterns: dict[str, str | tuple[str, str]], id_: str = "doc_id", text: str = "text", around: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, name, cs, ce, value, before, next): where group 1 of each named pattern lies, which must end the match, and up to `around` characters on both sides of the match.
 
     A pattern may come with a hint, a cheaper pattern that every text with a match matches too; # before
     it says that such a text holds a digit, which is looked for once. One scan
-    for all patterns: the matches and the gaps between them are taken natively, and only their lengths
-    are summed over a document, so no text is shuffled. Null texts give nothing. Columns of docs named
-    like `text` and `id_` are all that is read, and those of `carry`, which go with each match.
+    for all patterns: the matches and the gaps between them are taken natively, and their lengths are
+    added up within the row, so nothing is shuffled and rows of one id, or of none, don't touch one
+    another: each gives the places of its own text. Equal rows give equal matches, as often as they
+    come. Null texts give nothing. Columns of docs named like `text` and `id_` are all that is read,
+    and those of `carry`, which go with each match.
     """
     both = {n: (p, "") if isinstance(p, str) else p for n, p in patterns.items()}
     of = lambda p: F.struct(F.split(text, p, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("whole"), F.regexp_extract_all(text, F.lit(p), F.lit(1)).alias("value"))
@@ -119,16 +133,14 @@ def matches(docs: DataFrame, patterns: dict[str, str | tuple[str, str]], id_: st
     found = [F.when(looks[n], F.struct(F.lit(n).alias("name"), of(p).alias("m"))) for n, (p, _) in both.items()]  # one look is enough where nothing is found
     each = docs.where(F.col(text).isNotNull()).select(id_, text, *carry, F.col(text).rlike("[0-9]").alias("__digits")).select(*carry, F.col(id_).alias("doc_id"), F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("s"))
     n = F.size("s.m.whole")
+    lengths = lambda c: F.transform(c, F.length)
+    each = each.withColumn("ends", F.arrow_udf(_ends, "array<int>")(lengths(F.slice("s.m.gaps", 1, n)), lengths(F.col("s.m.whole"))))
     prev = F.concat(F.array(F.lit("")), F.slice("s.m.whole", 1, n - 1)).alias("prev")
     follow = F.concat(F.slice("s.m.whole", 2, n - 1), F.array(F.lit(""))).alias("follow")
-    zipped = F.arrays_zip("s.m.whole", "s.m.value", F.slice("s.m.gaps", 1, n).alias("gap"), F.slice("s.m.gaps", 2, n).alias("rest"), prev, follow)
-    rows = each.select(*carry, "doc_id", "s.name", F.posexplode(zipped).alias("at", "z"))
-    sides = {"before": F.right(F.concat("z.prev", "z.gap"), F.lit(around)), "next": F.left(F.concat("z.rest", "z.follow"), F.lit(around))}
-    rows = rows.select(*carry, "doc_id", "name", "at", "z.value", F.length("z.gap").alias("gap"), F.length("z.whole").alias("whole"), *(c.alias(k) for k, c in sides.items()))
-    so_far = Window.partitionBy("doc_id", "name").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.col("gap") + F.col("whole")).over(so_far).cast("int")
-    placed = rows.withColumn("ce", end).where(F.col("value") != "")
-    return placed.select(*carry, "doc_id", "name", (F.col("ce") - F.length("value")).alias("cs"), "ce", "value", "before", "next")
+    zipped = F.arrays_zip(F.col("ends").alias("ce"), "s.m.value", F.slice("s.m.gaps", 1, n).alias("gap"), F.slice("s.m.gaps", 2, n).alias("rest"), prev, follow)
+    rows = each.select(*carry, "doc_id", "s.name", F.explode(zipped).alias("z")).where("z.value <> ''")
+    before, next_ = F.right(F.concat("z.prev", "z.gap"), F.lit(around)), F.left(F.concat("z.rest", "z.follow"), F.lit(around))
+    return rows.select(*carry, "doc_id", "name", (F.col("z.ce") - F.length("z.value")).alias("cs"), "z.ce", "z.value", before.alias("before"), next_.alias("next"))
 
 
 def hinted(text: Column, hint: str) -> Column:
@@ -307,7 +319,7 @@ def find_marked(docs: DataFrame) -> DataFrame:
     found = cut(searched(plain, tuple(p for p in PATTERNS if p.type in ("EMAIL", "IP_ADDRESS"))))
     spans = find_patterns(plain, tuple(p for p in PATTERNS if p.type in ("EMAIL", "IP_ADDRESS")), found).unionByName(find_numbers(None, digit_windows(None, found)))
     # Each mark moves what follows it; an escaped character is what follows.
-    marks = matches(seen, {"mark": f"({MARKS.replace('([^', '(?:[^')})"})
+    marks = matches(seen, {"mark": f"({MARKS.replace('([^', '(?:[^')})"}).distinct()  # equal rows once
     kept = F.col("value").rlike(r"(?s)^\\[^A-Za-z,!;:-]$").cast("int")
     so_far = Window.partitionBy("doc_id").orderBy("cs").rowsBetween(Window.unboundedPreceding, 0)
     steps = marks.withColumns({"at": F.sum(F.col("ce") - F.col("cs") - kept).over(so_far).cast("int"), "from": F.col("ce") - kept})

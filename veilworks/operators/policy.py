@@ -7,6 +7,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veilworks.operators.texts import identified, named, own_id
+
 #: Entity types in their order, the action on each, and each one's rank as the label of a merged span.
 TYPES = (
     ("PERSON", "tokenize", 7), ("ORGANIZATION", "tokenize", 6), ("KOREAN_PHONE", "tokenize", 2), ("KOREAN_RRN", "block", 19), ("KOREAN_BUSINESS_NO", "tokenize", 3),
@@ -31,13 +33,20 @@ def with_actions(spans: DataFrame) -> DataFrame:
     return known.withColumns({"action": F.coalesce("action", F.lit("block")), "strength": F.coalesce("strength", F.lit(3)), "label_rank": F.coalesce("label_rank", F.lit(99))})
 
 
+def unshared(docs: DataFrame) -> DataFrame:
+    """(doc_id) of docs, each once; an error where rows of different texts share an id, or one has none, since spans by id would then fall into the wrong text. texts.identified() tells such rows apart."""
+    ids = docs.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b"))
+    wrong = F.raise_error(F.lit("doc_id repeats over different texts, or is null: see texts.identified"))
+    return ids.select(F.when((F.col("a") != F.col("b")) | F.col("doc_id").isNull(), wrong).otherwise(F.col("doc_id")).alias("doc_id"))
+
+
 def check(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, n_spans, code, blocked_types) of every document (P1): 203 for too many spans, 900 for one that isn't a span, 400 for one to block, else null."""
+    """(doc_id, n_spans, code, blocked_types) of every document (P1): 203 for too many spans, 900 for one that isn't a span, 400 for one to block, else null. Equal rows are judged alike; docs as unshared() asks."""
     of = with_actions(spans).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_spans"), F.bool_or((F.col("cs") < 0) | (F.col("ce") <= F.col("cs"))).alias("bad"),
         F.sort_array(F.collect_set(F.when(F.col("action") == "block", F.col("type")))).alias("blocked"),
     )
-    all_ = docs.select("doc_id").join(of, "doc_id", "left")
+    all_ = docs.select("doc_id").join(unshared(docs).join(of, "doc_id", "left"), "doc_id", "left")
     code = F.when(F.col("n_spans") > MOST_SPANS, 203).when(F.col("bad"), 900).when(F.size("blocked") > 0, 400)
     return all_.select("doc_id", F.coalesce("n_spans", F.lit(0)).alias("n_spans"), code.alias("code"), F.coalesce(F.array_join(F.when(code == 400, F.col("blocked")), ","), F.lit("")).alias("blocked_types"))
 
@@ -91,13 +100,14 @@ def token(secret: bytes, scope: Column, label: Column, value: Column) -> Column:
 
 
 def rewrite(docs: DataFrame, merged: DataFrame, strategy: str = "redact", secret: bytes = b"") -> DataFrame:
-    """(doc_id, text, n_replaced): texts with their targets replaced (P6): redact, mask (by type), pseudonym (by token) or filler (tokens whose drawn letters are all the same, for a second scan, P7). Documents without targets stay as they are."""
+    """(doc_id, text, n_replaced): texts with their targets replaced (P6): redact, mask (by type), pseudonym (by token) or filler (tokens whose drawn letters are all the same, for a second scan, P7). Documents without targets stay as they are; equal rows are rewritten alike. docs as unshared() asks: a text is never rewritten by another's spans."""
     at = targets(merged).join(docs.select("doc_id", "text"), "doc_id") if strategy == "pseudonym" else targets(merged)
     label = F.col("label")
     said = {"redact": F.lit("⟦REDACTED⟧"), "mask": F.concat(F.lit("⟦"), label, F.lit("⟧")), "filler": F.concat(F.lit("⟦"), label, F.lit(f"_{FILLER}⟧")), "pseudonym": None}[strategy]
     if said is None:
-        said = token(secret, F.col("doc_id"), label, F.substring(F.col("text"), F.col("cs") + 1, F.col("ce") - F.col("cs")))
+        said = token(secret, own_id(docs), label, F.substring(F.col("text"), F.col("cs") + 1, F.col("ce") - F.col("cs")))
     spots = at.select("doc_id", F.struct("cs", "ce", said.alias("said")).alias("s")).groupBy("doc_id").agg(F.sort_array(F.collect_list("s")).alias("spots"))
+    spots = unshared(docs).join(spots, "doc_id", "left")
     cursor = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     done = docs.select("doc_id", "text").join(spots, "doc_id", "left").withColumn("spots", F.coalesce("spots", F.array().cast("array<struct<cs:int,ce:int,said:string>>")))
     folded = F.aggregate("spots", cursor, lambda a, s: F.struct(F.concat(a.out, F.substring(F.col("text"), a.at + 1, s.cs - a.at), s.said).alias("out"), s.ce.alias("at")))
@@ -123,6 +133,12 @@ def residual_codes(docs: DataFrame, spans: DataFrame, replaced: DataFrame, blobs
     return known.select("doc_id", code.alias("code"), F.when(code == 403, F.col("left")).otherwise("").alias("types"))
 
 
+def protected(docs: DataFrame, find, strategy: str = "redact", secret: bytes = b"") -> DataFrame:
+    """(doc_id, text, n_replaced) of docs (doc_id, text): found, merged and rewritten in one go (D0, P2, P6), whatever their ids: rows that share one, or have none, are told apart by their texts. find gives the spans of a table of documents."""
+    own = identified(docs)
+    return named(rewrite(own, merge(find(own)), strategy, secret))
+
+
 def counts(spans: DataFrame) -> DataFrame:
     """Spans by document and type (P10)."""
     return spans.groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n"))

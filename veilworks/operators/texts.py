@@ -7,6 +7,22 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with the id and the text's hash together as doc_id, so that rows whose ids repeat or are null are told apart by what they say; equal rows stay equal. named() takes the id out again."""
+    return docs.withColumn("doc_id", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("said")))
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """What follows from identified() rows, by their own ids again."""
+    return rows.withColumn("doc_id", own_id(rows))
+
+
+def own_id(rows: DataFrame) -> Column:
+    """The id of each row, identified() or not."""
+    return F.col("doc_id.id") if isinstance(rows.schema["doc_id"].dataType, StructType) else F.col("doc_id")
 
 
 def lines(docs: DataFrame) -> DataFrame:

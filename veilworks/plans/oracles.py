@@ -136,7 +136,8 @@ merged AS (
   FROM islands GROUP BY doc_id, island)"""
 
 
-SPANS, WINDOWS, NUMBERS = f"{spans_of()},\n{ACTED}", windows(), numbers()
+SPANS, NUMBERS = f"{spans_of()},\n{ACTED}", numbers()
+WINDOWS = f"SELECT doc_id, cs, ce, digits, shape FROM ({windows()})"
 FIND_ALL = f"WITH {SPANS} SELECT doc_id, cs, ce, type, detector, value FROM spans"
 POLICY = f"""WITH {SPANS}, per AS (
   SELECT doc_id, count(*) AS n_spans, list_sort(list_distinct(list(type) FILTER (WHERE action = 'block'))) AS blocked FROM acted GROUP BY doc_id),

@@ -35,6 +35,11 @@ def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def told_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """docs_of() whose rows are themselves, whatever their ids."""
+    return texts.identified(docs_of(spark, sf_dir))
+
+
 # Texts
 
 
@@ -108,7 +113,7 @@ def D1_D4_D15_numbers(spark, sf_dir):
 
 @query(oracles.FIND_ALL)
 def D0_all_spans(spark, sf_dir):
-    return detect.find_all(docs_of(spark, sf_dir))
+    return texts.named(detect.find_all(told_apart(spark, sf_dir)))
 
 
 @query(
@@ -254,19 +259,19 @@ def D0b_capped_spans(spark, sf_dir):
 
 @query(oracles.POLICY)
 def P1_check_policy(spark, sf_dir):
-    docs = docs_of(spark, sf_dir)
-    return policy.check(docs, detect.find_all(docs))
+    docs = told_apart(spark, sf_dir)
+    return texts.named(policy.check(docs, detect.find_all(docs)))
 
 
 @query(oracles.MERGE)
 def P2_merged_entities(spark, sf_dir):
-    return policy.merge(detect.find_all(docs_of(spark, sf_dir)))
+    return texts.named(policy.merge(detect.find_all(told_apart(spark, sf_dir))))
 
 
 @query(TOKENS_SQL)
 def P4_tokens(spark, sf_dir):
-    docs = docs_of(spark, sf_dir)
-    return mapping(docs, policy.merge(detect.find_all(docs)))
+    docs = told_apart(spark, sf_dir)
+    return texts.named(mapping(docs, policy.merge(detect.find_all(docs)))).distinct()
 
 
 #: The secret of these queries; a user of the library brings one of their own.
@@ -276,39 +281,37 @@ SECRET = b"a secret for the tables of this repository only"
 def mapping(docs: DataFrame, merged: DataFrame) -> DataFrame:
     """(doc_id, label, value, token), each once."""
     at = policy.targets(merged).join(docs, "doc_id").select("doc_id", "label", F.substring("text", F.col("cs") + 1, F.col("ce") - F.col("cs")).alias("value")).distinct()
-    return at.withColumn("token", policy.token(SECRET, F.col("doc_id"), F.col("label"), F.col("value")))
+    return at.withColumn("token", policy.token(SECRET, texts.own_id(docs), F.col("label"), F.col("value")))
 
 
 @query(oracles.rewritten("'⟦REDACTED⟧'"))
 def P6_redacted(spark, sf_dir):
-    docs = docs_of(spark, sf_dir)
-    return policy.rewrite(docs, policy.merge(detect.find_all(docs)), "redact")
+    return policy.protected(docs_of(spark, sf_dir), detect.find_all, "redact")
 
 
 @query(oracles.rewritten("'⟦' || label || '⟧'"))
 def P6_type_masked(spark, sf_dir):
-    docs = docs_of(spark, sf_dir)
-    return policy.rewrite(docs, policy.merge(detect.find_all(docs)), "mask")
+    return policy.protected(docs_of(spark, sf_dir), detect.find_all, "mask")
 
 
 @query(oracles.RESIDUAL)
 def P8_residual_spans(spark, sf_dir):
-    spans = detect.find_all(docs_of(spark, sf_dir))
-    return policy.residual(spans, policy.targets(policy.merge(spans)))
+    spans = detect.find_all(told_apart(spark, sf_dir))
+    return texts.named(policy.residual(spans, policy.targets(policy.merge(spans))))
 
 
 @query(oracles.COUNTS)
 def P10_counts_by_type(spark, sf_dir):
-    return policy.counts(detect.find_all(docs_of(spark, sf_dir)))
+    return texts.named(policy.counts(detect.find_all(told_apart(spark, sf_dir)))).groupBy("doc_id", "type").agg(F.sum("n").alias("n"))
 
 
 @query("SELECT doc_id, CASE WHEN contains(lower(text), '<script') OR contains(lower(text), 'javascript:') OR contains(lower(text), 'vbscript:') THEN 503 END AS code, sha256(text) AS text_sha256 FROM documents WHERE text IS NOT NULL")
 def R6_R7_restored_answers(spark, sf_dir):
     """Pseudonymised documents taken for answers, and restored: each gives back its text."""
-    docs = docs_of(spark, sf_dir).where("text is not null")
+    docs = told_apart(spark, sf_dir).where("text is not null")
     merged = policy.merge(detect.find_all(docs))
     back = answers.restored(policy.rewrite(docs, merged, "pseudonym", secret=SECRET), mapping(docs, merged))
-    return back.select("doc_id", "code", F.sha2("text", 256).alias("text_sha256"))
+    return texts.named(back).select("doc_id", "code", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query("SELECT page_id, contains(lower(html), '<script') OR contains(lower(html), 'javascript:') OR contains(lower(html), 'vbscript:') AS active FROM pages")
