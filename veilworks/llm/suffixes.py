@@ -30,7 +30,7 @@ NO_ID = (1 << 63) - 1
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _BYTES = np.frombuffer(hashlib.shake_256(b"bytes").digest(2048), np.uint64)
 _PLACE_BITS = 22
-HELD = "doc long, tag int, a long, b long"
+HELD = "doc long, tag int, a long, b long, settled boolean"
 DEALT = "bucket int, sent binary, told binary"
 
 
@@ -168,6 +168,15 @@ def settled(doc: np.ndarray, tag: np.ndarray, keys: np.ndarray, shared: bool) ->
     return doc, tag, keys, doc > low, doc == low
 
 
+def varied(keys: np.ndarray) -> np.ndarray:
+    """Which rows of keys, sorted, have the first half of their key in another key too."""
+    if not len(keys):
+        return np.zeros(0, bool)
+    at = np.flatnonzero(np.append(True, keys[1:, 0] != keys[:-1, 0]))
+    last = np.append(at[1:], len(keys)) - 1
+    return np.repeat(keys[at, 1] != keys[last, 1], last - at + 1)
+
+
 def planes(a: np.ndarray) -> bytes:
     """Numbers byte by byte: first the lowest byte of all, and so on, so that what is alike lies together."""
     return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
@@ -227,25 +236,30 @@ def _emitted(found: Callable, shared: bool, buckets: int) -> Callable[[Iterator[
     return run
 
 
-def _met(shared: bool) -> Callable[[pa.Table], pa.Table]:
-    """What the parts of a bucket tell together: (doc, tag, a, b) of keys that a smaller doc (shared: another doc) holds."""
+def _met(shared: bool, open_: bool) -> Callable[[pa.Table], pa.Table]:
+    """What the parts of a bucket tell together: (doc, tag, a, b, settled) of keys that a smaller doc (shared: another doc) holds; with open_ also, not settled, of those that begin like another key."""
 
     def run(rows: pa.Table) -> pa.Table:
-        out = [unpacked(data) for data in rows.column("told").drop_null().to_pylist()]
+        out = [(*unpacked(data), True) for data in rows.column("told").drop_null().to_pylist()]
         held = [unpacked(data) for data in rows.column("sent").drop_null().to_pylist()]
         if held:
             doc, tag, keys, decided, _ = settled(*map(np.concatenate, zip(*held)), shared)
-            out.append((doc[decided], tag[decided], keys[decided]))
-        doc, tag, keys = map(np.concatenate, zip(*out))
-        return pa.table({"doc": doc, "tag": tag.astype(np.int32), "a": keys[:, 0], "b": keys[:, 1]})
+            out.append((doc[decided], tag[decided], keys[decided], True))
+            if open_:
+                more = varied(keys) & ~decided
+                out.append((doc[more], tag[more], keys[more], False))
+        doc, tag, keys = (np.concatenate([x[i] for x in out]) for i in range(3))
+        return pa.table({"doc": doc, "tag": tag.astype(np.int32), "a": keys[:, 0], "b": keys[:, 1], "settled": np.repeat([x[3] for x in out], [len(x[0]) for x in out])})
 
     return run
 
 
-def known_elsewhere(found: DataFrame, shared: bool, name: str) -> DataFrame:
-    """(doc, tag, name): the keys of each group of rows that a smaller doc (shared: another doc) holds too."""
-    met = found.groupBy("bucket").applyInArrow(_met(shared), HELD)
-    return met.groupBy("doc", "tag").agg(F.collect_list(F.struct("a", "b")).alias(name))
+def known_elsewhere(found: DataFrame, shared: bool, name: str, open_: str | None = None) -> DataFrame:
+    """(doc, tag, name): the keys of each group of rows that a smaller doc (shared: another doc) holds too; in `open_` its keys that aren't, but begin like another."""
+    met = found.groupBy("bucket").applyInArrow(_met(shared, bool(open_)), HELD)
+    key = F.struct("a", "b")
+    lists = [F.collect_list(F.when(F.col("settled"), key)).alias(name)] + ([F.collect_list(F.when(~F.col("settled"), key)).alias(open_)] if open_ else [])
+    return met.groupBy("doc", "tag").agg(*lists)
 
 
 def _keys(column: pa.Array, row: int) -> np.ndarray:
@@ -283,27 +297,54 @@ def _by_anchor(batch: pa.RecordBatch, pieces: Pieces) -> tuple[np.ndarray, np.nd
     return pieces.rows[np.searchsorted(pieces.at, at, "right") - 1], keys
 
 
-def _chosen(batch: pa.RecordBatch, pieces: Pieces, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, rows, anchor hashes) of the passages in phrases of their own whose anchors are among the row's keys."""
+def _alive(batch: pa.RecordBatch, pieces: Pieces, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, rows, anchors' places) of the passages in phrases of their own whose anchors begin a key of the row."""
     alive = np.flatnonzero(pieces.fits & ~_covered(batch, pieces))
-    rows = pieces.rows[pieces.owner[alive]]
-    anchor = pieces.hash[anchors(pieces.hash)[alive]]
+    rows, place = pieces.rows[pieces.owner[alive]], anchors(pieces.hash)[alive]
     hit = np.zeros(len(alive), bool)
     edges = np.flatnonzero(np.append(True, np.diff(rows) != 0)) if len(rows) else []
     for a, b in zip(edges, np.append(edges[1:], len(rows)) if len(edges) else []):
         known = np.unique(_keys(batch.column(column), int(rows[a]))[:, 0].view(np.uint64))
         if len(known):
-            spot = np.minimum(np.searchsorted(known, anchor[a:b]), len(known) - 1)
-            hit[a:b] = known[spot] == anchor[a:b]
-    return alive[hit], rows[hit], anchor[hit]
+            anchor = pieces.hash[place[a:b]]
+            spot = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
+            hit[a:b] = known[spot] == anchor
+    return alive[hit], rows[hit], place[hit]
+
+
+def _stretches(pieces: Pieces, starts: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbouring starts of one anchor: where each stretch begins among the starts, how many it has, and its key: the anchor's hash and that of its text."""
+    first = np.flatnonzero(np.append(True, (starts[1:] != starts[:-1] + 1) | (place[1:] != place[:-1]) | (pieces.owner[starts[1:]] != pieces.owner[starts[:-1]]))) if len(starts) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(starts)))
+    data = memoryview(pieces.data)
+    said = b"".join(hashlib.blake2b(data[a : a + n + DEPTH - 1], digest_size=8).digest() for a, n in zip(starts[first].tolist(), size.tolist()))
+    return first, size, np.stack([pieces.hash[place[first]].view(np.int64), np.frombuffer(said, np.int64)], 1)
+
+
+def _by_stretch(batch: pa.RecordBatch, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    starts, rows, place = _alive(batch, pieces, "shared")
+    first, _, keys = _stretches(pieces, starts, place)
+    return rows[first], keys
+
+
+def _inside(batch: pa.RecordBatch, pieces: Pieces, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_alive() of the stretches that are among the row's keys."""
+    starts, rows, place = _alive(batch, pieces, column)
+    first, size, keys = _stretches(pieces, starts, place)
+    hit = np.zeros(len(first), bool)
+    for row in np.unique(rows):
+        mine = rows[first] == row
+        hit[mine] = among(keys[mine], _keys(batch.column(column), int(row)))
+    hit = np.repeat(hit, size)
+    return starts[hit], rows[hit], place[hit]
 
 
 def _by_suffix(batch: pa.RecordBatch, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix array, to DEPTH bytes, of the phrases' passages that may be in other phrases: each distinct passage once a row."""
-    starts, rows, anchor = _chosen(batch, pieces, "shared")
+    """The suffix array, to DEPTH bytes, of the dictionary's passages that may be in other phrases: each distinct passage once a row."""
+    starts, rows, place = _inside(batch, pieces, "open")
     if not len(starts):
         return rows, np.zeros((0, 2), np.int64)
-    words = words_of(pieces.data, starts)
+    words, anchor = words_of(pieces.data, starts), pieces.hash[place]
     order = np.lexsort((rows, *words.T[::-1]))
     words, rows, anchor = words[order], rows[order], anchor[order]
     fresh = np.append(True, (words[1:] != words[:-1]).any(1) | (rows[1:] != rows[:-1]))
@@ -319,9 +360,10 @@ def _cleaned(whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             texts, removed = batch.column("text").to_pylist(), {}
             for pieces, offsets in pieces_of(texts):
                 gone = _covered(batch, pieces) & pieces.fits
-                starts, rows, anchor = _chosen(batch, pieces, "repeated")
+                gone[_inside(batch, pieces, "stretches")[0]] = True
+                starts, rows, place = _alive(batch, pieces, "repeated")
                 if len(starts):
-                    keys = np.stack([anchor, passage_hash(words_of(pieces.data, starts))], 1).view(np.int64)
+                    keys = np.stack([pieces.hash[place], passage_hash(words_of(pieces.data, starts))], 1).view(np.int64)
                     for row in np.unique(rows):
                         mine = rows == row
                         gone[starts[mine][among(keys[mine], _keys(batch.column("repeated"), int(row)))]] = True
@@ -363,7 +405,9 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     that a smaller doc holds goes as a whole: the dictionary has it once.
     2. Within what is left, each passage has an anchor, its least rolling hash. Anchors that no other
     doc has rule out their passages, which is most of them.
-    3. What is left are suffixes of dictionary phrases, each with as much of what follows in the parse
+    3. Neighbouring passages of one anchor are a stretch, a finer parse of the dictionary. A stretch that
+    a smaller doc holds goes as a whole; one whose anchor has no other stretch is left as it is.
+    4. What is left are suffixes of dictionary phrases, each with as much of what follows in the parse
     as its first DEPTH bytes need. Each part sorts its own; equal neighbours are one passage, and the
     parts' suffix arrays meet by passage.
 
@@ -381,9 +425,10 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     phrases = cut(known_elsewhere(emit(read, _by_phrase, False, EVERY), False, "phrases"))
     first = read.join(phrases, ["doc", "tag"], "left")
     shared = known_elsewhere(emit(first, _by_anchor, True, PLACES // 2), True, "shared")
-    second = first.join(shared, ["doc", "tag"], "left")
-    repeated = known_elsewhere(emit(second, _by_suffix, False, 8), False, "repeated")
-    return first.join(repeated, ["doc", "tag"], "left").mapInArrow(_cleaned(keep_text), KEPT)
+    stretches = known_elsewhere(emit(first.join(shared, ["doc", "tag"], "left"), _by_stretch, False, PLACES), False, "stretches", "open")
+    third = first.join(stretches, ["doc", "tag"], "left")
+    repeated = known_elsewhere(emit(third, _by_suffix, False, PLACES), False, "repeated")
+    return third.join(repeated, ["doc", "tag"], "left").mapInArrow(_cleaned(keep_text), KEPT)
 
 
 def op12_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
