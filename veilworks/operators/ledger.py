@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -71,6 +72,62 @@ def confirmations(events: DataFrame) -> DataFrame:
     return folded(events, "token", ["ts", "id"], dict, confirm, "verdict")
 
 
+#: Fixed value: entries that a gate's ledger may hold.
+CAPACITY = 1024
+
+
+class Entry(NamedTuple):
+    """What a token was issued for."""
+
+    origin: str
+    body: str
+    until: float
+    approved: bool
+
+
+def gate_step(held: dict[str, Entry], now: float, action: str, token: str | None, body: str | None, origin: str | None, capacity: int = CAPACITY, lifetime: float = LIFETIME) -> str:
+    """What a gate's ledger says to an event, and does to its entries.
+
+    issue purges what is over and is `full` if `capacity` are left, else the token stands for its body
+    and origin for `lifetime` seconds. approve needs the token's origin, in time, once. redeem with
+    another origin is refused and leaves the entry; else it uses it up, and is accepted for the same
+    body in time. claim needs no token: it uses up the approved entry of its body and origin, the
+    least token of several.
+    """
+    entry = held.get(token)
+    if action == "issue":
+        for t in [t for t, e in held.items() if e.until <= now]:
+            del held[t]
+        if len(held) >= capacity:
+            return "full"
+        held[token] = Entry(origin, body, now + lifetime, False)
+        return "issued"
+    if action == "claim":
+        fit = min((t for t, e in held.items() if e.approved and e.until > now and e.origin == origin and e.body == body), default=None)
+        if fit is None:
+            return "refused"
+        del held[fit]
+        return "accepted"
+    if entry is None or entry.origin != origin:
+        return "refused"
+    if action == "approve":
+        if entry.until <= now or entry.approved:
+            return "refused"
+        held[token] = entry._replace(approved=True)
+        return "approved"
+    del held[token]
+    return "accepted" if entry.until > now and entry.body == body else "refused"
+
+
+def gates(events: DataFrame, capacity: int = CAPACITY, lifetime: float = LIFETIME) -> DataFrame:
+    """events (gate, id, ts, action: issue, approve, redeem or claim, token, body, origin) with verdict (T1). A gate is a state machine, so one task's work, with `capacity` entries at most; gates are spread. A null action or token is refused like any unknown one."""
+
+    def step(state: dict, row: dict) -> str:
+        return gate_step(state, row["ts"].timestamp(), row["action"], row["token"], row["body"], row["origin"], capacity, lifetime)
+
+    return folded(events, "gate", ["ts", "id"], dict, step, "verdict")
+
+
 #: Values that a scope may hold.
 MOST_VALUES = 512
 

@@ -332,11 +332,23 @@ def T4_T7_audit_chain(spark, sf_dir):
     return audit.verified(audit.chained(audit_lines(spark, sf_dir)))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT strftime(ts, '%Y-%m-%d') AS chain, event_type || '|' || user_id || ';' || props AS said, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY event_id) AS n FROM events),
+r AS (SELECT DISTINCT chain, CAST(0 AS BIGINT) AS n, repeat('0', 64) AS h FROM e UNION ALL SELECT r.chain, e.n, sha256(h || '|' || said) FROM r JOIN e ON e.chain = r.chain AND e.n = r.n + 1)
+SELECT chain, max(n) AS n_lines, arg_max(h, n) AS last_hash FROM r GROUP BY chain""")
 def T5_checkpoints(spark, sf_dir):
     return audit.checkpoints(audit.chained(audit_lines(spark, sf_dir)))
 
 
+@query("""WITH RECURSIVE e AS (SELECT event_type AS chain, event_id AS seq, strftime(ts, '%Y-%m-%d') AS segment, event_type || '|' || user_id || ';' || props AS said, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events),
+r AS (SELECT DISTINCT chain, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS segment, CAST(NULL AS VARCHAR) AS prev, repeat('0', 64) AS h FROM e
+  UNION ALL SELECT r.chain, e.n, e.seq, e.segment, h, sha256(h || '|' || said) FROM r JOIN e ON e.chain = r.chain AND e.n = r.n + 1)
+SELECT chain, segment, count(*) AS n_lines, min(seq) AS first_seq, arg_min(prev, n) AS opened_with, arg_max(h, n) AS last_hash FROM r WHERE n > 0 GROUP BY chain, segment""")
+def T4_T5_rolled_segments(spark, sf_dir):
+    """A chain for each kind of event, in a segment a day that opens with the last hash of the day before."""
+    lines = audit_lines(spark, sf_dir).select(F.col("kind").alias("chain"), "seq", "kind", "fields", F.col("chain").alias("segment"))
+    return audit.segments(audit.chained(lines))
+
+
 IN_FLIGHT_SECONDS = 3600
 
 
@@ -497,6 +509,36 @@ def T1_confirmations(spark, sf_dir):
     return ledger.confirmations(e.select(F.col("user_id").cast("string").alias("token"), F.col("event_id").alias("id"), "ts", action.alias("action"), F.lit("o").alias("origin"), F.col("event_type").alias("body")))
 
 
+GATE_CAPACITY, GATE_LIFETIME = 3, 43_200
+
+
+def gate_events(spark, sf_dir) -> DataFrame:
+    """Thirty gates of a few tokens each, that the table's events work on."""
+    e = table(spark, sf_dir, "events")
+    turn = F.pmod("event_id", F.lit(8))
+    action = F.when(turn.isin(0, 1, 4), "issue").when(turn.isin(2, 5), "approve").when(turn.isin(3, 6), "redeem").otherwise("claim")
+    return e.select(F.pmod("user_id", F.lit(30)).cast("string").alias("gate"), F.col("event_id").alias("id"), "ts", action.alias("action"), F.col("user_id").cast("string").alias("token"), F.when(F.length("event_type") > 4, "a").otherwise("b").alias("body"), F.when(F.pmod("event_id", F.lit(7)) == 0, "p").otherwise("o").alias("origin"))
+
+
+@query(f"""WITH RECURSIVE e AS (
+  SELECT CAST(user_id % 30 AS VARCHAR) AS gate, event_id AS id, ts, epoch_us(ts) AS now, list_value('issue', 'issue', 'approve', 'redeem', 'issue', 'approve', 'redeem', 'claim')[event_id % 8 + 1] AS action, CAST(user_id AS VARCHAR) AS token,
+    CASE WHEN length(event_type) > 4 THEN 'a' ELSE 'b' END AS body, CASE WHEN event_id % 7 = 0 THEN 'p' ELSE 'o' END AS origin, row_number() OVER (PARTITION BY user_id % 30 ORDER BY ts, event_id) AS n FROM events),
+r AS (
+  SELECT DISTINCT gate, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS verdict, CAST([] AS STRUCT(token VARCHAR, origin VARCHAR, body VARCHAR, til BIGINT, ok BOOLEAN)[]) AS held FROM e
+  UNION ALL
+  SELECT gate, n, verdict, CASE WHEN verdict = 'full' THEN alive WHEN verdict = 'issued' THEN list_append(list_filter(alive, lambda x: x.token <> token), {{'token': token, 'origin': origin, 'body': body, 'til': now + {GATE_LIFETIME * 1_000_000}, 'ok': false}})
+    WHEN verdict = 'approved' THEN list_transform(held, lambda x: {{'token': x.token, 'origin': x.origin, 'body': x.body, 'til': x.til, 'ok': x.ok OR x.token = token}})
+    WHEN action = 'claim' AND verdict = 'accepted' THEN list_filter(held, lambda x: x.token <> fit) WHEN action = 'redeem' AND mine IS NOT NULL AND mine.origin = origin THEN list_filter(held, lambda x: x.token <> token) ELSE held END
+  FROM (SELECT *, CASE WHEN action = 'issue' THEN CASE WHEN len(alive) >= {GATE_CAPACITY} THEN 'full' ELSE 'issued' END WHEN action = 'claim' THEN CASE WHEN fit IS NULL THEN 'refused' ELSE 'accepted' END
+      WHEN mine IS NULL OR mine.origin <> origin OR mine.til <= now THEN 'refused' WHEN action = 'approve' THEN CASE WHEN mine.ok THEN 'refused' ELSE 'approved' END WHEN mine.body = body THEN 'accepted' ELSE 'refused' END AS verdict
+    FROM (SELECT e.*, r.held, list_filter(r.held, lambda x: x.til > e.now) AS alive, list_filter(r.held, lambda x: x.token = e.token)[1] AS mine,
+        list_min([x.token for x in r.held if x.ok and x.til > e.now and x.origin = e.origin and x.body = e.body]) AS fit FROM r JOIN e ON e.gate = r.gate AND e.n = r.n + 1)))
+SELECT e.gate, e.id, e.ts, e.action, e.token, r.verdict FROM r JOIN e USING (gate, n)""")
+def T1_gate_ledgers(spark, sf_dir):
+    """Ledgers of a bounded number of confirmations."""
+    return ledger.gates(gate_events(spark, sf_dir), GATE_CAPACITY, GATE_LIFETIME).select("gate", "id", "ts", "action", "token", "verdict")
+
+
 @query("SELECT vec_id, round(sqrt(list_sum([CAST(x AS DOUBLE) * x for x in embedding])), 6) AS norm, round(CAST(embedding[1] AS DOUBLE) / sqrt(list_sum([CAST(x AS DOUBLE) * x for x in embedding])), 6) AS first FROM embeddings")
 def A20_normalised(spark, sf_dir):
     v = F.transform("embedding", lambda x: x.cast("double"))
@@ -685,4 +727,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-from veilworks.plans import evidence, pieces, reports  # noqa: E402, F401  they register their queries by the names above
+from veilworks.plans import dictionaries, evidence, pieces, reports  # noqa: E402, F401  they register their queries by the names above
