@@ -17,6 +17,8 @@ DEPTH = 50
 #: Bytes of a rolling hash, and how many of them a passage holds.
 W = 16
 PLACES = DEPTH - W + 1
+#: Bytes beside an anchor of which each passage has as many on one side at least.
+SIDE = (DEPTH - W + 1) // 2
 #: One place in so many is a trigger, where a phrase begins; a phrase has no more starts than LONGEST.
 EVERY, LONGEST = 256, 1 << 13
 #: Starts of a text that are looked at together; bytes of all texts that are.
@@ -90,6 +92,13 @@ class Pieces:
         self.owner = np.repeat(np.arange(len(held)), sizes)[: self.starts]
         self.fits = np.arange(self.starts) + DEPTH <= (self.at + sizes)[self.owner]
 
+    def keyed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each start of a passage: its anchor's hash; where the SIDE + W bytes begin that reach from the anchor to the side on which the passage has more; and their hash."""
+        place, start = anchors(self.hash), np.arange(self.starts)
+        wide = mixed((self.hash[:-SIDE] * np.uint64(_MIX[2])) ^ self.hash[SIDE:])
+        at = np.where(place - start >= SIDE, place - SIDE, place)
+        return self.hash[place], at, wide[at]
+
     def phrases(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(begin, end, row) of each phrase: the starts from one trigger to the next. Its text goes DEPTH - 1 bytes on, so it holds the end of the next trigger, and all of each passage that begins in it."""
         trigger = (self.hash[: self.starts] % np.uint64(EVERY) == 0) & self.fits
@@ -297,58 +306,59 @@ def _by_anchor(batch: pa.RecordBatch, pieces: Pieces) -> tuple[np.ndarray, np.nd
     return pieces.rows[np.searchsorted(pieces.at, at, "right") - 1], keys
 
 
-def _alive(batch: pa.RecordBatch, pieces: Pieces, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, rows, anchors' places) of the passages in phrases of their own whose anchors begin a key of the row."""
+def _alive(batch: pa.RecordBatch, pieces: Pieces, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, rows, places, hashes) of keyed() for the passages in phrases of their own whose anchor (column shared) or wider key begins a key of the row."""
     alive = np.flatnonzero(pieces.fits & ~_covered(batch, pieces))
-    rows, place = pieces.rows[pieces.owner[alive]], anchors(pieces.hash)[alive]
+    rows = pieces.rows[pieces.owner[alive]]
+    anchor, place, wide = (x[alive] for x in pieces.keyed())
+    asked = anchor if column == "shared" else wide
     hit = np.zeros(len(alive), bool)
     edges = np.flatnonzero(np.append(True, np.diff(rows) != 0)) if len(rows) else []
     for a, b in zip(edges, np.append(edges[1:], len(rows)) if len(edges) else []):
         known = np.unique(_keys(batch.column(column), int(rows[a]))[:, 0].view(np.uint64))
         if len(known):
-            anchor = pieces.hash[place[a:b]]
-            spot = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
-            hit[a:b] = known[spot] == anchor
-    return alive[hit], rows[hit], place[hit]
+            spot = np.minimum(np.searchsorted(known, asked[a:b]), len(known) - 1)
+            hit[a:b] = known[spot] == asked[a:b]
+    return alive[hit], rows[hit], place[hit], wide[hit]
 
 
-def _stretches(pieces: Pieces, starts: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Neighbouring starts of one anchor: where each stretch begins among the starts, how many it has, and its key: the anchor's hash and that of its text."""
+def _stretches(pieces: Pieces, starts: np.ndarray, place: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbouring starts of one place: where each stretch begins among the starts, how many it has, and its key: the hash there and that of all its text."""
     first = np.flatnonzero(np.append(True, (starts[1:] != starts[:-1] + 1) | (place[1:] != place[:-1]) | (pieces.owner[starts[1:]] != pieces.owner[starts[:-1]]))) if len(starts) else np.zeros(0, np.int64)
     size = np.diff(np.append(first, len(starts)))
     data = memoryview(pieces.data)
     said = b"".join(hashlib.blake2b(data[a : a + n + DEPTH - 1], digest_size=8).digest() for a, n in zip(starts[first].tolist(), size.tolist()))
-    return first, size, np.stack([pieces.hash[place[first]].view(np.int64), np.frombuffer(said, np.int64)], 1)
+    return first, size, np.stack([wide[first].view(np.int64), np.frombuffer(said, np.int64)], 1)
 
 
 def _by_stretch(batch: pa.RecordBatch, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    starts, rows, place = _alive(batch, pieces, "shared")
-    first, _, keys = _stretches(pieces, starts, place)
+    starts, rows, place, wide = _alive(batch, pieces, "shared")
+    first, _, keys = _stretches(pieces, starts, place, wide)
     return rows[first], keys
 
 
 def _inside(batch: pa.RecordBatch, pieces: Pieces, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """_alive() of the stretches that are among the row's keys."""
-    starts, rows, place = _alive(batch, pieces, column)
-    first, size, keys = _stretches(pieces, starts, place)
+    """(starts, rows, hashes) of the stretches that are among the row's keys."""
+    starts, rows, place, wide = _alive(batch, pieces, column)
+    first, size, keys = _stretches(pieces, starts, place, wide)
     hit = np.zeros(len(first), bool)
     for row in np.unique(rows):
         mine = rows[first] == row
         hit[mine] = among(keys[mine], _keys(batch.column(column), int(row)))
     hit = np.repeat(hit, size)
-    return starts[hit], rows[hit], place[hit]
+    return starts[hit], rows[hit], wide[hit]
 
 
 def _by_suffix(batch: pa.RecordBatch, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """The suffix array, to DEPTH bytes, of the dictionary's passages that may be in other phrases: each distinct passage once a row."""
-    starts, rows, place = _inside(batch, pieces, "open")
+    starts, rows, wide = _inside(batch, pieces, "open")
     if not len(starts):
         return rows, np.zeros((0, 2), np.int64)
-    words, anchor = words_of(pieces.data, starts), pieces.hash[place]
+    words = words_of(pieces.data, starts)
     order = np.lexsort((rows, *words.T[::-1]))
-    words, rows, anchor = words[order], rows[order], anchor[order]
+    words, rows, wide = words[order], rows[order], wide[order]
     fresh = np.append(True, (words[1:] != words[:-1]).any(1) | (rows[1:] != rows[:-1]))
-    return rows[fresh], np.stack([anchor[fresh], passage_hash(words[fresh])], 1).view(np.int64)
+    return rows[fresh], np.stack([wide[fresh], passage_hash(words[fresh])], 1).view(np.int64)
 
 
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<at:long,end:long>>, kept binary"
@@ -361,9 +371,9 @@ def _cleaned(whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             for pieces, offsets in pieces_of(texts):
                 gone = _covered(batch, pieces) & pieces.fits
                 gone[_inside(batch, pieces, "stretches")[0]] = True
-                starts, rows, place = _alive(batch, pieces, "repeated")
+                starts, rows, _, wide = _alive(batch, pieces, "repeated")
                 if len(starts):
-                    keys = np.stack([pieces.hash[place], passage_hash(words_of(pieces.data, starts))], 1).view(np.int64)
+                    keys = np.stack([wide, passage_hash(words_of(pieces.data, starts))], 1).view(np.int64)
                     for row in np.unique(rows):
                         mine = rows == row
                         gone[starts[mine][among(keys[mine], _keys(batch.column("repeated"), int(row)))]] = True
@@ -405,8 +415,9 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     that a smaller doc holds goes as a whole: the dictionary has it once.
     2. Within what is left, each passage has an anchor, its least rolling hash. Anchors that no other
     doc has rule out their passages, which is most of them.
-    3. Neighbouring passages of one anchor are a stretch, a finer parse of the dictionary. A stretch that
-    a smaller doc holds goes as a whole; one whose anchor has no other stretch is left as it is.
+    3. Neighbouring passages of one anchor, on one side of it, are a stretch, a finer parse of the
+    dictionary. A stretch that a smaller doc holds goes as a whole; one whose anchor comes with these
+    SIDE bytes beside it in no other stretch is left as it is.
     4. What is left are suffixes of dictionary phrases, each with as much of what follows in the parse
     as its first DEPTH bytes need. Each part sorts its own; equal neighbours are one passage, and the
     parts' suffix arrays meet by passage.
