@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = r"⟦[A-Z][A-Z0-9_]{0,23}_[0-9A-HJKMNP-TV-Z]{10}⟧"
+from veilworks.operators import links
+from veilworks.operators.links import linked
+
+TOKEN = links.TOKEN.pattern
 ACTIVE = ("<script", "javascript:", "vbscript:")
 
 
@@ -20,19 +23,6 @@ def tokens(answers: DataFrame) -> DataFrame:
     return answers.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"({TOKEN})"), F.lit(1))).alias("at", "token"))
 
 
-#: What may stand before a token that is part of a link, up to the end of a line or further where the construct isn't closed: destinations and references, angle brackets and
-#: attributes (their brackets written out or as references), schemes, www and host/path runs, and addresses in style sheets.
-CONTEXTS = (
-    r"\]\([^)\n]*", r"\]:[ \t]*\S*", r"<[^>]*", r"&(?:lt|#60|#x3[cC]);[^>]*", r"(?:href|src|action|data)\s*=\s*[\"']?[^\"'>]*", r"[a-zA-Z][a-zA-Z0-9+.-]*:(?://)?[^\s⟦]*[^\s⟦:][^\s⟦]*", r"[a-zA-Z][a-zA-Z0-9+.-]*://[^\s]*",
-    r"(?:^|[^a-zA-Z0-9])www\.[^\s]*", r"[a-zA-Z0-9-]+(?:\.[a-zA-Z0-9-]+)+/[^\s]*", r"(?i:url)\([^)]*", r"@(?i:import)[^;]*",
-)
-
-
-def linked(text: Column) -> Column:
-    """Whether a token stands in a link's destination, an attribute, a web address or a style sheet's address (R4, R5). A link's own text doesn't count."""
-    return F.coalesce(text.rlike("|".join(c + TOKEN for c in CONTEXTS)), F.lit(False))
-
-
 def restored(answers: DataFrame, mapping: DataFrame) -> DataFrame:
     """(doc_id, text, code) from answers and mapping (doc_id, token, value): tokens replaced by their values in one pass.
 
@@ -41,9 +31,10 @@ def restored(answers: DataFrame, mapping: DataFrame) -> DataFrame:
     """
     pairs = mapping.groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("token", "value"))).alias("values"))
     joined = answers.join(pairs, "doc_id", "left").withColumn("values", F.coalesce("values", F.map_from_entries(F.array().cast("array<struct<token:string,value:string>>"))))
+    joined = joined.withColumn("__linked", linked(F.col("text")))
     found, gaps = F.regexp_extract_all("text", F.lit(f"({TOKEN})"), F.lit(1)), F.split("text", TOKEN, -1)
     unknown = F.exists(found, lambda t: F.element_at("values", t).isNull())
-    code = F.when(active(F.col("text")), 503).when(linked(F.col("text")), 500).when(unknown, 502)
+    code = F.when(active(F.col("text")), 503).when(F.col("__linked"), 500).when(unknown, 502)
     said = F.array_join(F.zip_with(gaps, F.transform(found, lambda t: F.element_at("values", t)), lambda gap, v: F.concat(gap, F.coalesce(v, F.lit("")))), "")
     return joined.select("doc_id", F.when(code.isNull(), said).otherwise(F.col("text")).alias("text"), code.alias("code"))
 

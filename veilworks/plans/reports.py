@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilworks.operators import answers, audit, detect, measure, reports
+from veilworks.operators import answers, audit, detect, links, measure, reports
 from veilworks.plans import oracles
 from veilworks.plans.registry import IN_FLIGHT_SECONDS, PLANTED, PLANTS, audit_lines, docs_of, labelled, planted, query
 from veilworks.sources import bodies, files
@@ -163,8 +163,8 @@ def R3_scanned_tokens(spark, sf_dir):
 
 #: A token in each kind of link, and out of one.
 LINKS = (
-    ("[x](http://h/{})", True), ("[x]: {}", True), ("<{}>", True), ("<a href='{}'>x</a>", True), ("<img src={} >", True), ("https://h.example/{}", True), ("www.h.example/{}", True), ("h.example/{}", True),
-    ("url({})", True), ("@import '{}'", True), ("[x](http://h/{}", True), ("&lt;a href={}", True), ("plain {} text", False), ("( {} )", False), ("[{}](http://h/)", False),
+    ("[x](http://h/{})", True), ("\n[x]: {}", True), ("<{}>", True), ("<a href='{}'>x</a>", True), ("<img src={} >", True), ("https://h.example/{}", True), ("www.h.example/{}", True), ("h.example/{}", True),
+    ("url({})", True), ("@import '{}'", True), ("[x](http://h/{}", True), ("&lt;a href={}", True), ("plain {} text", False), ("( {} )", False), ("[{}](http://h/)", False), ("[x]: {}", False), ("a < {} > b", False), ("<a title='>' {}", True), ("mailto:{}", True), ("[x](h(1)/{} y", True), ("[x](h) {}", False),
 )
 
 
@@ -174,6 +174,30 @@ def R4_R5_link_contexts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", answers.linked(F.concat(F.lit("Answer: "), F.get(said, (F.col("doc_id") % len(LINKS)).cast("int")))).alias("linked"))
 
 
+_PLACE = "CAST((page_id * 7919) % (length(html) + 1) AS INTEGER)"
+_RUN_SQL = r"regexp_extract(ahead, '[^ \t\n\r\f\v]*$') || token || regexp_extract(behind, '^[^ \t\n\r\f\v]*')"
+
+
+def _within(pattern: str) -> str:
+    """Whether the token begins in a match of the pattern."""
+    p = oracles.quoted(pattern)
+    gaps, whole = f"regexp_split_to_array(said, {p})", f"regexp_extract_all(said, {p})"
+    begin = f"list_sum([length(g) for g in {gaps}[1:i]]) + coalesce(list_sum([length(w) for w in {whole}[1:i - 1]]), 0)"
+    return f"len([i for i in range(1, len({whole}) + 1) if length(ahead) >= {begin} AND length(ahead) < {begin} + length({whole}[i])]) > 0"
+
+
+@query(rf"""WITH p AS (SELECT page_id, left(html, {_PLACE}) AS ahead, substr(html, {_PLACE} + 1) AS behind, '⟦EMAIL_0123456789⟧' AS token FROM pages WHERE html IS NOT NULL), t AS (SELECT *, ahead || token || behind AS said, {_RUN_SQL} AS run FROM p)
+SELECT page_id, CASE WHEN {_within("""<[A-Za-z/!](?:[^"'>]|"[^"]*(?:"|$)|'[^']*(?:'|$))*>?""")} THEN 'html_tag' WHEN {_within("<[^ \\t\\n\\r\\f\\vA-Za-z/!][^>\\n]*>?")} THEN 'angle_bracket' WHEN {_within(r"(?i)url[(][^)]*[)]?|@import[^\n]*")} THEN 'css_url'
+  WHEN contains(run, '://') OR regexp_matches(run, '(?i)(^|[^A-Za-z0-9+.-])(?:{"|".join(links.SCHEMES)}):') THEN 'scheme_url' WHEN regexp_matches(run, {oracles.quoted("(?i)^[(*_\"'<[]*www[.]")}) THEN 'www_url'
+  WHEN regexp_matches(run, '[A-Za-z0-9-]\.[A-Za-z]{{2,}}(?:[/?#]|:[0-9])') THEN 'host_path' END AS context FROM t""")
+def R4_token_in_pages(spark, sf_dir):
+    """A token at some place of each page, and what it stands in."""
+    at = F.pmod(F.col("page_id") * 7919, F.length("html") + 1).cast("int")
+    said = F.concat(F.substring("html", F.lit(1), at), F.lit("⟦EMAIL_0123456789⟧"), F.substring(F.col("html"), at + 1, F.length("html")))
+    pages = table(spark, sf_dir, "pages").where("html is not null").select(F.col("page_id").alias("doc_id"), said.alias("text"))
+    return links.token_contexts(pages).select(F.col("doc_id").alias("page_id"), "context")
+
+
 # Bodies
 
 
