@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilworks.operators import terms, wordpiece
+from veilworks.plans import oracles, tables
 from veilworks.plans.registry import docs_of, query, told_apart
 from veilworks.operators.texts import named
 from veilworks.sources.tables import table
@@ -79,3 +80,24 @@ def V12_word_pieces(spark, sf_dir):
 @query()
 def V11_piece_windows(spark, sf_dir):
     return wordpiece.windows(docs_of(spark, sf_dir), vocabulary(spark, sf_dir))
+
+
+# Table functions
+
+
+@query(oracles.FIND_ALL)
+def D0_sql_find_entities(spark, sf_dir):
+    """All spans of all documents, asked for in SQL."""
+    docs = docs_of(spark, sf_dir)
+    tables.register(spark, docs, "veilworks_")
+    docs.createOrReplaceTempView("veilworks_documents")
+    return spark.sql("SELECT d.doc_id, e.cs, e.ce, e.type, e.detector, e.value FROM veilworks_documents d, LATERAL veilworks_find_entities(d.doc_id, d.text) e")
+
+
+@query(oracles.POLICY)
+def P1_sql_judged_texts(spark, sf_dir):
+    """The decision on each document, asked for in SQL."""
+    docs = docs_of(spark, sf_dir)
+    tables.register(spark, docs, "veilworks_")
+    docs.createOrReplaceTempView("veilworks_documents")
+    return spark.sql("SELECT d.doc_id, e.n_spans, e.code, e.blocked_types FROM veilworks_documents d, LATERAL veilworks_judge_text(d.doc_id, d.text) e")
