@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,11 +23,13 @@ SIDE = (DEPTH - W + 1) // 2
 #: One place in so many is a trigger, where a phrase begins; a phrase has no more starts than LONGEST.
 EVERY, LONGEST = 256, 1 << 13
 #: Starts of a text that are looked at together; bytes of all texts that are.
-PIECE, TOGETHER = 1 << 20, 1 << 20
+PIECE, TOGETHER = 1 << 18, 1 << 18
 #: Keys that a task gathers before it hands them on, and keys that one group of the next step has.
 FLUSH, BUCKET = 1 << 19, 1 << 19
 #: Rows that share a doc_id are dealt over so many groups.
-TAGS = 1 << 12
+TAGS = 1 << 8
+#: Bits of an anchor's hash that tell anchors apart; more would only rule out a few passages more.
+ANCHOR = np.uint64((1 << 64) - (1 << 16))
 #: Ranks after every other doc_id, for rows without one.
 NO_ID = (1 << 63) - 1
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -79,6 +82,14 @@ def passage_hash(words: np.ndarray) -> np.ndarray:
     return h
 
 
+def edges_of(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    changed = np.zeros(max(len(columns[0]) - 1, 0), bool)
+    for c in columns:
+        changed |= c[1:] != c[:-1]
+    return np.flatnonzero(np.append(True, changed)) if len(columns[0]) else np.zeros(0, np.int64)
+
+
 class Pieces:
     """Texts side by side, each a piece of bounded size: the bytes, which starts are passages, and of which row."""
 
@@ -92,12 +103,14 @@ class Pieces:
         self.owner = np.repeat(np.arange(len(held)), sizes)[: self.starts]
         self.fits = np.arange(self.starts) + DEPTH <= (self.at + sizes)[self.owner]
 
-    def keyed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each start of a passage: its anchor's hash; where the SIDE + W bytes begin that reach from the anchor to the side on which the passage has more; and their hash."""
+    def keyed(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each start of a passage, ascending: where its anchor is; and where the SIDE + W bytes begin that reach from the anchor to the side on which the passage has more."""
         place, start = anchors(self.hash), np.arange(self.starts)
-        wide = mixed((self.hash[:-SIDE] * np.uint64(_MIX[2])) ^ self.hash[SIDE:])
-        at = np.where(place - start >= SIDE, place - SIDE, place)
-        return self.hash[place], at, wide[at]
+        return place, np.where(place - start >= SIDE, place - SIDE, place)
+
+    def wide(self, at: np.ndarray) -> np.ndarray:
+        """The hash of the SIDE + W bytes from each place on."""
+        return mixed((self.hash[at] * np.uint64(_MIX[2])) ^ self.hash[at + SIDE])
 
     def phrases(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(begin, end, row) of each phrase: the starts from one trigger to the next. Its text goes DEPTH - 1 bytes on, so it holds the end of the next trigger, and all of each passage that begins in it."""
@@ -141,18 +154,33 @@ def pieces_of(texts: list[str | None]) -> Iterator[tuple[Pieces, list[int]]]:
         yield Pieces(held), offsets
 
 
-def among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which rows of keys (n, 2) are in known (m, 2)."""
-    if not len(known) or not len(keys):
-        return np.zeros(len(keys), bool)
-    both = np.concatenate([known, keys]).view(np.uint64)
-    order = np.lexsort((both[:, 1], both[:, 0]))
-    fresh = np.append(True, (both[order][1:] != both[order][:-1]).any(1))
-    group = np.empty(len(both), np.int64)
-    group[order] = np.cumsum(fresh) - 1
-    hit = np.zeros(group.max() + 1, bool)
-    hit[group[: len(known)]] = True
-    return hit[group[len(known) :]]
+class Known:
+    """The keys of some rows of a batch, to look others up in."""
+
+    def __init__(self, column: pa.Array, rows: np.ndarray, half: bool = False):
+        low, high = int(rows[0]), int(rows[-1]) + 1
+        lists = column.slice(low, high - low)
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+        values = lists.flatten()
+        a, b = (np.asarray(values.field(k), np.int64).view(np.uint64) for k in ("a", "b"))
+        self.half = half
+        self.row, self.a, self.b = np.repeat(np.arange(low, high), sizes), a, np.zeros_like(b) if half else b
+        code = self._code(self.row, self.a, self.b)
+        order = np.argsort(code, kind="stable")
+        self.row, self.a, self.b, self.code = self.row[order], self.a[order], self.b[order], code[order]
+
+    @staticmethod
+    def _code(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mixed((a ^ (row.astype(np.uint64) * np.uint64(_MIX[0]))) + b * np.uint64(_MIX[2]))
+
+    def has(self, row: np.ndarray, a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
+        """Whether each row has this key, or with half one that begins with a."""
+        if not len(self.code) or not len(row):
+            return np.zeros(len(row), bool)
+        b = np.zeros(len(row), np.uint64) if b is None else b.view(np.uint64)
+        a = a.view(np.uint64)
+        spot = np.minimum(np.searchsorted(self.code, self._code(row, a, b)), len(self.code) - 1)
+        return (self.row[spot] == row) & (self.a[spot] == a) & (self.b[spot] == b)
 
 
 def _first(doc: np.ndarray, tag: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -271,12 +299,6 @@ def known_elsewhere(found: DataFrame, shared: bool, name: str, open_: str | None
     return met.groupBy("doc", "tag").agg(*lists)
 
 
-def _keys(column: pa.Array, row: int) -> np.ndarray:
-    """A row's list of keys as (n, 2)."""
-    value = column[row].values
-    return np.zeros((0, 2), np.int64) if value is None else np.stack([np.asarray(value.field("a"), np.int64), np.asarray(value.field("b"), np.int64)], 1)
-
-
 def _by_phrase(batch: pa.RecordBatch, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     begin, end, rows = pieces.phrases()
     return rows, pieces.digests(begin, end)
@@ -284,14 +306,14 @@ def _by_phrase(batch: pa.RecordBatch, pieces: Pieces) -> tuple[np.ndarray, np.nd
 
 def _covered(batch: pa.RecordBatch, pieces: Pieces) -> np.ndarray:
     """The starts whose whole phrase a smaller doc holds."""
-    begin, end, rows = pieces.phrases()
     out = np.zeros(pieces.starts + 1, np.int64)
-    if len(begin) and batch.column("phrases").null_count < batch.num_rows:
+    known = Known(batch.column("phrases"), pieces.rows)
+    if len(known.code):
+        begin, end, rows = pieces.phrases()
+        mine = np.isin(rows, known.row)
+        begin, end, rows = begin[mine], end[mine], rows[mine]
         digests = pieces.digests(begin, end)
-        hit = np.zeros(len(begin), bool)
-        for row in np.unique(rows):
-            mine = rows == row
-            hit[mine] = among(digests[mine], _keys(batch.column("phrases"), row))
+        hit = known.has(rows, digests[:, 0], digests[:, 1])
         np.add.at(out, begin[hit], 1)
         np.add.at(out, end[hit], -1)
     return np.cumsum(out)[:-1] > 0
@@ -299,66 +321,64 @@ def _covered(batch: pa.RecordBatch, pieces: Pieces) -> np.ndarray:
 
 def _by_anchor(batch: pa.RecordBatch, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """Anchors of the passages in phrases that no smaller doc holds."""
-    alive = pieces.fits & ~_covered(batch, pieces)
-    at = np.unique(anchors(pieces.hash)[alive])
+    at = pieces.keyed()[0][pieces.fits & ~_covered(batch, pieces)]
+    at = at[edges_of(at)]
     keys = np.zeros((len(at), 2), np.int64)
-    keys[:, 0] = pieces.hash[at].view(np.int64)
+    keys[:, 0] = (pieces.hash[at] & ANCHOR).view(np.int64)
     return pieces.rows[np.searchsorted(pieces.at, at, "right") - 1], keys
 
 
-def _alive(batch: pa.RecordBatch, pieces: Pieces, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, rows, places, hashes) of keyed() for the passages in phrases of their own whose anchor (column shared) or wider key begins a key of the row."""
-    alive = np.flatnonzero(pieces.fits & ~_covered(batch, pieces))
-    rows = pieces.rows[pieces.owner[alive]]
-    anchor, place, wide = (x[alive] for x in pieces.keyed())
-    asked = anchor if column == "shared" else wide
-    hit = np.zeros(len(alive), bool)
-    edges = np.flatnonzero(np.append(True, np.diff(rows) != 0)) if len(rows) else []
-    for a, b in zip(edges, np.append(edges[1:], len(rows)) if len(edges) else []):
-        known = np.unique(_keys(batch.column(column), int(rows[a]))[:, 0].view(np.uint64))
-        if len(known):
-            spot = np.minimum(np.searchsorted(known, asked[a:b]), len(known) - 1)
-            hit[a:b] = known[spot] == asked[a:b]
-    return alive[hit], rows[hit], place[hit], wide[hit]
+class Left:
+    """The passages of some pieces in phrases of their own, by anchor."""
 
+    def __init__(self, batch: pa.RecordBatch, pieces: Pieces):
+        self.batch, self.pieces, self.gone = batch, pieces, _covered(batch, pieces) & pieces.fits
+        self.starts = np.flatnonzero(pieces.fits & ~self.gone)
+        self.rows = pieces.rows[pieces.owner[self.starts]]
+        self.place, self.at = (x[self.starts] for x in pieces.keyed())
 
-def _stretches(pieces: Pieces, starts: np.ndarray, place: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Neighbouring starts of one place: where each stretch begins among the starts, how many it has, and its key: the hash there and that of all its text."""
-    first = np.flatnonzero(np.append(True, (starts[1:] != starts[:-1] + 1) | (place[1:] != place[:-1]) | (pieces.owner[starts[1:]] != pieces.owner[starts[:-1]]))) if len(starts) else np.zeros(0, np.int64)
-    size = np.diff(np.append(first, len(starts)))
-    data = memoryview(pieces.data)
-    said = b"".join(hashlib.blake2b(data[a : a + n + DEPTH - 1], digest_size=8).digest() for a, n in zip(starts[first].tolist(), size.tolist()))
-    return first, size, np.stack([wide[first].view(np.int64), np.frombuffer(said, np.int64)], 1)
+    def begin(self, column: str) -> np.ndarray:
+        """Which have an anchor (column shared) or wider key that begins a key of their row."""
+        known = Known(self.batch.column(column), self.pieces.rows, half=True)
+        first = edges_of(self.place if column == "shared" else self.at, self.rows)
+        hashes = self.pieces.hash[self.place[first]] & ANCHOR if column == "shared" else self.pieces.wide(self.at[first])
+        return np.repeat(known.has(self.rows[first], hashes), np.diff(np.append(first, len(self.rows))))
 
+    def stretches(self, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the kept passages: their numbers; where stretches, neighbours of one place, begin among them; the size of each, and its key: the hash there and that of all its text."""
+        mine = np.flatnonzero(kept)
+        starts = self.starts[mine]
+        first = edges_of(starts - np.arange(len(starts)), self.at[mine], self.pieces.owner[starts])
+        size = np.diff(np.append(first, len(starts)))
+        data = memoryview(self.pieces.data)
+        said = b"".join(hashlib.blake2b(data[a : a + n + DEPTH - 1], digest_size=8).digest() for a, n in zip(starts[first].tolist(), size.tolist()))
+        return mine, first, size, np.stack([self.pieces.wide(self.at[mine[first]]).view(np.int64), np.frombuffer(said, np.int64)], 1)
 
-def _by_stretch(batch: pa.RecordBatch, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    starts, rows, place, wide = _alive(batch, pieces, "shared")
-    first, _, keys = _stretches(pieces, starts, place, wide)
-    return rows[first], keys
+    def inside(self, column: str) -> np.ndarray:
+        """The numbers of the passages whose stretches are among their rows' keys."""
+        mine, first, size, keys = self.stretches(self.begin(column))
+        hit = Known(self.batch.column(column), self.pieces.rows).has(self.rows[mine[first]], keys[:, 0], keys[:, 1])
+        return mine[np.repeat(hit, size)]
 
 
-def _inside(batch: pa.RecordBatch, pieces: Pieces, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, rows, hashes) of the stretches that are among the row's keys."""
-    starts, rows, place, wide = _alive(batch, pieces, column)
-    first, size, keys = _stretches(pieces, starts, place, wide)
-    hit = np.zeros(len(first), bool)
-    for row in np.unique(rows):
-        mine = rows[first] == row
-        hit[mine] = among(keys[mine], _keys(batch.column(column), int(row)))
-    hit = np.repeat(hit, size)
-    return starts[hit], rows[hit], wide[hit]
+def _by_stretch(batch: pa.RecordBatch, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    left = Left(batch, pieces)
+    mine, first, _, keys = left.stretches(left.begin("shared"))
+    return left.rows[mine[first]], keys
 
 
 def _by_suffix(batch: pa.RecordBatch, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """The suffix array, to DEPTH bytes, of the dictionary's passages that may be in other phrases: each distinct passage once a row."""
-    starts, rows, wide = _inside(batch, pieces, "open")
-    if not len(starts):
+    left = Left(batch, pieces)
+    mine = left.inside("open")
+    rows, wide = left.rows[mine], pieces.wide(left.at[mine])
+    if not len(mine):
         return rows, np.zeros((0, 2), np.int64)
-    words = words_of(pieces.data, starts)
+    words = words_of(pieces.data, left.starts[mine])
     order = np.lexsort((rows, *words.T[::-1]))
     words, rows, wide = words[order], rows[order], wide[order]
-    fresh = np.append(True, (words[1:] != words[:-1]).any(1) | (rows[1:] != rows[:-1]))
-    return rows[fresh], np.stack([wide[fresh], passage_hash(words[fresh])], 1).view(np.int64)
+    first = edges_of(rows, *words.T)
+    return rows[first], np.stack([wide[first], passage_hash(words[first])], 1).view(np.int64)
 
 
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<at:long,end:long>>, kept binary"
@@ -369,14 +389,13 @@ def _cleaned(whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         for batch in batches:
             texts, removed = batch.column("text").to_pylist(), {}
             for pieces, offsets in pieces_of(texts):
-                gone = _covered(batch, pieces) & pieces.fits
-                gone[_inside(batch, pieces, "stretches")[0]] = True
-                starts, rows, _, wide = _alive(batch, pieces, "repeated")
-                if len(starts):
-                    keys = np.stack([wide, passage_hash(words_of(pieces.data, starts))], 1).view(np.int64)
-                    for row in np.unique(rows):
-                        mine = rows == row
-                        gone[starts[mine][among(keys[mine], _keys(batch.column("repeated"), int(row)))]] = True
+                left = Left(batch, pieces)
+                gone = left.gone
+                gone[left.starts[left.inside("stretches")]] = True
+                mine = np.flatnonzero(left.begin("repeated") & ~gone[left.starts])
+                if len(mine):
+                    keys = pieces.wide(left.at[mine]), passage_hash(words_of(pieces.data, left.starts[mine]))
+                    gone[left.starts[mine][Known(batch.column("repeated"), pieces.rows).has(left.rows[mine], *keys)]] = True
                 at = np.flatnonzero(gone)
                 owner = pieces.owner[at]
                 for piece in np.unique(owner):
