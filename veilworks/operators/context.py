@@ -27,12 +27,21 @@ def mask_pattern(mask: str) -> str:
     return "".join(SLOTS.get(c) or (f"[{c.lower()}{c.upper()}]" if c.isascii() and c.isalpha() else re.escape(c)) for c in mask)
 
 
+def masked(mask: str) -> str:
+    """What matches() looks for."""
+    return rf"(?:^|[^A-Za-z0-9_])({mask_pattern(mask)})"
+
+
+def unmasked(found: DataFrame) -> DataFrame:
+    """find_masks() from matches of masked()."""
+    return found.where(~F.col("next").rlike("^[A-Za-z0-9_]")).select("doc_id", "cs", "ce", F.lit("INSTITUTION_ID").alias("type"), F.lit("Mask").alias("detector"), "value")
+
+
 def find_masks(docs: DataFrame, masks: list[str]) -> DataFrame:
     """Spans of an institution's identifiers (D26), not beside another letter, digit or low line."""
     if len(masks) > MOST_MASKS:
         raise ValueError(f"more than {MOST_MASKS} masks")
-    found = matches(docs, {m: rf"(?:^|[^A-Za-z0-9_])({mask_pattern(m)})" for m in masks})
-    return found.where(~F.col("next").rlike("^[A-Za-z0-9_]")).select("doc_id", "cs", "ce", F.lit("INSTITUTION_ID").alias("type"), F.lit("Mask").alias("detector"), "value")
+    return unmasked(matches(docs, {m: masked(m) for m in masks}))
 
 
 def near(spans: DataFrame, words: DataFrame, reach: int = NEAR, same: tuple[str, ...] = ()) -> DataFrame:

@@ -156,10 +156,15 @@ def hinted(text: Column, hint: str) -> Column:
     return text.rlike(hint)
 
 
+def wanted(patterns: tuple[Pattern, ...]) -> dict[str, str | tuple[str, str]]:
+    """What matches() looks for: the patterns, runs of digits, bank codes and international account numbers."""
+    named: dict[str, str | tuple[str, str]] = {f"{p.type}/{p.name}": (f"{p.lead}({p.body})", p.hint) for p in patterns}
+    return named | {"run": (RUNS, "#"), "ifsc": (IFSC, "#[A-Za-z]0[A-Za-z0-9]"), "iban": (IBAN, "#[A-Z][0-9]{2}")}
+
+
 def searched(docs: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS, carry: tuple[str, ...] = ()) -> DataFrame:
     """matches() of the patterns and of runs of digits, bank codes and international account numbers, in one scan."""
-    wanted: dict[str, str | tuple[str, str]] = {f"{p.type}/{p.name}": (f"{p.lead}({p.body})", p.hint) for p in patterns}
-    return matches(docs, wanted | {"run": (RUNS, "#"), "ifsc": (IFSC, "#[A-Za-z]0[A-Za-z0-9]"), "iban": (IBAN, "#[A-Z][0-9]{2}")}, carry=carry)
+    return matches(docs, wanted(patterns), carry=carry)
 
 
 def find_patterns(docs: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS, found: DataFrame | None = None) -> DataFrame:
@@ -269,14 +274,22 @@ def find_terms(docs: DataFrame, terms: list[str], type_: str, detector: str = "T
     return found.where(~inside).select("doc_id", "cs", "ce", F.lit(type_).alias("type"), F.lit(detector).alias("detector"), "value").distinct()
 
 
-def find_labelled(docs: DataFrame, labels: list[str]) -> DataFrame:
-    """Spans of numbers after one of the labels (D25): 4 to 30 letters, digits, slashes and hyphens, three digits at least."""
+def label_pattern(labels: list[str]) -> str:
     body = "|".join(re.escape(t) for t in sorted(labels, key=lambda t: (-len(t), t)))
-    found = matches(docs, {"id": f"(?i)(?:^|[^A-Za-z0-9])(?:{body})(?: *[:=#(] *| +)([A-Za-z0-9][A-Za-z0-9/-]{{3,29}})"})
+    return f"(?i)(?:^|[^A-Za-z0-9])(?:{body})(?: *[:=#(] *| +)([A-Za-z0-9][A-Za-z0-9/-]{{3,29}})"
+
+
+def labelled(found: DataFrame) -> DataFrame:
+    """find_labelled() from matches of label_pattern()."""
     fine = ~F.col("next").rlike("^[A-Za-z0-9_/-]") & (F.length(F.regexp_replace("value", "[^0-9]", "")) >= 3)
     return found.where(fine).select("doc_id", "cs", "ce", F.lit("INSTITUTION_ID").alias("type"), F.lit("Pattern").alias("detector"), "value")
 
 
+def find_labelled(docs: DataFrame, labels: list[str]) -> DataFrame:
+    """Spans of numbers after one of the labels (D25): 4 to 30 letters, digits, slashes and hyphens, three digits at least."""
+    return labelled(matches(docs, {"id": label_pattern(labels)}))
+
+
 def _sides(windows: DataFrame, reach: int) -> tuple[Column, Column]:
     """Up to `reach` characters before and after each window."""
     before = F.right(F.concat("before", F.substring("run", F.lit(1), F.col("cs") - F.col("run_at"))), F.lit(reach))
@@ -284,18 +297,22 @@ def _sides(windows: DataFrame, reach: int) -> tuple[Column, Column]:
     return before, after
 
 
-def find_wrapped(docs: DataFrame) -> DataFrame:
-    """Spans of numbers that a line end breaks (D7), after a word that explains them."""
-    windows = digit_windows(None, matches(docs, {"run": (WRAPPED_RUNS, "#\n")}, around=CUE_REACH), beside=True)
+def wrapped(found: DataFrame) -> DataFrame:
+    """find_wrapped() from matches of WRAPPED_RUNS, with CUE_REACH characters around."""
+    windows = digit_windows(None, found, beside=True)
     windows = windows.where(F.contains(F.substring("run", F.col("cs") - F.col("run_at") + 1, F.col("ce") - F.col("cs")), F.lit("\n")))
     windows = windows.withColumn("ahead", F.lower(_sides(windows, CUE_REACH)[0]))
     explained = reduce(or_, [(F.col("type") == t) & F.col("ahead").rlike("|".join(words)) for t, words in CUES.items()])
     return find_numbers(None, windows, keep=("ahead",)).where(explained).select(*SPAN).distinct()
 
 
-def find_licences(docs: DataFrame) -> DataFrame:
-    """Spans of driver's licences that find_numbers() leaves out (D5): twelve digits in one group after LICENCE_WORD, and the older form of a region's name and ten digits from a run's first group on."""
-    windows = digit_windows(None, matches(docs, {"run": (RUNS, "#")}, around=LICENCE_REACH), beside=True)
+def find_wrapped(docs: DataFrame) -> DataFrame:
+    """Spans of numbers that a line end breaks (D7), after a word that explains them."""
+    return wrapped(matches(docs, {"run": (WRAPPED_RUNS, "#\n")}, around=CUE_REACH))
+
+
+def licences(windows: DataFrame) -> DataFrame:
+    """find_licences() from windows with LICENCE_REACH characters or more beside them."""
     before = _sides(windows, LICENCE_REACH)[0]
     new = (F.col("shape") == "12") & F.substring("digits", 1, 2).between("11", "28") & before.contains(LICENCE_WORD)
     named = F.regexp_extract(before, "((?:" + "|".join(REGIONS) + ") ?)$", 1)
@@ -304,14 +321,23 @@ def find_licences(docs: DataFrame) -> DataFrame:
     return windows.where(new | old).select("doc_id", cs.alias("cs"), "ce", F.lit("KOREAN_DRIVER_LICENSE_NO").alias("type"), F.lit("Pattern").alias("detector"), F.col("digits").alias("value"))
 
 
-def countable(docs: DataFrame) -> DataFrame:
-    """digit_windows() without amounts (a currency beside them) and without those that are all dates."""
-    windows = digit_windows(None, matches(docs, {"run": (RUNS, "#")}, around=8), beside=True)
+def find_licences(docs: DataFrame) -> DataFrame:
+    """Spans of driver's licences that find_numbers() leaves out (D5): twelve digits in one group after LICENCE_WORD, and the older form of a region's name and ten digits from a run's first group on."""
+    return licences(digit_windows(None, matches(docs, {"run": (RUNS, "#")}, around=LICENCE_REACH), beside=True))
+
+
+def countable_windows(windows: DataFrame) -> DataFrame:
+    """countable() from windows with 8 characters or more beside them."""
     before, after = _sides(windows, 8)
     dates = F.substring("run", F.col("cs") - F.col("run_at") + 1, F.col("ce") - F.col("cs")).rlike(DATES)
     return windows.where(~(before.rlike(AMOUNT_BEFORE) | after.rlike(AMOUNT_AFTER) | dates)).select("doc_id", "cs", "ce", "digits", "shape")
 
 
+def countable(docs: DataFrame) -> DataFrame:
+    """digit_windows() without amounts (a currency beside them) and without those that are all dates."""
+    return countable_windows(digit_windows(None, matches(docs, {"run": (RUNS, "#")}, around=8), beside=True))
+
+
 def find_marked(docs: DataFrame) -> DataFrame:
     """Spans of numbers, addresses and hosts that markup breaks (V3): found in the texts without it, in the places of the texts."""
     seen = view.viewed(docs).where(F.col("text").rlike(MARKED))

@@ -24,10 +24,14 @@ def clause_ends(docs: DataFrame) -> DataFrame:
     return found.where(F.col("next").rlike("^[ \\t\\n]") & ~short).select("doc_id", "ce")
 
 
+def ending(found: DataFrame) -> DataFrame:
+    """sentence_ends() from matches of SENTENCE_MARKS."""
+    return found.where((F.col("value") == "\n") | (F.col("next") == "") | F.col("next").rlike("^[ \\t\\r\\n]")).select("doc_id", "ce")
+
+
 def sentence_ends(docs: DataFrame) -> DataFrame:
     """(doc_id, ce): where sentences end (V6): after a line end, or a mark before white space or the end of the text."""
-    found = matches(docs, {"mark": SENTENCE_MARKS})
-    return found.where((F.col("value") == "\n") | (F.col("next") == "") | F.col("next").rlike("^[ \\t\\r\\n]")).select("doc_id", "ce")
+    return ending(matches(docs, {"mark": SENTENCE_MARKS}))
 
 
 def numbered(spans: DataFrame, ends: DataFrame, name: str) -> DataFrame:
@@ -59,29 +63,50 @@ def trimmed(word: Column, particles: list[tuple[str, str]], least: int = 2, roun
     return word
 
 
+def _either(tails: list[str]) -> str:
+    return "|".join(re.escape(t) for t in sorted(tails, key=lambda t: (-len(t), t)))
+
+
+def tail_pattern(tails: list[str]) -> tuple[str, str]:
+    """What matches() looks for: words with a tail in them."""
+    return f"(?:^|[^{WORD}])([{WORD}]*(?:{_either(tails)})[{WORD}]*)", "|".join(tails)
+
+
+def organizations(found: DataFrame, tails: list[str], generic: list[str], particles: list[tuple[str, str]]) -> DataFrame:
+    """find_organizations() from matches of tail_pattern()."""
+    own = found.withColumn("own", trimmed(F.col("value"), particles))
+    own = own.withColumn("head", F.regexp_extract("own", f"^(.*?)(?:{_either(tails)})$", 1)).where(F.col("head") != "")
+    named = F.when(F.col("head").rlike("^[A-Za-z0-9&]+$"), F.col("head").rlike("[A-Z0-9]")).otherwise(F.length("head") >= 2)
+    fine = own.where(named & ~F.lower("head").isin(*generic))
+    return fine.select("doc_id", "cs", (F.col("cs") + F.length("own")).alias("ce"), F.lit("ORGANIZATION").alias("type"), F.lit("Pattern").alias("detector"), F.col("own").alias("value"))
+
+
 def find_organizations(docs: DataFrame, tails: list[str], generic: list[str], particles: list[tuple[str, str]]) -> DataFrame:
     """Spans of organizations by their words (D24): one that ends in a tail, particles aside, after a head that names something.
 
     A head isn't one of `generic`; of ASCII letters it has a capital or a digit; else it has two
     characters or more.
     """
-    either = "|".join(re.escape(t) for t in sorted(tails, key=lambda t: (-len(t), t)))
-    found = matches(docs, {"word": (f"(?:^|[^{WORD}])([{WORD}]*(?:{either})[{WORD}]*)", "|".join(tails))})
-    own = found.withColumn("own", trimmed(F.col("value"), particles))
-    own = own.withColumn("head", F.regexp_extract("own", f"^(.*?)(?:{either})$", 1)).where(F.col("head") != "")
-    named = F.when(F.col("head").rlike("^[A-Za-z0-9&]+$"), F.col("head").rlike("[A-Z0-9]")).otherwise(F.length("head") >= 2)
-    fine = own.where(named & ~F.lower("head").isin(*generic))
-    return fine.select("doc_id", "cs", (F.col("cs") + F.length("own")).alias("ce"), F.lit("ORGANIZATION").alias("type"), F.lit("Pattern").alias("detector"), F.col("own").alias("value"))
+    return organizations(matches(docs, {"word": tail_pattern(tails)}), tails, generic, particles)
 
 
-def find_named_by_form(docs: DataFrame, short: list[str], forms: list[str], particles: list[tuple[str, str]]) -> DataFrame:
-    """Spans of organizations by a legal form before them (D24): a word of two characters or more, particles aside, right after one of `short`, or the next word after one of `forms`."""
+def form_patterns(short: list[str], forms: list[str]) -> dict[str, tuple[str, str]]:
+    """What matches() looks for: words after a legal form."""
     sides = [re.escape(s) for s in short] + [f"(?:^|[^{WORD}]){re.escape(f)}[^{WORD}]+" for f in forms]
-    found = matches(docs, {side: (f"{side}([{WORD}]+)", hint) for side, hint in zip(sides, [*short, *forms])})
+    return {side: (f"{side}([{WORD}]+)", hint) for side, hint in zip(sides, [*short, *forms])}
+
+
+def named(found: DataFrame, particles: list[tuple[str, str]]) -> DataFrame:
+    """find_named_by_form() from matches of form_patterns()."""
     own = found.withColumn("own", trimmed(F.col("value"), particles)).where(F.length("own") >= 2)
     return own.select("doc_id", "cs", (F.col("cs") + F.length("own")).alias("ce"), F.lit("ORGANIZATION").alias("type"), F.lit("Pattern").alias("detector"), F.col("own").alias("value")).distinct()
 
 
+def find_named_by_form(docs: DataFrame, short: list[str], forms: list[str], particles: list[tuple[str, str]]) -> DataFrame:
+    """Spans of organizations by a legal form before them (D24): a word of two characters or more, particles aside, right after one of `short`, or the next word after one of `forms`."""
+    return named(matches(docs, form_patterns(short, forms)), particles)
+
+
 def sensitive(categories: DataFrame, evidence: DataFrame) -> DataFrame:
     """(doc_id, first, last): sentences to be blocked (D29): one that names a category and a person, or two neighbours of which one does the one and the other the other.
 

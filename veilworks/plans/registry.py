@@ -727,4 +727,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-from veilworks.plans import dictionaries, evidence, pieces, reports  # noqa: E402, F401  they register their queries by the names above
+from veilworks.plans import dictionaries, evidence, pieces, reports, scans  # noqa: E402, F401  they register their queries by the names above
