@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from veilworks.operators.ledger import CAPACITY, LIFETIME, Entry, gate_step
@@ -29,7 +30,7 @@ class _Ledger(StatefulProcessor):
         held = self._held()
         before = dict(held)
         events = pd.concat(list(rows)).sort_values(["ts", "id"])
-        said = [gate_step(held, *row, self.capacity, self.lifetime) for row in zip(events["ts"].map(pd.Timestamp.timestamp), events["action"], events["token"], events["body"], events["origin"])]
+        said = [gate_step(held, *row, self.capacity, self.lifetime) for row in zip(events["now"], events["action"], events["token"], events["body"], events["origin"])]
         for token in before.keys() - held.keys():
             self.entries.removeKey((token,))
         for token, entry in held.items():
@@ -57,5 +58,6 @@ def confirmations(events: DataFrame, capacity: int = CAPACITY, lifetime: float =
     event, passes their end; with live, for streams whose ts is the time of day, when the clock does.
     Events older than the watermark are dropped by Spark. The session's state store must be RocksDB's.
     """
-    kept = events if live else events.withWatermark("ts", late)
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("now", F.unix_micros("ts") / 1e6)  # seconds do not depend on the session's time zone
+    kept = timed if live else timed.withWatermark("ts", late)
     return kept.groupBy("gate").transformWithStateInPandas(statefulProcessor=_Ledger(capacity, lifetime), outputStructType=OUT, outputMode="Append", timeMode="ProcessingTime" if live else "EventTime")
