@@ -266,8 +266,8 @@ def keep_one(df: DataFrame, *, key: str = "doc_id", text: str = "text", width: i
         # Null keys keep a null number. Rows of one key are dealt by a hash of the text, so a hot key doesn't meet in one task.
         # Equal texts of one key are one row, those without a word too.
         once = df.where(F.col(key).isNotNull()).withColumn("__code", F.xxhash64(text)).dropDuplicates([key, "__code"]).drop("__code")
-        named = number_rows(once.unionByName(df.where(F.col(key).isNull())), [F.col(key), F.xxhash64(text), F.rand(5)], "__row").withColumn("__row", F.when(F.col(key).isNotNull(), F.col("__row")))
-        df, key = named, "__row"
+        named = number_rows(once, [F.col(key), F.xxhash64(text)], "__row")
+        df, key = named.unionByName(df.where(F.col(key).isNull()).withColumn("__row", F.lit(None).cast("long"))), "__row"
     judged = near_duplicates(df, key=key, text=text, width=width, percent=percent).select(F.col(key).alias("id"), "kept")
     gone = cut(judged.where("id is not null and not kept").select(F.col("id").alias(key)))
     return df.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, key, "left_anti").select(*own)
