@@ -35,6 +35,9 @@ class Pattern:
     valid: Callable[[Column], Column] | None = None
 
 
+#: Words that announce a secret; the same spaced out, with one or two blanks, dots, stars, dashes or low lines after the first letter.
+SECRETS = ("password", "passwd", "token", "secret", "otp", "pin")
+SPACED = "|".join(f"[{w[0].upper()}{w[0]}][ .*_-]{{1,2}}" + "[ .*_-]{0,2}".join(f"[{c.upper()}{c}]" for c in w[1:]) for w in SECRETS)
 #: Our own specification of identifiers, keys and credentials; lookaround-free, so that any linear-time engine reads them alike.
 PATTERNS = (
     Pattern(
@@ -47,7 +50,8 @@ PATTERNS = (
     Pattern("API_KEY", "bearer", r"[A-Za-z0-9._~+/=-]{20,}", r"[Bb]earer +", hint="earer "),
     Pattern("API_KEY", "jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", r"(?:^|[^A-Za-z0-9])", hint="eyJ"),
     Pattern("PRIVATE_KEY", "pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*(?:-----END [A-Z ]*PRIVATE KEY-----)?", hint="-----BEGIN "),
-    Pattern("CREDENTIAL", "marker", r"[^ \t\r\n\"';,]{4,}", r"(?:[Pp]assword|[Pp]asswd|[Tt]oken|[Ss]ecret|[Oo]tp|[Pp]in) *[=:] *\"?", hint="[=:]"),
+    Pattern("CREDENTIAL", "marker", r"[^ \t\r\n\"';,]{4,}", r"(?:[Pp]assword|[Pp]asswd|[Tt]oken|[Ss]ecret|[Oo]tp|[Pp]in|비밀번호|암호) *[=:] *\"?", hint="[=:]"),
+    Pattern("CREDENTIAL", "spaced", r"[^ \t\r\n\"';,]{4,}", rf"(?:{SPACED}) *[=:] *\"?", hint="[=:]"),
     Pattern("CREDENTIAL", "userinfo", r"[^ \t\r\n/@:]+:[^ \t\r\n/@]+@", r"[A-Za-z][A-Za-z0-9+.-]{0,30}://", hint="://"),
     Pattern("CREDENTIAL", "basic", r"[A-Za-z0-9+/]{8,}={0,2}", r"[Bb]asic +", hint="asic "),
     Pattern("KOREAN_PASSPORT_NO", "passport", r"[MSRODmsrod](?:[0-9]{8}|[0-9]{3}[A-Za-z][0-9]{4})", r"(?:^|[^A-Za-z0-9])", r"[A-Za-z0-9]", "#[0-9]{3}"),
@@ -159,7 +163,7 @@ def hinted(text: Column, hint: str) -> Column:
 def wanted(patterns: tuple[Pattern, ...]) -> dict[str, str | tuple[str, str]]:
     """What matches() looks for: the patterns, runs of digits, bank codes and international account numbers."""
     named: dict[str, str | tuple[str, str]] = {f"{p.type}/{p.name}": (f"{p.lead}({p.body})", p.hint) for p in patterns}
-    return named | {"run": (RUNS, "#"), "ifsc": (IFSC, "#[A-Za-z]0[A-Za-z0-9]"), "iban": (IBAN, "#[A-Z][0-9]{2}")}
+    return named | {"refused": (f"^({view.REFUSED})$", view.REFUSED), "run": (RUNS, "#"), "ifsc": (IFSC, "#[A-Za-z]0[A-Za-z0-9]"), "iban": (IBAN, "#[A-Z][0-9]{2}")}
 
 
 def searched(docs: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -355,6 +359,11 @@ def find_marked(docs: DataFrame) -> DataFrame:
     return view.back(view.back(spans.select(*SPAN), moved), viewed).distinct()
 
 
+def unread(found: DataFrame) -> DataFrame:
+    """A span that is none, before its text, for each that can't be read with certainty (V2): a document with it is refused (900), whatever else is found."""
+    return found.where("name = 'refused'").select("doc_id", F.lit(-1).alias("cs"), F.lit(0).alias("ce"), F.lit("UNREADABLE").alias("type"), F.lit("View").alias("detector"), F.lit("").alias("value"))
+
+
 def find_all(docs: DataFrame) -> DataFrame:
     """All spans of a document, each once (D0): places in the text, values as the view has them.
 
@@ -366,7 +375,7 @@ def find_all(docs: DataFrame) -> DataFrame:
     windows = digit_windows(None, found)
     spans = find_patterns(docs, found=found).unionByName(find_numbers(None, windows)).unionByName(find_anchored(None, found)).unionByName(find_ibans(None, found))
     moved = found.where("moved is not null").groupBy("doc_id").agg(F.first("moved").alias("moved"))
-    return cut(view.back(spans.select(*SPAN), moved).distinct())
+    return cut(view.back(spans.select(*SPAN), moved).unionByName(unread(found)).distinct())
 
 
 def capped(spans: DataFrame, most: int = 513) -> DataFrame:

@@ -130,5 +130,5 @@ def scan(docs: DataFrame, rules: Rules = Rules(), most: int = MOST) -> DataFrame
         whole = reduce(DataFrame.unionByName, late).join(a, ["doc_id", "first"]).join(b, ["doc_id", "last"])
         spans = spans.unionByName(whole.withColumn("value", F.lit("")).select(*SPAN))
     moved = found.where("moved is not null").groupBy("doc_id").agg(F.first("moved").alias("moved"))
-    placed = view.back(spans, moved).unionByName(detect.find_marked(docs).select(*SPAN)).distinct()
+    placed = view.back(spans, moved).unionByName(detect.find_marked(docs).select(*SPAN)).unionByName(detect.unread(found)).distinct()
     return cut(detect.capped(placed, most + 1))

@@ -26,17 +26,30 @@ def needed(text: Column) -> Column:
     return text.rlike(r"[^\t\n\r\x20-\x7EÀ-ÿ]") & text.rlike(f"[^{SETTLED}]")
 
 
+#: What stands for a text that can't be read with certainty; no view holds this character.
+REFUSED = "\x00"
+
+
+def _joins(c: str) -> bool:
+    """Whether a character may compose with what stands before it: combining marks, and vowels and finals of Hangul, also as what a compatibility form holds."""
+    if c < "\u0300":
+        return False
+    first = unicodedata.normalize("NFKD", c)[:1]
+    return bool(unicodedata.combining(first)) or "\u1160" <= first <= "\u11ff"
+
+
 def view(text: str) -> tuple[str, list[tuple[int, int, int]]]:
     """The view of a text; and where it moves: (place in the view, start and end in the text) of each character that doesn't follow the one before by one step.
 
-    Where the parts of a text have another compatibility form than the whole, the whole's is the view, and each of its characters stands for all of the text.
+    Where the parts of a text have another compatibility form than the whole, no place in the view can be
+    told for certain: the view is REFUSED, and the text is to be refused with it.
     """
     out, moved, expected, n = [], [], 0, 0
     chars = [(i, c) for i, c in enumerate(text) if not INVISIBLE.match(c)]
     k = 0
     while k < len(chars):
         m = k + 1
-        while m < len(chars) and (unicodedata.combining(chars[m][1]) or "ᅠ" <= chars[m][1] <= "ᇿ"):
+        while m < len(chars) and _joins(chars[m][1]):
             m += 1
         part = unicodedata.normalize("NFKC", "".join(c for _, c in chars[k:m]))
         first, last = chars[k][0], chars[m - 1][0] + 1
@@ -48,7 +61,7 @@ def view(text: str) -> tuple[str, list[tuple[int, int, int]]]:
         k = m
     said = "".join(out)
     whole = unicodedata.normalize("NFKC", "".join(c for _, c in chars))
-    return (said, moved) if said == whole else (whole, [(n, 0, len(text)) for n in range(len(whole))])
+    return (said, moved) if said == whole else (REFUSED, [])
 
 
 def _views(column: pa.Array) -> pa.Array:
@@ -60,7 +73,7 @@ def _views(column: pa.Array) -> pa.Array:
 
 
 def viewed(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with `text` its view, and `moved`, null where the view is the text. Only texts with other than settled characters reach Python; a null text stays null."""
+    """docs (doc_id, text) with `text` its view, and `moved`, null where the view is the text. Only texts with other than settled characters reach Python; a null text stays null, and one that must be refused is REFUSED."""
     seen = docs.select("doc_id", "text").withColumn("__v", F.arrow_udf(_views, VIEW)(F.when(needed(F.col("text")), F.col("text"))))
     return seen.select("doc_id", F.coalesce("__v.text", "text").alias("text"), F.when(F.col("__v.text") != F.col("text"), F.col("__v.moved")).alias("moved"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilworks.operators import policy, scan, texts
+from veilworks.operators import policy, scan, surprise, texts
 from veilworks.plans import oracles
 from veilworks.plans.registry import docs_of, query
 
@@ -62,3 +62,30 @@ def P1_P6_scanned_decisions(spark, sf_dir):
     spans = scan.scan(docs, rules(spark))
     code = policy.check(docs, spans).select("doc_id", "code")
     return texts.named(policy.rewrite(docs, policy.merge(spans)).join(code, "doc_id")).select("doc_id", "code", "text")
+
+
+#: Values that look random beside words that announce one, and near misses. Our own values.
+RANDOM = (
+    "password zX9#qT4w$Lp2", "login is qz7KxWv93JpB today.", "password remember123", "token thereafter1", "account 12345678", "key information2024", "secret: deadbeef01234567", "user anderson42", "pin Kj8fQx2Lw!", "key 5f4dcc3b5aa765d61d8327deb882cf99",
+    "nothing Kj8fQx2Lw9 here", "credential, as said before: bX4kQ9zJ", "password\nbX4kQ9zJ", "the token (aQ1-zX8-kW3).", "key a1",
+)
+_SAID = f"(SELECT doc_id, coalesce(text, '') || chr(10) || list_value({', '.join(oracles.quoted(x) for x in RANDOM)})[doc_id % {len(RANDOM)} + 1] AS text FROM documents)".replace("\n", "' || chr(10) || '")
+_CODE = "regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[^a-z0]', ' ', 'g')"
+_LEAD = "|".join(sorted(surprise.WORDS, key=lambda w: (-len(w), w)))
+_SIGNS = surprise._SIGNS
+
+
+@query(rf"""WITH c AS (SELECT regexp_extract_all(' ' || {_CODE.format("coalesce(text, '')")} || ' ', '(?s).') AS l FROM documents), p AS (SELECT unnest([l[i] || l[i + 1] for i in range(1, len(l))]) AS ab FROM c), n AS (SELECT ab, count(*) AS n FROM p GROUP BY ab),
+k AS (SELECT unnest(regexp_extract_all('{surprise.ALPHABET}', '.')) AS c), g AS (SELECT a.c || b.c AS ab, a.c AS a, coalesce(n, 0) + 1 AS n FROM k a CROSS JOIN k b LEFT JOIN n ON n.ab = a.c || b.c),
+bits AS (SELECT ab, round(-log2(n / sum(n) OVER (PARTITION BY a)), 9) AS bits FROM g),
+m AS (SELECT doc_id, cs, regexp_replace(value, '[.!-]+$', '') AS value FROM ({oracles.matches("value", f"(?:^|[^A-Za-z0-9{_SIGNS}])([A-Za-z{_SIGNS}]*[0-9][A-Za-z0-9{_SIGNS}]*)", _SAID, surprise.REACH + max(map(len, surprise.WORDS)) + 2)})
+  WHERE regexp_matches(before, '(?i)(?:{_LEAD})(?:[^A-Za-z0-9\n][^\n]{{0,{surprise.REACH}}})?$')),
+f AS (SELECT *, row_number() OVER () AS r FROM m WHERE length(value) BETWEEN {surprise.LEAST} AND {surprise.MOST} AND regexp_matches(value, '[A-Za-z]') AND regexp_matches(value, '[0-9]') AND NOT regexp_matches(value, '{surprise.DIGEST}')
+  AND length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(value, '[a-z]+', 's', 'g'), '[A-Z]+', 'L', 'g'), '[0-9]+', '0', 'g'), '[^sL0]+', '-', 'g')) > {surprise.CHANGES}),
+x AS (SELECT r, unnest([substr({_CODE.format("value")}, i, 2) for i in range(1, length(value))]) AS ab FROM f), s AS (SELECT r, round(avg(bits), 6) AS bits FROM x JOIN bits USING (ab) GROUP BY r)
+SELECT doc_id, cs, CAST(cs + length(value) AS INTEGER) AS ce, 'CREDENTIAL' AS type, 'random' AS detector, value, bits FROM f JOIN s USING (r) WHERE bits >= {surprise.BITS}""")
+def D22_random_values(spark, sf_dir):
+    """Planted values that look random, by pairs counted in the documents."""
+    docs = docs_of(spark, sf_dir)
+    tail = F.get(F.array(*map(F.lit, RANDOM)), (F.col("doc_id") % len(RANDOM)).cast("int"))
+    return surprise.find_random(docs.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), tail).alias("text")), surprise.pairs(docs))
