@@ -65,11 +65,11 @@ NAMED = ("met at NorthBank today", "한빛은행에서는 안내", "우리은행
 NAMED_SQL = said_sql(NAMED)
 
 
-def trim_sql(word: str, rounds: int = 2) -> str:
+def trim_sql(word: str, rounds: int = 2, particles: list[tuple[str, str]] = PARTICLES) -> str:
     """A word less its particles, by a pattern for each."""
     for _ in range(rounds):
         cases = []
-        for text, kind in sorted(PARTICLES, key=lambda p: (-len(p[0]), p[0])):
+        for text, kind in sorted(particles, key=lambda p: (-len(p[0]), p[0])):
             rest = f"left({word}, length({word}) - {len(text)})"
             code = f"(unicode(right({rest}, 1)) - 44032)"
             need = {"final": f" AND {code} BETWEEN 0 AND 11171 AND {code} % 28 <> 0", "open": f" AND {code} BETWEEN 0 AND 11171 AND {code} % 28 = 0", "": ""}[kind]

@@ -669,10 +669,10 @@ def D26_masked_ids(spark, sf_dir):
 CONTEXT_WORDS = ["account", "server", "call", "token"]
 
 
-@query(f"WITH w AS ({oracles.WINDOWS}), t AS ({terms_sql(CONTEXT_WORDS, 'CONTEXT')}) SELECT DISTINCT doc_id, cs, ce, digits FROM w WHERE length(digits) >= 6 AND EXISTS (SELECT 1 FROM t WHERE t.doc_id = w.doc_id AND t.cs - {context.NEAR} <= w.ce AND w.cs <= t.ce + {context.NEAR})")
+@query(f"WITH w AS ({oracles.windows(PLANTED)}), t AS ({terms_sql(CONTEXT_WORDS, 'CONTEXT').replace('FROM documents', 'FROM ' + PLANTED)}) SELECT DISTINCT doc_id, cs, ce, digits FROM w WHERE length(digits) >= 6 AND EXISTS (SELECT 1 FROM t WHERE t.doc_id = w.doc_id AND t.cs - {context.NEAR} <= w.ce AND w.cs <= t.ce + {context.NEAR})")
 def D12_D13_numbers_in_context(spark, sf_dir):
     """Digit windows of six digits or more near a word that explains them."""
-    docs = docs_of(spark, sf_dir)
+    docs = planted(docs_of(spark, sf_dir))
     return context.near(detect.digit_windows(docs).where(F.length("digits") >= 6).drop("shape"), detect.find_terms(docs, CONTEXT_WORDS, "CONTEXT"))
 
 

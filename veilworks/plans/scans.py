@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilworks.operators import policy, scan, surprise, texts
+from veilworks.operators import evidence, names, policy, scan, surprise, texts
 from veilworks.plans import oracles
+from veilworks.plans.evidence import trim_sql
 from veilworks.plans.registry import docs_of, query
 
 #: One text of each kind that the scan finds, beside what it is to find; ours, in the order of the detectors. Each document gets the one of its number after its own first line.
@@ -89,3 +90,56 @@ def D22_random_values(spark, sf_dir):
     docs = docs_of(spark, sf_dir)
     tail = F.get(F.array(*map(F.lit, RANDOM)), (F.col("doc_id") % len(RANDOM)).cast("int"))
     return surprise.find_random(docs.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), tail).alias("text")), surprise.pairs(docs))
+
+
+# Names
+
+#: Texts with the part that a rough detector took for a name, and of what type. Our own values.
+ROUGH = (
+    ("담당자 김민수님께 보냄", "민수", "PERSON"), ("담당자 김민수님이다.", "김민수님이", "PERSON"), ("승인자는 편단우다", "편단", "PERSON"), ("진지우9팀장에게", "지우9", "PERSON"), ("신태호 주무관은 옴", "신태호 주무관", "PERSON"),
+    ("주식회사 다온제약을 봄", "주식회사 다온", "ORGANIZATION"), ("(주)가온이다", "주)가온", "ORGANIZATION"), ("(서울)누리은행 홍보팀에서", ")누리은행 홍보", "ORGANIZATION"), ("인사팀은 쉼", "인사팀", "ORGANIZATION"), ("온누리은행이 말함", "온누리은행", "PERSON"),
+    ("see Annda", "Ann", "PERSON"), ("** !!", "**", "PERSON"), ("\"Kim Lee\" said", "\"Kim Le", "PERSON"), ("이수다", "이수", "PERSON"),
+)
+ENDINGS = names.Endings(
+    particles=[("은", "final"), ("는", "open"), ("을", "final"), ("이", "final"), ("께", ""), ("에게", ""), ("에서", "")], copulas=["입니다", "이다", "였다"], honorifics=["님", "씨"], titles=["팀장", "주무관"], departments=["팀", "과"], generic=["인사", "총무"], forms=["주식회사"], short_forms=["주"], tails=["은행"],
+)
+
+
+def _off(column: str, pattern: str) -> str:
+    return f"regexp_replace({column}, {oracles.quoted(pattern)}, '\\1')"
+
+
+def _rounds_sql() -> str:
+    """A table for each step of each round."""
+    out, before = [], "w0"
+    for k in range(names.ROUNDS):
+        steps = (
+            f"SELECT * REPLACE ({trim_sql('w', 1, ENDINGS.particles)} AS w) FROM {before}",
+            f"SELECT * REPLACE ({_off('w', names.tail_off(ENDINGS.copulas))} AS w) FROM a{k}",
+            f"SELECT * REPLACE (CASE WHEN ends_with(w, '{names.SHORT_COPULA}') AND length(w) > {names.LEAST} AND (left(w, -1)[-1] BETWEEN '가' AND '힣' AND (ascii(left(w, -1)[-1]) - 44032) % 28 = 0 OR regexp_matches(left(w, -1), '[A-Za-z]$')) THEN left(w, -1) ELSE w END AS w) FROM b{k}",
+            f"SELECT * REPLACE (CASE WHEN person THEN {_off('w', names.last_word_off(ENDINGS.titles, []))} ELSE {_off('w', names.last_word_off(ENDINGS.titles, ENDINGS.departments))} END AS w) FROM c{k}",
+            f"SELECT * REPLACE (CASE WHEN person THEN {_off(_off(_off('w', names.tail_off(ENDINGS.honorifics)), names.tail_off(ENDINGS.titles)), f"^([\\s\\S]{{{names.LEAST},}}?)[0-9]+$")} ELSE w END AS w) FROM d{k}",
+        )
+        out += [f"{n}{k} AS ({s})" for n, s in zip("abcde", steps)]
+        before = f"e{k}"
+    return ",\n".join(out)
+
+
+_W = evidence.WORD
+
+
+@query(f"""WITH p AS (SELECT doc_id, list_value({", ".join(f"{{'t': {oracles.quoted(t)}, 's': {oracles.quoted(x)}, 'k': '{k}'}}" for t, x, k in ROUGH)})[doc_id % {len(ROUGH)} + 1] AS p FROM documents),
+s AS (SELECT doc_id, p.t AS t, p.k AS type, p.s AS said, p.k = 'PERSON' AS person, strpos(p.t, p.s) - 1 AS cs FROM p WHERE strpos(p.t, p.s) > 0 AND regexp_matches(p.s, '[{_W}]')),
+g AS (SELECT *, length(regexp_extract(said, '^[^{_W}]*')) AS lead, length(regexp_extract(said, '[^{_W}]*$')) AS trail, regexp_extract(left(t, cs), '[{_W}]*$') AS l, regexp_extract(substr(t, cs + length(said) + 1), '^[{_W}]*') AS r FROM s),
+h AS (SELECT *, CASE WHEN lead > 0 THEN '' ELSE l END || substr(said, lead + 1, length(said) - lead - trail) || CASE WHEN trail > 0 THEN '' ELSE r END AS word, CASE WHEN lead > 0 THEN cs + lead ELSE cs - length(l) END AS place FROM g),
+w0 AS (SELECT doc_id, type, person, place + length(word) - length(w) AS place, w FROM (SELECT *, CASE WHEN person THEN word ELSE regexp_replace(word, '^(?:주식회사[^{_W}]*|주[)])([{_W}].+)$', '\\1') END AS w FROM h)),
+{_rounds_sql()}
+SELECT DISTINCT doc_id, CAST(place AS INTEGER) AS cs, CAST(place + length(w) AS INTEGER) AS ce, CASE WHEN person AND regexp_matches(w, '^.{{2,}}은행$') THEN 'ORGANIZATION' ELSE type END AS type, 'Rough' AS detector, w AS value FROM e{names.ROUNDS - 1}
+WHERE person OR w NOT IN ('인사팀', '인사과', '총무팀', '총무과')""")
+def D32_repaired_names(spark, sf_dir):
+    """Names cut badly, put right."""
+    pick = lambda k: F.get(F.array(*(F.lit(r[k]) for r in ROUGH)), (F.col("doc_id") % len(ROUGH)).cast("int"))
+    rows = docs_of(spark, sf_dir).select("doc_id", pick(0).alias("text"), pick(1).alias("said"), pick(2).alias("type")).where(F.contains("text", F.col("said")))
+    cs = F.instr("text", F.col("said")) - 1
+    spans = rows.select("doc_id", cs.alias("cs"), (cs + F.length("said")).alias("ce"), "type", F.lit("Rough").alias("detector"))
+    return names.repaired(rows.select("doc_id", "text"), spans, ENDINGS)
