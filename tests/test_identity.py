@@ -49,3 +49,10 @@ def test_checks_of_shared_ids(spark):
 def test_empty_table(spark):
     docs = rows(spark).where(F.lit(False))
     assert policy.protected(docs, detect.find_all).count() == 0 and policy.check(docs, detect.find_all(docs)).count() == 0
+
+
+def test_numbers_at_the_start_of_a_line(spark):
+    """A line end after a letter or digit isn't part of what touches a number."""
+    docs = spark.createDataFrame([(1, "phone\n010-2345-6789"), (2, "no 7\n900101-1234567"), (3, "x900101-1234567"), (4, "pay $\n12345678")], "doc_id long, text string")
+    assert {(r.doc_id, r.value) for r in detect.find_all(docs).collect()} == {(1, "01023456789"), (2, "9001011234567")}
+    assert detect.countable(docs).where("doc_id = 4 and digits = '12345678'").count() == 1

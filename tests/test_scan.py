@@ -66,3 +66,12 @@ def test_sensitive_statements_need_a_person(spark):
     docs = table_of(spark, ["ann@mail.example.org called. She has diabetes. Fine.", "Many have diabetes. Fine. ann@mail.example.org called.", "diabetes ann@mail.example.org"])
     found = {(r.doc_id, r.cs, r.ce) for r in scan.scan(docs, rules(spark)).where("type = 'SENSITIVE_PERSONAL_INFO'").collect()}
     assert found == {(0, 0, 46), (2, 0, 29)}
+
+
+def test_rows_of_counts_are_no_persons(spark):
+    """Three neighbouring cells make a resident number by chance; with another text in the row they are one."""
+    row = "diabetes 환자 수 900 101 123 456 7"
+    docs = table_of(spark, [row, row + " x", "환자 수 12\n900101-1234567 diabetes"])
+    spans = scan.scan(docs, rules(spark))
+    kinds = {(r.doc_id, r.type) for r in spans.collect()}
+    assert {i for i, t in kinds if t == "KOREAN_RRN"} == {0, 1, 2} and {i for i, t in kinds if t == "SENSITIVE_PERSONAL_INFO"} == {1, 2}

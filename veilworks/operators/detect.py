@@ -38,6 +38,7 @@ class Pattern:
 #: Words that announce a secret; the same spaced out, with one or two blanks, dots, stars, dashes or low lines after the first letter.
 SECRETS = ("password", "passwd", "token", "secret", "otp", "pin")
 SPACED = "|".join(f"[{w[0].upper()}{w[0]}][ .*_-]{{1,2}}" + "[ .*_-]{0,2}".join(f"[{c.upper()}{c}]" for c in w[1:]) for w in SECRETS)
+#: Where a pattern is to end with its text it says \\z: for Java, $ also stands before a last line end.
 #: Our own specification of identifiers, keys and credentials; lookaround-free, so that any linear-time engine reads them alike.
 PATTERNS = (
     Pattern(
@@ -83,10 +84,10 @@ REGIONS = ("서울", "부산", "경기", "강원", "충북", "충남", "전북",
 CURRENCY_AFTER = ("원", "만원", "억원", "천원", "달러", "엔", "위안", "유로", "krw", "usd", "jpy", "cny", "eur", "円", "元")
 CURRENCY_BEFORE = ("$", "₩", "¥", "€", "krw", "usd", "eur")
 AMOUNT_AFTER = "(?i)^ ?(?:" + "|".join(CURRENCY_AFTER) + ")"
-AMOUNT_BEFORE = "(?i)(?:" + "|".join(map(re.escape, CURRENCY_BEFORE)) + ") ?$"
+AMOUNT_BEFORE = "(?i)(?:" + "|".join(map(re.escape, CURRENCY_BEFORE)) + r") ?\z"
 _MONTH_DAY = "(?:(?:0[13578]|1[02]){0}(?:0[1-9]|[12][0-9]|3[01])|(?:0[469]|11){0}(?:0[1-9]|[12][0-9]|30)|02{0}(?:0[1-9]|[12][0-9]))"
 _DATE = "(?:" + "|".join("(?:19|20)[0-9][0-9]{0}".format(c) + _MONTH_DAY.format(c) for c in ("-", "[.]")) + ")"
-DATES = f"^{_DATE}(?:[^0-9]+{_DATE})*$"
+DATES = rf"^{_DATE}(?:[^0-9]+{_DATE})*\z"
 #: What marks up a text: commands, braces, brackets, calls, comments to the end of their line; an escaped character stays.
 MARKED, MARKS = r"[\\${}#\[]", r"\\[A-Za-z]+|\\[,!;:-]|\\([^A-Za-z,!;:-])|\\\z|[{}$\[\]]|#[A-Za-z][A-Za-z.]*|#\[|%[^\n]*\n?[ \t]*"
 IFSC = r"(?:^|[^A-Za-z0-9])([A-Za-z]{4}0[A-Za-z0-9]{6})"
@@ -190,14 +191,14 @@ def digit_windows(docs: DataFrame | None, found: DataFrame | None = None, beside
     """
     runs = (matches(docs, {"run": (RUNS, "#")}) if found is None else found).where("name = 'run'")
     runs = runs.withColumns({"groups": F.regexp_extract_all("value", F.lit("[0-9]+"), F.lit(0)), "gaps": F.split("value", "[0-9]+", -1)})
-    runs = runs.withColumns({"least": F.col("before").rlike("[A-Za-z0-9]$").cast("int"), "most": F.size("groups") - F.col("next").rlike("^[A-Za-z0-9]").cast("int")})
+    runs = runs.withColumns({"least": F.col("before").rlike(r"[A-Za-z0-9]\z").cast("int"), "most": F.size("groups") - F.col("next").rlike("^[A-Za-z0-9]").cast("int")})
     total = lambda xs, n: F.aggregate(F.slice(xs, 1, n), F.lit(0), lambda a, x: a + F.length(x))
     first = runs.where("least < most").withColumn("a", F.explode(F.sequence(F.col("least"), F.col("most") - 1)))
     pair = first.withColumn("b", F.explode(F.sequence(F.col("a"), F.least(F.col("most"), F.col("a") + MOST_DIGITS) - 1)))
     own = F.slice("groups", F.col("a") + 1, F.col("b") - F.col("a") + 1)
     pair = pair.withColumn("digits", F.array_join(own, "")).where(F.length("digits") <= MOST_DIGITS)
-    joint = F.when(F.get("gaps", F.col("a") + 1).rlike(f"^[{DASHES}]$"), "-").otherwise("~")
-    shape = F.aggregate(F.sequence(F.col("a"), F.col("b")), F.lit(""), lambda s, k: F.concat(s, F.when(k == F.col("a"), "").when(F.get("gaps", k).rlike(f"^[{DASHES}]$"), "-").otherwise("~"), F.length(F.get("groups", k)).cast("string")))
+    joint = F.when(F.get("gaps", F.col("a") + 1).rlike(rf"^[{DASHES}]\z"), "-").otherwise("~")
+    shape = F.aggregate(F.sequence(F.col("a"), F.col("b")), F.lit(""), lambda s, k: F.concat(s, F.when(k == F.col("a"), "").when(F.get("gaps", k).rlike(rf"^[{DASHES}]\z"), "-").otherwise("~"), F.length(F.get("groups", k)).cast("string")))
     cs = F.col("cs") + total("gaps", F.col("a") + 1) + total("groups", F.col("a"))
     ce = F.col("cs") + total("gaps", F.col("b") + 1) + total("groups", F.col("b") + 1)
     more = [F.col("value").alias("run"), F.col("cs").alias("run_at"), "before", "next"] if beside else []
@@ -319,7 +320,7 @@ def licences(windows: DataFrame) -> DataFrame:
     """find_licences() from windows with LICENCE_REACH characters or more beside them."""
     before = _sides(windows, LICENCE_REACH)[0]
     new = (F.col("shape") == "12") & F.substring("digits", 1, 2).between("11", "28") & before.contains(LICENCE_WORD)
-    named = F.regexp_extract(before, "((?:" + "|".join(REGIONS) + ") ?)$", 1)
+    named = F.regexp_extract(before, "((?:" + "|".join(REGIONS) + r") ?)\z", 1)
     old = (F.length("digits") == 10) & (F.col("cs") == F.col("run_at")) & (named != "")
     cs = F.when(old, F.col("cs") - F.length(named)).otherwise(F.col("cs"))
     return windows.where(new | old).select("doc_id", cs.alias("cs"), "ce", F.lit("KOREAN_DRIVER_LICENSE_NO").alias("type"), F.lit("Pattern").alias("detector"), F.col("digits").alias("value"))

@@ -37,7 +37,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     """
     found = matches(docs, {k: (escaped(k), HINTS[k]) for k in ESCAPES} | {"run": r"([A-Za-z0-9+/_-]{16,}={0,2})"}, around=512)
     v = F.col("value")
-    token = F.concat(F.regexp_extract("before", "[!-~]*$", 0), v, F.regexp_extract("next", "^[!-~]*", 0))
+    token = F.concat(F.regexp_extract("before", r"[!-~]*\z", 0), v, F.regexp_extract("next", "^[!-~]*", 0))
     run = F.when(v.rlike("^(?:[0-9a-fA-F]{2})+$"), "hex").when(v.rlike("[-_]") & ~v.rlike("[+/]"), "base64url").otherwise("base64")
     own = found.withColumn("escape", F.when(F.col("name") == "run", kind_of(token)).otherwise(kind_of(v)))
     kept = own.where(F.when(F.col("name") == "run", F.col("escape").isNull()).otherwise(F.col("escape") == F.col("name")))

@@ -20,7 +20,7 @@ MOST_TALLY = 65_535
 def clause_ends(docs: DataFrame) -> DataFrame:
     """(doc_id, ce): where clauses end (V8): a mark before white space, but no full stop after an ASCII letter, which may be an abbreviation's."""
     found = matches(docs, {"mark": CLAUSE_MARKS})
-    short = (F.col("value") == ".") & F.col("before").rlike("[A-Za-z]$")
+    short = (F.col("value") == ".") & F.col("before").rlike(r"[A-Za-z]\z")
     return found.where(F.col("next").rlike("^[ \\t\\n]") & ~short).select("doc_id", "ce")
 
 

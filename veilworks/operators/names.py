@@ -40,12 +40,12 @@ def _any(words: list[str]) -> str:
 
 def tail_off(words: list[str]) -> str:
     """A pattern whose group 1 is a word without the longest of these at its end."""
-    return f"^([\\s\\S]{{{LEAST},}}?)(?:{_any(words)})$"
+    return f"^([\\s\\S]{{{LEAST},}}?)(?:{_any(words)})\\z"
 
 
 def last_word_off(whole: list[str], endings: list[str]) -> str:
     """A pattern whose group 1 is a name without its last word, if that is one of `whole` or ends in one of `endings`."""
-    return f"^([\\s\\S]{{{LEAST},}}?) +(?:(?:{_any(whole)})|[^ ]*(?:{_any(endings)}))$"
+    return f"^([\\s\\S]{{{LEAST},}}?) +(?:(?:{_any(whole)})|[^ ]*(?:{_any(endings)}))\\z"
 
 
 def _once(word: Column, person: Column, e: Endings) -> Column:
@@ -56,13 +56,13 @@ def _once(word: Column, person: Column, e: Endings) -> Column:
     def after_copulas(w: Column) -> Column:
         rest = F.left(w, F.length(w) - 1)
         code = F.ascii(F.right(rest, F.lit(1))) - 0xAC00
-        open_ = (code.between(0, 11_171) & (code % 28 == 0)) | rest.rlike("[A-Za-z]$")
+        open_ = (code.between(0, 11_171) & (code % 28 == 0)) | rest.rlike(r"[A-Za-z]\z")
         return F.when(w.endswith(SHORT_COPULA) & (F.length(w) > LEAST) & open_, rest).otherwise(w)
 
     w = step(trimmed(word, e.particles, LEAST, 1), lambda w: off(w, tail_off(e.copulas)))
     w = step(w, after_copulas)
     w = step(w, lambda w: F.when(person, off(w, last_word_off(e.titles, []))).otherwise(off(w, last_word_off(e.titles, e.departments))))
-    return step(w, lambda w: F.when(person, off(off(off(w, tail_off(e.honorifics)), tail_off(e.titles)), f"^([\\s\\S]{{{LEAST},}}?)[0-9]+$")).otherwise(w))
+    return step(w, lambda w: F.when(person, off(off(off(w, tail_off(e.honorifics)), tail_off(e.titles)), f"^([\\s\\S]{{{LEAST},}}?)[0-9]+\\z")).otherwise(w))
 
 
 def repaired(docs: DataFrame, spans: DataFrame, endings: Endings) -> DataFrame:
@@ -78,7 +78,7 @@ def repaired(docs: DataFrame, spans: DataFrame, endings: Endings) -> DataFrame:
     own = spans.select("doc_id", "cs", "ce", "type", "detector").join(docs.select("doc_id", "text"), "doc_id")
     part = lambda a, n: F.substring(F.col("text"), a + 1, n)
     own = own.withColumns({
-        "said": part(F.col("cs"), F.col("ce") - F.col("cs")), "left": F.regexp_extract(part(F.greatest(F.col("cs") - REACH, F.lit(0)), F.least(F.col("cs"), F.lit(REACH))), f"([{WORD}]*)$", 1),
+        "said": part(F.col("cs"), F.col("ce") - F.col("cs")), "left": F.regexp_extract(part(F.greatest(F.col("cs") - REACH, F.lit(0)), F.least(F.col("cs"), F.lit(REACH))), rf"([{WORD}]*)\z", 1),
         "right": F.regexp_extract(part(F.col("ce"), F.lit(REACH)), f"^([{WORD}]*)", 1),
     }).where(F.col("said").rlike(f"[{WORD}]"))
     lead, core = F.length(F.regexp_extract("said", f"^([^{WORD}]*)", 1)), F.regexp_extract("said", f"^[^{WORD}]*([\\s\\S]*[{WORD}])[^{WORD}]*$", 1)

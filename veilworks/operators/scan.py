@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 
 from veilworks.operators import context, detect, evidence, terms, view
 from veilworks.operators.detect import SPAN
+from veilworks.operators.policy import TYPES
 from veilworks.sources.shared import cut
 
 #: Spans that a document may have, one more than which ends its scan; types that say of whom a sentence speaks.
 MOST = 512
 IDENTITIES = ("PERSON", "EMAIL", "KOREAN_PHONE", "IP_ADDRESS", "KOREAN_RRN", "KOREAN_ALIEN_REGISTRATION_NO", "KOREAN_PASSPORT_NO", "KOREAN_DRIVER_LICENSE_NO")
+#: How the label of a row of counts ends; such a row has three numbers or more of up to three digits, and nothing else.
+COUNT_LABELS = (" 수", " 인원")
+COUNT_ROW = f"(?:^|\\n)([^0-9\\n]*(?:{'|'.join(COUNT_LABELS)})[ \\t\\r]*[0-9]{{1,3}}(?:[ \\t\\r]+[0-9]{{1,3}}){{2,}}[ \\t\\r]*)"
 
 
 @dataclass(frozen=True)
@@ -57,6 +61,22 @@ def _ranges(docs: DataFrame, ends: DataFrame) -> DataFrame:
     return all_.select("doc_id", (F.row_number().over(w) - 1).alias("sentence"), F.coalesce(F.lag("ce").over(w), F.lit(0)).alias("cs"), "ce")
 
 
+def _trimmed(docs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """ranges (doc_id, cs, ce, ...) without the blanks and line ends at their ends."""
+    said = F.substring(F.col("text"), F.col("cs") + 1, F.col("ce") - F.col("cs"))
+    own = ranges.join(docs.select("doc_id", "text").distinct(), "doc_id").withColumn("__said", said).drop("text")
+    lead, trail = (F.length(F.regexp_extract("__said", p, 0)) for p in ("^[ \\t\\n]*", "[ \\t\\n]*\\z"))
+    return own.withColumns({"cs": F.col("cs") + lead, "ce": F.col("ce") - trail}).where("cs < ce").drop("__said")
+
+
+def _personal(spans: DataFrame, rows: DataFrame) -> DataFrame:
+    """Spans that tell of a person; numbers to be blocked that stand in a row of counts (matches of COUNT_ROW) don't."""
+    r = rows.where((F.col("next") == "") | F.col("next").startswith("\n")).select(F.col("doc_id").alias("__doc"), F.col("cs").alias("__cs"), F.col("ce").alias("__ce"))
+    persons = spans.where(F.col("type").isin(*IDENTITIES))
+    counted = persons.where(F.col("type").isin(*(t for t, action, _ in TYPES if action == "block"))).join(r, (F.col("doc_id") == F.col("__doc")) & (F.col("__cs") <= F.col("cs")) & (F.col("ce") <= F.col("__ce")), "left_semi")
+    return persons.join(counted.select(*SPAN), SPAN, "left_anti")
+
+
 def _paired(ends: DataFrame, markers: DataFrame, subjects: DataFrame) -> DataFrame:
     """(doc_id, sentence) of D28: sentences that hold one of each, or one beside a neighbour with the other, the neighbour too."""
     m, s = (_sentences(ends, x.select("doc_id", "cs", "ce"), "sentence").select("doc_id", "sentence").distinct() for x in (markers, subjects))
@@ -80,6 +100,8 @@ def scan(docs: DataFrame, rules: Rules = Rules(), most: int = MOST) -> DataFrame
     seen = view.viewed(docs)
     patterns = detect.PATTERNS + rules.patterns
     wanted: dict[str, str | tuple[str, str]] = detect.wanted(patterns) | {"wrapped": (detect.WRAPPED_RUNS, "#\n"), "sentence": evidence.SENTENCE_MARKS}
+    if rules.categories:
+        wanted["counts"] = (COUNT_ROW, "|".join(COUNT_LABELS))
     if rules.labels:
         wanted["label"] = detect.label_pattern(rules.labels)
     wanted |= {f"mask {m}": context.masked(m) for m in rules.masks}
@@ -120,14 +142,14 @@ def scan(docs: DataFrame, rules: Rules = Rules(), most: int = MOST) -> DataFrame
     if rules.categories:
         first = cut(first)
         hits = reduce(DataFrame.unionByName, [plain(words, c) for c, words in rules.categories.items()]).withColumnRenamed("type", "category")
-        persons = first.where(F.col("type").isin(*IDENTITIES))
+        persons = _personal(first, of("counts"))
         blocked = evidence.sensitive(_sentences(ends, hits, "sentence"), _sentences(ends, persons, "sentence"))
         late.append(blocked.select("doc_id", "first", "last", F.lit("SENSITIVE_PERSONAL_INFO").alias("type"), F.lit("Sentence").alias("detector")))
     spans = first
     if late:
         ranges = _ranges(seen, ends)
         a, b = ranges.select("doc_id", F.col("sentence").alias("first"), "cs"), ranges.select("doc_id", F.col("sentence").alias("last"), "ce")
-        whole = reduce(DataFrame.unionByName, late).join(a, ["doc_id", "first"]).join(b, ["doc_id", "last"])
+        whole = _trimmed(seen, reduce(DataFrame.unionByName, late).join(a, ["doc_id", "first"]).join(b, ["doc_id", "last"]))
         spans = spans.unionByName(whole.withColumn("value", F.lit("")).select(*SPAN))
     moved = found.where("moved is not null").groupBy("doc_id").agg(F.first("moved").alias("moved"))
     placed = view.back(spans, moved).unionByName(detect.find_marked(docs).select(*SPAN)).unionByName(detect.unread(found)).distinct()

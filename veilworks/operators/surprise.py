@@ -63,7 +63,7 @@ def find_random(docs: DataFrame, counts: DataFrame, words: tuple[str, ...] = WOR
     lead = "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w)))
     longest = max(map(len, words))
     found = matches(docs, {"value": (f"(?:^|[^A-Za-z0-9{_SIGNS}])([A-Za-z{_SIGNS}]*[0-9][A-Za-z0-9{_SIGNS}]*)", f"#(?i){lead}")}, around=REACH + longest + 2)
-    near = F.col("before").rlike(rf"(?i)(?:{lead})(?:[^A-Za-z0-9\n][^\n]{{0,{REACH}}})?$")
+    near = F.col("before").rlike(rf"(?i)(?:{lead})(?:[^A-Za-z0-9\n][^\n]{{0,{REACH}}})?\z")
     own = found.where(near).withColumn("value", F.regexp_replace("value", "[.!-]+$", ""))
     own = own.where(F.length("value").between(LEAST, MOST) & F.col("value").rlike("[A-Za-z]") & F.col("value").rlike("[0-9]") & ~F.col("value").rlike(DIGEST))
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("value", "[a-z]+", "s"), "[A-Z]+", "L"), "[0-9]+", "0"), "[^sL0]+", "-")
