@@ -160,8 +160,8 @@ def search(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
     item and task meet at the end. No list, word or source is gathered anywhere as a whole.
     """
     spark = docs.sparkSession
-    # Numbers are drawn once; the kept table holds them.
-    rows = items.select(F.col("item_id"), "text").withColumn("item", F.monotonically_increasing_id())
+    # Numbers are drawn once, so the kept table holds them: drawn again over other partitions they would name other items.
+    rows = cut(items.select(F.col("item_id"), "text").withColumn("item", F.monotonically_increasing_id()))
     asked = cut(forward(rows.select(F.col("item").alias("doc_id"), "text")).withColumnRenamed("doc_id", "item").join(rows.select("item", "item_id"), "item"))
     vocabulary = asked.select(F.explode("terms").alias("term")).distinct()
     few = vocabulary.count() <= KNOWN_TERMS
