@@ -93,3 +93,20 @@ def test_touching_tokens(spark):
     spans = spark.createDataFrame([(1, 2, 4, "A", "x"), (1, 5, 8, "B", "x"), (1, 20, 22, "C", "x"), (2, 0, 1, "D", "x")], "doc_id long, cs int, ce int, type string, detector string")
     tokens = spark.createDataFrame([(1, 1, 5)], "doc_id long, cs int, ce int")
     assert {r.type: r.touches for r in policy.touching(spans, tokens).collect()} == {"B": True, "C": False, "D": False}
+
+
+def test_exemplars_of_any_number_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(exemplars, "BLOCK", 200)
+    v = [[float((i * k) % 11 - 5) for k in range(1, 6)] for i in range(90)]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(v)] + [(3, v[7]), (90, [1.0, 2.0])], "vec_id long, v array<double>")
+    made = spark.createDataFrame([(i % 4, x) for i, x in enumerate(v[:41])], "label int, v array<double>")
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    want = [(90, 0, None)]
+    for i, x in [*enumerate(v), (3, v[7])]:
+        top = {g: sum(sorted((dot(x, y) for k, y in enumerate(v[:41]) if k % 4 == g), reverse=True)[:3]) / 3 for g in range(4)}
+        best = max(top, key=lambda g: (round(top[g], 9), -g))
+        want.append((i, best, round(top[best] - max(dot(x, y) for y in v[50:75]), 6)))
+    got = exemplars.scored(rows, made, spark.createDataFrame([(x,) for x in v[50:75]], "v array<double>")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    many = spark.range(20_001).selectExpr("cast(id % 2 as int) AS label", "array(cast(id AS double)) AS v")
+    assert [tuple(r) for r in exemplars.scored(spark.createDataFrame([(1, [1.0])], rows.schema), many, many.limit(0).select("v")).collect()] == [(1, 0, 19_998.0)]
