@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilworks.functions import numbers
-from veilworks.operators import answers, audit, detect, encoded, evidence, head, measure, parts, policy, running, texts
+from veilworks.operators import answers, audit, detect, encoded, evidence, head, measure, parts, policy, running, texts, view
 
 
 SECRET = b"a secret for the tables of this repository only"
@@ -247,3 +247,29 @@ def test_licences_and_legal_forms(spark):
     assert got == {0: "112233333344", 2: "서울 95-255933-61", 3: "부산9525593361"}
     d = docs(spark, "the (Ltd)Northern", "Company  Quill, Company X", "Companyman Quill", "(Ltd) Northern", None)
     assert found(evidence.find_named_by_form(d, ["(Ltd)"], ["Company"], [])) == {(0, "ORGANIZATION", "Northern"), (1, "ORGANIZATION", "Quill")}
+
+
+def test_texts_to_look_at_are_told_by_columns():
+    import pyarrow as pa
+
+    fine, not_ = ("[$+]x", r"a\z", "(?i)[^k]b", r"[\]a]{2,}", "(?:^|[^A-Za-z0-9])([0-9]{2})"), ("a$", r"\bx", "[a[b]]", "a++", "(?=x)", "[a&&b]", r"\s", r"[\s]", "x{2000}", r"(a)\1")
+    assert all(map(detect.alike, fine)) and not any(map(detect.alike, not_))
+    texts_ = pa.array(["a1", None, "b", "Kbx", "", "x9\n"])
+    may = detect._may((("[0-9]", ""), ("(?i)[^k]b", ""), ("9$", "#"), ("b", "z")))
+    assert may(texts_).to_pylist() == [[0, 2], [], [], [1], [], [0, 2]]
+    broken = pa.Array.from_buffers(pa.string(), 1, [None, pa.py_buffer(np.array([0, 1], np.int32).tobytes()), pa.py_buffer(b"\xff")])
+    assert may(broken).to_pylist() == [[0, 1, 2, 3]]
+
+
+def test_a_text_is_viewed_once_a_scan(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.example １２"), (2, None)], "doc_id long, text string")
+    plan = detect.searched(view.viewed(docs))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [_views") == 1
+
+
+def test_views_of_many_texts(spark):
+    rows = [(i, "abc １２" * 50 + "é" if i % 3 else "plain é" if i % 2 else None) for i in range(300)]
+    got = {r.doc_id: (r.text, r.moved and [tuple(m) for m in r.moved]) for r in view.viewed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        said, moved = view.view(t) if t is not None else (None, None)
+        assert got[i] == (said, moved if said != t else None)
