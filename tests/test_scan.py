@@ -1,9 +1,10 @@
 """Unsure views, spaced-out markers, random values, names, and the whole scan on small cases."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from veilworks.operators import detect, names, policy, scan, surprise, texts, view
+from veilworks.operators import detect, evidence, names, policy, scan, surprise, texts, view
 from veilworks.plans.registry import docs_of
 from veilworks.plans.scans import ENDINGS, rules
 
@@ -75,3 +76,30 @@ def test_rows_of_counts_are_no_persons(spark):
     spans = scan.scan(docs, rules(spark))
     kinds = {(r.doc_id, r.type) for r in spans.collect()}
     assert {i for i, t in kinds if t == "KOREAN_RRN"} == {0, 1, 2} and {i for i, t in kinds if t == "SENSITIVE_PERSONAL_INFO"} == {1, 2}
+
+
+#: What two engines may read otherwise: letters with small ones in ASCII, bytes that stand in no text or beside a match, line ends, wide characters, no text.
+ODD = [
+    "toKen = abc123, Toſen 12-34", "\x01call\x02 010-2345-6789\x03 é12가 345", "a@b.com,c@d.org\n4111-1111-\n1111-1111 x9", "", None, "12", "가나 12. 34\r\n56!  7…", "😀 mail ann.b@mail.example.org😀1-2",
+    "NorthBank 한빛은행에서는 Bank", "password: hunter22 x PASSWORD=ab12cd", "1 22 333 4444" * 50, "x" * 70 + "@host.org y",
+]
+
+
+def test_matches_of_both_engines_are_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "doc_id long, text string")
+    bad = docs.where("doc_id = 2").select((F.col("doc_id") + 100).alias("doc_id"), F.expr("cast(concat(cast(text as binary), X'FF20313233') as string)").alias("text"))
+    docs = docs.unionByName(bad)
+    wanted = detect.wanted(detect.PATTERNS) | {"sentence": evidence.SENTENCE_MARKS, "tail": evidence.tail_pattern(["Bank", "은행"]), "label": detect.label_pattern(["token"]), "bare": r"a(.+)", "word": (r"(?i)(token|É)", "")}
+    found = lambda: sorted(map(tuple, detect.matches(docs, wanted, around=5).collect()))
+    ours = found()
+    monkeypatch.setattr(detect, "exact", lambda pattern: False)
+    assert ours == found() and len(ours) > 50
+
+
+def test_texts_are_read_by_one_engine_only():
+    """Java, which reads a text several times for each pattern that it matches, sees none of these."""
+    patterns = tuple(p if isinstance(p, tuple) else (p, "") for p in (detect.RUNS, evidence.SENTENCE_MARKS, evidence.tail_pattern(["Bank"]), *(f"{p.lead}({p.body})" for p in detect.PATTERNS)))
+    read = detect._read(patterns, 3)(pa.array(["NorthBank 12. 34", None, "é ann@mail.org"])).to_pylist()
+    assert [r["may"] for r in read] == [[], [], []] and [len(r["hits"]) for r in read] == [4, 0, 1]
+    assert read[0]["hits"][0] == {"k": 0, "cs": 10, "ce": 12, "value": "12", "before": "nk ", "next": ". 3"}
+    assert not detect.exact("a(.)") and not detect.exact("(?i)(é)") and not detect.exact(r"\b(a)") and detect.exact("(?i)(은행|bank)")
