@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
@@ -27,8 +28,10 @@ BROADCAST_BYTES = 32 << 20
 TEMPLATE_PAGES = 5
 #: Texts whose articles a task holds before it passes them on.
 TEXTS = 20_000
-#: Siblings that a repeated group may have; parts of one element that a wrapper keeps, the most frequent ones; levels that tell two parts apart.
-GROUP, WIDEST, DEPTH = 4, 64, 3
+#: Siblings that a repeated group may have; levels that tell two parts apart.
+GROUP, DEPTH = 4, 3
+#: Pairs of parts of two lists up to which all are weighed; up to which the most parts of equal keys are aligned, all pairs at once.
+WEIGHED, CELLS = 64 * 64, 1 << 22
 #: Share of its container's varying text that a part must hold for the article to be sought in it; that an article or main element must hold.
 MAIN_SHARE, MARKED_SHARE = 0.8, 0.3
 #: Weight of a text that never changes, and of one in an element whose class says that it isn't the article, when the container is sought.
@@ -224,12 +227,35 @@ def likeness(a: Node, b: Node) -> float:
     return 1.0 + len(x & y) / max(1, len(x | y)) + min(size, other) / max(size, other, 1)
 
 
+def _longest(a: list[str], b: list[str]) -> list[tuple[int | None, int | None]]:
+    """aligned() with as many pairs of equal keys as there can be."""
+    number = {key: n for n, key in enumerate(dict.fromkeys(a + b))}
+    x, y = (np.array([number[key] for key in keys]) for keys in (a, b))
+    best = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    for i in range(len(a) - 1, -1, -1):
+        best[i, :-1] = np.maximum.accumulate(np.maximum(best[i + 1, :-1], best[i + 1, 1:] + (y == x[i]))[::-1])[::-1]
+    out, i, j = [], 0, 0
+    while i < len(a) or j < len(b):
+        if i < len(a) and j < len(b) and a[i] == b[j] and best[i, j] == best[i + 1, j + 1] + 1:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif j == len(b) or i < len(a) and best[i, j] == best[i + 1, j]:
+            out.append((i, None))
+            i += 1
+        else:
+            out.append((None, j))
+            j += 1
+    return out
+
+
 def aligned(left: list[Node], right: list[Node]) -> list[tuple[int | None, int | None]]:
     """The likeliest alignment of two lists of parts, in order: pairs of places, None where one list lacks the other's part."""
     a, b = [c.key for c in left], [c.key for c in right]
     if a == b:
         return [(i, i) for i in range(len(a))]
-    if len(a) * len(b) > WIDEST * WIDEST:  # of lists that are longer than a wrapper keeps, the longest runs of equal keys
+    if WEIGHED < len(a) * len(b) <= CELLS:
+        return _longest(a, b)
+    if len(a) * len(b) > CELLS:  # the longest runs of equal keys; each part stays, in a pair or alone
         out = []
         for tag, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
             out += list(zip(range(i, j), range(k, m))) if tag == "equal" else [(x, None) for x in range(i, j)] + [(None, y) for y in range(k, m)]
@@ -254,14 +280,11 @@ def aligned(left: list[Node], right: list[Node]) -> list[tuple[int | None, int |
 
 
 def merged(a: Node, b: Node, within: bool = False) -> Node:
-    """The least wrapper of both: slots where texts differ, optional parts where one has what the other lacks. within: of one page's repeated parts, which count as one."""
+    """The least wrapper of both: slots where texts differ, optional parts where one has what the other lacks; no part is left out. within: of one page's repeated parts, which count as one."""
     pages = max(a.pages, b.pages) if within else a.pages + b.pages
     out = Node(a.key, pages, a.many or b.many, a.text if a.text == b.text else None, a.chars + b.chars, a.links + b.links, places=a.places + b.places if within else [])
     for i, j in aligned(a.children, b.children):
         out.children.append(merged(a.children[i], b.children[j], within) if i is not None and j is not None else a.children[i] if j is None else b.children[j])
-    if len(out.children) > WIDEST and not within:
-        kept = sorted(sorted(range(len(out.children)), key=lambda k: -out.children[k].pages)[:WIDEST])
-        out.children = [out.children[k] for k in kept]
     return out
 
 
@@ -494,7 +517,7 @@ def _final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def host_rules(pages: DataFrame) -> DataFrame:
-    """pages (host, html) -> (host, rule). Each task aligns its own pages; the tasks' wrappers of a host are merged by parts, then together, so a host of any size meets as a few wrappers of bounded width.
+    """pages (host, html) -> (host, rule). Each task aligns its own pages; the tasks' wrappers of a host are merged by parts, then together, so a host of any size meets as a few wrappers, each as wide as its pages are unlike.
 
     The wrappers say where the article's container is, and which slots below it may be the template's. Of
     copies of a page all slots look so; so a slot is the template's only if each of its texts stands
