@@ -3,6 +3,7 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -91,6 +92,27 @@ def test_piece_rows(spark):
     assert [(r.first, r.end) for r in w] == [(0, 252), (252, 504), (504, 600)]
 
 
+def test_words_of_a_group_are_looked_up_once():
+    own, asked = wordpiece.Pieces({p: i for i, p in enumerate(PIECES)}, 0), []
+    look = own.of
+    own.of = lambda word: asked.append(word) or look(word)
+    assert len(list(own.encode("unaffable running " * 2000))) == 5 * 2000
+    assert sorted(asked) == ["running", "unaffable"]
+
+
+@pytest.mark.parametrize("most", [1, 7, 30])
+def test_parts_of_texts_give_the_pieces_of_the_whole(most, monkeypatch):
+    text = "running. unaffable\n\x00 un. running unaffable. " * 3
+    ids = {p: i for i, p in enumerate(PIECES)}
+    batch = pa.RecordBatch.from_pydict({"doc_id": [5, 6, 7, 8], "text": [text, None, "un", text[:40]]})
+    sent = type("Sent", (), {"value": (ids, 0)})
+    of = lambda run: [r for b in run(sent)(iter([batch])) for r in b.to_pylist()]
+    whole = of(wordpiece._pieces), of(wordpiece._cuts)
+    monkeypatch.setattr(wordpiece, "CHARS", most)
+    assert (of(wordpiece._pieces), of(wordpiece._cuts)) == whole
+    assert [r["n"] for r in whole[1]] == [sum(r["doc_id"] == k for r in whole[0]) for k in (5, 6, 7, 8)]
+
+
 def by_definition(text):
     """Contexts by painting character after character, in quadratic time."""
     n, space = len(text), " \t\n\r\f\v"
